@@ -6,20 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secrets
-from .common import documents
+from . import bpe, jaccard, licenses, pii, quality, secrets, sharding, toxicity
+from .common import documents, table
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(documents(spark, sf_dir))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find(documents(spark, sf_dir)))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(documents(spark, sf_dir)))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(sharding.reshard(documents(spark, sf_dir)))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.report(bpe.round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(quality.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op7_pii)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_secret_scan, op5_license_scan, op7_pii, op8_sharding, op9_byte_bpe, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
