@@ -4,8 +4,8 @@ Features of a text are the distinct hashes of its words, of its pairs of neighbo
 with one word between. Each coordinate has its own learning rate, and L1 keeps most weights at zero,
 so what is broadcast is small: at most 2**BITS weights, whatever the data.
 
-Labels are learned from a bounded sample of rows that aren't held out. The sample is dealt into SHARDS
-parts that learn on their own; their weights are averaged per coordinate.
+Labels are learned from a bounded sample of rows that aren't held out. The sample is dealt into a
+few parts that learn on their own; their weights are averaged per coordinate.
 
 A null text counts as empty and gets the model's bias; null ids are never in the held-out part nor
 in the sample; repeated rows each get their score; without labels every score is 0. Labels, language,
@@ -26,13 +26,16 @@ from . import textvec as tv
 from .common import cut, map_batches
 
 BITS = 20
-#: Labelled rows learned from at most, the parts they are dealt into, and passes over each part.
-SAMPLE, SHARDS, EPOCHS = 24_000, 4, 3
-#: FTRL: rate, its offset, L1 and L2.
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+#: Labelled rows learned from at most, rows of a part that learns on its own (about), and passes over each part.
+SAMPLE, PART_ROWS, EPOCHS = 24_000, 8_000, 4
+#: FTRL: rate, its offset and L2.
+ALPHA, BETA, L2 = 0.5, 1.0, 1.0
+#: L1 is the number of toxic rows of a part over PER_L1, within these bounds; features in fewer rows than
+#: the toxic rows over PER_LEAST, within bounds, aren't learned: they would only recall single texts.
+PER_L1, L1_BOUNDS = 30, (1.0, 12.0)
+PER_LEAST, LEAST_BOUNDS = 40, (2, 8)
 #: A row is called toxic from this score on.
 THRESHOLD = 0.3
-#: Features of one text that a step of learning uses at most; longer texts take several steps.
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -59,18 +62,19 @@ def _each(texts: pa.Array) -> Iterator[np.ndarray]:
         order = np.argsort(doc, kind="stable")
         at = np.searchsorted(doc[order], np.arange(len(start)))
         for d in range(len(start) - 1):
-            yield np.unique(bucket[order[at[d] : at[d + 1]]])
+            yield np.unique(bucket[order[at[d] : at[d + 1]]]).astype(np.int32)
 
 
 class Ftrl:
     """State of one learner: per coordinate the adjusted gradient sum z and the squared gradient sum n; the last one is the bias."""
 
-    def __init__(self):
+    def __init__(self, l1: float):
+        self.l1 = l1
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(self, i: np.ndarray) -> np.ndarray:
         z = self.z[i]
-        shrunk = np.sign(z) * np.maximum(np.abs(z) - np.where(i == 1 << BITS, 0.0, L1), 0.0)
+        shrunk = np.sign(z) * np.maximum(np.abs(z) - np.where(i == 1 << BITS, 0.0, self.l1), 0.0)
         return -shrunk / ((BETA + np.sqrt(self.n[i])) / ALPHA + L2)
 
     def learn(self, i: np.ndarray, label: float) -> None:
@@ -86,9 +90,14 @@ class Ftrl:
 def _learner(part: pd.DataFrame) -> pd.DataFrame:
     """Weights that aren't zero, learned from one part of the sample; rows in the order of their hash."""
     part = part.sort_values(["at", "doc_id"])
-    model, bias = Ftrl(), np.array([1 << BITS])
-    rows = [np.append(x, bias) for x in _each(pa.array(part["text"], pa.string()))]
     labels = part["label"].to_numpy(dtype=float)
+    toxic = float((labels > 0).sum())
+    model, bias = Ftrl(float(np.clip(toxic / PER_L1, *L1_BOUNDS))), np.array([1 << BITS])
+    rows, often = list(_each(pa.array(part["text"], pa.string()))), np.zeros(1 << BITS, dtype=np.int64)
+    for x in rows:
+        often[x] += 1
+    common = often >= np.clip(toxic / PER_LEAST, *LEAST_BOUNDS)
+    rows = [np.append(x[common[x]], bias) for x in rows]
     for _ in range(EPOCHS):
         for x, y in zip(rows, labels, strict=True):
             model.learn(x, y)
@@ -102,10 +111,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("double").alias("label"))
     chosen = known.where(~held_out(F.col("doc_id"))).withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(sample)
     chosen = cut(chosen)
+    parts = max(1, round(chosen.count() / PART_ROWS))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.shiftright("at", 7), F.lit(SHARDS)))  # at most ``sample`` rows are broadcast
+    rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.shiftright("at", 7), F.lit(parts)))  # at most ``sample`` rows are broadcast
     learned = rows.groupBy("part").applyInPandas(_learner, "bucket long, weight double")
-    averaged = learned.groupBy("bucket").agg((F.sum("weight") / SHARDS).alias("weight")).toPandas()
+    averaged = learned.groupBy("bucket").agg((F.sum("weight") / parts).alias("weight")).toPandas()
     out = np.zeros((1 << BITS) + 1, dtype=np.float32)
     out[averaged["bucket"].to_numpy(dtype=np.int64)] = averaged["weight"].to_numpy()
     return out
