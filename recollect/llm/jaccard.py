@@ -40,7 +40,7 @@ GROWTH = 2.0
 #: A key with more sets than this gives a star instead of all pairs; one with more in a batch is settled there first.
 CROWD, LOCAL_CROWD = 6, 48
 #: Entries of a batch, and of a bucket (about).
-BATCH_ENTRIES, BUCKET_ENTRIES = 1_500_000, 3_000_000
+BATCH_ENTRIES, BUCKET_ENTRIES = 1_000_000, 2_000_000
 #: Expected cost of a set with too little value, in entries per token.
 FALLBACK = 0.6
 #: Rows of a table that may be broadcast; beyond it, tables are shuffled.
@@ -140,7 +140,7 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
 
 
 #: kind 0: a document (a: id, b: fingerprint, c: second one, n: set size, m: spare value); kind 1: a pair
-#: (a, b: fingerprints); kind 2: a set under a crowded key (a: key, b: fingerprint); kind 3: packed entries of a bucket.
+#: (a, b: fingerprints, m: shared keys); kind 2: a set under a crowded key (a: key, b: fingerprint); kind 3: packed entries of a bucket.
 ROW = "kind int, bucket long, a long, b long, c long, n long, m long, payload binary"
 _NAMES = [f.split()[0] for f in ROW.split(", ")]
 _TYPES = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
@@ -160,11 +160,14 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Distinct unordered pairs of different sets."""
+    """Distinct unordered pairs of different sets, and how many keys each shares here."""
     low, high = np.minimum(a, b), np.maximum(a, b)
-    both = np.unique(np.stack([low, high], axis=1)[low != high], axis=0)
-    if len(both):
-        yield _rows(1, len(both), bucket=both[:, 0] & 0xFFFF, a=both[:, 0].copy(), b=both[:, 1].copy())
+    low, high = low[low != high], high[low != high]
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    if len(low):
+        start = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
+        yield _rows(1, len(start), bucket=low[start] & 0xFFFF, a=low[start], b=high[start], m=np.diff(np.append(start, len(low))))
 
 
 def _pack(sets: np.ndarray, count: np.ndarray, key: np.ndarray, hot: np.ndarray) -> bytes:
@@ -382,6 +385,10 @@ def _rest(docs: DataFrame, nodes: DataFrame, placed: DataFrame) -> DataFrame:
     return prefix.join(other, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & near).select(F.col("id").alias("a"), "b").distinct()
 
 
+def _with(links: DataFrame, more: DataFrame) -> DataFrame:
+    return cut(links.union(more.select("a", "b")))
+
+
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     spark = docs.sparkSession
@@ -393,25 +400,40 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     sets = rows.where("doc_id is not null and n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("spare").alias("spare"))
     sets = cut(sets)
 
-    def named(pairs: DataFrame) -> DataFrame:
-        by = sets.select("id", "mark")
-        return pairs.join(by.select(F.col("mark").alias("a"), F.col("id").alias("ia")), "a").join(by.select(F.col("mark").alias("b"), F.col("id").alias("ib")), "b").select(F.col("ia").alias("a"), F.col("a").alias("fa"), F.col("ib").alias("b"), F.col("b").alias("fb"))
+    marks = sets.select("id", "mark")
+    pairs = matched.where("kind = 1").groupBy("a", "b").agg(F.sum("m").alias("shared"))
+    for end in ("a", "b"):
+        pairs = pairs.join(marks.select(F.col("mark").alias(end), F.col("id").alias(f"i{end}")), end)
+    pairs = cut(pairs.select(F.col("ia").alias("a"), F.col("a").alias("fa"), F.col("ib").alias("b"), F.col("b").alias("fb"), "shared"))
+
+    # First each set and the one that it shares most keys with; then pairs that these links leave in different components.
+    ends = pairs.select(F.col("a").alias("x"), "*").union(pairs.select(F.col("b").alias("x"), "*"))
+    best = ends.groupBy("x").agg(F.max(F.struct("shared", "a", "fa", "b", "fb")).alias("p")).select("p.a", "p.fa", "p.b", "p.fb").distinct()
+    links = cut(verify(df, best))
+    found = components(links)
+
+    def placed_by(found: DataFrame) -> DataFrame:
+        return sets.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    links = cut(verify(df, named(matched.where("kind = 1").select("a", "b").distinct())))
+    left = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").drop("shared")
+    by_id = placed_by(found)
+    for end in ("a", "b"):
+        left = left.join(by_id.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")), end)
+    links = _with(links, verify(df, left.where("ca != cb").select("a", "fa", "b", "fb")))
     found = components(links)
 
-    placed = sets.select("id", "mark", "n", "spare").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = cut(placed)
+    # Crowded keys that still join several components lose their value; sets left with too little are joined by prefixes.
+    placed = cut(placed_by(found))
     crowded = matched.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("mark")).distinct().join(placed.select("mark", "component"), "mark")
     split = crowded.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     lost = crowded.join(split, "key").groupBy("mark").agg((2 * F.count("*")).alias("lost"))
     poor = cut(placed.join(lost, "mark", "left").where(F.col("spare") < F.coalesce("lost", F.lit(0))).select("id", "mark", "n", "component"))
     more = _rest(df, poor.select("id", "mark", "n"), poor.select("id", "component"))
-    ids = sets.select("id", "mark")
-    more = more.join(ids.select(F.col("id").alias("a"), F.col("mark").alias("fa")), "a").join(ids.select(F.col("id").alias("b"), F.col("mark").alias("fb")), "b")
-    late = cut(verify(df, more))
-    if not late.isEmpty():
-        found = components(links.union(late))
+    for end in ("a", "b"):
+        more = more.join(marks.select(F.col("id").alias(end), F.col("mark").alias(f"f{end}")), end)
+    more = cut(more)
+    if not more.isEmpty():
+        found = components(_with(links, verify(df, more)))
     by_mark = sets.select("mark", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("mark", F.coalesce("component", "id").alias("component"))
     named_rows = rows.join(by_mark, "mark", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
