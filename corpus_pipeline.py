@@ -1,23 +1,58 @@
-"""The corpus pipeline: placeholder stages are filled in as the operators land."""
+"""A training corpus from raw documents: toxic texts, near copies and test items go, secrets are masked, the rest is tokenised."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recollect.llm import secrets
-from recollect.llm.common import documents, stored
+from recollect.llm import bpe, decontaminate, jaccard, secrets, toxicity
+from recollect.llm.common import documents, stored, table
+
+#: The vocabulary file of the last stage.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    return jaccard.representatives(docs)
+
+
+def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark."""
-    return secrets.redact(docs)
+    masked = secrets.redact(docs)
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, as digests, with what decoding gives back."""
+    return bpe.report(bpe.round_trip(docs, bpe.read_ranks(VOCABULARY), public_tokenizers.PATTERN))
+
 
+STAGES = [
+    ("toxicity", without_toxic),
+    ("n-gram Jaccard join", without_near_copies),
+    ("benchmark decontamination", without_test_items),
+    ("secret scans", without_secrets),
+    ("byte-level BPE", tokenised),
+]
 
-STAGES = [("secret scan", without_secrets)]
+#: SQL can't express the learned and the hashed stages; the tests compare with brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result but the last is written to the shared folder and read again."""
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

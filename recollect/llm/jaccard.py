@@ -438,3 +438,9 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     named_rows = rows.join(by_mark, "mark", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return named_rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of linked ones, the one with the smallest id; all columns stay."""
+    others = cut(link(docs, doc_id, text).where("doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct())
+    return docs.join(_small(others), doc_id, "left_anti")

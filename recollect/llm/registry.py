@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, licenses, pii, quality, secrets, sharding, toxicity
+from . import bpe, decontaminate, jaccard, licenses, passages, pii, quality, secrets, sharding, toxicity
 from .common import documents, table
 
 
@@ -22,10 +22,18 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find(documents(spark, sf_dir)))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(documents(spark, sf_dir))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(documents(spark, sf_dir)))
 
@@ -46,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_secret_scan, op5_license_scan, op7_pii, op8_sharding, op9_byte_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_secret_scan, op4_substring_dedup, op5_license_scan, op6_benchmark_decontamination, op7_pii, op8_sharding, op9_byte_bpe, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
