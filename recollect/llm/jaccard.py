@@ -10,7 +10,8 @@ segments carry no value and no entry.
 
 Equal sets are one node: entries are keyed by a fingerprint of the set. Entries of a batch of documents
 are packed by bucket, so a shuffled row holds many. A key with few sets gives all their pairs. A key
-with many gives a star around one of them. After these pairs are verified and linked, a crowded key
+with many gives a star around one of them. A pair goes on if it shares as
+many keys as linked sets must. After what remains is verified and linked, a crowded key
 whose sets are all in one component is settled. One that still joins several components has its value
 taken back; a set that is left with too little value is joined again, with its like, by the prefix
 filter over rarest tokens. Nothing is capped, so no link is lost.
@@ -110,10 +111,14 @@ class Bands:
 _BAND = tv.mix(np.arange(1, 129, dtype=_U) * _U(0x9FB21C651E98DF25))
 
 
-def entries(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
-    """Index keys of a set (sorted hashes), and its spare value: the least over its bands of value less need."""
+def entries(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, int, int]:
+    """Index keys of a set (sorted hashes), its spare value, and the fewest keys that it shares with a linked set.
+
+    Spare is the least over its bands of value less need. Of the value, H can be lost to differences, so
+    more than the spare value is found: a key for each segment, which carries 2 at most with deletions.
+    """
     mixed = tv.mix(tokens)
-    keys, spare = [], 1 << 30
+    keys, spare, fewest = [], 1 << 30, 1 << 30
     for band, need in bands.of(len(tokens)):
         m, deletions = bands.plans[band]
         segment = ((tokens >> _U(32)) * _U(m)) >> _U(32)
@@ -129,17 +134,16 @@ def entries(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
             value += int((size > 1).sum())
             keys.append(tv.mix((np.repeat(total, size) - mixed)[each] ^ np.repeat(salt, size)[each]))
         spare = min(spare, value - need)
-    return np.concatenate(keys), spare
+        fewest = min(fewest, (value - need + 2) // 2 if deletions else value - need + 1)
+    return np.concatenate(keys), spare, fewest
 
 
-def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
-    n = _U(len(tokens))
-    a = tv.mix(tv.mix(tokens).sum(dtype=_U, keepdims=True) + n)
-    b = tv.mix(tv.mix(tokens ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U, keepdims=True) + n)
-    return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
+def fingerprint(tokens: np.ndarray) -> int:
+    mark = tv.mix(tv.mix(tokens).sum(dtype=_U, keepdims=True) + _U(len(tokens)))
+    return int(mark.view(np.int64)[0])
 
 
-#: kind 0: a document (a: id, b: fingerprint, c: second one, n: set size, m: spare value); kind 1: a pair
+#: kind 0: a document (a: id, b: fingerprint, c: fewest shared keys, n: set size, m: spare value); kind 1: a pair
 #: (a, b: fingerprints, m: shared keys); kind 2: a set under a crowded key (a: key, b: fingerprint); kind 3: packed entries of a bucket.
 ROW = "kind int, bucket long, a long, b long, c long, n long, m long, payload binary"
 _NAMES = [f.split()[0] for f in ROW.split(", ")]
@@ -247,16 +251,17 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
             for i, j, data, start in tv.chunks(rows.column(1)):
                 ids = rows.column(0)[i:j]
                 sets = tv.shingle_sets(tv.Words(data, start), WORDS)
-                marks, spares = [], []
+                marks, spares, fewest = [], [], []
                 for valid, tokens in zip(ids.is_valid().to_pylist(), sets, strict=True):
-                    mark, spare = fingerprint(tokens), None
+                    mark, spare, few = fingerprint(tokens), None, None
                     if len(tokens) and valid:
-                        keys, spare = entries(tokens, bands)
-                        if mark[0] not in batch.seen:
-                            batch.add(mark[0], keys)
+                        keys, spare, few = entries(tokens, bands)
+                        if mark not in batch.seen:
+                            batch.add(mark, keys)
                     marks.append(mark)
                     spares.append(spare)
-                yield _rows(0, j - i, bucket=[m[0] & 0xFFFF for m in marks], a=ids, b=[m[0] for m in marks], c=[m[1] for m in marks], n=[len(t) for t in sets], m=spares)
+                    fewest.append(few)
+                yield _rows(0, j - i, bucket=[m & 0xFFFF for m in marks], a=ids, b=marks, c=fewest, n=[len(t) for t in sets], m=spares)
                 if batch.size >= BATCH_ENTRIES:
                     yield from batch.flush()
         yield from batch.flush()
@@ -338,7 +343,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for i, j, data, start in tv.chunks(rows.column(5)):
                 sets = tv.shingle_sets(tv.Words(data, start), WORDS)
                 for a, part, role, mark, id_, tokens in zip(*(rows.column(k)[i:j].to_pylist() for k in range(5)), sets, strict=True):
-                    if fingerprint(tokens)[0] != mark:  # another text under a repeated id
+                    if fingerprint(tokens) != mark:  # another text under a repeated id
                         continue
                     if (a, part) != group:
                         group, own = (a, part), None
@@ -363,7 +368,7 @@ def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for rows in batches:
             for i, j, data, start in tv.chunks(rows.column(2)):
                 for id_, mark, tokens in zip(rows.column(0)[i:j].to_pylist(), rows.column(1)[i:j].to_pylist(), tv.shingle_sets(tv.Words(data, start), WORDS), strict=True):
-                    if fingerprint(tokens)[0] == mark:
+                    if fingerprint(tokens) == mark:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), id_)), pa.array(tokens.view(np.int64)), pa.array(np.full(len(tokens), len(tokens)))], ["id", "token", "n"])
 
     return map_batches(rows, run, "id long, token long, n long").distinct()
@@ -396,14 +401,18 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / 10 / BUCKET_ENTRIES))
     matched = stored(match(index(df, buckets), max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))), "jaccard")
-    rows = matched.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("mark"), F.col("c").alias("check"), F.col("n").alias("n_shingles"), F.col("m").alias("spare"))
-    sets = rows.where("doc_id is not null and n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("spare").alias("spare"))
-    sets = cut(sets)
+    rows = matched.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("mark"), F.col("c").alias("fewest"), F.col("n").alias("n_shingles"), F.col("m").alias("spare"))
+    sets = rows.where("doc_id is not null and n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("spare").alias("spare"), F.min("fewest").alias("fewest"))
+    crowds = matched.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("mark")).distinct()
+    sets = cut(sets.join(crowds.groupBy("mark").agg(F.count("*").alias("crowds")), "mark", "left").na.fill(0, ["crowds"]))
 
     marks = sets.select("id", "mark")
     pairs = matched.where("kind = 1").groupBy("a", "b").agg(F.sum("m").alias("shared"))
     for end in ("a", "b"):
-        pairs = pairs.join(marks.select(F.col("mark").alias(end), F.col("id").alias(f"i{end}")), end)
+        pairs = pairs.join(sets.select(F.col("mark").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("id", "n", "fewest", "crowds"))), end)
+    near = (F.col("n_a") * NUMERATOR <= F.col("n_b") * DENOMINATOR) & (F.col("n_b") * NUMERATOR <= F.col("n_a") * DENOMINATOR)
+    # Linked sets share so many keys, those under which both are crowded aside.
+    pairs = pairs.where(near & (F.col("shared") + F.least("crowds_a", "crowds_b") >= F.greatest("fewest_a", "fewest_b"))).withColumnsRenamed({"id_a": "ia", "id_b": "ib"})
     pairs = cut(pairs.select(F.col("ia").alias("a"), F.col("a").alias("fa"), F.col("ib").alias("b"), F.col("b").alias("fb"), "shared"))
 
     # First each set and the one that it shares most keys with; then pairs that these links leave in different components.
@@ -424,7 +433,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     # Crowded keys that still join several components lose their value; sets left with too little are joined by prefixes.
     placed = cut(placed_by(found))
-    crowded = matched.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("mark")).distinct().join(placed.select("mark", "component"), "mark")
+    crowded = crowds.join(placed.select("mark", "component"), "mark")
     split = crowded.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     lost = crowded.join(split, "key").groupBy("mark").agg((2 * F.count("*")).alias("lost"))
     poor = cut(placed.join(lost, "mark", "left").where(F.col("spare") < F.coalesce("lost", F.lit(0))).select("id", "mark", "n", "component"))
