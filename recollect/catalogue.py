@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from .plans.queries import QUERIES
+
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    from .plans.queries import SQL
+
+    return dict(SQL)

@@ -20,7 +20,7 @@ def occurrences(df: DataFrame) -> Column:
 def class_table(instances: DataFrame) -> DataFrame:
     """(class, class_idx, gfreq): classes numbered from 1 in the order in which they first occur."""
     seen = instances.groupBy("class").agg(F.min("iid").alias("first"), F.sum(occurrences(instances)).alias("gfreq"))
-    return seen.select("class", F.row_number().over(Window.orderBy("first")).cast("long").alias("class_idx"), "gfreq")
+    return seen.select("class", F.row_number().over(Window.orderBy("first", "class")).cast("long").alias("class_idx"), "gfreq")
 
 
 def contingency(instances: DataFrame, features: list[str]) -> DataFrame:
@@ -60,7 +60,7 @@ def weights(table: DataFrame, clamp: bool = True) -> DataFrame:
     gain = F.greatest(F.col("h") - F.col("hv"), F.lit(0.0)) if clamp else F.col("h") - F.col("hv")
     sums = sums.withColumn("ig", gain).withColumn("x2", F.col("oe") - F.col("n"))
     least = F.least("n_classes", "n_vals") - 1
-    return sums.select("fidx", "n_vals", "ig", "si", F.when(F.abs("si") < EPSILON, 0.0).otherwise(F.col("ig") / F.col("si")).alias("gr"), "x2", F.when(least > 0, F.col("x2") / (F.col("n") * least)).otherwise(0.0).alias("sv"))
+    return sums.select("fidx", "n_vals", "ig", "si", F.when(F.abs("si") < EPSILON, 0.0).otherwise(F.try_divide("ig", "si")).alias("gr"), "x2", F.when(least > 0, F.try_divide(F.col("x2"), F.col("n") * least)).otherwise(0.0).alias("sv"))
 
 
 def numeric(value: Column) -> Column:
@@ -74,7 +74,7 @@ def numeric_range(instances: DataFrame, features: list[str]) -> DataFrame:
     values = instances.select(*features).distinct().select(F.explode(pairs).alias("p")).select("p.fidx", "p.fval").distinct().withColumn("x", numeric(F.col("fval")))
     plain = values.groupBy("fidx").agg(F.min("x").alias("n_min"), F.max("x").alias("n_max"), F.sum(F.col("x").isNull().cast("long")).alias("n_bad"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("s2"), F.count("x").alias("m"))
     # The spread is taken about the sum of the distinct values, not about their mean.
-    spread = F.sqrt(F.greatest(F.col("m") * F.col("s") * F.col("s") - 2 * F.col("s") * F.col("s") + F.col("s2"), F.lit(0.0)) / F.col("m"))
+    spread = F.sqrt(F.greatest(F.col("m") * F.col("s") * F.col("s") - 2 * F.col("s") * F.col("s") + F.col("s2"), F.lit(0.0)) / F.nullif(F.col("m"), F.lit(0)))
     return plain.select("fidx", "n_min", "n_max", "n_bad", spread.alias("sd"))
 
 

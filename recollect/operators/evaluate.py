@@ -31,7 +31,7 @@ def scores(matrix: DataFrame, classes: DataFrame) -> DataFrame:
     df = classes.select("class").join(tp, "class", "left").join(rows, "class", "left").join(columns, "class", "left").na.fill(0).crossJoin(F.broadcast(every))
     df = df.withColumn("fn", F.col("of_class") - F.col("tp")).withColumn("fp", F.col("as_class") - F.col("tp"))
     df = df.withColumn("tn", F.col("total") - F.col("tp") - F.col("fn") - F.col("fp"))
-    ratio = lambda a, b: F.when(b > 0, a / b)
+    ratio = lambda a, b: F.when(b > 0, F.try_divide(a, b))
     df = df.withColumn("precision", ratio(F.col("tp"), F.col("as_class"))).withColumn("recall", ratio(F.col("tp"), F.col("of_class"))).withColumn("fpr", ratio(F.col("fp"), F.col("fp") + F.col("tn")))
     df = df.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     area = 0.5 * F.col("recall") * F.col("fpr") + F.col("recall") * (1 - F.col("fpr")) + 0.5 * (1 - F.col("recall")) * (1 - F.col("fpr"))
