@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .statistics import numeric
 
@@ -57,7 +58,7 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance; applied to pairs of distinct values only."""
     return pd.Series([float(edits(x, y)) for x, y in zip(a, b, strict=True)])
