@@ -382,12 +382,14 @@ def _rest(docs: DataFrame, nodes: DataFrame, placed: DataFrame) -> DataFrame:
     tokens = cut(_tokens(docs, nodes))
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = tokens.join(often, "token").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("often", "token")))
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1).where("often > 1").join(placed, "id").select("token", "id", "n", "component")
+    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1).where("often > 1").join(placed, "id").select("token", "id", "n", "component", "rank")
     split = prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
     prefix = cut(prefix.join(split, "token"))
-    other = prefix.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    near = (F.col("n") * NUMERATOR <= F.col("nb") * DENOMINATOR) & (F.col("nb") * NUMERATOR <= F.col("n") * DENOMINATOR)
-    return prefix.join(other, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & near).select(F.col("id").alias("a"), "b").distinct()
+    other = prefix.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("rank").alias("rb"))
+    # From the first token that linked sets share, enough of each must be left for the intersection that they need.
+    left = 1 + F.least(F.col("n") - F.col("rank"), F.col("nb") - F.col("rb"))
+    enough = left * (DENOMINATOR + NUMERATOR) >= (F.col("n") + F.col("nb")) * NUMERATOR
+    return prefix.join(other, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & enough).select(F.col("id").alias("a"), "b").distinct()
 
 
 def _with(links: DataFrame, more: DataFrame) -> DataFrame:
