@@ -175,7 +175,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(phrases, templates)
         for batch in batches:
-            rows = [scanner.scan((t.as_buffer() or b"").to_pybytes() if t.is_valid else b"") for t in batch.column(1)]
+            rows = [scanner.scan(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]
             columns = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 

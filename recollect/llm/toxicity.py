@@ -111,7 +111,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("double").alias("label"))
     chosen = known.where(~held_out(F.col("doc_id"))).withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(sample)
     chosen = cut(chosen)
-    parts = max(1, round(chosen.count() / PART_ROWS))
+    known_rows = chosen.count()
+    if not known_rows:
+        return np.append(np.zeros(1 << BITS, dtype=np.float32), np.float32(-np.inf))
+    parts = max(1, round(known_rows / PART_ROWS))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.shiftright("at", 7), F.lit(parts)))  # at most ``sample`` rows are broadcast
     learned = rows.groupBy("part").applyInPandas(_learner, "bucket long, weight double")
