@@ -1,7 +1,8 @@
 """Secrets: known shapes by pattern, unknown ones by a battery of randomness tests with false-discovery control.
 
-Main path: built-in functions only. A candidate is a long run of key characters. Its encoding is
-inferred from the characters it uses (hex, base32 or base64). Three tests ask whether it could be
+Main path: built-in functions only. A candidate is a maximal run of at least 20 key characters with
+digits and letters among them, however long, also right behind a '=' (NAME=value). Its encoding is the
+smallest alphabet that holds its characters (hex, base32 or base36 of either case, base64). Three tests ask whether it could be
 drawn uniformly from that alphabet: chi-squared on the letter counts, a runs test about the middle
 of the alphabet, and lag-1 serial correlation. Fisher's method joins their p-values. Uniformity is
 rejected by Benjamini-Hochberg, separately for each band of lengths, since the tests' power grows
@@ -26,12 +27,15 @@ HEX = r"[0-9a-f]{16,}"
 BASE = ("assign", "access", "hex")
 ASSIGN_MIN = 12
 #: Maximal runs of key characters; the word inside must use digits and letters.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,512}+={0,2}(?![A-Za-z0-9+/_=-])"
-#: Alphabets in order; base64url characters are read as their base64 partners.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+#: Alphabets, the smallest first; base64url characters are read as their base64 partners.
 ALPHABETS = {
     "hex": "0123456789abcdef",
+    "upper_hex": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "lower_base32": "abcdefghijklmnopqrstuvwxyz234567",
     "alnum36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "lower_alnum36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 FDR = 0.05
@@ -50,39 +54,65 @@ def chi_squared_tail(x: Column, df: Column) -> Column:
     return normal_tail((F.cbrt(x / df) - (F.lit(1.0) - v)) / F.sqrt(v))
 
 
-def tested(span: Column) -> Column:
-    """Encoding, length and joint p-value of uniformity of a candidate span."""
+def encoded(span: Column) -> Column:
+    """A candidate span with its characters, without padding."""
     plain = F.translate(F.rtrim(F.translate(span["match"], "=", " ")), "-_", "+/")
+    return F.struct(span["start"].alias("start"), span["end"].alias("end"), span["match"].alias("match"), plain.alias("plain"))
+
+
+def named(c: Column) -> Column:
+    """The smallest alphabet that holds the characters."""
+    plain = c["plain"]
     encoding = (
         F.when(plain.rlike("^[0-9a-f]+$"), "hex")
+        .when(plain.rlike("^[0-9A-F]+$"), "upper_hex")
         .when(plain.rlike("^[A-Z2-7]+$"), "base32")
+        .when(plain.rlike("^[a-z2-7]+$"), "lower_base32")
         .when(plain.rlike("^[A-Z0-9]+$"), "alnum36")
+        .when(plain.rlike("^[a-z0-9]+$"), "lower_alnum36")
         .otherwise("base64")
     )
     alphabet = F.element_at(F.create_map(*(F.lit(x) for kv in ALPHABETS.items() for x in kv)), encoding)
-    return F.struct(span["start"].alias("start"), span["end"].alias("end"), span["match"].alias("match"), encoding.alias("encoding"), alphabet.alias("alphabet"), F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c) - 1).alias("codes"))
+    return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"), plain.alias("plain"), encoding.alias("encoding"), alphabet.alias("alphabet"))
 
 
-def p_value(c: Column) -> Column:
-    """From a struct with the codes of a candidate's characters and its alphabet."""
-    codes, k = c["codes"], F.length(c["alphabet"]).cast("double")
-    n = F.size(codes).cast("double")
+def coded(c: Column) -> Column:
+    """The characters' numbers in the alphabet."""
+    codes = F.transform(F.filter(F.split(c["plain"], ""), lambda x: x != ""), lambda x: F.instr(c["alphabet"], x) - 1)
+    return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"), c["encoding"].alias("encoding"), F.length(c["alphabet"]).cast("double").alias("k"), codes.alias("codes"))
+
+
+def counted(c: Column) -> Column:
+    """What the tests need of a candidate's codes, each counted once, so that long runs cost in proportion."""
+    codes, k = c["codes"], c["k"]
     squares = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda acc, x: acc + F.pow(F.size(F.filter(codes, lambda y: y == x)).cast("double"), F.lit(2.0)))
-    chi = chi_squared_tail(F.greatest(squares * k / n - n, F.lit(0.0)), k - 1)
-    high = F.transform(codes, lambda x: F.when(x >= k / 2, 1).otherwise(0))
-    up = F.aggregate(high, F.lit(0.0), lambda acc, x: acc + x)
+    up = F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + F.when(x >= k / 2, 1).otherwise(0))
     pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     runs = F.aggregate(pairs, F.lit(1.0), lambda acc, p: acc + F.when((p["a"] >= k / 2) != (p["b"] >= k / 2), 1.0).otherwise(0.0))
-    both = F.lit(2.0) * up * (n - up)
-    mean_runs, var_runs = both / n + 1, both * (both - n) / (n * n * (n - 1))
-    run_test = F.when(var_runs <= 0, 1e-6).otherwise(F.least(F.lit(1.0), F.lit(2.0) * normal_tail(F.abs(runs - mean_runs) / F.sqrt(var_runs))))
     centre = (k - 1) / 2
     lagged = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + (p["a"] - centre) * (p["b"] - centre))
-    serial = F.least(F.lit(1.0), F.lit(2.0) * normal_tail(F.abs(lagged) / (F.sqrt(n - 1) * (k * k - 1) / 12)))
+    return F.struct(*(c[x].alias(x) for x in ("start", "end", "match", "encoding", "k")), F.size(codes).cast("double").alias("n"), squares.alias("squares"), up.alias("up"), runs.alias("runs"), lagged.alias("lagged"))
+
+
+def p_value(c: Column) -> Column:
+    """From a struct with the counts of a candidate's characters."""
+    n, k, up = c["n"], c["k"], c["up"]
+    chi = chi_squared_tail(F.greatest(c["squares"] * k / n - n, F.lit(0.0)), k - 1)
+    both = F.lit(2.0) * up * (n - up)
+    mean_runs, var_runs = both / n + 1, both * (both - n) / (n * n * (n - 1))
+    run_test = F.when(var_runs <= 0, 1e-6).otherwise(F.least(F.lit(1.0), F.lit(2.0) * normal_tail(F.abs(c["runs"] - mean_runs) / F.sqrt(var_runs))))
+    serial = F.least(F.lit(1.0), F.lit(2.0) * normal_tail(F.abs(c["lagged"]) / (F.sqrt(n - 1) * (k * k - 1) / 12)))
     joint = F.lit(-2.0) * sum((F.log(F.greatest(p, F.lit(1e-30))) for p in (chi, run_test, serial)), F.lit(0.0))
     return chi_squared_tail(joint, F.lit(6.0))
 
 
+def tested(spans: Column) -> Column:
+    """Encoding and joint p-value of uniformity of candidate spans; step by step, so that none is taken again for each character."""
+    for step in (encoded, named, coded, counted):
+        spans = F.transform(spans, step)
+    return F.transform(spans, lambda c: F.struct(*(c[x].alias(x) for x in ("start", "end", "match", "encoding")), p_value(c).alias("p")))
+
+
 def band(n: Column) -> Column:
     out = F.lit(BANDS[0])
     for low in BANDS[1:]:
@@ -106,17 +136,16 @@ def located(docs: DataFrame, text: str, keep: list[str], with_text: bool = False
     kept = ["row", "text"] if with_text else ["row"]
     t, none = F.col("text"), F.array().cast("array<string>")
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": CANDIDATE}
-    named = F.when((F.instr("text", ":") > 0) | (F.instr("text", "=") > 0), S.matches(t, ASSIGN)).otherwise(none)
-    df = df.select("*", named.alias("m_assign"), F.when(F.instr("text", "AKIA") > 0, S.matches(t, ACCESS)).otherwise(none).alias("m_access"), S.matches(t, HEX).alias("m_hex"), S.matches(t, CANDIDATE).alias("m_random"))
+    assigned = F.when((F.instr("text", ":") > 0) | (F.instr("text", "=") > 0), S.matches(t, ASSIGN)).otherwise(none)
+    df = df.select("*", assigned.alias("m_assign"), F.when(F.instr("text", "AKIA") > 0, S.matches(t, ACCESS)).otherwise(none).alias("m_access"), S.matches(t, HEX).alias("m_hex"), S.matches(t, CANDIDATE).alias("m_random"))
     df = df.select("*", F.when(F.size("m_assign") > 0, S.matches(t, ASSIGN, 2)).otherwise(none).alias("values"), *(S.gaps(t, p, F.col(f"m_{k}")).alias(f"g_{k}") for k, p in patterns.items()))
     at = {k: S.located(F.col(f"m_{k}"), F.col(f"g_{k}")) for k in patterns}
     mixed = F.filter(at["random"], lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]"))
-    df = df.select(
+    return df.select(
         *kept,
         S.ordered([S.kinded(long_assignments(at["assign"], F.col("values")), "assign", 0), S.kinded(at["access"], "access", 1), S.kinded(at["hex"], "hex", 2)]).alias("base"),
-        F.transform(mixed, tested).alias("tried"),
+        tested(mixed).alias("tried"),
     )
-    return df.select(*kept, "base", F.transform("tried", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"), c["encoding"].alias("encoding"), p_value(c).alias("p"))).alias("tried"))
 
 
 def thresholds(tried: DataFrame, fdr: float = FDR) -> dict[int, int]:

@@ -69,6 +69,23 @@ def test_added_spans(spark):
     assert spans[12].count("random:") == 3
 
 
+def test_random_strings_behind_names_long_ones_and_of_every_alphabet(spark):
+    rng = random.Random(11)
+
+    def key(alphabet: str, n: int) -> str:
+        return "".join(rng.choices(alphabet, k=n))
+
+    base64 = string.ascii_letters + string.digits + "+/"
+    odd = [f"AWS_SECRET_ACCESS_KEY={key(base64, 40)}", f"https://host/x?sig={key(base64, 40)}&a=1", f"n={key(base64, 42)}==", key(base64, 600), f"key {key(base64, 2000)}== end"]
+    odd += [f"k={key(a, 48)}." for a in (string.digits + "ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz234567", string.digits + string.ascii_uppercase, string.digits + string.ascii_lowercase, base64)]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.report(secrets.find(df)).collect()}
+    for k, t in enumerate(odd):
+        m = max(re.finditer(r"[A-Za-z0-9+/]{40,}(==)?", t), key=lambda m: len(m[0]))
+        assert f"random:{m.start()}:{m.end()}" in found[k].split(","), t
+    assert all("[secret]" in r["text"] for r in secrets.redact(df).collect())
+
+
 def test_redaction_masks_secrets_and_nothing_else(spark):
     df = spark.createDataFrame([(*r, "kept") for r in ODD], "doc_id long, text string, row string")
     out = secrets.redact(df)
