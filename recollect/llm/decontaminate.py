@@ -6,8 +6,8 @@ cut into blocks of items, and each term keeps its largest impact overall and per
 queries: windows of a text's words, wide enough for the longest item, half a window apart. A passage
 goes on only if its terms' upper bounds reach 1, then only into blocks whose bounds reach 1; there all
 items at or above the threshold are retrieved, not only the best. What is retrieved is verified on
-five-word shingles: of the item's question and of its answer (the last sentence), shares must stand in
-the text.
+five-word shingles: either shares of the item's question and of its answer (the last sentences, LEAST_ANSWER
+words or more) stand in the text, or a share of all the item's shingles does, wherever they are.
 
 The index is broadcast. Items are dealt into passes of at most ITEMS, so it stays bounded however many
 items there are. Null texts have no words; items without words are never found; null or repeated
@@ -33,6 +33,8 @@ K1, B = 1.2, 0.75
 SHARE, BLOCK, HALF = 0.4, 16, 64
 #: The shares of a question's and of an answer's shingles that must stand in the text.
 QUESTION, ANSWER, WORDS = 0.5, 0.5, 5
+#: The share of all an item's shingles that is enough by itself; words of an answer at least, where the item has twice as many.
+WHOLE, LEAST_ANSWER = 0.5, 8
 #: Items of one pass, and upper bounds or postings expanded at once.
 ITEMS, EXPANDED = 20_000, 4_000_000
 _SLOTS = 20
@@ -84,7 +86,7 @@ class Index:
         self.block_start = np.searchsorted(block[first] // self.n_blocks, np.arange(len(self.terms) + 1))
         self.slot = np.zeros(1 << _SLOTS, dtype=bool)
         self.slot[self.terms >> np.uint64(64 - _SLOTS)] = True
-        self.question, self.answer = [], []
+        self.question, self.answer, self.whole = [], [], []
         for i in keep:
             own_words = words.hash[words.first[i] : words.first[i + 1]]
             asked = self._asked(texts[i], len(own_words))
@@ -92,13 +94,17 @@ class Index:
             cut = max(0, min(asked - WORDS + 1, len(shingles)))
             self.question.append(np.unique(shingles[:cut]))
             self.answer.append(np.unique(shingles[cut:]))
+            self.whole.append(np.unique(shingles))
 
     @staticmethod
     def _asked(text: str, n: int) -> int:
-        """Words of the question: all but the last sentence, or two thirds of a single one."""
-        ends = [m.end() for m in re.finditer(r"[.!?]+\s+|\n", text.strip())]
-        asked = len(_words([text.strip()[: ends[-1]]]).hash) if ends else 0
-        return asked if 0 < asked < n else n * 2 // 3
+        """Words of the question: all but the last sentences that have LEAST_ANSWER words together, or two thirds without such sentences."""
+        text = text.strip()
+        for end in reversed([m.end() for m in re.finditer(r"[.!?]+\s+|\n", text)]):
+            asked = len(_words([text[:end]]).hash)
+            if 0 < asked <= n - LEAST_ANSWER:
+                return asked
+        return min(n * 2 // 3, max(n - LEAST_ANSWER, n // 2))
 
     def passages(self, words: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, score) of all that reaches the threshold, best passage of each."""
@@ -161,7 +167,7 @@ class Index:
             if doc != last:
                 last, own = doc, np.unique(_shingles(words.hash[words.first[doc] : words.first[doc + 1]]))
             asked, answered = (float(np.isin(x, own).mean()) if len(x) else 1.0 for x in (self.question[item], self.answer[item]))
-            if asked >= QUESTION and answered >= ANSWER:
+            if (asked >= QUESTION and answered >= ANSWER) or float(np.isin(self.whole[item], own).mean()) >= WHOLE:
                 yield doc, item, score * SHARE, asked, answered
 
 

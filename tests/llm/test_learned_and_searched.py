@@ -76,6 +76,22 @@ def test_benchmark_items_are_found_and_clean_texts_left(spark):
     assert decontaminate.find(docs, items.limit(0)).count() == 0 and decontaminate.clean(docs, items.limit(0)).count() == len(rows)
 
 
+def test_items_with_one_changed_word_or_cut_at_the_end_are_found(spark):
+    rng = random.Random(13)
+    items = [(k, t) for k, t in dict(ITEMS).items() if t] + [(9, f"{ITEMS[0][1]} Er.")]
+    rows = []
+    for i, t in items:
+        words = t.split(" ")
+        copies = [[*words[:k], *new, *words[k + 1 :]] for k in range(len(words)) for new in ((), ("other",))]
+        ends = [k + 1 for k, w in enumerate(words[:-1]) if w[-1] in ".?" and k + 1 > len(words) / 2]
+        rows += [(i, " ".join([prose(rng, 100), *c, prose(rng, 100)])) for c in copies + [words[:k] for k in ends]]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, table).collect()}
+    assert {(k, i) for k, (i, _) in enumerate(rows)} <= found
+    assert decontaminate.clean(docs, table).count() == 0
+
+
 def test_retrieval_finds_all_that_scoring_everything_finds():
     """Block-max bounds against sums over all postings of each passage."""
     import numpy as np
