@@ -1,7 +1,8 @@
 """Substring dedup: MinHash banding over short paragraphs, verified by exact Jaccard, clustered by components.
 
-A paragraph here is a window of WINDOW words that begins at an anchor: a sentence's first word, or one
-that its own hash picks, so that a passage has the same paragraphs wherever it stands. Each has BANDS
+A paragraph here is a window of WINDOW words that begins at an anchor: a sentence's first word, or the
+place of the smallest shingle hash among SPAN in a row, so that every stretch of SPAN + WINDOW - 1 words
+that two texts share has a paragraph in common. Each has BANDS
 keys of ROWS minima over its shingles, tuned by ``tune`` to find similar paragraphs with high
 probability, and a key of all its shingles, by which equal ones always meet. Keys are packed by bucket
 for the shuffle. In a bucket, all paragraphs with a key are compared with one of them, if it stands in
@@ -31,8 +32,8 @@ from .components import components
 
 WORDS, WINDOW, SIMILAR = 5, 24, 0.75
 SHINGLES = WINDOW - WORDS + 1
-#: Anchors are at least GAP words apart, except where a sentence begins; one word in PICK is an anchor by itself.
-GAP, PICK = 8, 24
+#: Places in a row of which one is an anchor; the step between anchors where one word is repeated.
+SPAN, GAP = 16, 8
 #: The least probability that a pair of similar paragraphs collides, and keys of a paragraph at most.
 RECALL, MOST_BANDS = 0.98, 4
 BATCH_ENTRIES, BUCKET_ENTRIES = 1_000_000, 2_000_000
@@ -71,21 +72,41 @@ def shingles(words: tv.Words) -> np.ndarray:
     return tv.mix(total)
 
 
-def anchors(words: tv.Words) -> np.ndarray:
-    """Word numbers (in the run of documents) where a whole paragraph begins."""
+def anchors(words: tv.Words, shingle: np.ndarray) -> np.ndarray:
+    """Word numbers (in the run of documents) where a whole paragraph begins.
+
+    Besides the sentences' first words, each SPAN places in a row where a paragraph of one document can
+    begin give the first one of the smallest shingle hash, whatever stands around them: two texts that
+    share SPAN + WINDOW - 1 words in a row have an anchor in common there.
+    """
     n = len(words.hash)
     if n < WINDOW:
         return np.empty(0, dtype=np.int64)
-    begins = np.zeros(n, dtype=bool)
-    begins[0] = True
+    chosen = np.zeros(n, dtype=bool)
+    chosen[0] = True
     line = np.concatenate(([0], np.cumsum(words.data == 10)))
-    begins[1:] = _END[words.data[words.end[:-1] - 1]] | (line[words.start[1:]] > line[words.end[:-1]]) | (words.doc[1:] != words.doc[:-1])
-    picked = words.hash % _U(PICK) == 0
-    at = np.flatnonzero(begins | picked)
-    at = at[at + WINDOW <= n]
-    at = at[words.doc[at] == words.doc[at + WINDOW - 1]]
-    close = np.concatenate(([False], (np.diff(at) < GAP) & (words.doc[at[1:]] == words.doc[at[:-1]])))
-    return at[~close | begins[at]]
+    chosen[1:] = _END[words.data[words.end[:-1] - 1]] | (line[words.start[1:]] > line[words.end[:-1]]) | (words.doc[1:] != words.doc[:-1])
+    places = n - WINDOW + 1
+    whole = words.doc[:places] == words.doc[WINDOW - 1 :]
+    # Hash above, place below: the first of equal ones is the smallest.
+    x = (shingle[:places] & ~_U(0xFFFFFFFF)) | np.arange(places, dtype=_U)
+    width = 1
+    while width < SPAN:
+        step = min(width, SPAN - width)
+        x = np.minimum(x[:-step], x[step:]) if len(x) > step else x[:0]
+        width += step
+    inside = whole[: len(x)] & (words.doc[: len(x)] == words.doc[SPAN + WINDOW - 2 :][: len(x)]) if len(x) else np.empty(0, dtype=bool)
+    picked = np.zeros(places, dtype=bool)
+    picked[(x[inside] & _U(0xFFFFFFFF)).astype(np.int64)] = True
+    # In a row of equal paragraphs (one word again and again) every GAP-th and the last are enough, since their keys are equal.
+    equal = np.zeros(places, dtype=bool)
+    if places > 1:
+        changes = np.concatenate(([0], np.cumsum(words.hash[1:] != words.hash[:-1])))
+        equal[1:] = picked[1:] & picked[:-1] & (changes[WINDOW:] == changes[: places - 1])
+        start = np.maximum.accumulate(np.where(equal, 0, np.arange(places)))
+        last = np.concatenate((~equal[1:], [True]))
+        picked &= ~equal | ((np.arange(places) - start) % GAP == 0) | last
+    return np.flatnonzero((picked | chosen[:places]) & whole)
 
 
 def keys(shingle: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -158,7 +179,8 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
                 words = tv.Words(data, start)
                 ids, mark = rows.column(0)[i:j], text_mark(words)
                 yield _rows(0, j - i, mark & 0xFFFF, a=ids, b=mark, n=np.diff(words.first))
-                at = anchors(words)
+                shingle = shingles(words)
+                at = anchors(words, shingle)
                 fresh = np.zeros(j - i, dtype=bool)
                 for k, (m, valid) in enumerate(zip(mark.tolist(), ids.is_valid().to_pylist(), strict=True)):
                     if valid and m not in seen:
@@ -168,7 +190,7 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
                 if len(at):
                     marks.append(mark[words.doc[at]])
                     places.append(at - words.first[words.doc[at]])
-                    keyed.append(keys(shingles(words), at))
+                    keyed.append(keys(shingle, at))
                     size += KEYS * len(at)
             if size >= BATCH_ENTRIES:
                 yield from flush(marks, places, keyed)
@@ -236,21 +258,20 @@ def verify(docs: DataFrame, pairs: DataFrame, marks: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").select("b", "part", "role", "mark", "payload", "text")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The shingles of the paragraphs that are wanted."""
+        """The words of the paragraphs that are wanted and SPAN words around each: stretches (first word, length) and hashes."""
         for rows in batches:
             for i, j, data, start in tv.chunks(rows.column(5)):
                 words = tv.Words(data, start)
-                mark, hashes = text_mark(words).tolist(), shingles(words).astype("<u4")
+                mark, hashes = text_mark(words).tolist(), words.hash.astype("<u4")
                 keep, places, cuts = [], [], []
                 for k, (role, own, payload) in enumerate(zip(rows.column(2)[i:j].to_pylist(), rows.column(3)[i:j].to_pylist(), rows.column(4)[i:j].to_pylist(), strict=True)):
                     if mark[k] != own:  # another text under a repeated id
                         continue
                     both = np.frombuffer(payload, "<u4").reshape(-1, 2)
                     both = np.unique(both[:, [1, 1]] if role == 0 else both, axis=0)
-                    at = words.first[k] + both[:, 0].astype(np.int64)
                     keep.append(i + k)
                     places.append(both.astype("<u4").tobytes())
-                    cuts.append(hashes[at[:, None] + np.arange(SHINGLES)].tobytes())
+                    cuts.append(_stretches(both[:, 0].astype(np.int64), hashes[words.first[k] : words.first[k + 1]]))
                 if keep:
                     rest = rows.take(pa.array(keep))
                     yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), rest.column(2), rest.column(3), pa.array(places, pa.binary()), pa.array(cuts, pa.binary())], ["b", "part", "role", "mark", "places", "cuts"])
@@ -258,20 +279,21 @@ def verify(docs: DataFrame, pairs: DataFrame, marks: DataFrame) -> DataFrame:
     pieces = map_batches(rows, cut_out, "b long, part long, role int, mark long, places binary, cuts binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, at, own = None, np.empty(0, dtype=np.int64), np.empty((0, SHINGLES))
+        group, at, own, around = None, np.empty(0, dtype=np.int64), np.empty((0, SHINGLES), dtype=_U), np.empty((0, WINDOW + 2 * SPAN), dtype=np.int64)
         for rows in batches:
             found: list[tuple[int, int, int, int, int, int]] = []
             for b, part, role, mark, places, cuts in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                 both = np.frombuffer(places, "<u4").reshape(-1, 2).astype(np.int64)
-                sets = np.sort(np.frombuffer(cuts, "<u4").reshape(-1, SHINGLES), axis=1)
+                near = _around(both[:, 0], cuts)
+                sets = np.sort(_shingled(near), axis=1)
                 if (b, part) != group:
                     group, at = (b, part), np.empty(0, dtype=np.int64)
                 if role == 0:
-                    at, own = both[:, 0], sets
+                    at, own, around = both[:, 0], sets, near
                 elif len(at):
                     k = np.minimum(np.searchsorted(at, both[:, 1]), len(at) - 1)
                     good = (at[k] == both[:, 1]) & (_jaccard(sets, own[k]) >= SIMILAR)
-                    found += [(mark, s, e, b, f, t) for s, e, f, t in _run_together(both[good])]
+                    found += [(mark, s, e, b, f, t) for s, e, f, t in _run_together(both[good], *_reach(near[good], around[k[good]]))]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "start", "end", "b", "from", "to"])
 
@@ -290,19 +312,53 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (nx + ny - union) / union
 
 
-def _run_together(both: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """Runs of paragraphs that follow each other on both sides at about the same distance."""
+def _stretches(at: np.ndarray, hashes: np.ndarray) -> bytes:
+    """Words of the paragraphs at ``at`` (ascending) and SPAN around each, without repeats: number, (first, length) of each, hashes."""
+    low, high = np.maximum(at - SPAN, 0), np.minimum(at + WINDOW + SPAN, len(hashes))
+    begin = np.flatnonzero(np.concatenate(([True], low[1:] > high[:-1])))
+    first, end = low[begin], high[np.append(begin[1:], len(at)) - 1]
+    return b"".join((len(begin).to_bytes(4, "little"), np.stack([first, end - first], axis=1).astype("<u4").tobytes(), *(hashes[s:e].tobytes() for s, e in zip(first.tolist(), end.tolist(), strict=True))))
+
+
+def _around(at: np.ndarray, cuts: bytes) -> np.ndarray:
+    """One row for each paragraph: hashes of SPAN words before, its own, and SPAN words behind; -1 beyond the text."""
+    n = int.from_bytes(cuts[:4], "little")
+    part = np.frombuffer(cuts, "<u4", 2 * n, 4).reshape(-1, 2).astype(np.int64)
+    hashes = np.concatenate((np.frombuffer(cuts, "<u4", -1, 4 + 8 * n).astype(np.int64), [-1]))
+    own = np.searchsorted(part[:, 0], at, side="right") - 1
+    place = (at - part[own, 0])[:, None] + np.arange(-SPAN, WINDOW + SPAN)
+    outside = (place < 0) | (place >= part[own, 1][:, None])
+    return hashes[np.where(outside, len(hashes) - 1, place + (np.cumsum(part[:, 1]) - part[:, 1])[own][:, None])]
+
+
+def _shingled(near: np.ndarray) -> np.ndarray:
+    h = near[:, SPAN : SPAN + WINDOW].astype(_U)
+    total = np.zeros((len(h), SHINGLES), dtype=_U)
+    for k in range(WORDS):
+        total += h[:, k : k + SHINGLES] * tv._POSITION[k]
+    return tv.mix(total)
+
+
+def _reach(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words in a row that are equal before and behind each two paragraphs, SPAN at most: the next anchor they share is no further."""
+    same = (x == y) & (x >= 0)
+    return np.cumprod(same[:, SPAN - 1 :: -1], axis=1).sum(axis=1), np.cumprod(same[:, SPAN + WINDOW :], axis=1).sum(axis=1)
+
+
+def _run_together(both: np.ndarray, before: np.ndarray, behind: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Runs of paragraphs that follow each other on both sides at about the same distance, with the equal words around them."""
     if not len(both):
         return
-    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    order = np.lexsort((both[:, 1], both[:, 0]))
     runs: list[list[int]] = []
-    for p, q in both.tolist():
+    for (p, q), l, r in zip(both[order].tolist(), before[order].tolist(), behind[order].tolist(), strict=True):
         for run in reversed(runs[-8:]):
             if p <= run[1] + NEAR and run[2] <= q + NEAR and q <= run[3] + NEAR and abs((p - run[0]) - (q - run[2])) <= NEAR:
-                run[1], run[3] = max(run[1], p + WINDOW), max(run[3], q + WINDOW)
+                run[0], run[2] = min(run[0], p - l), min(run[2], q - l)
+                run[1], run[3] = max(run[1], p + WINDOW + r), max(run[3], q + WINDOW + r)
                 break
         else:
-            runs.append([p, p + WINDOW, q, q + WINDOW])
+            runs.append([p - l, p + WINDOW + r, q - l, q + WINDOW + r])
     yield from map(tuple, runs)
 
 
@@ -311,7 +367,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     spark = docs.sparkSession
     df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(size * KEYS / 50 / BUCKET_ENTRIES))
+    buckets = max(1, math.ceil(size * KEYS / 30 / BUCKET_ENTRIES))
     matched = stored(collide(index(df, buckets), max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))), "paragraphs")
     rows = matched.where("kind = 0 and a is not null").select(F.col("a").alias("doc_id"), F.col("b").alias("mark"), "n").distinct()
     marks = cut(rows.groupBy("mark").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("copies"), F.max("n").alias("n")))

@@ -147,6 +147,26 @@ def test_repeated_passages_are_found_and_other_texts_left(spark):
         assert len(covered & set(range(at, at + 70))) >= 40
 
 
+def test_shared_words_without_sentences_are_found_whole(spark):
+    rng = random.Random(12)
+
+    def plain(n: int) -> list[str]:
+        return [f"w{rng.randrange(50_000)}" for _ in range(n)]
+
+    rows, wanted = [], {}
+    for k in range(150):
+        passage = plain(40 + k % 30)
+        for d in (2 * k, 2 * k + 1):
+            before = plain(rng.randrange(1, 90))
+            rows.append((d, " ".join([*before, f"left{d}", *passage, f"right{d}", *plain(rng.randrange(1, 90))])))
+            wanted[d] = (len(before) + 1, len(before) + 1 + len(passage))
+    out = passages.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(wanted)
+    for r in out:  # a similar paragraph may have two other words at an edge
+        start, end = wanted[r["doc_id"]]
+        assert start - 2 <= r["start_word"] <= start and end <= r["end_word"] <= end + 2
+
+
 def test_paragraph_banding_reaches_its_recall():
     bands, rows = passages.tune()
     assert 1 - (1 - passages.SIMILAR**rows) ** bands >= passages.RECALL
