@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows a Python task gets at once; with 100 kB texts that is 50 MB.
-ARROW_ROWS = "512"
+#: What a Python task gets at once: rows, and bytes (with one row more, however long).
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints; a temporary one only where the session names none (tests)."""
+    """The cluster's folder for checkpoints; a temporary one only where a session on one machine names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="recollect-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -51,6 +55,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of a bounded number of rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """mapInArrow with batches of bounded size.
+
+    The bounds are settings of the session that hold when the plan runs, so they stay set; a smaller one is left alone.
+    """
+    for key, most in BATCHES.items():
+        now = df.sparkSession.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            df.sparkSession.conf.set(key, str(most))
     return df.mapInArrow(f, schema)
+
+
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
