@@ -8,8 +8,10 @@ Labels are learned from a bounded sample of rows that aren't held out. The sampl
 few parts that learn on their own; their weights are averaged per coordinate.
 
 A null text counts as empty and gets the model's bias; null ids are never in the held-out part nor
-in the sample; repeated rows each get their score; without labels every score is 0. Labels, language,
-source and id are never inputs of a score.
+in the sample; repeated rows each get their score; without labels every score is 0; an empty table gives
+an empty table. Whole texts are scored, however long, one CHUNK_BYTES of texts (or one text) at a time.
+Other columns, whatever their names, aren't read; ``clean`` passes them on. Labels, language, source and
+id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import cut, map_batches
+from .common import cut, map_batches, quoted
 
 BITS = 20
 #: Labelled rows learned from at most, rows of a part that learns on its own (about), and passes over each part.
@@ -80,8 +82,6 @@ class Ftrl:
     def learn(self, i: np.ndarray, label: float) -> None:
         w = self.weights(i)
         g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - label
-        if abs(g) < 1e-3:
-            return
         n = self.n[i]
         self.z[i] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
         self.n[i] = n + g * g
@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     if not known_rows:
         return np.append(np.zeros(1 << BITS, dtype=np.float32), np.float32(-np.inf))
     parts = max(1, round(known_rows / PART_ROWS))
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = docs.select(quoted(doc_id).alias("doc_id"), F.coalesce(quoted(text), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.shiftright("at", 7), F.lit(parts)))  # at most ``sample`` rows are broadcast
     learned = rows.groupBy("part").applyInPandas(_learner, "bucket long, weight double")
     averaged = learned.groupBy("bucket").agg((F.sum("weight") / parts).alias("weight")).toPandas()
@@ -124,35 +124,39 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     return out
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of every document and ``score``, 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        w, out = shared.value, []
-        for _, _, data, start in tv.chunks(pa.array(texts, pa.string())):
-            bucket, doc = hashed(tv.Words(data, start))
-            some = np.flatnonzero(w[bucket])
-            bucket, doc = bucket[some], doc[some]
-            once = np.unique(bucket + (doc << (BITS + 1)))
-            total = np.bincount(once >> (BITS + 1), weights=w[once & ((1 << (BITS + 1)) - 1)], minlength=len(start) - 1)
-            out.append(1.0 / (1.0 + np.exp(-np.clip(total + w[-1], -35, 35))))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
-
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return docs.select(*keep, scored(text).alias("score"))
+def scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """The score of each text, 0 to 1."""
+    out = [np.zeros(0)]
+    for _, _, data, start in tv.chunks(texts):
+        bucket, doc = hashed(tv.Words(data, start))
+        some = np.flatnonzero(weights[bucket])
+        bucket, doc = bucket[some], doc[some]
+        once = np.unique(bucket + (doc << (BITS + 1)))
+        total = np.bincount(once >> (BITS + 1), weights=weights[once & ((1 << (BITS + 1)) - 1)], minlength=len(start) - 1)
+        out.append(1.0 / (1.0 + np.exp(-np.clip(total + weights[-1], -35, 35))))
+    return np.concatenate(out)
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``score`` and ``predicted``."""
-    scored = score(docs, train(docs, labels, doc_id=doc_id, text=text), [doc_id], text)
-    return scored.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, doc_id=doc_id, text=text))
+    df = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), shared.value))], ["doc_id", "score"])
+
+    scored = map_batches(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that aren't called toxic, with all their columns."""
-    weights = train(docs, labels, doc_id=doc_id, text=text)
-    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
-    scored = score(rows.withColumn("text", F.col("row")[text]), weights, ["row"], "text")
-    return scored.where(F.col("score") < THRESHOLD).select("row.*")
+    """The documents that aren't called toxic, with all their columns; whole rows pass through the Python task in small batches."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, doc_id=doc_id, text=text))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at), shared.value) < THRESHOLD))
+
+    return map_batches(docs, run, docs.schema)
