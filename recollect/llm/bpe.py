@@ -12,6 +12,7 @@ its outer tokens pass that test.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ HEAP_BYTES = 256
 #: A match that ends this far before a boundary doesn't depend on what follows it.
 LOOKAHEAD = 3
 #: Encodings of matches that a Python worker remembers, twice at most, and the longest match it remembers.
-MEMORY, MEMORY_CHARS = 500_000, 32
+MEMORY, MEMORY_CHARS = 200_000, 32
 #: Bytes of text encoded between two outputs.
 OUTPUT_BYTES = 4 << 20
 
@@ -216,10 +217,18 @@ class Decoder:
         return self.letters[np.arange(to[-1] if len(to) else 0) + np.repeat(self.start[i] - (to - size), size)].tobytes()
 
 
-_ready: dict[int, tuple[Encoder, Decoder]] = {}
+_ready: dict[bytes, tuple[Encoder, Decoder]] = {}
 
 
-def _codec(key: int, ranks: dict[bytes, int], pattern: str) -> tuple[Encoder, Decoder]:
+def _digest(ranks: dict[bytes, int], pattern: str) -> bytes:
+    """Tells any two vocabularies or patterns apart."""
+    all_ = hashlib.sha256(pattern.encode())
+    for token, rank in sorted(ranks.items()):
+        all_.update(b"%d %d " % (len(token), rank) + token)
+    return all_.digest()
+
+
+def _codec(key: bytes, ranks: dict[bytes, int], pattern: str) -> tuple[Encoder, Decoder]:
     """A Python worker keeps one codec, with what it remembers, from task to task."""
     if key not in _ready:
         _ready.clear()
@@ -230,13 +239,14 @@ def _codec(key: int, ranks: dict[bytes, int], pattern: str) -> tuple[Encoder, De
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``ids`` (binary, 4 bytes an id, little-endian) and ``decoded`` (binary).
 
-    A null text counts as empty; null or repeated ids are passed on as they are; other columns aren't read.
+    A null text counts as empty; null or repeated ids are passed on as they are; an empty table gives an empty
+    table; other columns, whatever their names, aren't read.
     The vocabulary is broadcast: its size is that of the file, whatever the data. A task holds its memory of
     matches and a few MB of texts, or one text if that is longer.
     """
     df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    key = hash((pattern, *sorted(ranks.items())[:64], len(ranks)))
+    key = _digest(ranks, pattern)
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
