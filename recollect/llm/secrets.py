@@ -4,22 +4,31 @@ Main path: built-in functions only. A candidate is a maximal run of at least 20
 digits and letters among them, however long, also right behind a '=' (NAME=value). Its encoding is the
 smallest alphabet that holds its characters (hex, base32 or base36 of either case, base64). Three tests ask whether it could be
 drawn uniformly from that alphabet: chi-squared on the letter counts, a runs test about the middle
-of the alphabet, and lag-1 serial correlation. Fisher's method joins their p-values. Uniformity is
-rejected by Benjamini-Hochberg, separately for each band of lengths, since the tests' power grows
-with length; what isn't rejected is reported as random, hence secret.
-
-A null text counts as empty; null or repeated ids are passed on; other columns aren't read.
+of the alphabet, and lag-1 serial correlation; Fisher's method joins their p-values, and a candidate
+below UNIFORM isn't random.
+
+What is controlled is the share of false reports. The null hypothesis is an ordinary run: words
+strung together, as in identifiers and paths. Its letters' information (how unlikely they are one
+after the other) is modelled on all words of the corpus; the p-value of a candidate is the probability
+that an ordinary run with as many letters carries that much, by a gamma distribution of the same mean
+and variance. It counts as 1 where the battery says that the candidate isn't random. Benjamini-Hochberg,
+separately for each band of lengths, since the power grows with length, says which are reported.
+
+A null text counts as empty; null or repeated ids are passed on; equal p-values are reported together or
+not at all; an empty table gives an empty table; texts are scanned whole, however long; other columns,
+whatever their names, aren't read. ``redact`` passes them on and leaves a null text null.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import cut
+from .common import cut, quoted
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -39,6 +48,24 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 FDR = 0.05
+#: Candidates that the battery finds less likely than this, were they random, aren't.
+UNIFORM = 1e-4
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Words of a corpus: runs of small letters, the first one perhaps a capital.
+WORD = "[A-Za-z][a-z]{2,}"
+#: Words that every corpus is taken to have, each FAMILIAR_TIMES, so that the model is sensible where there is little text.
+FAMILIAR = """
+about account action after again alert also api array before begin block build button cache call case change check child class client
+close code color column common config content context control count create current customer data date default delete device direct
+document does each edit email entry error event every factory field file filter final find first folder form from function general
+global group handle have header height image index input instance into item just key label language last layout left length level
+like limit line list load local login main make manager many message method model module more most name never next node number object
+only open option order other output over page parent parse path people place point position private process product project public
+query read record release remove report request response result return right root route same second select server service session
+should show simple size some source start state status string style submit table target task test text that their then there these
+this time title total type under update upload user value version view when where which window with word work would write
+"""
+FAMILIAR_TIMES, SMOOTHING = 10, 0.5
 #: Lower ends of the bands of lengths, and how finely p-values are counted: bins for each factor of ten, down to 1e-30.
 BANDS, PER_DECADE, DECADES = (20, 24, 32, 48, 64, 128), 10, 30
 
@@ -106,11 +133,58 @@ def p_value(c: Column) -> Column:
     return chi_squared_tail(joint, F.lit(6.0))
 
 
-def tested(spans: Column) -> Column:
-    """Encoding and joint p-value of uniformity of candidate spans; step by step, so that none is taken again for each character."""
+class Ordinary:
+    """Information (nats) of the letters of ordinary words, one after the other: a small table, its mean and its variance.
+
+    A letter is the first of a word (after what is no letter, or a capital) or follows another one.
+    """
+
+    def __init__(self, counts: dict[str, int]):
+        first, after = [SMOOTHING] * 26, [[SMOOTHING] * 26 for _ in LOWER]
+        at = {c: i for i, c in enumerate(LOWER)}
+        familiar: dict[str, int] = {}
+        for word in FAMILIAR.split():
+            for pair in (" " + word[0], *(word[i : i + 2] for i in range(len(word) - 1))):
+                familiar[pair] = familiar.get(pair, 0) + FAMILIAR_TIMES
+        for source in (familiar, counts):
+            for pair, n in source.items():
+                row = first if pair[0] == " " else after[at[pair[0]]]
+                row[at[pair[1]]] += n
+        begins = sum(first) / (sum(first) + sum(map(sum, after)))
+        cells = [(n, -math.log((1 - begins) * n / sum(row))) for row in after for n in row] + [(n, -math.log(begins * n / sum(first))) for n in first]
+        total = sum(n for n, _ in cells)
+        self.table = [x for _, x in cells]
+        self.mean = sum(n * x for n, x in cells) / total
+        self.variance = sum(n * (x - self.mean) ** 2 for n, x in cells) / total
+
+    def p_value(self, c: Column) -> Column:
+        """How likely an ordinary run with as many letters carries as much information as the candidate or more."""
+        run = F.when(c["match"].rlike("[a-z]"), c["match"]).otherwise(F.lower(c["match"]))
+        codes = F.transform(F.filter(F.split(run, ""), lambda x: x != ""), F.ascii)
+        letter = lambda x: x.between(97, 122) | x.between(65, 90)
+        number = lambda x: F.when(x >= 97, x - 97).otherwise(x - 65)
+        pairs = F.zip_with(F.concat(F.array(F.lit(0)), F.slice(codes, F.lit(1), F.size(codes) - 1)), codes, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        table = F.array(*(F.lit(x) for x in self.table))
+        cell = lambda z: F.when(letter(z["a"]) & (z["b"] >= 97), number(z["a"])).otherwise(26) * 26 + number(z["b"]) + 1
+        each = F.transform(F.filter(pairs, lambda z: letter(z["b"])), lambda z: F.element_at(table, cell(z).cast("int")))
+        n, carried = F.size(each).cast("double"), F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x)
+        return F.when(n == 0, 1.0).otherwise(chi_squared_tail(carried * (2 * self.mean / self.variance), n * (2 * self.mean**2 / self.variance)))
+
+
+def ordinary(docs: DataFrame, text: str = "text") -> Ordinary:
+    """The model of all words of the corpus. Words are counted before letters are; 702 counts at most reach the driver."""
+    words = docs.select(F.explode(S.matches(F.coalesce(quoted(text), F.lit("")), WORD)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    spelled = words.select(F.concat(F.lit(" "), F.lower("word")).alias("word"), "n")
+    pairs = spelled.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("pair"), "n")
+    return Ordinary({r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()})
+
+
+def tested(spans: Column, model: Ordinary) -> Column:
+    """Encoding and p-values of candidate spans (``uniform`` of the battery, ``p`` for the control); step by step, so that none is taken again for each character."""
     for step in (encoded, named, coded, counted):
         spans = F.transform(spans, step)
-    return F.transform(spans, lambda c: F.struct(*(c[x].alias(x) for x in ("start", "end", "match", "encoding")), p_value(c).alias("p")))
+    spans = F.transform(spans, lambda c: F.struct(*(c[x].alias(x) for x in ("start", "end", "match", "encoding")), p_value(c).alias("uniform"), model.p_value(c).alias("ordinary")))
+    return F.transform(spans, lambda c: F.struct(*(c[x].alias(x) for x in ("start", "end", "match", "encoding", "uniform")), F.when(c["uniform"] >= UNIFORM, c["ordinary"]).otherwise(1.0).alias("p")))
 
 
 def band(n: Column) -> Column:
@@ -130,10 +204,10 @@ def long_assignments(spans: Column, values: Column) -> Column:
     return F.transform(F.filter(F.zip_with(spans, values, lambda s, v: F.struct(s.alias("s"), v.alias("v"))), lambda x: F.length(x["v"]) >= ASSIGN_MIN), lambda x: x["s"])
 
 
-def located(docs: DataFrame, text: str, keep: list[str], with_text: bool = False) -> DataFrame:
-    """Base spans and tested candidates of each document, with the columns ``keep`` as one struct ``row``."""
-    df = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kept = ["row", "text"] if with_text else ["row"]
+def located(docs: DataFrame, text: str, keep: list[str], model: Ordinary, with_text: bool = False) -> DataFrame:
+    """Base spans and tested candidates of each document, with the columns ``keep`` as one struct ``row``, and the text if it's asked for (``absent`` where it was null)."""
+    df = docs.select(F.struct(*(quoted(c) for c in keep)).alias("row") if keep else F.lit(None).alias("row"), F.coalesce(quoted(text), F.lit("")).alias("text"), quoted(text).isNull().alias("absent"))
+    kept = ["row", "text", "absent"] if with_text else ["row"]
     t, none = F.col("text"), F.array().cast("array<string>")
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": CANDIDATE}
     assigned = F.when((F.instr("text", ":") > 0) | (F.instr("text", "=") > 0), S.matches(t, ASSIGN)).otherwise(none)
@@ -144,12 +218,12 @@ def located(docs: DataFrame, text: str, keep: list[str], with_text: bool = False
     return df.select(
         *kept,
         S.ordered([S.kinded(long_assignments(at["assign"], F.col("values")), "assign", 0), S.kinded(at["access"], "access", 1), S.kinded(at["hex"], "hex", 2)]).alias("base"),
-        tested(mixed).alias("tried"),
+        tested(mixed, model).alias("tried"),
     )
 
 
 def thresholds(tried: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """Benjamini-Hochberg over counts of p-values: for each band of lengths the last bin whose candidates are rejected.
+    """Benjamini-Hochberg over counts of p-values: for each band of lengths the last bin that is reported.
 
     At most ``len(BANDS)`` rows reach the driver.
     """
@@ -160,27 +234,27 @@ def thresholds(tried: DataFrame, fdr: float = FDR) -> dict[int, int]:
     return {r["band"]: r["bin"] for r in passing.groupBy("band").agg(F.max("bin").alias("bin")).collect()}
 
 
-def random_enough(cutoffs: dict[int, int]) -> Callable[[Column], Column]:
+def reported(cutoffs: dict[int, int]) -> Callable[[Column], Column]:
+    none = -PER_DECADE * DECADES - 1
+
     def test(c: Column) -> Column:
-        if not cutoffs:
-            return F.lit(True)
-        cutoff = F.element_at(F.create_map(*(F.lit(x) for b in BANDS for x in (b, cutoffs.get(b, -PER_DECADE * DECADES - 1)))), band(c["end"] - c["start"]))
-        return p_bin(c["p"]) > cutoff
+        cutoff = F.element_at(F.create_map(*(F.lit(x) for b in BANDS for x in (b, cutoffs.get(b, none)))), band(c["end"] - c["start"]))
+        return p_bin(c["p"]) <= cutoff
 
     return test
 
 
-def with_secrets(found: DataFrame, cutoffs: dict[int, int]) -> Column:
+def with_secrets(cutoffs: dict[int, int]) -> Column:
     """The base spans and the random strings that no base span covers exactly."""
-    secret = random_enough(cutoffs)
+    secret = reported(cutoffs)
     kept = F.filter("tried", lambda c: secret(c) & ~F.exists("base", lambda b: (b["start"] == c["start"]) & (b["end"] == c["end"])))
     return F.when(F.size("tried") > 0, S.ordered([F.col("base"), S.kinded(kept, "random", len(BASE))])).otherwise(F.col("base"))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fdr: float = FDR) -> DataFrame:
     """One row per document: ``doc_id``, ``base`` spans, and ``spans`` with the random strings."""
-    found = cut(located(docs, text, [doc_id]))
-    return found.select(F.col("row")[doc_id].alias("doc_id"), "base", with_secrets(found, thresholds(found, fdr)).alias("spans"))
+    found = cut(located(docs, text, [doc_id], ordinary(docs, text)))
+    return found.select(F.col("row")[doc_id].alias("doc_id"), "base", with_secrets(thresholds(found, fdr)).alias("spans"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -192,16 +266,10 @@ def report(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", fdr: float = FDR) -> DataFrame:
     """``docs`` with every secret in the text replaced by a mark; all other columns and rows stay, a null text stays null.
 
-    The texts are read twice (for the thresholds, then for the replacement) rather than shuffled or stored.
+    The texts are read three times (for the model, the thresholds, then the replacement) rather than shuffled or stored.
     """
-    cutoffs = thresholds(located(docs, text, []), fdr)
-    found = located(docs, text, docs.columns, with_text=True)
-    found = found.select("row", "text", with_secrets(found, cutoffs).alias("spans"))
-
-    def step(acc: Column, s: Column) -> Column:
-        ahead = s["start"] >= acc["at"]
-        before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(ahead, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.select(*(F.when(F.size("spans") > 0, done).otherwise(F.col("row")[c]).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
+    model = ordinary(docs, text)
+    cutoffs = thresholds(located(docs, text, [], model), fdr)
+    found = located(docs, text, [c for c in docs.columns if c != text], model, with_text=True).select("row", "text", "absent", with_secrets(cutoffs).alias("spans"))
+    done = F.when(F.size("spans") > 0, S.replaced(F.col("text"), F.col("spans"), mark)).when(~F.col("absent"), F.col("text"))
+    return found.select(*(done.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))

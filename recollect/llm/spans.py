@@ -44,6 +44,20 @@ def located(found: Column, gap: Column) -> Column:
     return F.when(F.size(found) > 0, F.flatten(F.zip_with(blocks, based, lambda b, base: F.aggregate(b, F.struct(base.alias("at"), empty.alias("out")), step)["out"]))).otherwise(empty)
 
 
+def replaced(text: Column, spans: Column, mark: str) -> Column:
+    """The text with a mark in place of each span, or of spans that overlap; taken in blocks, as ``located`` is."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), lambda b: F.slice(spans, (b * BLOCK + 1).cast("int"), F.lit(BLOCK)))
+    upto = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda s: s["end"])))
+    based = F.aggregate(upto, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), x))))
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before).alias("out"))
+
+    pieces = F.zip_with(blocks, F.slice(based, F.lit(1), F.size(blocks)), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), F.lit("").alias("out")), step)["out"])
+    return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(based, -1) + 1, F.length(text)))
+
+
 def kinded(spans: Column, kind: str, number: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("kind_no"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["match"].alias("match")))
 
