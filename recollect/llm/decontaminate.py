@@ -9,10 +9,17 @@ items at or above the threshold are retrieved, not only the best. What is retrie
 five-word shingles: either shares of the item's question and of its answer (the last sentences, LEAST_ANSWER
 words or more) stand in the text, or a share of all the item's shingles does, wherever they are.
 
-The index is broadcast. Items are dealt into passes of at most ITEMS, so it stays bounded however many
-items there are. Null texts have no words; items without words are never found; null or repeated
-document ids are passed on; items that occur more than once count once; an empty table gives an empty
-table.
+Statistics are those of all items, so an item's score doesn't depend on how items are dealt. Items of
+like length (classes of a factor of two) form an index of their own, whose windows are as wide as the
+longest of its class, so that one long item doesn't widen the windows of the others. Indexes are
+broadcast; those of one reading of the documents hold INDEX_BYTES of text at most (or one item), and
+with more items the documents are read again.
+
+Shingles are looked for in the whole text, not only in the passage retrieved. Null texts have no words;
+items without words are never found; null or repeated document ids are passed on; items that occur more
+than once count once; items with the same score or at a threshold are all returned; an empty table gives
+an empty table; texts of any length are taken whole, window by window; columns are those named, whatever
+the names of others (``clean`` passes all on).
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import map_batches
+from .common import cut, map_batches, quoted
 
 K1, B = 1.2, 0.75
 #: The share of an item's own score that a passage must reach; items of a block; words of half a window at least.
@@ -35,8 +42,8 @@ SHARE, BLOCK, HALF = 0.4, 16, 64
 QUESTION, ANSWER, WORDS = 0.5, 0.5, 5
 #: The share of all an item's shingles that is enough by itself; words of an answer at least, where the item has twice as many.
 WHOLE, LEAST_ANSWER = 0.5, 8
-#: Items of one pass, and upper bounds or postings expanded at once.
-ITEMS, EXPANDED = 20_000, 4_000_000
+#: Bytes of the items of one reading, and upper bounds or postings expanded at once.
+INDEX_BYTES, EXPANDED = 8 << 20, 2_000_000
 _SLOTS = 20
 
 #: Bytes that aren't part of a word: ASCII other than letters and digits.
@@ -58,21 +65,22 @@ def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Index:
     """Inverted index of test items with upper bounds by term and by block, and the shingles of each item."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], half: int, often: dict[int, int], n_all: int, mean_length: float):
+        """``half``: half a window's words, as many as the longest item has; of all items: in how many a term occurs, their number and mean length."""
         words = _words(texts)
         length = np.diff(words.first)
         keep = np.flatnonzero(length > 0)
         self.ids = [ids[i] for i in keep]
-        self.half = max(HALF, int(length.max(initial=0)))
+        self.half = half
         n = len(keep)
         number = np.full(len(texts), -1)
         number[keep] = np.arange(n)
         self.terms, term = np.unique(words.hash, return_inverse=True)
         both, count = np.unique(term * max(n, 1) + number[words.doc], return_counts=True)
         term, item = both // max(n, 1), both % max(n, 1)
-        often = np.bincount(term, minlength=len(self.terms))
-        size = length[keep] / max(float(length[keep].mean()) if n else 1.0, 1e-9)
-        impact = np.log1p((n - often[term] + 0.5) / (often[term] + 0.5)) * count * (K1 + 1) / (count + K1 * (1 - B + B * size[item]))
+        within = np.array([often[t] for t in self.terms.tolist()], dtype=float)
+        size = length[keep] / max(mean_length, 1e-9)
+        impact = np.log1p((n_all - within[term] + 0.5) / (within[term] + 0.5)) * count * (K1 + 1) / (count + K1 * (1 - B + B * size[item]))
         own = np.bincount(item, weights=impact, minlength=n)
         self.weight = impact / (SHARE * own[item])
         self.item = item
@@ -180,50 +188,86 @@ def _shingles(h: np.ndarray) -> np.ndarray:
     return tv.mix(total + np.uint64(size))
 
 
-def _passes(items: DataFrame, item_id: str, text: str) -> Iterator[Index]:
-    """Indexes of at most about ITEMS items each; one at a time reaches the driver."""
-    rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).alias("id"), F.col(text).alias("text")).distinct()
-    passes = -(-rows.count() // ITEMS)
-    for k in range(passes):
-        own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k).orderBy("id", "text").collect()
-        yield Index([r["id"] for r in own], [r["text"] for r in own])
+def _half(n: int) -> int:
+    """Half a window's words for an item of n words: the upper end of its class of lengths."""
+    return max(HALF, 1 << max(n - 1, 0).bit_length())
+
+
+def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", most: int = INDEX_BYTES) -> Iterator[list[Index]]:
+    """The indexes of each reading of the documents; those of one reading at a time reach the driver, and the statistics of their terms."""
+    rows = items.where(quoted(text).isNotNull()).select(quoted(item_id).alias("id"), quoted(text).alias("text")).distinct()
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, start in tv.chunks(batch.column(1)):
+                words = tv.Words(data, start, is_space=_APART)
+                length = np.diff(words.first)
+                own = [np.unique(words.hash[a:b]).view(np.int64) for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(length), pa.array([_half(n) for n in length.tolist()]), pa.array(own, pa.list_(pa.int64()))], ["id", "text", "n", "half", "terms"])
+
+    known = cut(map_batches(rows, run, f"id {kind}, text string, n long, half long, terms array<long>").where("n > 0"))
+    classes = known.groupBy("half").agg(F.count("*").alias("n"), F.sum("n").alias("words"), F.sum(F.octet_length("text")).alias("bytes")).orderBy("half").collect()
+    n_all, mean = sum(r["n"] for r in classes), sum(r["words"] for r in classes) / max(1, sum(r["n"] for r in classes))
+    often = known.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("often"))
+    readings: list[list[tuple[int, int, int]]] = []
+    room = 0
+    for r in classes:
+        parts = -(-r["bytes"] // most)
+        for k in range(parts):
+            if r["bytes"] // parts > room or not readings:
+                readings.append([])
+                room = most
+            room -= r["bytes"] // parts
+            readings[-1].append((r["half"], k, parts))
+    for reading in readings:
+        out = []
+        for half, k, parts in reading:
+            part = known.where((F.col("half") == half) & (F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k))
+            own = part.select("id", "text").orderBy("id", "text").collect()
+            terms = part.select(F.explode("terms").alias("term")).distinct().join(often, "term").collect()
+            out.append(Index([r["id"] for r in own], [r["text"] for r in own], half, {r["term"] % (1 << 64): r["often"] for r in terms}, n_all, mean))
+        yield out
 
 
-def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = INDEX_BYTES) -> DataFrame:
     """One row per document and test item that it holds: ids, ``score`` (share of the item's own BM25), overlaps."""
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    df = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
     names, kinds = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"], [df.schema["doc_id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString(), "double", "double", "double"]
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
-    out = df.sparkSession.createDataFrame([], schema)
-    for index in _passes(items, item_id, item_text):
-        shared = df.sparkSession.sparkContext.broadcast(index)
+    out = None
+    for reading in indexes(items, item_id, item_text, most):
+        shared = df.sparkSession.sparkContext.broadcast(reading)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            item_type = pa.array(index.ids).type
             for batch in batches:
                 for i, j, data, start in tv.chunks(batch.column(1)):
-                    rows = list(index.verified(tv.Words(data, start, is_space=_APART)))
-                    if rows:
-                        doc, item, *rest = zip(*rows, strict=True)
-                        yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(doc)), pa.array([index.ids[k] for k in item], item_type), *(pa.array(x, pa.float64()) for x in rest)], names)
+                    words = tv.Words(data, start, is_space=_APART)
+                    for index in shared.value:
+                        rows = list(index.verified(words))
+                        if rows:
+                            doc, item, *rest = zip(*rows, strict=True)
+                            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(doc)), pa.array([index.ids[k] for k in item], pa.array(index.ids).type), *(pa.array(x, pa.float64()) for x in rest)], names)
 
-        out = out.union(map_batches(df, run, schema))
-    return out
+        part = map_batches(df, run, schema)
+        out = part if out is None else out.union(part)
+    return df.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = INDEX_BYTES) -> DataFrame:
     """The documents that hold no test item, with all their columns."""
-    for index in _passes(items, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        at = docs.columns.index(text)
+    at = docs.columns.index(text)
+    for reading in indexes(items, item_id, item_text, most):
+        shared = docs.sparkSession.sparkContext.broadcast(reading)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 for i, _, data, start in tv.chunks(batch.column(at)):
-                    for doc, *_ in shared.value.verified(tv.Words(data, start, is_space=_APART)):
-                        keep[i + doc] = False
+                    words = tv.Words(data, start, is_space=_APART)
+                    for index in shared.value:
+                        for doc, *_ in index.verified(words):
+                            keep[i + doc] = False
                 yield batch.filter(pa.array(keep))
 
         docs = map_batches(docs, run, docs.schema)
