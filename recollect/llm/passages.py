@@ -2,18 +2,22 @@
 
 A paragraph here is a window of WINDOW words that begins at an anchor: a sentence's first word, or the
 place of the smallest shingle hash among SPAN in a row, so that every stretch of SPAN + WINDOW - 1 words
-that two texts share has a paragraph in common. Each has BANDS
-keys of ROWS minima over its shingles, tuned by ``tune`` to find similar paragraphs with high
-probability, and a key of all its shingles, by which equal ones always meet. Keys are packed by bucket
-for the shuffle. In a bucket, all paragraphs with a key are compared with one of them, if it stands in
-another text; the Jaccard similarity of their shingles is then computed from both paragraphs. Verified paragraphs that follow each other form runs; runs that overlap
-on the compared side, directly or through another text, form a component, of which the run in the
-smallest document is kept.
-
-Equal texts are one node until the result, where each copy gets its runs. Shingles have five words and
-are compared by 32-bit hashes within one comparison. Null and empty texts have no paragraphs, texts
-shorter than WINDOW words neither; rows without an id take no part; repeated rows count once; an empty
-table gives an empty table; other columns aren't read.
+that two texts share has a paragraph in common. Each has BANDS keys of ROWS minima over its shingles, tuned
+by ``tune`` to find similar paragraphs with high probability, and a key of all its shingles, its content,
+by which equal ones always meet. Keys are packed by bucket for the shuffle. In a bucket, paragraphs of one
+content give a star; different contents under a band's key are all compared, a paragraph standing for
+each. A key with more than CROWD contents (a frequent phrase) isn't: its paragraphs are joined by the
+prefix filter over their rarest shingles, which finds all similar pairs among them. The Jaccard similarity
+of the shingles is then computed from both paragraphs. Verified paragraphs that follow each other form
+runs, extended word by word; runs of ``least`` words that overlap on the compared side, directly or through
+another text, form a component, of which the run in the smallest document is kept.
+
+Passages that a text repeats within itself aren't sought: only what stands in different texts. Equal texts
+are one node until the result, where each copy gets its runs. Shingles have five words and
+are compared by 32-bit hashes within one comparison; a similarity of just SIMILAR counts. Null and empty
+texts have no paragraphs, texts shorter than WINDOW words neither; texts of any length are taken whole;
+rows without an id take no part; repeated rows count once; an empty
+table gives an empty table; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -27,18 +31,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import cut, map_batches, stored
+from .common import cut, map_batches, quoted, stored
 from .components import components
 
 WORDS, WINDOW, SIMILAR = 5, 24, 0.75
 SHINGLES = WINDOW - WORDS + 1
+#: Words of a passage that is reported at least, where nothing else is asked for.
+LEAST = WINDOW
 #: Places in a row of which one is an anchor; the step between anchors where one word is repeated.
 SPAN, GAP = 16, 8
 #: The least probability that a pair of similar paragraphs collides, and keys of a paragraph at most.
-RECALL, MOST_BANDS = 0.98, 4
-BATCH_ENTRIES, BUCKET_ENTRIES = 1_000_000, 2_000_000
+RECALL, MOST_BANDS = 0.98, 6
+#: Contents under a key that are all compared; with more, the prefix filter finds the similar ones.
+CROWD = 12
+#: Entries of a batch, and of a bucket (about); partitions that buckets are dealt to at most (a task takes one bucket after the other).
+BATCH_ENTRIES, BUCKET_ENTRIES, MOST_PARTITIONS = 600_000, 1_000_000, 20_000
 #: Partners of a text that are verified in one group.
 PARTNERS = 64
+#: Parts that the rows of a component are dealt to.
+SALTS = 32
 #: Paragraphs that follow each other within so many words, on both sides, belong to one run.
 NEAR = 16
 _U = np.uint64
@@ -110,7 +121,7 @@ def anchors(words: tv.Words, shingle: np.ndarray) -> np.ndarray:
 
 
 def keys(shingle: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """KEYS of each paragraph, one row each: those of the bands, then one of all its shingles."""
+    """KEYS of each paragraph, one row each: those of the bands, then one of all its shingles, the content."""
     minima = []
     for factor in _PERMUTE:
         x = tv.mix(shingle * factor)
@@ -140,7 +151,8 @@ def text_mark(words: tv.Words) -> np.ndarray:
     return tv.mix(total[words.first[1:]] - total[words.first[:-1]] + np.diff(words.first).astype(_U)).view(np.int64)
 
 
-#: kind 0: a document (a: id, b: mark, n: words); 3: packed keys of a bucket; 1: paragraphs of mark a like ones of mark b.
+#: kind 0: a document (a: id, b: mark, n: words); 3: packed keys of a bucket; 1: paragraphs of mark a like ones of mark b;
+#: 2: a paragraph under a crowded key (a: mark, b: key, n: first word).
 ROW = "kind int, bucket long, a long, b long, n long, payload binary"
 _NAMES = [f.split()[0] for f in ROW.split(", ")]
 
@@ -160,16 +172,17 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
         if not keyed:
             return
         mark, place, key = np.concatenate(marks), np.concatenate(places), np.concatenate(keyed)
+        content = np.repeat((key[:, -1] >> _U(20)).astype("<u4"), KEYS)
         mark, place, key = np.repeat(mark, KEYS), np.repeat(place, KEYS), key.ravel()
         bucket = ((key >> _U(40)) % _U(buckets)).astype(np.int64)
         order = np.lexsort((mark, bucket))
-        mark, place, key, bucket = mark[order], place[order], key[order] & _LOW, bucket[order]
+        mark, place, key, bucket, content = mark[order], place[order], key[order] & _LOW, bucket[order], content[order]
         start, size = _starts(bucket)
         payload = []
         for s, n in zip(start.tolist(), size.tolist(), strict=True):
             m, p, k = mark[s : s + n], place[s : s + n], key[s : s + n]
             at, count = _starts(m)
-            payload.append(b"".join((len(at).to_bytes(4, "little"), m[at].astype("<i8").tobytes(), count.astype("<u4").tobytes(), p.astype("<u4").tobytes(), (k & _U(0xFFFFFFFF)).astype("<u4").tobytes(), (k >> _U(32)).astype(np.uint8).tobytes())))
+            payload.append(b"".join((len(at).to_bytes(4, "little"), m[at].astype("<i8").tobytes(), count.astype("<u4").tobytes(), p.astype("<u4").tobytes(), (k & _U(0xFFFFFFFF)).astype("<u4").tobytes(), (k >> _U(32)).astype(np.uint8).tobytes(), content[s : s + n].tobytes())))
         yield _rows(3, len(start), bucket[start], payload=payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,23 +213,47 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
     return map_batches(docs, run, ROW)
 
 
-def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _unpack(payload: bytes) -> Entries:
+    """Mark, first word, key and content of each entry."""
     k = int.from_bytes(payload[:4], "little")
     mark, count = np.frombuffer(payload, "<i8", k, 4), np.frombuffer(payload, "<u4", k, 4 + 8 * k)
     n, at = int(count.sum()), 4 + 12 * k
     low, high = np.frombuffer(payload, "<u4", n, at + 4 * n), np.frombuffer(payload, np.uint8, n, at + 8 * n)
-    return np.repeat(mark, count), np.frombuffer(payload, "<u4", n, at), low.astype(_U) | (high.astype(_U) << _U(32))
-
-
-def _collide(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Each paragraph with a key, and the first one with it; packed by the two texts."""
-    mark, place, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((place, mark, key))
-    mark, place, key = mark[order], place[order].astype(np.int64), key[order]
-    start, size = _starts(key)
-    first = np.repeat(start, size)
-    other = mark != mark[first]
-    a, p, b, q = mark[other], place[other], mark[first][other], place[first][other]
+    return np.repeat(mark, count), np.frombuffer(payload, "<u4", n, at), low.astype(_U) | (high.astype(_U) << _U(32)), np.frombuffer(payload, "<u4", n, at + 9 * n)
+
+
+def _collide(parts: list[Entries], bucket: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of paragraphs with a key, packed by the two texts: each with the first of its content, and those first ones, if they aren't a crowd."""
+    mark, place, key, content = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((place, mark, content, key))
+    mark, place, key, content = mark[order], place[order].astype(np.int64), key[order], content[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    left, right = [np.flatnonzero(~new)], [first[~new]]
+    heads = np.flatnonzero(new)
+    start, size = _starts(key[heads])
+    many = np.repeat(size, size)
+    few = heads[many <= CROWD]
+    for gap in range(1, CROWD):
+        together = key[few[gap:]] == key[few[:-gap]]
+        left.append(few[gap:][together])
+        right.append(few[:-gap][together])
+    crowd = heads[many > CROWD]
+    if len(crowd):
+        yield _rows(2, len(crowd), mark[crowd] & 0xFFFF, a=mark[crowd], b=(key[crowd] | _U(bucket << 40)).view(np.int64), n=place[crowd])
+    x, y = np.concatenate(left), np.concatenate(right)
+    swap = mark[x] < mark[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    yield from _packed(mark[x], place[x], mark[y], place[y])
+
+
+def _packed(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Paragraphs p of texts a like paragraphs q of other texts b, a row for each two texts."""
+    other = a != b
+    a, p, b, q = a[other], p[other], b[other], q[other]
     order = np.lexsort((q, p, b, a))
     a, p, b, q = a[order], p[order], b[order], q[order]
     if not len(a):
@@ -238,20 +275,52 @@ def collide(indexed: DataFrame, partitions: int) -> DataFrame:
             rows = rows.filter(pa.array(packed))
             for bucket, payload in zip(rows.column(1).to_pylist(), rows.column(5).to_pylist(), strict=True):
                 if bucket != now and parts:
-                    yield from _collide(parts)
+                    yield from _collide(parts, now)
                     parts = []
                 now = bucket
                 parts.append(_unpack(payload))
         if parts:
-            yield from _collide(parts)
+            yield from _collide(parts, now)
 
     return map_batches(indexed.repartition(partitions, "bucket").sortWithinPartitions("kind", "bucket"), run, ROW)
 
 
-def verify(docs: DataFrame, pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Runs ``(a, start, end, b, from, to)`` (words) of verified paragraphs, from ``pairs(a, b, payload)`` of marks."""
-    part = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("b")) / PARTNERS)))
-    dealt = stored(pairs.groupBy("a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list("payload")), F.hex), "").alias("h")).select("a", "b", F.unhex("h").alias("payload")).withColumn("part", part), "passages")
+def _crowded(docs: DataFrame, crowd: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs ``(a, b, payload)`` of paragraphs under a crowded key, from ``crowd(key, mark, place)``: the prefix filter over their shingles.
+
+    Similar sets share one of the shingles that are left over beyond what they must share; rare ones come first.
+    """
+    wanted = crowd.groupBy("mark").agg(F.collect_set("place").alias("places")).join(marks, "mark").select("id", "mark", "places")
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").select("mark", "places", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for i, j, data, start in tv.chunks(rows.column(2)):
+                words = tv.Words(data, start)
+                mark, all_ = text_mark(words).tolist(), shingles(words)
+                for k, (own, places) in enumerate(zip(rows.column(0)[i:j].to_pylist(), rows.column(1)[i:j].to_pylist(), strict=True)):
+                    if mark[k] == own:
+                        at = np.array(sorted(places), dtype=np.int64)
+                        sets = all_[words.first[k] + at[:, None] + np.arange(SHINGLES)].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(sets.size, own)), pa.array(np.repeat(at, SHINGLES)), pa.array(sets.ravel())], ["mark", "place", "shingle"])
+
+    own = map_batches(rows, run, "mark long, place long, shingle long").distinct().withColumnRenamed("mark", "m")
+    placed = cut(crowd.join(own.withColumnRenamed("place", "p"), (F.col("mark") == F.col("m")) & (F.col("place") == F.col("p"))).select("key", "mark", "place", "shingle"))
+    often = placed.groupBy("key", "shingle").agg(F.count("*").alias("often"))
+    by = Window.partitionBy("key", "mark", "place")
+    ranked = placed.join(often, ["key", "shingle"]).withColumn("rank", F.row_number().over(by.orderBy("often", "shingle"))).withColumn("n", F.count("*").over(by))
+    prefix = cut(ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * SIMILAR) + 1) & (F.col("often") > 1)).select("key", "shingle", "mark", "place"))
+    other = prefix.select("key", "shingle", F.col("mark").alias("b"), F.col("place").alias("q"))
+    pairs = prefix.join(other, ["key", "shingle"]).where(F.col("mark") > F.col("b")).select(F.col("mark").alias("a"), "place", "b", "q").distinct()
+    packed = lambda c: F.concat(*(F.substring(F.lpad(F.hex(F.col(c)), 8, "0"), 7 - 2 * k, 2) for k in range(4)))
+    return pairs.groupBy("a", "b").agg(F.unhex(F.array_join(F.array_sort(F.collect_list(F.concat(packed("place"), packed("q")))), "")).alias("payload"))
+
+
+def verify(docs: DataFrame, pairs: DataFrame, marks: DataFrame, least: int = LEAST) -> DataFrame:
+    """Runs of ``least`` words or more ``(a, start, end, b, from, to)`` (words) of verified paragraphs, from ``pairs(a, b, payload)`` of marks."""
+    many = pairs.select("a", "b").distinct().groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    whole = pairs.groupBy("a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list("payload")), F.hex), "").alias("h")).select("a", "b", F.unhex("h").alias("payload"))
+    dealt = stored(whole.join(many, "b").select("a", "b", "payload", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")), "passages")
     ones = dealt.select("b", "part", F.lit(1).alias("role"), F.col("a").alias("mark"), "payload")
     zeros = dealt.groupBy("b", "part").agg(F.array_join(F.transform(F.collect_list("payload"), F.hex), "").alias("h")).select("b", "part", F.lit(0).alias("role"), F.col("b").alias("mark"), F.unhex("h").alias("payload"))
     wanted = ones.union(zeros).join(marks, "mark").select("id", "b", "part", "role", "mark", "payload")
@@ -268,7 +337,7 @@ def verify(docs: DataFrame, pairs: DataFrame, marks: DataFrame) -> DataFrame:
                     if mark[k] != own:  # another text under a repeated id
                         continue
                     both = np.frombuffer(payload, "<u4").reshape(-1, 2)
-                    both = np.unique(both[:, [1, 1]] if role == 0 else both, axis=0)
+                    both = np.unique(both[:, [1, 1]] if role == 0 else both, axis=0)  # a pair may come from several keys
                     keep.append(i + k)
                     places.append(both.astype("<u4").tobytes())
                     cuts.append(_stretches(both[:, 0].astype(np.int64), hashes[words.first[k] : words.first[k + 1]]))
@@ -293,7 +362,7 @@ def verify(docs: DataFrame, pairs: DataFrame, marks: DataFrame) -> DataFrame:
                 elif len(at):
                     k = np.minimum(np.searchsorted(at, both[:, 1]), len(at) - 1)
                     good = (at[k] == both[:, 1]) & (_jaccard(sets, own[k]) >= SIMILAR)
-                    found += [(mark, s, e, b, f, t) for s, e, f, t in _run_together(both[good], *_reach(near[good], around[k[good]]))]
+                    found += [(mark, s, e, b, f, t) for s, e, f, t in _run_together(both[good], *_reach(near[good], around[k[good]]), least)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "start", "end", "b", "from", "to"])
 
@@ -345,33 +414,41 @@ def _reach(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(same[:, SPAN - 1 :: -1], axis=1).sum(axis=1), np.cumprod(same[:, SPAN + WINDOW :], axis=1).sum(axis=1)
 
 
-def _run_together(both: np.ndarray, before: np.ndarray, behind: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+def _run_together(both: np.ndarray, before: np.ndarray, behind: np.ndarray, least: int = LEAST) -> Iterator[tuple[int, int, int, int]]:
     """Runs of paragraphs that follow each other on both sides at about the same distance, with the equal words around them."""
     if not len(both):
         return
     order = np.lexsort((both[:, 1], both[:, 0]))
-    runs: list[list[int]] = []
+    open_: list[list[int]] = []
     for (p, q), l, r in zip(both[order].tolist(), before[order].tolist(), behind[order].tolist(), strict=True):
-        for run in reversed(runs[-8:]):
+        for run in reversed(open_):
             if p <= run[1] + NEAR and run[2] <= q + NEAR and q <= run[3] + NEAR and abs((p - run[0]) - (q - run[2])) <= NEAR:
                 run[0], run[2] = min(run[0], p - l), min(run[2], q - l)
                 run[1], run[3] = max(run[1], p + WINDOW + r), max(run[3], q + WINDOW + r)
                 break
         else:
-            runs.append([p - l, p + WINDOW + r, q - l, q + WINDOW + r])
-    yield from map(tuple, runs)
+            open_.append([p - l, p + WINDOW + r, q - l, q + WINDOW + r])
+            closed = [run for run in open_ if run[1] + NEAR < p]
+            if closed:
+                yield from (tuple(run) for run in closed if max(run[1] - run[0], run[3] - run[2]) >= least)
+                open_ = [run for run in open_ if run[1] + NEAR >= p]
+    yield from (tuple(run) for run in open_ if max(run[1] - run[0], run[3] - run[2]) >= least)
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document and repeated passage: id, word span, ``component_id`` (its smallest document) and ``keep``."""
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """One row per document and repeated passage: id, word span, ``component_id`` (its smallest document) and ``keep``; passages of ``least`` words or more."""
     spark = docs.sparkSession
-    df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    df = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size * KEYS / 30 / BUCKET_ENTRIES))
-    matched = stored(collide(index(df, buckets), max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))), "paragraphs")
+    matched = stored(collide(index(df, buckets), max(min(buckets, MOST_PARTITIONS), int(spark.conf.get("spark.sql.shuffle.partitions")))), "paragraphs")
     rows = matched.where("kind = 0 and a is not null").select(F.col("a").alias("doc_id"), F.col("b").alias("mark"), "n").distinct()
     marks = cut(rows.groupBy("mark").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("copies"), F.max("n").alias("n")))
-    runs = cut(verify(df, matched.where("kind = 1").select("a", "b", "payload"), marks.select("mark", "id")))
+    pairs = matched.where("kind = 1").select("a", "b", "payload")
+    crowd = matched.where("kind = 2").select(F.col("b").alias("key"), F.col("a").alias("mark"), F.col("n").alias("place"))
+    if not crowd.isEmpty():
+        pairs = pairs.union(_crowded(df, crowd, marks.select("mark", "id")))
+    runs = cut(verify(df, pairs, marks.select("mark", "id"), least))
 
     # Overlapping runs on the compared side are one passage there.
     sides = runs.select("b", "from", "to").distinct()
@@ -381,7 +458,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     numbered = cut(numbered.withColumn("passage", F.xxhash64("b", "nr")).select("b", "from", "to", "passage"))
     members = runs.join(numbered, ["b", "from", "to"]).select(F.col("a").alias("mark"), "start", "end", "passage")
     homes = numbered.groupBy("b", "passage").agg(F.min("from").alias("start"), F.max("to").alias("end")).select(F.col("b").alias("mark"), "start", "end", "passage")
-    copies = marks.where(f"copies > 1 and n >= {WINDOW}").select("mark", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), F.xxhash64("mark").alias("passage"))
+    copies = marks.where(f"copies > 1 and n >= {max(least, WINDOW)}").select("mark", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), F.xxhash64("mark").alias("passage"))
     spans = cut(members.union(homes).union(copies).distinct())
     # A text's own runs that overlap tie their passages together.
     ordered = Window.partitionBy("mark").orderBy("start", "end", "passage")
@@ -396,4 +473,6 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     out = out.withColumn("new", F.when(F.col("start") <= upto, 0).otherwise(1)).withColumn("nr", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     out = out.groupBy("component", "doc_id", "nr").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("nr")
     least = out.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("least"))
-    return out.join(least, "component").select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "start") == F.col("least")).alias("keep"))
+    # A large component's rows are dealt to SALTS tasks.
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return out.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["component", "salt"]).select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "start") == F.col("least")).alias("keep"))

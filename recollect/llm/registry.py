@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, decontaminate, jaccard, licenses, passages, pii, quality, secrets, sharding, toxicity
 from .common import documents, table
 
+#: Words of a repeated passage that op4 reports at least.
+PASSAGE_WORDS = 50
+
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(documents(spark, sf_dir))
@@ -23,7 +26,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.find(documents(spark, sf_dir))
+    return passages.find(documents(spark, sf_dir), least=PASSAGE_WORDS)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

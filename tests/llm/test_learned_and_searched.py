@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -100,7 +101,9 @@ def test_retrieval_finds_all_that_scoring_everything_finds():
 
     rng = random.Random(9)
     items = [prose(rng, 30, 900) for _ in range(60)]
-    index = decontaminate.Index(list(range(60)), items)
+    terms = [set(decontaminate._words([t]).hash.tolist()) for t in items]
+    often = {t: sum(t in own for own in terms) for t in set().union(*terms)}
+    index = decontaminate.Index(list(range(60)), items, 64, often, 60, 30.0)
     texts = [" ".join([prose(rng, 90, 900), items[k % 60][: 20 + k * 3], prose(rng, 50, 900)]) for k in range(80)]
     words = decontaminate._words(texts)
     doc, item, score = index.passages(words)
@@ -120,6 +123,61 @@ def test_retrieval_finds_all_that_scoring_everything_finds():
     assert tv.CHUNK_BYTES > 0
 
 
+def test_scores_do_not_depend_on_how_items_are_dealt(spark):
+    rng = random.Random(21)
+    items = [(k, prose(rng, rng.choice((20, 70, 300)), 700)) for k in range(90)]
+    docs = spark.createDataFrame([(k, f"{prose(rng, 100, 700)} {items[k][1]} {prose(rng, 50, 700)}") for k in range(90)], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    whole, dealt = (sorted(map(tuple, decontaminate.find(docs, table, most=most).collect())) for most in (1 << 20, 4000))
+    assert whole == dealt and {(k, k) for k in range(90)} <= {r[:2] for r in whole}
+    assert len(list(decontaminate.indexes(table, most=4000))) > 3
+    assert decontaminate.clean(docs, table, most=4000).count() == 0
+
+
+def scalar_ftrl(rows: list[tuple[list[int], float]], l1: float) -> dict[int, float]:
+    """Weights by the update rules, one coordinate after the other; the bias (the last number) isn't regularised by L1."""
+    bias, z, n = 1 << toxicity.BITS, {}, {}
+
+    def weight(i: int) -> float:
+        own = z.get(i, 0.0)
+        least = 0.0 if i == bias else l1
+        return 0.0 if abs(own) <= least else -(own - least * (1 if own > 0 else -1)) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for x, y in rows:
+            w = {i: weight(i) for i in [*x, bias]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i, own in w.items():
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - before**0.5) / toxicity.ALPHA * own
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_weights_are_those_of_the_scalar_rules():
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    texts = [prose(rng, 30, 60) + (" foul0 foul1" if k % 4 == 0 else "") for k in range(200)]
+    part = pd.DataFrame({"at": range(200), "doc_id": range(200), "text": texts, "label": [float(k % 4 == 0) for k in range(200)]})
+    learned = toxicity._learner(part)
+    rows = [x.tolist() for x in toxicity._each(pa.array(texts))]
+    often: dict[int, int] = {}
+    for x in rows:
+        for i in x:
+            often[i] = often.get(i, 0) + 1
+    least = np.clip(50 / toxicity.PER_LEAST, *toxicity.LEAST_BOUNDS)
+    wanted = scalar_ftrl([([i for i in x if often[i] >= least], y) for x, y in zip(rows, part["label"], strict=True)], float(np.clip(50 / toxicity.PER_L1, *toxicity.L1_BOUNDS)))
+    found = dict(zip(learned["bucket"].tolist(), learned["weight"].tolist(), strict=True))
+    assert found.keys() == wanted.keys() and all(abs(found[i] - wanted[i]) < 1e-9 for i in wanted)
+    dense = np.zeros((1 << toxicity.BITS) + 1)
+    dense[list(found)] = list(found.values())
+    for score, x in zip(toxicity.scores(pa.array(texts), dense).tolist(), rows, strict=True):
+        assert abs(score - 1 / (1 + math.exp(-sum(wanted.get(i, 0.0) for i in [*x, 1 << toxicity.BITS])))) < 1e-9
+
+
 def test_repeated_passages_are_found_and_other_texts_left(spark):
     rng = random.Random(6)
     shared = [prose(rng, 70, 5000) for _ in range(3)]
@@ -167,6 +225,81 @@ def test_shared_words_without_sentences_are_found_whole(spark):
         assert start - 2 <= r["start_word"] <= start and end <= r["end_word"] <= end + 2
 
 
+def paragraphs(text: str) -> list[tuple[int, frozenset]]:
+    """First word and shingles of each paragraph of a text."""
+    import numpy as np
+
+    from recollect.llm import textvec as tv
+
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    words = tv.Words(data, np.array([0, len(data)]))
+    shingle = passages.shingles(words)
+    return [(int(p), frozenset(shingle[p : p + passages.SHINGLES].tolist())) for p in passages.anchors(words, shingle)]
+
+
+def test_recall_against_all_pairs_of_paragraphs(spark):
+    """Of all similar pairs of paragraphs in different texts, the share that runs cover on both sides."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("text is not null")
+    rng = random.Random(23)
+    line = prose(rng, 12, 5000)
+    odd = [(10_000 + k, f"{prose(rng, 30, 5000)} {line} {prose(rng, 30, 5000)}") for k in range(40)]
+    edge = prose(rng, 24, 5000).split(" ")
+    odd += [(20_000 + k, " ".join([prose(rng, 9, 5000) + ".", *([f"x{k}"] if k % 2 else edge[:1]), *edge[1:-1], f"y{k // 2}", prose(rng, 9, 5000)])) for k in range(24)]
+    rows = [tuple(r) for r in docs.collect()] + odd
+    once = {}
+    for i, t in rows:
+        once.setdefault(" ".join(t.split()), i)
+    known = [(i, p, s) for t, i in once.items() for p, s in paragraphs(t)]
+    by_shingle: dict[int, list[int]] = {}
+    for k, (_, _, s) in enumerate(known):
+        for x in s:
+            by_shingle.setdefault(x, []).append(k)
+    similar = set()
+    for k, (i, _, s) in enumerate(known):
+        for m in {m for x in s for m in by_shingle[x] if m > k and known[m][0] != i}:
+            if len(s & known[m][2]) >= passages.SIMILAR * len(s | known[m][2]):
+                similar.add((k, m))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    for r in passages.find(df).collect():
+        out.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"], r["component_id"]))
+    own = lambda k: {c for s, e, c in out.get(known[k][0], []) if s <= known[k][1] and known[k][1] + passages.WINDOW <= e}
+    met = sum(bool(own(k) & own(m)) for k, m in similar)
+    assert len(similar) > 200 and met >= 0.97 * len(similar)
+
+
+def test_crowded_keys_lose_no_similar_paragraph(spark):
+    """The prefix filter alone against all pairs under one key."""
+    import numpy as np
+
+    from recollect.llm import textvec as tv
+
+    rng = random.Random(29)
+    core = prose(rng, 24, 5000).split(" ")
+    texts = [" ".join([f"a{rng.randrange(4)}", *core[1:-1], f"b{rng.randrange(6)}"]) if k % 2 else f"{prose(rng, 8, 900)} {' '.join(core[:8])} {prose(rng, 8, 900)}" for k in range(60)]
+    marks, sets = [], []
+    for t in texts:
+        data = np.frombuffer(t.encode(), dtype=np.uint8)
+        words = tv.Words(data, np.array([0, len(data)]))
+        marks.append(int(passages.text_mark(words)[0]))
+        sets.append(frozenset(passages.shingles(words)[: passages.SHINGLES].tolist()))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    crowd = spark.createDataFrame([(1, m, 0) for m in set(marks)], "key long, mark long, place long")
+    ids = spark.createDataFrame([(m, marks.index(m)) for m in set(marks)], "mark long, id long")
+    found = {frozenset((r["a"], r["b"])) for r in passages._crowded(df, crowd, ids).collect()}
+    wanted = {frozenset((marks[i], marks[j])) for i in range(60) for j in range(i) if marks[i] != marks[j] and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])}
+    assert wanted and wanted <= found
+
+
+def test_repetitive_texts_keep_their_runs_whole():
+    import numpy as np
+
+    both = np.array([(p, q) for p in range(0, 400, 8) for q in range(p % 16, 400, 16)])
+    none = np.zeros(len(both), dtype=np.int64)
+    runs = list(passages._run_together(both, none, none))
+    assert any(e - s >= 390 and t - f >= 390 for s, e, f, t in runs)
+
+
 def test_paragraph_banding_reaches_its_recall():
     bands, rows = passages.tune()
     assert 1 - (1 - passages.SIMILAR**rows) ** bands >= passages.RECALL
