@@ -14,11 +14,18 @@ with many gives a star around one of them. A pair goes on if it shares as
 many keys as linked sets must. After what remains is verified and linked, a crowded key
 whose sets are all in one component is settled. One that still joins several components has its value
 taken back; a set that is left with too little value is joined again, with its like, by the prefix
-filter over rarest tokens. Nothing is capped, so no link is lost.
+filter over rarest tokens. A token that many of them have is split by the tokens that follow it: sets
+that must share one of their first p tokens share two of their first p + 1. Nothing is capped, so no
+link is lost.
+
+The texts of sets that have a candidate, or may be left with too little value, are joined out of the
+documents once and stored; the plan is the same at every size.
 
 Shingles are compared by 64-bit hashes. Texts that are null, empty or without words have an empty set
-and link with nothing. Rows without an id get a null component and take no part. Repeated rows count
-once. An empty table gives an empty table. Other columns aren't read.
+and link with nothing. Rows without an id get a null component and take no part; a repeated id stands for
+all its texts; repeated rows count once. Similarity of just 0.75 links. Texts of any length are taken
+whole. An empty table gives an empty table. Other columns, whatever their names, aren't read
+(``representatives`` passes them on).
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import cut, map_batches, stored
+from .common import cut, map_batches, quoted, stored
 from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -40,14 +47,14 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 GROWTH = 2.0
 #: A key with more sets than this gives a star instead of all pairs; one with more in a batch is settled there first.
 CROWD, LOCAL_CROWD = 6, 48
-#: Entries of a batch, and of a bucket (about).
-BATCH_ENTRIES, BUCKET_ENTRIES = 1_000_000, 2_000_000
+#: Entries of a batch, and of a bucket (about); partitions that buckets are dealt to at most (a task takes one bucket after the other).
+BATCH_ENTRIES, BUCKET_ENTRIES, MOST_PARTITIONS = 600_000, 1_000_000, 20_000
 #: Expected cost of a set with too little value, in entries per token.
 FALLBACK = 0.6
-#: Rows of a table that may be broadcast; beyond it, tables are shuffled.
-BROADCAST_ROWS = 400_000
 #: Partners of a set that are verified in one group.
 PARTNERS = 128
+#: Sets under a prefix token that are paired; with more, the token is split by the tokens that follow it, as often as DEEPEST times.
+TOKEN_CROWD, DEEPEST = 32, 4
 _LOW = np.uint64((1 << 40) - 1)
 _U = np.uint64
 
@@ -318,22 +325,16 @@ def match(indexed: DataFrame, partitions: int) -> DataFrame:
     return map_batches(placed, run, ROW)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links among ``pairs(a, fa, b, fb)`` (ids and fingerprints of sets): whole texts are compared again.
+def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links among ``pairs(a, fa, b, fb)`` (ids and fingerprints of sets), from ``texts(id, text)``: whole texts are compared again.
 
     The partners of a set come in groups of PARTNERS, each with one copy of the set's own text, sorted so
     that a task holds one set at a time.
     """
-    many = Window.partitionBy("a")
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.count("*").over(many) / PARTNERS))))
-    dealt = cut(dealt)
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    dealt = cut(pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))))
     wanted = dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("id"), F.col("fb").alias("mark")).union(dealt.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("id"), F.col("fa").alias("mark")).distinct())
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(_small(wanted), "id")
+    rows = texts.join(wanted, "id")
     rows = rows.select("a", "part", "role", "mark", "id", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,9 +361,9 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return map_batches(rows, run, "a long, b long")
 
 
-def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _tokens(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, token, n) for each token of the sets of ``wanted(id, mark, n)``."""
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(_small(wanted), "id").select("id", "mark", "text")
+    rows = texts.join(wanted, "id").select("id", "mark", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -374,22 +375,34 @@ def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(rows, run, "id long, token long, n long").distinct()
 
 
-def _rest(docs: DataFrame, nodes: DataFrame, placed: DataFrame) -> DataFrame:
+def _rest(texts: DataFrame, nodes: DataFrame, crowd: int = TOKEN_CROWD) -> DataFrame:
     """Pairs (a, b) that share one of their rarest tokens, of sets in different components: the prefix filter.
 
-    ``nodes(id, mark, n)`` are the sets left with too little value, ``placed(id, component)`` their components.
+    ``nodes(id, mark, n, component)`` are the sets left with too little value.
     """
-    tokens = cut(_tokens(docs, nodes))
+    tokens = cut(_tokens(texts, nodes.select("id", "mark", "n")))
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = tokens.join(often, "token").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("often", "token")))
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1).where("often > 1").join(placed, "id").select("token", "id", "n", "component", "rank")
-    split = prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
-    prefix = cut(prefix.join(split, "token"))
-    other = prefix.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("rank").alias("rb"))
-    # From the first token that linked sets share, enough of each must be left for the intersection that they need.
-    left = 1 + F.least(F.col("n") - F.col("rank"), F.col("nb") - F.col("rb"))
-    enough = left * (DENOMINATOR + NUMERATOR) >= (F.col("n") + F.col("nb")) * NUMERATOR
-    return prefix.join(other, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & enough).select(F.col("id").alias("a"), "b").distinct()
+    first = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
+    ranked = cut(ranked.where((F.col("rank") <= first + DEEPEST) & (F.col("often") > 1)).join(nodes.select("id", "component"), "id"))
+    keyed = ranked.where(F.col("rank") <= first).select(F.col("token").alias("key"), "id", "n", "component", "rank", F.col("rank").alias("last"))
+    out = None
+    for depth in range(1, DEEPEST + 1):
+        counts = keyed.groupBy("key").agg(F.count("*").alias("sets"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key", "sets")
+        keyed = cut(keyed.join(counts, "key"))
+        few = keyed if depth == DEEPEST else keyed.where(F.col("sets") <= crowd)
+        other = few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("rank").alias("rb"))
+        # From the first token that linked sets share, enough of each must be left for the intersection that they need.
+        left = 1 + F.least(F.col("n") - F.col("rank"), F.col("nb") - F.col("rb"))
+        enough = left * (DENOMINATOR + NUMERATOR) >= (F.col("n") + F.col("nb")) * NUMERATOR
+        pairs = few.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & enough).select(F.col("id").alias("a"), "b")
+        out = pairs if out is None else out.union(pairs)
+        many = keyed.where(F.col("sets") > crowd)
+        if depth == DEEPEST or many.isEmpty():
+            break
+        after = ranked.select("id", "token", F.col("rank").alias("next"))
+        keyed = many.join(after, "id").where((F.col("next") > F.col("last")) & (F.col("next") <= first + depth)).select(F.xxhash64("key", "token").alias("key"), "id", "n", "component", "rank", F.col("next").alias("last"))
+    return out.distinct()
 
 
 def _with(links: DataFrame, more: DataFrame) -> DataFrame:
@@ -399,10 +412,10 @@ def _with(links: DataFrame, more: DataFrame) -> DataFrame:
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     spark = docs.sparkSession
-    df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    df = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / 10 / BUCKET_ENTRIES))
-    matched = stored(match(index(df, buckets), max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))), "jaccard")
+    matched = stored(match(index(df, buckets), max(min(buckets, MOST_PARTITIONS), int(spark.conf.get("spark.sql.shuffle.partitions")))), "jaccard")
     rows = matched.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("mark"), F.col("c").alias("fewest"), F.col("n").alias("n_shingles"), F.col("m").alias("spare"))
     sets = rows.where("doc_id is not null and n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("spare").alias("spare"), F.min("fewest").alias("fewest"))
     crowds = matched.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("mark")).distinct()
@@ -417,10 +430,14 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     pairs = pairs.where(near & (F.col("shared") + F.least("crowds_a", "crowds_b") >= F.greatest("fewest_a", "fewest_b"))).withColumnsRenamed({"id_a": "ia", "id_b": "ib"})
     pairs = cut(pairs.select(F.col("ia").alias("a"), F.col("a").alias("fa"), F.col("ib").alias("b"), F.col("b").alias("fb"), "shared"))
 
+    # A set loses the value 2 at most under each crowded key.
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(sets.where(F.col("spare") < 2 * F.col("crowds")).select("id")).distinct()
+    texts = stored(df.select(F.col("doc_id").alias("id"), "text").join(needed, "id"), "texts")
+
     # First each set and the one that it shares most keys with; then pairs that these links leave in different components.
     ends = pairs.select(F.col("a").alias("x"), "*").union(pairs.select(F.col("b").alias("x"), "*"))
     best = ends.groupBy("x").agg(F.max(F.struct("shared", "a", "fa", "b", "fb")).alias("p")).select("p.a", "p.fa", "p.b", "p.fb").distinct()
-    links = cut(verify(df, best))
+    links = cut(verify(texts, best))
     found = components(links)
 
     def placed_by(found: DataFrame) -> DataFrame:
@@ -430,7 +447,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     by_id = placed_by(found)
     for end in ("a", "b"):
         left = left.join(by_id.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")), end)
-    links = _with(links, verify(df, left.where("ca != cb").select("a", "fa", "b", "fb")))
+    links = _with(links, verify(texts, left.where("ca != cb").select("a", "fa", "b", "fb")))
     found = components(links)
 
     # Crowded keys that still join several components lose their value; sets left with too little are joined by prefixes.
@@ -439,12 +456,12 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     split = crowded.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     lost = crowded.join(split, "key").groupBy("mark").agg((2 * F.count("*")).alias("lost"))
     poor = cut(placed.join(lost, "mark", "left").where(F.col("spare") < F.coalesce("lost", F.lit(0))).select("id", "mark", "n", "component"))
-    more = _rest(df, poor.select("id", "mark", "n"), poor.select("id", "component"))
+    more = _rest(texts, poor)
     for end in ("a", "b"):
         more = more.join(marks.select(F.col("id").alias(end), F.col("mark").alias(f"f{end}")), end)
     more = cut(more)
     if not more.isEmpty():
-        found = components(_with(links, verify(df, more)))
+        found = components(_with(links, verify(texts, more)))
     by_mark = sets.select("mark", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("mark", F.coalesce("component", "id").alias("component"))
     named_rows = rows.join(by_mark, "mark", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -453,5 +470,5 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of linked ones, the one with the smallest id; all columns stay."""
-    others = cut(link(docs, doc_id, text).where("doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct())
-    return docs.join(_small(others), doc_id, "left_anti")
+    others = cut(link(docs, doc_id, text).where("doc_id != component_id").select("doc_id").distinct())
+    return docs.join(others.withColumnRenamed("doc_id", "the linked one"), quoted(doc_id) == F.col("the linked one"), "left_anti")
