@@ -1,8 +1,13 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.
 
-Main path: built-in functions only. A null text counts as empty and gives a row without spans; null
-or repeated ids are passed on as they are; an empty table gives an empty table. Other columns of
-the input, whatever their names, aren't read.
+Main path: built-in functions only. Account numbers are taken at the length of their country, so what
+follows in capitals isn't part of them. Words within CONTEXT_CHARS on either side raise or lower a
+span's score; the score decides over the added kinds, never over the base ones.
+
+A null text counts as empty and gives a row without spans; null or repeated ids are passed on as they
+are; spans of two kinds that begin together are both kept, in the kinds' order; an empty table gives an
+empty table; texts are scanned whole, however long. Other columns of the input, whatever their names,
+aren't read.
 """
 
 from __future__ import annotations
@@ -13,6 +18,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
+from .common import quoted
+
+#: Length of account numbers by country (fixed values).
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31,
+    "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def _accounts() -> str:
+    """One alternative for each length: its countries, two digits, then as many letters and digits as are left, spaces between them allowed."""
+    by_length: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTH.items():
+        by_length.setdefault(n, []).append(country)
+    rest = "|".join(rf"(?:{'|'.join(c)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(by_length.items()))
+    return rf"(?<![A-Za-z0-9])(?:{rest})(?![A-Za-z0-9])"
+
 
 #: The kinds in order. Possessive quantifiers and the look-behinds only spare the engine attempts that must fail.
 KINDS = {
@@ -20,13 +46,13 @@ KINDS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    "iban": _accounts(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
 #: Cheap tests a text must pass before a pattern is tried.
 HINT = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
-#: What each kind scores by itself, and what words shortly before it add.
+#: What each kind scores by itself, and the words beside it that raise the score; DOUBT has those that lower any.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.95, "ssn": 0.4}
 CONTEXT = {
     "email": "mail|contact|write|correo|courriel",
@@ -38,7 +64,8 @@ CONTEXT = {
 }
 #: A number of at most 255, leading zeros allowed.
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-CONTEXT_GAIN, CONTEXT_CHARS, ADDED_AT = 0.3, 40, 0.65
+DOUBT = "example|sample|dummy|fake|fictitious|placeholder"
+CONTEXT_GAIN, CONTEXT_LOSS, CONTEXT_CHARS, ADDED_AT = 0.3, 0.2, 40, 0.65
 
 
 def luhn(number: Column) -> Column:
@@ -73,7 +100,7 @@ def confirmed(kind: str, m: Column) -> Column:
         return F.length(number).between(9, 15)
     if kind == "iban":
         plain = F.replace(m, F.lit(" "), F.lit(""))
-        return F.length(plain).between(15, 34) & mod97(plain)
+        return mod97(plain)
     return F.lit(True)
 
 
@@ -86,7 +113,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     Added kinds are taken when their score (prior plus context) reaches ``ADDED_AT``.
     """
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    df = docs.select(quoted(doc_id).alias("doc_id"), F.coalesce(quoted(text), F.lit("")).alias("text"))
     none = F.array().cast("array<string>")
     df = df.select("*", *(F.when(F.instr("text", HINT[k]) > 0, S.matches(F.col("text"), p)).otherwise(none).alias(f"m_{k}") if k in HINT else S.matches(F.col("text"), p).alias(f"m_{k}") for k, p in KINDS.items()))
     df = df.select("*", *(S.gaps(F.col("text"), p, F.col(f"m_{k}")).alias(f"g_{k}") for k, p in KINDS.items()))
@@ -94,8 +121,10 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     def scored(k: str) -> Column:
         def score(s: Column) -> Column:
-            before = F.lower(F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS))))
-            return F.least(F.lit(1.0), F.lit(PRIOR[k]) + F.when(before.rlike(rf"\b(?:{CONTEXT[k]})"), CONTEXT_GAIN).otherwise(0.0))
+            before = F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)))
+            beside = F.lower(F.concat(before, F.lit(" | "), F.substring(F.col("text"), s["end"] + 1, F.lit(CONTEXT_CHARS))))
+            gain = F.when(beside.rlike(rf"\b(?:{CONTEXT[k]})"), CONTEXT_GAIN).otherwise(0.0) - F.when(beside.rlike(rf"\b(?:{DOUBT})"), CONTEXT_LOSS).otherwise(0.0)
+            return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(PRIOR[k]) + gain))
 
         return F.transform(F.col(f"s_{k}"), lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match"), score(s).alias("score")))
 
