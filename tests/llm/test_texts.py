@@ -109,6 +109,22 @@ def test_shards(table, every):
     assert max(size.values()) - min(size.values()) <= 2 * max(r["size"] for r in out) * 0.1
 
 
+def test_equal_texts_share_a_shard_unless_they_are_many(spark):
+    rows = [(k, f"text {k % 500} " * (1 + k % 500 % 7)) for k in range(3000)] + [(5000 + k, "copy of a third of all rows") for k in range(1500)] + [(9000 + k, None) for k in range(300)] + [(1, "text 1 text 1 ")] * 5
+    out = sharding.report(sharding.reshard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), share=1 / 200)).collect()
+    size, homes = collections.Counter(), collections.defaultdict(set)
+    texts = dict(rows)
+    for r in out:
+        size[r["shard"]] += r["size"]
+        homes[texts[r["doc_id"]]].add(r["shard"])
+    total = sum(size.values())
+    largest = max(n * (len(t or "") + 1) for t, n in collections.Counter(t for _, t in rows).items() if n < 20)
+    assert len(out) == len(rows) and max(abs(x - total / 8) for x in size.values()) <= 2 * max(largest, total / 200)
+    assert len(homes["copy of a third of all rows"]) == 8
+    kept = [len(h) == 1 for t, h in homes.items() if t and t.startswith("text")]
+    assert sum(kept) >= 0.2 * len(kept)
+
+
 def test_flow_moves_the_fewest_bytes():
     sizes, capacities = [70, 10, 20, 0], [25, 25, 25, 25]
     moved = sharding.transfers(sizes, capacities)
