@@ -2,10 +2,12 @@
 
 The statistics are exact counts over all documents (equal lines and word windows are found by 64-bit
 hashes). The forest is fitted on a bounded sample of labelled rows; how easily random splits isolate a
-document is its anomaly score, and the cut-off is calibrated on the labels of that sample.
+document is its anomaly score, counted in BINS steps, and the cut-off is calibrated on all labelled rows.
+Documents at the cut-off are kept.
 
 A null text counts as empty; null or repeated ids are passed on; an empty table gives an empty table;
-without labels only the base rules decide. Other columns aren't read.
+without labels only the base rules decide. Whole texts are counted, however long. Other columns, whatever
+their names, aren't read.
 """
 
 from __future__ import annotations
@@ -19,15 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import cut, map_batches
+from .common import cut, map_batches, quoted
 
 SYMBOLS = b"#*$%&|<>"
 #: Base rules: the least number of words, and the largest percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 50, 50, 3
-#: Labelled rows that fit and calibrate the forest at most; trees, rows of a tree, and the seed.
+#: Labelled rows that fit the forest at most; trees, rows of a tree, and the seed.
 SAMPLE, TREES, TREE_ROWS, SEED = 20_000, 100, 256, 7
 #: The share of labelled good documents that the cut-off must keep at least.
 KEEP_GOOD = 0.98
+#: Steps of the anomaly score.
+BINS = 4096
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_upper", "n_distinct")
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "digits", "upper", "distinct", "line_words")
@@ -102,7 +106,7 @@ def counts(data: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id`` and COUNTS as long."""
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    df = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,15 +176,15 @@ class Forest:
         return np.exp2(-total / len(self.trees) / norm)
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, keep: float = KEEP_GOOD) -> float:
-    """The cut-off with the largest share of bad rows above it less that of good ones, keeping ``keep`` of the good."""
-    if not len(score) or good.all() or not good.any():
-        return 1.0
-    cuts = np.unique(score)
-    kept_good = np.searchsorted(np.sort(score[good]), cuts, side="right") / good.sum()
-    kept_bad = np.searchsorted(np.sort(score[~good]), cuts, side="right") / (~good).sum()
-    gain = np.where(kept_good >= keep, kept_good - kept_bad, -1.0)
-    return float(cuts[int(np.argmax(gain))])
+def calibrate(step: np.ndarray, good: np.ndarray, bad: np.ndarray, keep: float = KEEP_GOOD) -> int:
+    """From counts of good and bad rows at each step, in order: the step up to which rows are kept.
+
+    It has the largest share of bad rows above it less that of good ones, keeping ``keep`` of the good.
+    """
+    if not good.sum() or not bad.sum():
+        return BINS
+    kept_good, kept_bad = np.cumsum(good) / good.sum(), np.cumsum(bad) / bad.sum()
+    return int(step[int(np.argmax(np.where(kept_good >= keep, kept_good - kept_bad, -1.0)))])
 
 
 def base_failed() -> F.Column:
@@ -191,17 +195,13 @@ def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     """One row per document: COUNTS, ``base_failed``, ``anomaly`` and ``kept``.
 
     The forest is fitted on at most ``sample`` labelled rows, chosen by a hash of their id. Calibration
-    looks at rows that pass the base rules, since it decides for those only.
+    counts all labelled rows that pass the base rules, since it decides for those only.
     """
     stats = cut(statistics(docs, doc_id, text)).withColumn("base_failed", base_failed())
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("label"))
-    fit = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
-    if len(fit):
-        x = features({c: fit[c].to_numpy() for c in COUNTS})
-        forest, passing = Forest(x), ~fit["base_failed"].to_numpy(dtype=bool)
-        cutoff = calibrate(forest.score(x[passing]), fit["label"].to_numpy()[passing] > 0)
-    else:
-        forest, cutoff = None, 1.0
+    known = labels.where(quoted(label).isNotNull()).groupBy(quoted(doc_id).alias("doc_id")).agg(F.max(quoted(label)).alias("label"))
+    labelled = cut(stats.join(known, "doc_id"))
+    fit = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(*COUNTS).toPandas()
+    forest = Forest(features({c: fit[c].to_numpy() for c in COUNTS})) if len(fit) else None
     shared = stats.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
@@ -210,8 +210,11 @@ def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
             return pd.Series(np.zeros(len(columns[0])))
         return pd.Series(shared.value.score(features({c: s.to_numpy() for c, s in zip(COUNTS, columns, strict=True)})))
 
-    scored = stats.withColumn("anomaly", anomaly(*COUNTS))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= cutoff))
+    step = F.floor(F.col("anomaly") * BINS).cast("int")
+    counted = labelled.where("not base_failed").withColumn("anomaly", anomaly(*COUNTS)).groupBy(step.alias("step"))
+    bins = counted.agg(F.sum((F.col("label") > 0).cast("long")).alias("good"), F.sum((F.col("label") <= 0).cast("long")).alias("bad")).orderBy("step").collect() if forest else []
+    cutoff = calibrate(*(np.array([r[c] for r in bins]) for c in ("step", "good", "bad"))) if bins else BINS
+    return stats.withColumn("anomaly", anomaly(*COUNTS)).withColumn("kept", ~F.col("base_failed") & (step <= cutoff))
 
 
 def report(judged: DataFrame) -> DataFrame:
