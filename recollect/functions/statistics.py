@@ -11,6 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 2.0**-52
+#: What stands for a missing value: a symbol like any other, equal to itself only.
+MISSING = "\x00"
+
+
+def symbols(df: DataFrame, names: list[str]) -> list[Column]:
+    """Columns as strings, missing values as MISSING."""
+    return [F.coalesce(F.col(n).cast("string"), F.lit(MISSING)).alias(n) for n in names]
 
 
 def occurrences(df: DataFrame) -> Column:
@@ -40,27 +47,20 @@ def class_entropy(instances: DataFrame) -> DataFrame:
 def weights(table: DataFrame, clamp: bool = True) -> DataFrame:
     """(fidx, n_vals, ig, si, gr, x2, sv) of a contingency table.
 
-    Chi-square is N * sum(cnt^2 / (n_v * n_c)) - N, which needs observed cells only.
+    Summed by value, then by feature, so no task has all values of a feature. Chi-square is
+    N * sum(cnt^2 / (n_v * n_c)) - N, which needs observed cells only.
     """
-    by_value, by_class, by_feature = Window.partitionBy("fidx", "fval"), Window.partitionBy("fidx", "class"), Window.partitionBy("fidx")
-    cells = table.where("cnt > 0").withColumn("nv", F.sum("cnt").over(by_value)).withColumn("nc", F.sum("cnt").over(by_class)).withColumn("n", F.sum("cnt").over(by_feature))
-    first_of_value = F.row_number().over(by_value.orderBy("class")) == 1
-    first_of_class = F.row_number().over(by_class.orderBy("fval")) == 1
-    cells = cells.withColumn("v1", first_of_value).withColumn("c1", first_of_class)
-    entropy = lambda x: -(x / F.col("n")) * F.log2(x / F.col("n"))
-    sums = cells.groupBy("fidx").agg(
-        F.max("n").alias("n"),
-        F.sum(F.col("v1").cast("long")).alias("n_vals"),
-        F.sum(F.col("c1").cast("long")).alias("n_classes"),
-        F.sum(F.when(F.col("c1"), entropy(F.col("nc")))).alias("h"),
-        F.sum(-(F.col("cnt") / F.col("n")) * F.log2(F.col("cnt") / F.col("nv"))).alias("hv"),
-        F.sum(F.when(F.col("v1"), entropy(F.col("nv")))).alias("si"),
-        F.sum(F.col("cnt") * F.col("cnt") * F.col("n") / (F.col("nv").cast("double") * F.col("nc"))).alias("oe"),
-    )
+    log = lambda x: F.col(x) * F.log2(x)
+    table = table.where("cnt > 0")
+    of_class = table.groupBy("fidx", "class").agg(F.sum("cnt").alias("nc"))
+    of_value = table.join(of_class, ["fidx", "class"]).groupBy("fidx", "fval").agg(F.sum("cnt").alias("nv"), F.sum(log("cnt")).alias("within"), F.sum(F.col("cnt") / F.col("nc") * F.col("cnt")).alias("oe"))
+    classes = of_class.groupBy("fidx").agg(F.sum("nc").alias("n"), F.count("*").alias("n_classes"), F.sum(log("nc")).alias("by_class"))
+    values = of_value.groupBy("fidx").agg(F.count("*").alias("n_vals"), F.sum(log("nv")).alias("by_value"), F.sum(log("nv") - F.col("within")).alias("rest"), F.sum(F.col("oe") / F.col("nv")).alias("oe"))
+    sums = classes.join(values, "fidx").withColumn("h", F.log2("n") - F.col("by_class") / F.col("n")).withColumn("si", F.log2("n") - F.col("by_value") / F.col("n")).withColumn("hv", F.col("rest") / F.col("n"))
     gain = F.greatest(F.col("h") - F.col("hv"), F.lit(0.0)) if clamp else F.col("h") - F.col("hv")
-    sums = sums.withColumn("ig", gain).withColumn("x2", F.col("oe") - F.col("n"))
+    sums = sums.withColumn("ig", gain).withColumn("x2", F.col("n") * F.col("oe") - F.col("n"))
     least = F.least("n_classes", "n_vals") - 1
-    return sums.select("fidx", "n_vals", "ig", "si", F.when(F.abs("si") < EPSILON, 0.0).otherwise(F.try_divide("ig", "si")).alias("gr"), "x2", F.when(least > 0, F.try_divide(F.col("x2"), F.col("n") * least)).otherwise(0.0).alias("sv"))
+    return sums.select("fidx", "n_vals", "ig", "si", F.when((F.col("n_vals") < 2) | (F.abs("si") < EPSILON), 0.0).otherwise(F.try_divide("ig", "si")).alias("gr"), "x2", F.when(least > 0, F.try_divide(F.col("x2"), F.col("n") * least)).otherwise(0.0).alias("sv"))
 
 
 def numeric(value: Column) -> Column:
@@ -81,17 +81,70 @@ def numeric_range(instances: DataFrame, features: list[str]) -> DataFrame:
 def binned(table: DataFrame, bins: int = 20) -> DataFrame:
     """A contingency table with the values of numeric features replaced by bins of equally many distinct values."""
     values = table.select("fidx", "fval", numeric(F.col("fval")).alias("x")).distinct()
-    bin_ = F.ntile(bins).over(Window.partitionBy("fidx").orderBy("x"))
-    coded = values.where("x is not null").withColumn("bin", bin_).select("fidx", "fval", "bin")
+    coded = _ntile(values.where("x is not null"), bins).select("fidx", "fval", "bin")
     return table.join(coded, ["fidx", "fval"]).groupBy("fidx", F.col("bin").cast("string").alias("fval"), "class").agg(F.sum("cnt").alias("cnt"))
 
 
+def _ntile(values: DataFrame, bins: int) -> DataFrame:
+    """``values(fidx, fval, x)`` with ``bin``, as NTILE by x within a feature: ranks from a range partitioning, so no task sorts all values."""
+    placed = values.repartitionByRange("fidx", "x", "fval").withColumn("task", F.spark_partition_id()).persist()
+    sizes = placed.groupBy("fidx", "task").agg(F.count("*").alias("own"))  # a row for each feature and task
+    of = Window.partitionBy("fidx")
+    ahead = F.coalesce(F.sum("own").over(of.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("fidx", "task", ahead.alias("ahead"), F.sum("own").over(of).alias("all"))
+    rank = F.row_number().over(Window.partitionBy("fidx", "task").orderBy("x", "fval")) + F.col("ahead")
+    small, more = F.floor(F.col("all") / bins), F.col("all") % bins
+    bin_ = F.when(F.col("rank") <= more * (small + 1), F.ceil(F.col("rank") / (small + 1))).otherwise(more + F.ceil((F.col("rank") - more * (small + 1)) / F.greatest(small, F.lit(1))))
+    return placed.join(offsets, ["fidx", "task"]).withColumn("rank", rank).withColumn("bin", bin_.cast("int"))
+
+
 def value_probs(table: DataFrame) -> DataFrame:
     """(fidx, fval, class, p, freq): the distribution of classes given a value."""
     by_value = Window.partitionBy("fidx", "fval")
     return table.where("cnt > 0").select("fidx", "fval", "class", (F.col("cnt") / F.sum("cnt").over(by_value)).alias("p"), F.sum("cnt").over(by_value).alias("freq"))
 
 
+def weights_without(table: DataFrame) -> DataFrame:
+    """(fidx, fval, class, ig, si, gr, x2, sv): the weights of a feature in a table without one row of that value and class.
+
+    Sums over values and classes change in one place only, so they are corrected rather than taken again.
+    """
+    log = lambda x: F.when(x > 0, x * F.log2(x)).otherwise(0.0)
+    table = table.where("cnt > 0")
+    of_class = table.groupBy("fidx", "class").agg(F.sum("cnt").alias("nc"))
+    cells = table.join(of_class, ["fidx", "class"])
+    of_value = cells.groupBy("fidx", "fval").agg(F.sum("cnt").alias("nv"), F.sum(log(F.col("cnt"))).alias("within"), F.sum(F.col("cnt") / F.col("nc") * F.col("cnt")).alias("oe"))
+    # Of a class: sum over values of cnt^2 / nv, which is divided by nc.
+    by_class = cells.join(of_value.select("fidx", "fval", "nv"), ["fidx", "fval"]).groupBy("fidx", "class").agg(F.sum(F.col("cnt") / F.col("nv") * F.col("cnt")).alias("on"), F.max("nc").alias("nc"))
+    classes = by_class.groupBy("fidx").agg(F.sum("nc").alias("n"), F.count("*").alias("n_classes"), F.sum(log(F.col("nc"))).alias("by_class"), F.sum(F.col("on") / F.col("nc")).alias("oe_all"))
+    values = of_value.groupBy("fidx").agg(F.count("*").alias("n_vals"), F.sum(log(F.col("nv"))).alias("by_value"), F.sum("within").alias("within_all"))
+    x = table.join(of_value, ["fidx", "fval"]).join(by_class, ["fidx", "class"]).join(classes, "fidx").join(values, "fidx")
+    c, nv, nc, n = (F.col(k) for k in ("cnt", "nv", "nc", "n"))
+    left = n - 1
+    shift = lambda total, k: F.col(total) - log(k) + log(k - 1)
+    x = x.withColumn("h", F.log2(left) - shift("by_class", nc) / left).withColumn("si1", F.log2(left) - shift("by_value", nv) / left)
+    x = x.withColumn("hv", (shift("by_value", nv) - shift("within_all", c)) / left)
+    # Terms of the row's value (its size falls) and of its class (its size falls), the shared cell once.
+    part = lambda a, b, d: F.when((b > 0) & (d > 0), a * a / (b * d)).otherwise(0.0)
+    same_value = F.when(nv > 1, (F.col("oe") - c * c / nc) / (nv - 1)).otherwise(0.0) - (F.col("oe") - c * c / nc) / nv
+    same_class = F.when(nc > 1, (F.col("on") - c * c / nv) / (nc - 1)).otherwise(0.0) - (F.col("on") - c * c / nv) / nc
+    x = x.withColumn("x2", left * (F.col("oe_all") + same_value + same_class - part(c, nv, nc) + part(c - 1, nv - 1, nc - 1)) - left)
+    x = x.withColumn("ig", F.greatest(F.col("h") - F.col("hv"), F.lit(0.0)))
+    vals, labels = F.col("n_vals") - (nv == 1).cast("long"), F.col("n_classes") - (nc == 1).cast("long")
+    least = F.least(vals, labels) - 1
+    gr = F.when((vals < 2) | (F.abs("si1") < EPSILON), 0.0).otherwise(F.try_divide("ig", "si1"))
+    return x.select("fidx", "fval", "class", "ig", F.col("si1").alias("si"), gr.alias("gr"), "x2", F.when(least > 0, F.try_divide(F.col("x2"), left * least)).otherwise(0.0).alias("sv"))
+
+
+def probs_without(table: DataFrame, classes: DataFrame) -> DataFrame:
+    """(fidx, fval, class, p, freq): the packed class distribution of a value without one row of that class."""
+    numbered = table.where("cnt > 0").join(classes.select("class", "class_idx"), "class")
+    own = numbered.groupBy("fidx", "fval").agg(F.map_from_entries(F.collect_list(F.struct("class_idx", "cnt"))).alias("m"), F.sum("cnt").alias("n"))
+    x = numbered.select("fidx", "fval", "class", "class_idx").join(own, ["fidx", "fval"]).crossJoin(classes.agg(F.max("class_idx").alias("last")))  # one row
+    less = lambda i: (F.coalesce(F.element_at("m", i), F.lit(0)) - (i == F.col("class_idx")).cast("long")) / F.greatest(F.col("n") - 1, F.lit(1))
+    return x.select("fidx", "fval", "class", F.transform(F.sequence(F.lit(1).cast("long"), "last"), less).alias("p"), (F.col("n") - 1).alias("freq"))
+
+
 def tree_order(measures: dict[int, dict[str, float]], order: str) -> list[int]:
     """Feature numbers, the best first; ties keep their order. ``measures`` has gr, ig, si, x2, sv, sd and n_vals by feature."""
     # Names of orders and the quantities they rank by (fixed values).

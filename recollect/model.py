@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,7 +34,8 @@ class MemoryBasedLearner:
     """k-nearest-neighbour classification over distinct distances, trees, hybrids and edited bases.
 
     ``fit`` takes rows with an order key ``iid``, string features and ``class`` (optionally ``occ``, a count,
-    and ``exw``, an exemplar weight); ``transform`` takes rows with ``qid`` and the same features.
+    and ``exw``, an exemplar weight); ``transform`` takes rows with ``qid`` and the same features. A missing value
+    is a symbol of its own, equal to itself; rows without a class aren't learned from.
     """
 
     def __init__(self, options: Options | None = None, **settings):
@@ -51,7 +53,7 @@ class MemoryBasedLearner:
         used = [(f, m) for i, f in enumerate(features, 1) if (m := o.metric_of(i)) != "I"]
         features, kinds = [f for f, _ in used], [m for _, m in used]
         names = ["iid", *features, "class", *(c for c in ("occ", "exw") if c in instances.columns)]
-        rows = instances.select(*names)
+        rows = instances.where("class is not null").select("iid", *S.symbols(instances, features), F.col("class").cast("string").alias("class"), *names[2 + len(features) :])
         learned = edit.seeded(rows, o.ib2_seed, features) if o.algorithm == "IB2" else rows
         measures, table, classes, ranges = self._statistics(rows, features, kinds)
         kinds = [("O" if m in NUMERICAL and (ranges[i]["n_bad"] or ranges[i]["width"] < S.EPSILON) else m) for i, m in enumerate(kinds, 1)] if o.global_metric not in ("C", "D") else kinds
@@ -59,11 +61,11 @@ class MemoryBasedLearner:
         order = S.tree_order(measures, o.tree_order or ("G/V" if o.algorithm in ("IB1", "IB2") else {"gr": "GRO", "ig": "IGO", "x2": "X2O", "sv": "SVO", "sd": "SDO"}.get(o.weighting, "DO")))
         for i in measures:
             measures[i] |= ranges[i]
-        base = search.base_table(learned, features, exemplar="exw" in learned.columns)
+        base = search.base_table(learned, features, exemplar="exw" in learned.columns).persist()
         self.fitted = Fitted(features, learned, base, classes, table, measures, kinds, weights, order)
         if o.algorithm == "IB2":
-            edited = edit.ib2(rows, features, weights, o.ib2_seed)
-            self.fitted = replace(self.fitted, instances=edited, base=search.base_table(edited, features))
+            edited = edit.ib2(rows, features, weights, classes, o.ib2_seed)
+            self.fitted = replace(self.fitted, instances=edited, base=search.base_table(edited, features).persist())
         return self
 
     def _statistics(self, rows: DataFrame, features: list[str], kinds: list[str]):
@@ -100,24 +102,39 @@ class MemoryBasedLearner:
             raise ValueError("the learner isn't fitted")
         return self.fitted
 
-    def plan(self, queries: DataFrame | None = None) -> list[search.Feature]:
-        """Features as they enter the distance; tables of pairs are made where a metric needs them."""
-        f = self._known()
+    def plan(self) -> list[search.Feature]:
+        """Features as they enter the distance, with what their metric needs of a value."""
+        f, packed = self._known(), None
+        given = self._given()
         out = []
         for i, (name, metric, weight) in enumerate(zip(f.features, f.metrics, f.weights, strict=True), 1):
-            pairs = None
-            if self.given_pairs is not None and metric in STORABLE:
-                pairs = self.given_pairs.where(F.col("fidx") == i).select("v", "w", "d")
-            elif metric in ("M", "J", "S"):
-                probs = self.given_probs if self.given_probs is not None else S.value_probs(f.table)
-                pairs = M.distribution_pairs(probs.where(F.col("fidx") == i), metric, self.options.clip).select("v", "w", "d")
-            elif metric == "L":
-                known = f.table.where(F.col("fidx") == i).select(F.col("fval").alias("w")).distinct()
-                asked = (queries if queries is not None else f.base).select(F.col(name).alias("v")).distinct()
-                pairs = M.string_pairs(asked.crossJoin(F.broadcast(known)).withColumn("fidx", F.lit(i)), "L").select("v", "w", "d")
-            out.append(search.Feature(name, metric, weight, f.measures[i]["width"] or 1.0, pairs))
+            probs = None
+            if metric in ("M", "J", "S"):
+                if packed is None:
+                    packed = M.packed(self.given_probs if self.given_probs is not None else S.value_probs(f.table), f.classes)
+                probs = packed.where(F.col("fidx") == i).select("fval", "p", "freq")
+            own = given.where(F.col("fidx") == i).select("v", "ds") if given is not None and metric in STORABLE else None
+            out.append(search.Feature(name, metric, weight, f.measures[i]["width"] or 1.0, probs, self.options.clip, own))
         return out
 
+    def _given(self) -> DataFrame | None:
+        """(fidx, v, ds): the given distances of a value as a map; values that are rare in training keep the computed ones."""
+        if self.given_pairs is None:
+            return None
+        f, often = self._known(), None
+        for i, m in f.measures.items():
+            rows = f.table.where(F.col("fidx") == i).groupBy("fidx", "fval").agg(F.sum("cnt").alias("n")).where(F.col("n") >= round(self.options.matrix_clip * math.log(max(m["n_vals"], 1))))
+            often = rows if often is None else often.union(rows)
+        pairs = self.given_pairs
+        for end in ("v", "w"):
+            pairs = pairs.join(often.select("fidx", F.col("fval").alias(end)), ["fidx", end], "left_semi")
+        return pairs.groupBy("fidx", "v").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("w", "d")))).alias("ds"))
+
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        """Queries with their values as symbols."""
+        names = self._known().features
+        return queries.select(*(c for c in queries.columns if c not in names), *S.symbols(queries, names))
+
     @property
     def similarity(self) -> str | None:
         m = self.options.global_metric
@@ -125,21 +142,24 @@ class MemoryBasedLearner:
 
     # -- classification ----------------------------------------------------------------------------------------
 
-    def found(self, queries: DataFrame, base: DataFrame | None = None, block: list[str] | None = None, leave_out: bool = False) -> DataFrame:
+    def found(self, queries: DataFrame, k: int | None = None, base: DataFrame | None = None, block: list[str] | None = None, leave_out: bool = False) -> DataFrame:
         f = self._known()
-        return search.distances(queries, f.base if base is None else base, self.plan(queries), self.similarity, "exw" in f.base.columns, block, leave_out)
+        return search.distances(self._asked(queries), f.base if base is None else base, self.plan(), k or self.options.k, self.similarity, "exw" in f.base.columns, block, leave_out)
 
     def transform(self, queries: DataFrame) -> DataFrame:
-        """(qid, predicted, distance, tie, exact, votes), or (qid, predicted, distance, depth) from a tree."""
+        """(qid, predicted, distance, tie, exact, votes), or (qid, predicted, distance, depth, leaf) from a tree."""
         o, f = self.options, self._known()
         if o.algorithm == "IGTREE":
             return self.descend(queries)
         if o.algorithm in ("TRIBL", "TRIBL2"):
             return self._hybrid(queries)
-        shortcut = self.similarity is None and (o.exact == "on" or (o.exact == "reference" and o.k == 1))
-        near = search.buckets(self.found(queries), o.k, shortcut)
+        near = search.buckets(self.found(queries), o.k, self._shortcut())
         return vote.answers(near, f.classes, o.k, o.decay, o.decay_a, o.decay_b, seed=o.random_seed)
 
+    def _shortcut(self) -> bool:
+        o = self.options
+        return self.similarity is None and (o.exact == "on" or (o.exact == "reference" and o.k == 1))
+
     def _ordered(self) -> tuple[list[str], list[float]]:
         f = self._known()
         return [f.features[i - 1] for i in f.order], [f.weights[i - 1] for i in f.order]
@@ -148,14 +168,26 @@ class MemoryBasedLearner:
         order, _ = self._ordered()
         return tree.nodes(self._known().base, order, self._known().classes)
 
+    def pruned(self) -> DataFrame:
+        """The tree that answers: without nodes that say what their parent says."""
+        return tree.pruned(self.tree(), len(self._known().features))
+
     def descend(self, queries: DataFrame) -> DataFrame:
         order, weights = self._ordered()
-        return tree.descend(queries, self.tree(), order, weights)
+        return tree.descend(self._asked(queries), self.pruned(), order, weights)
+
+    def to_tree(self) -> MemoryBasedLearner:
+        """A decision tree made of this learner's patterns, weights and order."""
+        f = self._known()
+        out = MemoryBasedLearner(self.options.but(algorithm="IGTREE", k=1, decay="Z", metric="O", exact="reference", ib2_seed=0, tribl_offset=0))
+        out.fitted = replace(f, metrics=["O"] * len(f.features))
+        return out
 
     def _hybrid(self, queries: DataFrame) -> DataFrame:
         """TRIBL: neighbours among patterns that share a fixed number of values; TRIBL2: as many as the base has. Exact matches first."""
         o, f = self.options, self._known()
         order, _ = self._ordered()
+        queries = self._asked(queries)
         if o.algorithm == "TRIBL":
             asked = tree.blocked(queries, order, o.tribl_offset).withColumn("depth", F.lit(o.tribl_offset))
             base = tree.blocked(f.base, order, o.tribl_offset).withColumn("depth", F.lit(o.tribl_offset))
@@ -165,7 +197,7 @@ class MemoryBasedLearner:
             deepest = steps.select("qid", "x.depth", "x.key").join(have, ["depth", "key"]).groupBy("qid").agg(F.max(F.struct("depth", "key")).alias("y")).select("qid", "y.depth", F.col("y.key").alias("block"))
             asked = queries.join(deepest, "qid")
             base = f.base.select("*", tree.prefixes(order).alias("x")).select(*f.base.columns, "x.depth", F.col("x.key").alias("block"))
-        pairs = self.found(asked, base, ["depth", "block"])
+        pairs = self.found(asked, base=base, block=["depth", "block"])
         hit = F.max("exact").over(Window.partitionBy("qid"))
         own = pairs.withColumn("hit", hit)
         near = vote.answers(search.buckets(own.where("not hit").drop("hit"), o.k), f.classes, o.k, o.decay, o.decay_a, o.decay_b)
@@ -173,12 +205,12 @@ class MemoryBasedLearner:
         out = near.unionByName(same)
         if o.algorithm == "TRIBL":
             rest = queries.join(out.select("qid"), "qid", "left_anti")
-            walked = self.descend(rest).select("qid", "predicted", "distance", F.lit(False).alias("tie"), F.lit(False).alias("exact"), F.lit(None).cast(out.schema["votes"].dataType).alias("votes"))
+            walked = tree.descend(rest, self.tree(), order, self._ordered()[1]).select("qid", "predicted", "distance", F.lit(False).alias("tie"), F.lit(False).alias("exact"), F.lit(None).cast(out.schema["votes"].dataType).alias("votes"))
             out = out.unionByName(walked)
         return out
 
     def neighbors(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        return search.neighbours(self.found(queries), k or self.options.k)
+        return search.neighbours(self.found(queries, k), k or self.options.k)
 
     def distribution(self, answered: DataFrame) -> DataFrame:
         """(qid, class, class_idx, w) as the options normalise and limit it."""
@@ -207,12 +239,39 @@ class MemoryBasedLearner:
         return evaluate.scores(evaluate.confusion(self.test(queries), classes), classes)
 
     def leave_one_out(self) -> DataFrame:
-        """Each training row classified by the others, with the weights of the whole table."""
+        """Each training row classified by the others: (qid, predicted, ..., class).
+
+        With ``sloppy`` the weights stay those of the whole table; else each row has those of the table without it.
+        """
         o, f = self.options, self._known()
+        if "exw" in f.base.columns:
+            raise ValueError("rows with weights can't be left out one by one")
         queries = f.instances.withColumn("qid", F.col("iid"))
-        shortcut = self.similarity is None and o.exact != "off" and (o.k == 1 or o.exact == "on")
-        near = search.buckets(self.found(queries, leave_out=True), o.k, shortcut)
-        return vote.answers(near, f.classes, o.k, o.decay, o.decay_a, o.decay_b).join(queries.select("qid", "class"), "qid")
+        plan = self.plan()
+        if not o.sloppy:
+            queries, plan = self._strict(queries, plan)
+        near = search.buckets(search.distances(queries, f.base, plan, o.k, self.similarity, leave_out=True), o.k, self._shortcut())
+        hidden = queries.select("qid", "class", S.occurrences(queries).alias("occ"))
+        return vote.answers(near, f.classes, o.k, o.decay, o.decay_a, o.decay_b, seed=o.random_seed, hidden=hidden).join(queries.select("qid", "class"), "qid")
+
+    def _strict(self, queries: DataFrame, plan: list[search.Feature]) -> tuple[DataFrame, list[search.Feature]]:
+        """Queries with their own weights and class distributions: of a feature they depend on the row's value and class alone."""
+        o, f = self.options, self._known()
+        if o.weighting == "sd" or o.diversify or any(m in NUMERICAL for m in f.metrics):
+            raise ValueError("leave-one-out without sloppy takes symbolic features and weights that aren't spreads")
+        out = []
+        without = S.weights_without(f.table) if o.weighting not in ("nw", "user") else None
+        for i, feature in enumerate(plan, 1):
+            name = feature.name
+            if without is not None:
+                own = without.where(F.col("fidx") == i).select(F.col("fval").alias(name), "class", F.col(o.weighting).alias(f"w__{name}"))
+                queries = queries.join(own, [name, "class"])
+                feature = replace(feature, own_weight=f"w__{name}")
+            if feature.probs is not None:
+                own = S.probs_without(f.table.where(F.col("fidx") == i), f.classes).select(F.col("fval").alias(name), "class", F.col("p").alias(f"{name}__p"), F.col("freq").alias(f"{name}__n"))
+                queries = queries.join(own, [name, "class"], "left")
+            out.append(feature)
+        return queries, out
 
     def cross_validate(self, instances: DataFrame, features: list[str], fold: str = "fold") -> DataFrame:
         """Each fold classified by a learner fitted on the others: (fold, qid, class, predicted, ...)."""
@@ -232,14 +291,20 @@ class MemoryBasedLearner:
         """Add rows, or with sign -1 take them away; all statistics are those of the new table."""
         if self.options.algorithm == "IGTREE":
             raise ValueError("a decision tree can't be edited")
+        if self.options.algorithm == "IB2" and sign < 0:
+            raise ValueError("rows can't be taken out of an edited base")
         f = self._known()
         return MemoryBasedLearner(self.options).fit(edit.changed(f.instances, rows, f.features, sign), f.features)
 
-    def select_features(self, n: int) -> list[str]:
-        """The n features of the largest weight, in their own order."""
+    def select_features(self, n: int) -> MemoryBasedLearner:
+        """A learner fitted anew on the n features that come first in the tree order."""
         f = self._known()
-        best = sorted(range(len(f.features)), key=lambda i: (-f.weights[i], i))[:n]
-        return [f.features[i] for i in sorted(best)]
+        best = sorted(f.order[:n])
+        own = ":".join(f"{f.metrics[i - 1]}{k}" for k, i in enumerate(best, 1) if f.metrics[i - 1] != self.options.global_metric)
+        options = self.options.but(metric=":".join(filter(None, (self.options.global_metric, own))))
+        if options.weights:
+            options = options.but(weights={str(k): self.options.weights[str(i)] for k, i in enumerate(best, 1)})
+        return MemoryBasedLearner(options).fit(f.instances, [f.features[i - 1] for i in best])
 
     # -- tables and files --------------------------------------------------------------------------------------
 
@@ -255,16 +320,38 @@ class MemoryBasedLearner:
         return self._known().table.groupBy("fidx").agg(F.array_sort(F.collect_set("fval")).alias("values"))
 
     def set_value_probs(self, probs: DataFrame) -> None:
-        self.given_probs = probs
+        """Class distributions ``(fidx, fval, class, p)`` that replace those of training; frequencies stay those of training."""
+        often = self._known().table.groupBy("fidx", "fval").agg(F.sum("cnt").alias("freq"))
+        self.given_probs = probs.select("fidx", "fval", "class", "p").join(often, ["fidx", "fval"])
 
     def set_value_distances(self, pairs: DataFrame) -> None:
         """Distances ``(fidx, v, w, d)`` that replace computed ones."""
         self.given_pairs = pairs.unionByName(pairs.select("fidx", F.col("w").alias("v"), F.col("v").alias("w"), "d")).distinct()
 
     def base_info(self) -> DataFrame:
-        """(depth, nodes) of the tree of patterns."""
+        """(depth, nodes, branching) of the tree of patterns."""
         return tree.sizes(self._known().base, self._ordered()[0])
 
+    def compression(self) -> DataFrame:
+        """One row: nodes, patterns, and the percentage of nodes that shared prefixes save."""
+        return tree.compression(self._known().base, self._ordered()[0])
+
+    def levels(self) -> DataFrame:
+        """(depth, key, class, cnt): the class distribution of each prefix."""
+        return tree.levels(self._known().base, self._ordered()[0])
+
+    def examples(self, queries: DataFrame, k: int | None = None, most: int | None = None) -> DataFrame:
+        """The patterns at the k nearest distances of each query, ``max_neighbours`` of a distance at most."""
+        f = self._known()
+        return search.examples(self._asked(queries), f.base, self.plan(), k or self.options.k, most or self.options.max_neighbours, self.similarity, "exw" in f.base.columns)
+
+    def settings(self) -> str:
+        """Options, classes, and metrics, weights and statistics of the features, as JSON."""
+        f = self._known()
+        rows = [{"number": i, "name": n, "metric": m, "weight": w, **f.measures[i]} for i, (n, m, w) in enumerate(zip(f.features, f.metrics, f.weights, strict=True), 1)]
+        classes = [r["class"] for r in f.classes.orderBy("class_idx").collect()]
+        return json.dumps({"options": asdict(self.options), "classes": classes, "features": rows, "order": f.order})
+
     def save(self, path: str) -> None:
         f = self._known()
         f.instances.write.mode("overwrite").parquet(f"{path}/instances")

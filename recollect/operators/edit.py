@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.statistics import occurrences
+from ..storage import cut
+from . import search
 
-#: IB2 looks at rows one after the other, in one task; more rows than this are refused.
-IB2_ROWS = 200_000
+#: Rows that IB2 takes in one block.
+BLOCK = 8_192
 
 
 def changed(instances: DataFrame, rows: DataFrame, features: list[str], sign: int = 1) -> DataFrame:
@@ -30,42 +32,71 @@ def seeded(rows: DataFrame, n: int, features: list[str]) -> DataFrame:
     return rows.orderBy("iid").limit(n)
 
 
-def ib2(rows: DataFrame, features: list[str], weights: list[float], seed: int) -> DataFrame:
-    """The first ``seed`` rows, and each later one that those kept so far classify wrongly (overlap, one distance)."""
-    if rows.limit(IB2_ROWS + 1).count() > IB2_ROWS:
-        raise ValueError(f"IB2 takes at most {IB2_ROWS} rows")
-    schema = rows.select("iid", *features, "class").schema
+def ib2(rows: DataFrame, features: list[str], weights: list[float], classes: DataFrame, seed: int, block: int = BLOCK) -> DataFrame:
+    """The first ``seed`` rows, and each later one that those kept so far classify wrongly (overlap, one distance).
 
-    def select(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(parts), ignore_index=True)
-        if not len(df):
-            return
+    Rows are taken in blocks of about ``block`` in their order. A block is searched against what is kept by the
+    grid, in parallel; what rows of the block add is then compared with the block's later rows only, one after
+    the other, in one task of bounded size. ``classes`` has a row for each class.
+    """
+    columns = ["iid", *features, "class"]
+    rows = rows.select(*columns)
+    plan = [search.Feature(f, "O", w) for f, w in zip(features, weights, strict=True)]
+    number = {r["class"]: (r["class_idx"], r["gfreq"]) for r in classes.collect()}
+    kept = cut(seeded(rows, seed, features))
+    last, total = kept.agg(F.max("iid")).first()[0], rows.count()
+    rest = rows.where(F.col("iid") > last) if last is not None else rows
+    parts = max(1, -(-(total - seed) // block))
+    shares = ", ".join(str(k / parts) for k in range(1, parts)) or "0.5"
+    bounds = rest.selectExpr(f"percentile_approx(iid, array({shares}), 100000) AS b").first()["b"] or []
+    low = last
+    for high in [*(bounds if parts > 1 else []), None]:
+        if high is not None and (high is None or low is None or high <= low):
+            continue
+        own = rest.where(F.lit(True) if low is None else F.col("iid") > low).where(F.lit(True) if high is None else F.col("iid") <= high)
+        near = search.buckets(search.distances(own.withColumn("qid", F.col("iid")), search.base_table(kept, features), plan, 1), 1)
+        known = near.groupBy(F.col("qid").alias("iid")).agg(F.collect_list(F.struct("d", "class", "cnt")).alias("near"))
+        added = own.join(known, "iid", "left").withColumn("block", F.lit(0)).groupBy("block").applyInPandas(_selector(features, weights, number), rows.schema)
+        kept, low = cut(kept.unionByName(added)), high
+    return kept
+
+
+def _selector(features: list[str], weights: list[float], number: dict[str, tuple[int, int]]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    order = sorted(number, key=lambda c: number[c][0])
+    place, often = {c: i for i, c in enumerate(order)}, np.array([number[c][1] for c in order], dtype=float)
+    w = np.array(weights)
+
+    def select(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("iid", ignore_index=True)
         codes = np.stack([pd.factorize(df[f])[0] for f in features], axis=1)
-        label, names = pd.factorize(df["class"])
-        often = np.bincount(label, minlength=len(names)).astype(float)
-        w = np.array(weights)
-        kept = list(range(min(seed, len(df))))
-        known = np.empty((len(df), len(features)), dtype=codes.dtype)
-        known[: len(kept)] = codes[kept]
-        for i in range(len(kept), len(df)):
-            d = np.round((known[: len(kept)] != codes[i]) @ w, 10)
-            answer = _vote(d, label[kept], often)
-            if answer != label[i]:
-                known[len(kept)] = codes[i]
+        label = df["class"].map(place).to_numpy()
+        new = np.empty((len(df), len(features)), dtype=codes.dtype)
+        kept: list[int] = []
+        for i, near in enumerate(df["near"]):
+            d = np.round((new[: len(kept)] != codes[i]) @ w, 10)
+            votes: dict[float, np.ndarray] = {}
+            for x in near if near is not None else ():
+                votes.setdefault(x["d"], np.zeros(len(often)))[place[x["class"]]] += x["cnt"]
+            for x in np.unique(d)[:2]:
+                votes.setdefault(float(x), np.zeros(len(often)))
+                votes[float(x)] += np.bincount(label[kept][d == x], minlength=len(often))
+            if _vote(votes, often) != label[i]:
+                new[len(kept)] = codes[i]
                 kept.append(i)
-        yield df.iloc[kept][["iid", *features, "class"]]
+        return df.iloc[kept][["iid", *features, "class"]]
 
-    return rows.select("iid", *features, "class").coalesce(1).mapInPandas(select, schema)
+    return select
 
 
-def _vote(d: np.ndarray, label: np.ndarray, often: np.ndarray) -> int:
+def _vote(votes: dict[float, np.ndarray], often: np.ndarray) -> int:
     """Class of the nearest distance; a tie looks one distance further, then at frequencies, then at the first class."""
-    levels = np.unique(d)
-    count = np.bincount(label[d == levels[0]], minlength=len(often))
+    levels = sorted(votes)
+    if not levels:
+        return -1
+    count = votes[levels[0]]
     tied = np.flatnonzero(count == count.max())
     if len(tied) > 1 and len(levels) > 1:
-        more = np.bincount(label[d <= levels[1]], minlength=len(often))
+        more = count + votes[levels[1]]
         best = np.flatnonzero(more == more.max())
         if len(best) == 1:
             return int(best[0])

@@ -1,17 +1,30 @@
-"""Nearest-neighbour search over distinct distances: k counts distances, and a bucket has all instances at one distance."""
+"""Nearest-neighbour search over distinct distances: k counts distances, and a bucket has all instances at one distance.
+
+The search lays a grid over queries and patterns: parts of the queries meet blocks of the patterns, each
+meeting is a task's group of bounded size, and only the k + 1 nearest distances of a query leave it, as counts
+by class. What metrics need of a value (its class distribution, given distances) is joined to the rows first, so
+no table of all pairs of values is made. Where rows must agree in some columns (``block``), an equi-join
+takes the grid's place and distances are column expressions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.statistics import EPSILON, numeric
 
-#: A side of at most this many rows is broadcast; beyond it Spark chooses how to join.
-BROADCAST_ROWS = 200_000
+#: Patterns of a block and queries of a part (about), and distances held at once.
+BLOCK, PART, HELD = 50_000, 4_096, 2_000_000
+#: Up to so many distances are found by repeated minima, more by sorting.
+FEW = 12
 #: Distances are equal if they agree to so many decimals.
 DECIMALS = 10
 INT_MAX = 2147483647.0
@@ -19,47 +32,55 @@ INT_MAX = 2147483647.0
 
 @dataclass(frozen=True)
 class Feature:
-    """How a column enters the distance: its metric's code, weight, numeric range, and a table of value pairs if it needs one."""
+    """How a column enters the distance: its metric's code, weight and numeric range; the class distribution of
+    values ``(fval, p, freq)`` and below which frequency it isn't used; distances ``(v, ds)`` that replace computed
+    ones; a column of the queries with weights of their own."""
 
     name: str
     metric: str = "O"
     weight: float = 1.0
     width: float = 1.0
-    pairs: DataFrame | None = None
-
+    probs: DataFrame | None = None
+    least: int = 1
+    given: DataFrame | None = None
+    own_weight: str | None = None
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
-
-def delta(feature: Feature, a: Column, b: Column) -> Column:
-    """Unweighted distance of two values of a feature without a table."""
-    if feature.metric == "O":
-        return M.overlap(a, b)
-    if feature.metric == "N":
-        return M.numeric_distance(a, b, feature.width)
-    if feature.metric == "E":
-        return M.euclidean(a, b, feature.width)
-    if feature.metric == "DC":
-        return M.dice(a, b)
-    raise ValueError(f"{feature.metric} needs a table of pairs")
+def delta(f: Feature, a: Column, b: Column) -> Column:
+    """Unweighted distance of two values of a feature, ``q_<name>`` and ``p_<name>`` with what was joined to them."""
+    if f.metric == "O":
+        d = M.overlap(a, b)
+    elif f.metric == "N":
+        d = M.numeric_distance(a, b, f.width)
+    elif f.metric == "E":
+        d = M.euclidean(a, b, f.width)
+    elif f.metric == "DC":
+        d = M.dice(a, b)
+    elif f.metric == "L":
+        d = M.levenshtein(a, b)
+    else:
+        own = lambda side, what: F.col(f"{side}_{f.name}__{what}")
+        both = F.least(F.coalesce(own("q", "n"), F.lit(0)), F.coalesce(own("p", "n"), F.lit(0)))
+        d = F.when(both < max(f.least, 1), 1.0).otherwise(M.distribution_distance(own("q", "p"), own("p", "p"), f.metric))
+    if f.given is not None:
+        d = F.coalesce(F.element_at(F.col(f"q_{f.name}__g"), b), d)
+    return F.when(a.eqNullSafe(b), 0.0).otherwise(d)
 
 
 def distance(features: list[Feature], similarity: str | None = None) -> Column:
-    """Distance between ``q_<name>`` and ``p_<name>``, rounded; tables are joined as ``d_<name>``."""
+    """Distance between ``q_<name>`` and ``p_<name>``, rounded."""
+    weight = lambda f: F.col(f"q_{f.own_weight}") if f.own_weight else F.lit(f.weight)
     if similarity:
         x = lambda f: F.coalesce(numeric(F.col(f"q_{f.name}")), F.lit(0.0))
         y = lambda f: F.coalesce(numeric(F.col(f"p_{f.name}")), F.lit(0.0))
-        add = lambda g: sum((F.lit(f.weight) * g(f) for f in features), F.lit(0.0))
+        add = lambda g: sum((weight(f) * g(f) for f in features), F.lit(0.0))
         dot = add(lambda f: x(f) * y(f))
         if similarity == "D":
             return F.round((F.lit(INT_MAX) - dot) / INT_MAX, DECIMALS)
         return F.round(1.0 - dot / (F.sqrt(add(lambda f: x(f) * x(f)) * add(lambda f: y(f) * y(f))) + EPSILON), DECIMALS)
     total = F.lit(0.0)
     for f in features:
-        a, b = F.col(f"q_{f.name}"), F.col(f"p_{f.name}")
-        d = F.when(a == b, 0.0).otherwise(F.coalesce(F.col(f"d_{f.name}"), F.lit(1.0))) if f.pairs is not None else delta(f, a, b)
-        total = total + F.lit(f.weight) * d
+        total = total + weight(f) * delta(f, F.col(f"q_{f.name}"), F.col(f"p_{f.name}"))
     return F.round(total, DECIMALS)
 
 
@@ -70,39 +91,246 @@ def base_table(instances: DataFrame, features: list[str], exemplar: bool = False
     return instances.groupBy(*features, "class").agg(F.sum(occ).alias("cnt"), *more).where("cnt > 0")
 
 
-def distances(queries: DataFrame, base: DataFrame, features: list[Feature], similarity: str | None = None, exemplar: bool = False, block: list[str] | None = None, leave_out: bool = False) -> DataFrame:
-    """(qid, d, exact, class, cnt): what the base holds at each distance of each query.
+def _joined(rows: DataFrame, features: list[Feature], side: str) -> DataFrame:
+    """Rows with ``<side>_<name>`` columns, plus what metrics need of their values."""
+    for f in features:
+        key = f"{side}_{f.name}"
+        if f.probs is not None and f"{key}__p" not in rows.columns:
+            rows = rows.join(f.probs.select(F.col("fval").alias(key), F.col("p").alias(f"{key}__p"), F.col("freq").alias(f"{key}__n")), key, "left")
+        if f.given is not None and side == "q":
+            rows = rows.join(f.given.select(F.col("v").alias(key), F.col("ds").alias(f"{key}__g")), key, "left")
+    return rows
 
-    Without ``block`` all pairs are looked at, one side broadcast where its size allows; with it only pairs
-    that agree in those columns (an equi-join). Counts are summed before anything is shuffled, so for
-    symbolic features few rows leave a task. ``leave_out`` takes the query itself out of its own pattern.
-    """
+
+def sides(queries: DataFrame, base: DataFrame, features: list[Feature], keys: list[str], exemplar: bool, leave_out: bool) -> tuple[DataFrame, DataFrame]:
     names = [f.name for f in features]
-    keys = block or []
-    q = queries.select("qid", *(F.col(n).alias(f"q_{n}") for n in names), *(F.col(c) for c in keys), *([F.col("class").alias("q_class")] if leave_out else []))
+    more = [c for f in features for c in (f"{f.name}__p", f"{f.name}__n") if c in queries.columns]
+    own = [f.own_weight for f in features if f.own_weight]
+    hidden = [F.col("class").alias("q_class"), (F.col("occ").cast("long") if "occ" in queries.columns else F.lit(1).cast("long")).alias("q_occ")] if leave_out else []
+    q = queries.select("qid", *(F.col(n).alias(f"q_{n}") for n in [*names, *more, *own]), *(F.col(c) for c in keys), *hidden)
     p = base.select(*(F.col(n).alias(f"p_{n}") for n in names), *(F.col(c) for c in keys), "class", "cnt", *(["exw"] if exemplar else []))
-    if keys:
-        pairs = p.join(q, keys)
-    elif queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        pairs = p.crossJoin(F.broadcast(q))
-    else:
-        pairs = q.crossJoin(small(p))
-    for f in features:
-        if f.pairs is not None:
-            table = f.pairs.select(F.col("v").alias(f"q_{f.name}"), F.col("w").alias(f"p_{f.name}"), F.col("d").alias(f"d_{f.name}"))
-            pairs = pairs.join(table, [f"q_{f.name}", f"p_{f.name}"], "left")
+    return _joined(q, features, "q"), _joined(p, features, "p")
+
+
+def distances(queries: DataFrame, base: DataFrame, features: list[Feature], k: int, similarity: str | None = None, exemplar: bool = False, block: list[str] | None = None, leave_out: bool = False) -> DataFrame:
+    """(qid, d, exact, class, cnt): what the base holds at the k + 1 nearest distances of each query, at least.
+
+    With ``block`` only rows that agree in those columns are compared. ``leave_out`` takes the query itself
+    out of its own pattern.
+    """
+    q, p = sides(queries, base, features, block or [], exemplar, leave_out)
+    if not block:
+        return _grid(q, p, features, k, similarity, exemplar, leave_out)
     exact = F.lit(True)
-    for n in names:
-        exact = exact & F.col(f"q_{n}").eqNullSafe(F.col(f"p_{n}"))
+    for f in features:
+        exact = exact & F.col(f"q_{f.name}").eqNullSafe(F.col(f"p_{f.name}"))
     d = distance(features, similarity)
     if exemplar:
         d = F.round(d / (F.col("exw") + EPSILON), DECIMALS)
-    pairs = pairs.withColumn("d", d).withColumn("exact", exact)
+    pairs = p.join(q, block).withColumn("d", d).withColumn("exact", exact)
     if leave_out:
-        pairs = pairs.withColumn("cnt", F.col("cnt") - F.when(F.col("exact") & (F.col("class") == F.col("q_class")), 1).otherwise(0)).where("cnt > 0")
+        pairs = pairs.withColumn("cnt", F.col("cnt") - F.when(F.col("exact") & (F.col("class") == F.col("q_class")), F.col("q_occ")).otherwise(0)).where("cnt > 0")
     return pairs.groupBy("qid", "d", "exact", "class").agg(F.sum("cnt").alias("cnt"))
 
 
+def examples(queries: DataFrame, base: DataFrame, features: list[Feature], k: int, most: int, similarity: str | None = None, exemplar: bool = False) -> DataFrame:
+    """(qid, k, distance, place, pattern, class, cnt): the patterns at the k nearest distances, ``most`` of a distance at most, in the order of their values."""
+    q, p = sides(queries, base, features, [], exemplar, False)
+    found = _grid(q, p, features, k, similarity, exemplar, False, most)
+    by = Window.partitionBy("qid")
+    ranked = found.withColumn("k", F.dense_rank().over(by.orderBy("d")).cast("long")).withColumn("place", F.row_number().over(Window.partitionBy("qid", "d").orderBy("pattern", "class")).cast("long"))
+    return ranked.where((F.col("k") <= k) & (F.col("place") <= most)).select("qid", "k", F.col("d").alias("distance"), "place", "pattern", "class", "cnt")
+
+
+def _grid(q: DataFrame, p: DataFrame, features: list[Feature], k: int, similarity: str | None, exemplar: bool, leave_out: bool, shown: int = 0) -> DataFrame:
+    tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = q.count()
+    blocks = max(1, -(-p.count() // BLOCK))
+    parts = max(1, -(-n // PART), min(2 * tasks, n // 256))
+    q = q.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    p = p.withColumn("block", F.pmod(F.xxhash64(*(f"p_{f.name}" for f in features), "class"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # Frames don't travel to tasks.
+    plain = [Feature(f.name, f.metric, f.weight, f.width, None, f.least, None, f.own_weight) for f in features]
+    given = {f.name for f in features if f.given is not None}
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _met(left, right, plain, given, k, similarity, exemplar, leave_out, shown)
+
+    qid = q.schema["qid"].dataType.simpleString()
+    if shown:
+        return q.groupBy("part", "block").cogroup(p.groupBy("part", "block")).applyInArrow(meet, f"qid {qid}, d double, class string, pattern string, cnt long")
+    met = q.groupBy("part", "block").cogroup(p.groupBy("part", "block")).applyInArrow(meet, f"qid {qid}, d double, exact boolean, class string, cnt long")
+    return met.groupBy("qid", "d", "exact", "class").agg(F.sum("cnt").alias("cnt"))
+
+
+# -- one meeting of queries and patterns, in NumPy -----------------------------------------------------------------
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    c = table.column(name).combine_chunks()
+    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+
+
+def _coded(q: pa.Array, p: pa.Array) -> tuple[np.ndarray, np.ndarray, list, list, np.ndarray, np.ndarray]:
+    """Codes of values on both sides (equal values have equal codes, those the patterns lack are negative), the values, and codes within the queries."""
+    q, p = q.cast(pa.string()).dictionary_encode(null_encoding="encode"), p.cast(pa.string()).dictionary_encode(null_encoding="encode")
+    at = pc.index_in(q.dictionary, p.dictionary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+    own = q.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    there = p.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    return at[own] if len(at) else own, there, q.dictionary.to_pylist(), p.dictionary.to_pylist(), own, at
+
+
+def _numbers(values: list, codes: np.ndarray) -> np.ndarray:
+    def number(x: str | None) -> float:
+        try:
+            return float(x) if x is not None and "_" not in x else np.nan
+        except ValueError:
+            return np.nan
+
+    return np.array([number(v) for v in values] or [np.nan])[codes]
+
+
+def _distributions(column: pa.Array, freq: pa.Array, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class distribution and frequency of each value; zeros for one unknown in training."""
+    _, first = np.unique(codes, return_index=True)
+    rows = column.take(pa.array(first)).to_pylist()
+    width = max((len(r) for r in rows if r is not None), default=0)
+    out = np.zeros((n, width))
+    for i, r in enumerate(rows):
+        if r is not None:
+            out[i] = r
+    return out, np.nan_to_num(freq.take(pa.array(first)).to_numpy(zero_copy_only=False).astype(float))
+
+
+def _value_distances(f: Feature, left: pa.Table, right: pa.Table, codes: tuple, given: bool) -> np.ndarray:
+    """Distances of all values of the queries and of the patterns in this meeting."""
+    _, there, asked, known, own, at = codes
+    if f.metric in ("M", "J", "S"):
+        x, nx = _distributions(_column(left, f"q_{f.name}__p"), _column(left, f"q_{f.name}__n"), own, len(asked))
+        y, ny = _distributions(_column(right, f"p_{f.name}__p"), _column(right, f"p_{f.name}__n"), there, len(known))
+        d = M.distribution_distances(x, y, f.metric)
+        d[np.minimum(nx[:, None], ny[None, :]) < max(f.least, 1)] = 1.0
+    elif f.metric in ("L", "DC"):
+        one = M.edits if f.metric == "L" else M.letter_distance
+        d = np.array([[float(one(a, b)) for b in known] for a in asked]).reshape(len(asked), len(known))
+    else:
+        d = np.ones((len(asked), len(known)))
+    if given:
+        place = {v: j for j, v in enumerate(known)}
+        _, first = np.unique(own, return_index=True)
+        for i, pairs in enumerate(_column(left, f"q_{f.name}__g").take(pa.array(first)).to_pylist()):
+            for v, x in pairs or ():
+                if v in place:
+                    d[i, place[v]] = x
+    same = np.flatnonzero(at >= 0)
+    d[same, at[same]] = 0.0
+    return d
+
+
+def _feature_distance(f: Feature, left: pa.Table, right: pa.Table, codes: tuple, given: bool) -> Callable[[slice], np.ndarray]:
+    """Distances of a run of queries to all patterns, in one feature."""
+    asked, there, values, known, own, _ = codes
+    if f.metric == "O" and not given:
+        return lambda s: asked[s, None] != there[None, :]
+    if f.metric in ("N", "E") and not given:
+        x, y = _numbers(values, own), _numbers(known, there)
+
+        def numbers(s: slice) -> np.ndarray:
+            d = np.abs(x[s, None] - y[None, :]) if f.metric == "N" else np.sqrt(np.abs((x * x)[s, None] - (y * y)[None, :]))
+            return np.where(asked[s, None] == there[None, :], 0.0, np.nan_to_num(d / f.width, nan=1.0))
+
+        return numbers
+    table = _value_distances(f, left, right, codes, given)
+    return lambda s: table[own[s]][:, there]
+
+
+def _nearest(d: np.ndarray, k: int) -> np.ndarray:
+    """For each row the k-th smallest different value, or the largest if there are fewer."""
+    if k <= FEW:
+        limit = d.min(axis=1)
+        for _ in range(k - 1):
+            above = np.where(d > limit[:, None], d, np.inf).min(axis=1)
+            limit = np.where(np.isinf(above), limit, above)
+        return limit
+    out = np.empty(len(d))
+    for i, row in enumerate(d):
+        values = np.unique(row[np.isfinite(row)])
+        out[i] = values[min(k, len(values)) - 1] if len(values) else np.inf
+    return out
+
+
+def _met(left: pa.Table, right: pa.Table, features: list[Feature], given: set[str], k: int, similarity: str | None, exemplar: bool, leave_out: bool, shown: int = 0) -> pa.Table:
+    middle = [("class", pa.string()), ("pattern", pa.string())] if shown else [("exact", pa.bool_()), ("class", pa.string())]
+    schema = pa.schema([("qid", left.schema.field("qid").type), ("d", pa.float64()), *middle, ("cnt", pa.int64())])
+    n, m = left.num_rows, right.num_rows
+    if not n or not m:
+        return schema.empty_table()
+    codes = {f.name: _coded(_column(left, f"q_{f.name}"), _column(right, f"p_{f.name}")) for f in features}
+    label, classes = (x := _column(right, "class").dictionary_encode()).indices.to_numpy(zero_copy_only=False), x.dictionary
+    count = _column(right, "cnt").to_numpy(zero_copy_only=False)
+    divisor = _column(right, "exw").to_numpy(zero_copy_only=False) + EPSILON if exemplar else None
+    weights = [_column(left, f"q_{f.own_weight}").to_numpy(zero_copy_only=False)[:, None] if f.own_weight else np.full((n, 1), f.weight) for f in features]
+    if leave_out:
+        mine = pc.index_in(_column(left, "q_class"), classes).fill_null(-1).to_numpy(zero_copy_only=False)
+        times = _column(left, "q_occ").to_numpy(zero_copy_only=False)
+    if similarity:
+        x, y = (np.nan_to_num(np.column_stack([_numbers(codes[f.name][2 + side], codes[f.name][4 if side == 0 else 1]) for f in features])) for side in (0, 1))
+        w = np.array([f.weight for f in features])
+    else:
+        one = [_feature_distance(f, left, right, codes[f.name], f.name in given) for f in features]
+    step, parts = max(1, HELD // m), []
+    if shown:
+        pattern = np.array([" ".join(v) for v in zip(*(_column(right, f"p_{f.name}").cast(pa.string()).to_pylist() for f in features), strict=True)])
+        names = np.array(classes.to_pylist())[label]
+    for at in range(0, n, step):
+        s = slice(at, min(n, at + step))
+        if similarity:
+            dot = (x[s] * w) @ y.T
+            d = (INT_MAX - dot) / INT_MAX if similarity == "D" else 1.0 - dot / (np.sqrt(((x[s] * x[s]) @ w)[:, None] * ((y * y) @ w)[None, :]) + EPSILON)
+        else:
+            d = np.zeros((s.stop - s.start, m))
+            for weight, f in zip(weights, one, strict=True):
+                d += weight[s] * f(s)
+        d = np.round(d, DECIMALS)
+        if exemplar:
+            d = np.round(d / divisor[None, :], DECIMALS)
+        if leave_out:
+            same = label[None, :] == mine[s, None]
+            for f in features:
+                same &= codes[f.name][0][s, None] == codes[f.name][1][None, :]
+            d[same & (count[None, :] <= times[s, None])] = np.inf
+        i, j = np.nonzero((d <= _nearest(d, k + 1 - bool(shown))[:, None]) & np.isfinite(d))
+        if shown:
+            order = np.lexsort((names[j], pattern[j], d[i, j], i))
+            i, j = i[order], j[order]
+            start = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (d[i, j][1:] != d[i, j][:-1]))))
+            keep = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < shown
+            i, j = i[keep], j[keep]
+            qid = _column(left, "qid").slice(s.start, s.stop - s.start).take(pa.array(i))
+            parts.append(pa.Table.from_arrays([qid, pa.array(d[i, j]), classes.take(pa.array(label[j])), pa.array(pattern[j].tolist(), pa.string()), pa.array(count[j], pa.int64())], schema=schema))
+            continue
+        exact = np.ones(len(i), dtype=bool)
+        for f in features:
+            exact &= codes[f.name][0][s][i] == codes[f.name][1][j]
+        own = count[j] - (np.where(same[i, j], times[s][i], 0) if leave_out else 0)
+        parts.append(_summed(_column(left, "qid").slice(s.start, s.stop - s.start), i, d[i, j], exact, label[j], own, classes, schema))
+    return pa.concat_tables(parts)
+
+
+def _summed(qid: pa.Array, i: np.ndarray, d: np.ndarray, exact: np.ndarray, label: np.ndarray, count: np.ndarray, classes: pa.Array, schema: pa.Schema) -> pa.Table:
+    order = np.lexsort((label, exact, d, i))
+    i, d, exact, label, count = i[order], d[order], exact[order], label[order], count[order]
+    new = np.ones(len(i), dtype=bool)
+    if len(i):
+        new[1:] = (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (exact[1:] != exact[:-1]) | (label[1:] != label[:-1])
+    start = np.flatnonzero(new)
+    total = np.add.reduceat(count, start) if len(start) else count
+    return pa.Table.from_arrays([qid.take(pa.array(i[start])), pa.array(d[start]), pa.array(exact[start]), classes.take(pa.array(label[start])), pa.array(total, pa.int64())], schema=schema)
+
+
+# -- buckets -------------------------------------------------------------------------------------------------------
+
+
 def buckets(found: DataFrame, k: int, shortcut: bool = False) -> DataFrame:
     """The k + 1 nearest distances: (qid, r, d, class, cnt). With the shortcut an identical pattern alone is the first bucket."""
     ranked = found.withColumn("r", F.dense_rank().over(Window.partitionBy("qid").orderBy("d"))).where(F.col("r") <= k + 1)

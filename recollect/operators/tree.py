@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Separates the values in a prefix's key.
-MARK = "\x1f"
-
 
 def prefix(order: list[str], depth: int) -> Column:
-    """Key of the first ``depth`` values."""
-    return F.concat_ws(MARK, *(F.col(f) for f in order[:depth])) if depth else F.lit("")
+    """The first ``depth`` values as an array, the key of a node."""
+    return F.array(*(F.col(f) for f in order[:depth])).cast("array<string>") if depth else F.array().cast("array<string>")
 
 
 def prefixes(order: list[str], least: int = 0) -> Column:
@@ -21,40 +18,64 @@ def prefixes(order: list[str], least: int = 0) -> Column:
 def nodes(base: DataFrame, order: list[str], classes: DataFrame) -> DataFrame:
     """(depth, key, default, n): the majority class under each prefix."""
     cells = base.select(prefixes(order).alias("x"), "class", "cnt").groupBy("x.depth", "x.key", "class").agg(F.sum("cnt").alias("cnt"))
-    best = cells.join(F.broadcast(classes), "class").groupBy("depth", "key").agg(F.max(F.struct("cnt", "gfreq", (-F.col("class_idx")).alias("i"), "class")).alias("best"), F.sum("cnt").alias("n"))
+    best = cells.join(classes, "class").groupBy("depth", "key").agg(F.max(F.struct("cnt", "gfreq", (-F.col("class_idx")).alias("i"), "class")).alias("best"), F.sum("cnt").alias("n"))
     return best.select("depth", "key", F.col("best.class").alias("default"), "n")
 
 
 def pruned(tree: DataFrame, depth: int) -> DataFrame:
-    """The tree without nodes that answer as their parent does, from the bottom up, unless a node below them stays."""
-    parts = F.split("key", MARK)
-    rows = tree.withColumn("up", F.when(F.col("depth") <= 1, F.lit("")).otherwise(F.array_join(F.slice(parts, F.lit(1), F.col("depth") - 1), MARK)))
-    kept = None
-    for t in range(depth, 0, -1):
-        level = rows.where(F.col("depth") == t).join(tree.where(F.col("depth") == t - 1).select(F.col("key").alias("up"), F.col("default").alias("above")), "up")
-        if kept is None:
-            stay = level.where("`default` != above")
+    """The tree without nodes that answer as their parent does, from the bottom up, unless a node below them stays; with ``leaf``."""
+    rows = tree.withColumn("up", F.when(F.col("depth") > 0, F.slice("key", F.lit(1), F.greatest(F.col("depth") - 1, F.lit(0)))))
+    kept, below, out = None, None, []
+    for t in range(depth, -1, -1):
+        level = rows.where(F.col("depth") == t)
+        if t:
+            level = level.join(tree.where(F.col("depth") == t - 1).select(F.col("key").alias("up"), F.col("default").alias("above")), "up")
+        stays = F.lit(True) if not t else ~F.col("default").eqNullSafe(F.col("above"))
+        if below is not None:
+            level = level.join(below, "key", "left")
+            stays = stays | F.coalesce("has", F.lit(False))
         else:
-            below = kept.where(F.col("depth") == t + 1).select(F.col("up").alias("key")).distinct().withColumn("has", F.lit(True))
-            stay = level.join(below, "key", "left").where("`default` != above or has").drop("has")
-        stay = stay.select("depth", "key", "default", "n", "up")
-        kept = stay if kept is None else kept.unionByName(stay)
-    return tree.where("depth = 0").unionByName(kept.drop("up")) if kept is not None else tree
+            level = level.withColumn("has", F.lit(False))
+        kept = level.where(stays).select("depth", "key", "default", "n", "up", (~F.coalesce("has", F.lit(False))).alias("leaf"))
+        below = kept.select(F.col("up").alias("key")).distinct().withColumn("has", F.lit(True))
+        out.append(kept.drop("up"))
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def descend(queries: DataFrame, tree: DataFrame, order: list[str], weights: list[float]) -> DataFrame:
-    """(qid, predicted, distance, depth): the default of the deepest prefix that the tree has; the distance is the weight of the rest."""
+    """(qid, predicted, distance, depth, leaf): the default of the deepest prefix that the tree has; the distance is the weight of the rest.
+
+    ``leaf``: nothing lies below that prefix in the tree.
+    """
     steps = queries.select("qid", prefixes(order).alias("x")).select("qid", "x.depth", "x.key")
-    deepest = steps.join(tree, ["depth", "key"]).groupBy("qid").agg(F.max(F.struct("depth", "default")).alias("x"))
+    leaf = F.col("leaf") if "leaf" in tree.columns else F.col("depth") == len(order)
+    deepest = steps.join(tree.withColumn("leaf", leaf), ["depth", "key"]).groupBy("qid").agg(F.max(F.struct("depth", "default", "leaf")).alias("x"))
     rest = F.element_at(F.array(*(F.lit(float(sum(weights[t:]))) for t in range(len(order) + 1))), F.col("x.depth") + 1)
-    return deepest.select("qid", F.col("x.default").alias("predicted"), F.round(rest, 10).alias("distance"), F.col("x.depth").cast("long").alias("depth"))
+    return deepest.select("qid", F.col("x.default").alias("predicted"), F.round(rest, 10).alias("distance"), F.col("x.depth").cast("long").alias("depth"), F.col("x.leaf").alias("leaf"))
 
 
 def blocked(rows: DataFrame, order: list[str], depth: int) -> DataFrame:
-    """``rows`` with the key of their first ``depth`` values as ``block``."""
+    """``rows`` with their first ``depth`` values as ``block``."""
     return rows.withColumn("block", prefix(order, depth))
 
 
+def levels(base: DataFrame, order: list[str]) -> DataFrame:
+    """(depth, key, class, cnt): the class distribution of each prefix."""
+    return base.select(prefixes(order).alias("x"), "class", "cnt").groupBy("x.depth", "x.key", "class").agg(F.sum("cnt").alias("cnt"))
+
+
 def sizes(base: DataFrame, order: list[str]) -> DataFrame:
-    """(depth, nodes): how many prefixes of each length the base has."""
-    return base.select(prefixes(order, 1).alias("x")).select("x.*").distinct().groupBy("depth").agg(F.count("*").alias("nodes"))
+    """(depth, nodes, branching): how many prefixes of each length the base has, and how many each shorter one has on average."""
+    own = base.select(prefixes(order).alias("x")).select("x.*").distinct().groupBy("depth").agg(F.count("*").alias("nodes"))
+    above = own.select((F.col("depth") + 1).alias("depth"), F.col("nodes").alias("above"))
+    return own.join(above, "depth").select("depth", "nodes", (F.col("nodes") / F.col("above")).alias("branching"))
+
+
+def compression(base: DataFrame, order: list[str]) -> DataFrame:
+    """One row: nodes of the tree (one for each prefix, and a last one for each pattern), patterns, and the percentage of nodes that shared prefixes save."""
+    every = sizes(base, order).agg(F.sum("nodes").alias("inner"), F.max(F.when(F.col("depth") == len(order), F.col("nodes"))).alias("patterns"))
+    nodes_ = F.col("inner") + F.col("patterns")
+    return every.select(nodes_.alias("nodes"), "patterns", (100 * (1 - nodes_ / (F.col("patterns") * (len(order) + 1)))).alias("saved"))

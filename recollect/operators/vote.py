@@ -21,36 +21,42 @@ def factor(decay: str, d: Column, near: Column, far: Column, r: Column, a: float
 
 
 def votes(buckets: DataFrame, k: int, decay: str = "Z", a: float = 1.0, b: float = 1.0) -> DataFrame:
-    """(qid, class, v, v1): votes over the k nearest buckets, and over one more."""
+    """(qid, class, v, v1, near): votes over the k nearest buckets, and over one more; the nearest distance."""
     by = Window.partitionBy("qid")
     near = F.min("d").over(by)
     far = lambda upto: F.max(F.when(F.col("r") <= upto, F.col("d"))).over(by)
     df = buckets.withColumn("near", near).withColumn("far", far(k)).withColumn("far1", far(k + 1))
     weigh = lambda end: F.col("cnt") * factor(decay, F.col("d"), F.col("near"), F.col(end), F.col("r"), a, b)
-    return df.groupBy("qid", "class").agg(F.coalesce(F.sum(F.when(F.col("r") <= k, weigh("far"))), F.lit(0.0)).alias("v"), F.sum(weigh("far1")).alias("v1"))
+    return df.groupBy("qid", "class").agg(F.coalesce(F.sum(F.when(F.col("r") <= k, weigh("far"))), F.lit(0.0)).alias("v"), F.sum(weigh("far1")).alias("v1"), F.min("near").alias("near"))
 
 
-def answers(buckets: DataFrame, classes: DataFrame, k: int, decay: str = "Z", a: float = 1.0, b: float = 1.0, retry: bool = True, seed: int | None = None) -> DataFrame:
+def answers(buckets: DataFrame, classes: DataFrame, k: int, decay: str = "Z", a: float = 1.0, b: float = 1.0, retry: bool = True, seed: int | None = None, hidden: DataFrame | None = None) -> DataFrame:
     """(qid, predicted, distance, tie, exact, votes): the class with most votes.
 
     A tie is broken by one more bucket if that leaves a single class; else by the class's frequency in
     training, then by its number (or at random, given a seed). ``votes`` has (class_idx, class, w) of the
-    vote that decided.
+    vote that decided. ``hidden(qid, class, occ)`` is taken out of the frequencies of its class.
     """
-    tally = votes(buckets, k, decay, a, b).join(F.broadcast(classes), "class")
+    tally = votes(buckets, k, decay, a, b).join(classes, "class")
+    if hidden is not None:
+        tally = tally.join(hidden, ["qid", "class"], "left").withColumn("gfreq", F.col("gfreq") - F.coalesce("occ", F.lit(0))).drop("occ")
     last = F.xxhash64("qid", "class", F.lit(seed)) if seed is not None else -F.col("class_idx")
     frequency = F.lit(0) if seed is not None else F.col("gfreq")
     row = lambda v: F.struct(F.round(v, 10).alias("v"), frequency.alias("f"), last.alias("i"), F.col("class").alias("class"))
     each = F.collect_list(F.struct("class_idx", "class", "v", "v1"))
-    heads = tally.groupBy("qid").agg(F.max(row(F.col("v"))).alias("first"), F.max(row(F.col("v1"))).alias("second"), each.alias("each"))
+    heads = tally.groupBy("qid").agg(F.max(row(F.col("v"))).alias("first"), F.max(row(F.col("v1"))).alias("second"), each.alias("each"), F.min("near").alias("distance"))
     ties = lambda field, of: F.size(F.filter("each", lambda x: F.round(x[field], 10) == F.col(of)["v"])) > 1
     heads = heads.withColumn("tie", ties("v", "first"))
     again = F.col("tie") & ~ties("v1", "second") if retry else F.lit(False)
     heads = heads.withColumn("again", again)
     chosen = F.filter(F.transform(F.array_sort("each"), lambda x: F.struct(x["class_idx"].alias("class_idx"), x["class"].alias("class"), F.when(F.col("again"), x["v1"]).otherwise(x["v"]).alias("w"))), lambda x: x["w"] > 0)
-    nearest = buckets.where("r = 1").groupBy("qid").agg(F.min("d").alias("distance"), F.max("exact").alias("same"))
-    out = heads.select("qid", F.when(F.col("again"), F.col("second")["class"]).otherwise(F.col("first")["class"]).alias("predicted"), "tie", chosen.alias("votes"))
-    return out.join(nearest, "qid").select("qid", "predicted", "distance", "tie", (F.col("distance") < EPSILON).alias("exact"), "votes")
+    return heads.select("qid", F.when(F.col("again"), F.col("second")["class"]).otherwise(F.col("first")["class"]).alias("predicted"), "distance", "tie", (F.col("distance") < EPSILON).alias("exact"), chosen.alias("votes"))
+
+
+def entropy(votes: Column) -> Column:
+    """Entropy in bits of a distribution ``(class_idx, class, w)``."""
+    total = F.aggregate(votes, F.lit(0.0), lambda acc, x: acc + x["w"])
+    return F.aggregate(votes, F.lit(0.0), lambda acc, x: acc - x["w"] / total * F.log2(x["w"] / total))
 
 
 def normalised(answered: DataFrame, classes: DataFrame, how: str = "probability", add: float = 1.0) -> DataFrame:
@@ -59,7 +65,7 @@ def normalised(answered: DataFrame, classes: DataFrame, how: str = "probability"
     if how == "none":
         return rows
     if how == "add":
-        every = answered.select("qid").crossJoin(F.broadcast(classes.select("class_idx", "class")))
+        every = answered.select("qid").crossJoin(classes.select("class_idx", "class"))
         rows = every.join(rows, ["qid", "class_idx", "class"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)) + add)
     elif how == "log":
         rows = rows.withColumn("w", F.log1p("w"))

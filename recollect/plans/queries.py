@@ -11,9 +11,9 @@ from ..functions import metrics as M
 from ..functions import statistics as S
 from ..model import MemoryBasedLearner
 from ..operators import edit, evaluate, search, tree, vote
-from ..options import Options
+from ..options import TREE_ORDERS, Options
 from . import sql as Q
-from .views import CUSTOMER, LINE, ORDERS, PART, QUANTITY, View
+from .views import BRAND, CUSTOMER, GAPS, LINE, ORDERS, PART, QUANTITY, View
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,29 +43,29 @@ def learner(view: View, spark: SparkSession, sf_dir: str, **options) -> MemoryBa
 
 for name, view in (("part", PART), ("line", LINE), ("orders", ORDERS)):
     head = f"WITH {view.sql()}"
-    add(f"class_table_{name}", lambda s, d, v=view: S.class_table(v.train(s, d)), f"{head}, {Q.classes()} SELECT class, class_idx, gfreq FROM cls")
-    add(f"contingency_{name}", lambda s, d, v=view: S.contingency(v.train(s, d), v.names), f"{head}, {Q.contingency(view.names)} SELECT * FROM ct")
-    add(f"db_entropy_{name}", lambda s, d, v=view: rounded(S.class_entropy(v.train(s, d)), "db_entropy"), f"{head}, n AS (SELECT class, COUNT(*) AS n FROM train GROUP BY class) SELECT ROUND(SUM(-(n / t) * LOG2(n / t)), 6) + 0.0 AS db_entropy FROM n, (SELECT SUM(n) AS t FROM n)")
+    add(f"class_table_{name}", lambda s, d, v=view: S.class_table(v.instances(s, d)), f"{head}, {Q.classes('inst')} SELECT class, class_idx, gfreq FROM cls")
+    add(f"contingency_{name}", lambda s, d, v=view: S.contingency(v.instances(s, d), v.names), f"{head}, {Q.contingency(view.names, 'inst')} SELECT * FROM ct")
+    add(f"db_entropy_{name}", lambda s, d, v=view: rounded(S.class_entropy(v.instances(s, d)), "db_entropy"), f"{head}, n AS (SELECT class, COUNT(*) AS n FROM inst GROUP BY class) SELECT ROUND(SUM(-(n / t) * LOG2(n / t)), 6) + 0.0 AS db_entropy FROM n, (SELECT SUM(n) AS t FROM n)")
     add(
         f"weights_{name}",
-        lambda s, d, v=view: rounded(S.weights(S.contingency(v.train(s, d), v.names)), "ig", "si", "gr", "x2", "sv"),
-        f"{head}, {Q.contingency(view.names)}, {Q.weights()} SELECT fidx, n_vals, {six('ig', 'si', 'gr', 'x2', 'sv')} FROM wt",
+        lambda s, d, v=view: rounded(S.weights(S.contingency(v.instances(s, d), v.names)), "ig", "si", "gr", "x2", "sv"),
+        f"{head}, {Q.contingency(view.names, 'inst')}, {Q.weights()} SELECT fidx, n_vals, {six('ig', 'si', 'gr', 'x2', 'sv')} FROM wt",
     )
-    add(f"value_probs_{name}", lambda s, d, v=view: rounded(S.value_probs(S.contingency(v.train(s, d), v.names)), "p"), f"{head}, {Q.contingency(view.names)} SELECT fidx, fval, class, ROUND(cnt / SUM(cnt) OVER (PARTITION BY fidx, fval), 6) + 0.0 AS p, SUM(cnt) OVER (PARTITION BY fidx, fval) AS freq FROM ct")
+    add(f"value_probs_{name}", lambda s, d, v=view: rounded(S.value_probs(S.contingency(v.instances(s, d), v.names)), "p"), f"{head}, {Q.contingency(view.names, 'inst')} SELECT fidx, fval, class, ROUND(cnt / SUM(cnt) OVER (PARTITION BY fidx, fval), 6) + 0.0 AS p, SUM(cnt) OVER (PARTITION BY fidx, fval) AS freq FROM ct")
 
 BINNED = "val AS (SELECT DISTINCT fidx, fval, CAST(fval AS DOUBLE) AS x FROM ct), bin AS (SELECT fidx, fval, NTILE(20) OVER (PARTITION BY fidx ORDER BY x) AS b FROM val), bct AS (SELECT t.fidx, CAST(b AS VARCHAR) AS fval, class, SUM(cnt) AS cnt FROM ct t JOIN bin USING (fidx, fval) GROUP BY t.fidx, b, class)"
-add("numeric_bins", lambda s, d: S.binned(S.contingency(QUANTITY.train(s, d), QUANTITY.names)), f"WITH {QUANTITY.sql()}, {Q.contingency(QUANTITY.names)}, {BINNED} SELECT * FROM bct")
+add("numeric_bins", lambda s, d: S.binned(S.contingency(QUANTITY.instances(s, d), QUANTITY.names)), f"WITH {QUANTITY.sql()}, {Q.contingency(QUANTITY.names, 'inst')}, {BINNED} SELECT * FROM bct")
 add(
     "numeric_weights",
-    lambda s, d: rounded(S.weights(S.binned(S.contingency(QUANTITY.train(s, d), QUANTITY.names)), clamp=False), "ig", "si", "gr", "x2", "sv"),
-    f"WITH {QUANTITY.sql()}, {Q.contingency(QUANTITY.names)}, {BINNED}, {Q.weights('bct', clamp=False)} SELECT fidx, n_vals, {six('ig', 'si', 'gr', 'x2', 'sv')} FROM wt",
+    lambda s, d: rounded(S.weights(S.binned(S.contingency(QUANTITY.instances(s, d), QUANTITY.names)), clamp=False), "ig", "si", "gr", "x2", "sv"),
+    f"WITH {QUANTITY.sql()}, {Q.contingency(QUANTITY.names, 'inst')}, {BINNED}, {Q.weights('bct', clamp=False)} SELECT fidx, n_vals, {six('ig', 'si', 'gr', 'x2', 'sv')} FROM wt",
 )
 add(
     "numeric_range_and_spread",
-    lambda s, d: rounded(S.numeric_range(QUANTITY.train(s, d), QUANTITY.names), "n_min", "n_max", "sd"),
-    f"WITH {QUANTITY.sql()}, {Q.contingency(QUANTITY.names)}, x AS (SELECT DISTINCT fidx, fval, TRY_CAST(fval AS DOUBLE) AS x FROM ct), t AS (SELECT fidx, SUM(x) AS s FROM x GROUP BY fidx) SELECT x.fidx, {six('n_min', 'n_max', 'sd')}, n_bad FROM (SELECT x.fidx, MIN(x) AS n_min, MAX(x) AS n_max, SUM(CASE WHEN x IS NULL THEN 1 ELSE 0 END) AS n_bad, SQRT(SUM((s - x) * (s - x)) / COUNT(x)) AS sd FROM x JOIN t ON x.fidx = t.fidx GROUP BY x.fidx) x",
+    lambda s, d: rounded(S.numeric_range(QUANTITY.instances(s, d), QUANTITY.names), "n_min", "n_max", "sd"),
+    f"WITH {QUANTITY.sql()}, {Q.contingency(QUANTITY.names, 'inst')}, x AS (SELECT DISTINCT fidx, fval, TRY_CAST(fval AS DOUBLE) AS x FROM ct), t AS (SELECT fidx, SUM(x) AS s FROM x GROUP BY fidx) SELECT x.fidx, {six('n_min', 'n_max', 'sd')}, n_bad FROM (SELECT x.fidx, MIN(x) AS n_min, MAX(x) AS n_max, SUM(CASE WHEN x IS NULL THEN 1 ELSE 0 END) AS n_bad, SQRT(SUM((s - x) * (s - x)) / COUNT(x)) AS sd FROM x JOIN t ON x.fidx = t.fidx GROUP BY x.fidx) x",
 )
-add("value_sets", lambda s, d: S.contingency(PART.train(s, d), PART.names).groupBy("fidx").agg(F.array_join(F.array_sort(F.collect_set("fval")), ",").alias("values_")), f"WITH {PART.sql()}, {Q.contingency(PART.names)} SELECT fidx, STRING_AGG(fval, ',' ORDER BY fval) AS values_ FROM (SELECT DISTINCT fidx, fval FROM ct) GROUP BY fidx")
+add("value_sets", lambda s, d: S.contingency(PART.instances(s, d), PART.names).groupBy("fidx").agg(F.array_join(F.array_sort(F.collect_set("fval")), ",").alias("values_")), f"WITH {PART.sql()}, {Q.contingency(PART.names, 'inst')} SELECT fidx, STRING_AGG(fval, ',' ORDER BY fval) AS values_ FROM (SELECT DISTINCT fidx, fval FROM ct) GROUP BY fidx")
 
 PROBS = "pr AS (SELECT fidx, fval, class, cnt / SUM(cnt) OVER (PARTITION BY fidx, fval) AS p, SUM(cnt) OVER (PARTITION BY fidx, fval) AS freq FROM ct), pv AS (SELECT DISTINCT fidx, fval, freq FROM pr)"
 TERMS = {
@@ -83,8 +83,8 @@ def pair_table(kind: str, least: int = 1) -> str:
 for kind, label in (("M", "value_difference"), ("J", "jeffrey"), ("S", "jensen_shannon")):
     add(
         f"pairs_{label}",
-        lambda s, d, k=kind: rounded(M.distribution_pairs(S.value_probs(S.contingency(PART.train(s, d), PART.names)), k, 3), "d"),
-        f"WITH {PART.sql()}, {Q.contingency(PART.names)}, {pair_table(kind, 3)} SELECT fidx, v, w, ROUND(d, 6) + 0.0 AS d FROM prs",
+        lambda s, d, k=kind: rounded(M.distribution_pairs(M.packed(S.value_probs(S.contingency(rows := PART.instances(s, d), PART.names)), S.class_table(rows)), k, 3), "d"),
+        f"WITH {PART.sql()}, {Q.contingency(PART.names, 'inst')}, {pair_table(kind, 3)} SELECT fidx, v, w, ROUND(d, 6) + 0.0 AS d FROM prs",
     )
 
 NAMES = "SELECT a.n_name AS v, b.n_name AS w FROM nation a JOIN nation b ON a.n_name <> b.n_name"
@@ -136,11 +136,31 @@ def delta_sql(kind: str) -> dict[str, str]:
 PAIR_JOINS = " ".join(f"LEFT JOIN prs x{i} ON x{i}.fidx = {i} AND x{i}.v = q.{f} AND x{i}.w = p.{f}" for i, f in enumerate(PART.names, 1))
 for kind, label in (("M", "value_difference"), ("J", "jeffrey"), ("S", "jensen_shannon")):
     add(f"ib1_{label}_k3", predictions(PART, metric=kind, k=3), search_sql(PART, "gr", 3, deltas=delta_sql(kind), extra=f", {pair_table(kind)}", joins=PAIR_JOINS) + ANSWER)
-add("ib1_mixed_ignored", predictions(PART, metric="O:N3:I2", weighting="nw", k=3), None)
-
 SPAN = "(SELECT MAX(CAST({0} AS DOUBLE)) - MIN(CAST({0} AS DOUBLE)) FROM train)"
 for kind, label, body in (("N", "numeric", "ABS(CAST(q.f2 AS DOUBLE) - CAST(p.f2 AS DOUBLE))"), ("E", "euclidean", "SQRT(ABS(CAST(q.f2 AS DOUBLE) * CAST(q.f2 AS DOUBLE) - CAST(p.f2 AS DOUBLE) * CAST(p.f2 AS DOUBLE)))")):
     add(f"ib1_{label}_k3", predictions(CUSTOMER, metric=f"O:{kind}2", weighting="nw", k=3), search_sql(CUSTOMER, "nw", 3, deltas={"f2": f"CASE WHEN q.f2 = p.f2 THEN 0.0 ELSE {body} / {SPAN.format('f2')} END"}) + ANSWER)
+NUMBER = f"CASE WHEN q.f2 = p.f2 THEN 0.0 ELSE ABS(CAST(q.f2 AS DOUBLE) - CAST(p.f2 AS DOUBLE)) / {SPAN.format('f2')} END"
+add("ib1_mixed_ignored", predictions(PART, metric="O:N3:I2", weighting="nw", k=3), search_sql(BRAND, "nw", 3, deltas={"f2": NUMBER}) + ANSWER)
+add("ib1_user_weights", predictions(PART, weighting="user", weights={"1": 0.5, "2": 0.25, "3": 2.0}, k=3), search_sql(PART, "nw", 3).replace(Q.weighted(PART.names, "nw"), " + ".join(f"{w} * ({Q.overlap(f)})" for w, f in zip((0.5, 0.25, 2.0), PART.names, strict=True))) + ANSWER)
+add("ib1_diversified", predictions(PART, diversify=True), search_sql(PART, extra=", wv AS (SELECT fidx, gr - (SELECT MIN(gr) FROM wt) + " + Q.EPS + " AS gr FROM wt)").replace("(SELECT gr FROM wt WHERE", "(SELECT gr FROM wv WHERE") + ANSWER)
+LETTERS = "CASE WHEN q.{0} = p.{0} THEN 0.0 ELSE 1.0 - 2.0 * LEN(LIST_INTERSECT({1}, {2})) / (LEN({1}) + LEN({2})) END"
+add("ib1_dice_k3", predictions(BRAND, metric="O:DC1", weighting="nw", k=3), search_sql(BRAND, "nw", 3, deltas={"f1": LETTERS.format("f1", BIGRAMS.format("q.f1"), BIGRAMS.format("p.f1"))}) + ANSWER)
+add("ib1_levenshtein_k3", predictions(BRAND, metric="L", weighting="nw", k=3))
+
+# -- missing values: a symbol like any other ---------------------------------------------------------------------------
+
+
+def gaps_sql(text: str) -> str:
+    """The SQL of a query over PART, with GAPS in its place and missing values as a symbol."""
+    columns = GAPS._columns()
+    for f in GAPS.names:
+        columns = columns.replace(f" AS {f}", f" AS raw_{f}")
+    filled = "inst AS (SELECT iid, " + ", ".join(f"COALESCE(raw_{f}, CHR(1)) AS {f}" for f in GAPS.names) + f", class FROM (SELECT {columns} FROM part))"
+    return text.replace(f"inst AS (SELECT {PART._columns()} FROM part)", filled)
+
+
+add("ib1_nulls", predictions(GAPS), gaps_sql(search_sql(PART)) + ANSWER)
+add("ib1_nulls_value_difference", predictions(GAPS, metric="M", k=3), gaps_sql(search_sql(PART, "gr", 3, deltas=delta_sql("M"), extra=f", {pair_table('M')}", joins=PAIR_JOINS)) + ANSWER)
 
 
 def similar(kind: str) -> Query:
@@ -171,8 +191,8 @@ add(
 def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = learner(PART, spark, sf_dir)
     queries = PART.queries(spark, sf_dir)
-    plan = fitted.plan(queries)
-    part = lambda r: search.neighbours(search.distances(queries, search.base_table(fitted.fitted.instances.where(f"iid % 2 = {r}"), PART.names), plan), 2)
+    plan = fitted.plan()
+    part = lambda r: search.neighbours(search.distances(queries, search.base_table(fitted.fitted.instances.where(f"iid % 2 = {r}"), PART.names), plan, 2), 2)
     return rounded(search.truncated(search.merged(part(0), part(1)), 2), "distance")
 
 
@@ -231,26 +251,51 @@ WALK = "wlk AS (SELECT * FROM (SELECT q.qid, q.class, t.def AS predicted, t.dept
 REST = "COALESCE(LIST_SUM(LIST_SLICE((SELECT ws FROM ord), CAST(depth AS INT) + 1, 99)), 0.0)"
 
 
-def _igtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(learner(PART, spark, sf_dir, algorithm="IGTREE").test(PART.queries(spark, sf_dir)).select("qid", "class", "predicted", "distance", "depth"), "distance")
+def _igtree(view: View) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = learner(view, spark, sf_dir, algorithm="IGTREE").test(view.queries(spark, sf_dir))
+        return rounded(out.select("qid", "class", "predicted", "distance", "depth", "leaf"), "distance")
+
+    return run
 
 
-add("igtree", _igtree, f"{TREE}, {WALK} SELECT qid, class, predicted, ROUND({REST}, 6) + 0.0 AS distance, depth FROM wlk")
 add("igtree_nodes", lambda s, d: learner(PART, s, d, algorithm="IGTREE").tree().groupBy(F.col("depth").cast("long").alias("depth"), "default").agg(F.count("*").alias("nodes"), F.sum("n").alias("rows")).withColumnRenamed("default", "def"), f"{TREE} SELECT CAST(depth AS BIGINT) AS depth, def, COUNT(*) AS nodes, SUM(n) AS rows FROM tre GROUP BY depth, def")
 
 
 def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitted = learner(PART, spark, sf_dir, algorithm="IGTREE")
-    return tree.pruned(fitted.tree(), len(PART.names)).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("nodes"))
+    return learner(PART, spark, sf_dir, algorithm="IGTREE").pruned().groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("nodes"))
 
 
 UP = "LIST_SLICE(c.pre, 1, c.depth - 1)"
 PRUNE = f"""k3 AS (SELECT c.* FROM tre c JOIN tre p ON p.depth = 2 AND p.pre = {UP} WHERE c.depth = 3 AND c.def <> p.def),
 k2 AS (SELECT c.* FROM tre c JOIN tre p ON p.depth = 1 AND p.pre = {UP} WHERE c.depth = 2 AND (c.def <> p.def OR c.pre IN (SELECT LIST_SLICE(pre, 1, 2) FROM k3))),
 k1 AS (SELECT c.* FROM tre c JOIN tre p ON p.depth = 0 WHERE c.depth = 1 AND (c.def <> p.def OR c.pre IN (SELECT LIST_SLICE(pre, 1, 1) FROM k2)))"""
+LEFT = "SELECT *, NOT EXISTS (SELECT 1 FROM k1) AS leaf FROM tre WHERE depth = 0 UNION ALL SELECT *, pre NOT IN (SELECT LIST_SLICE(pre, 1, 1) FROM k2) FROM k1 UNION ALL SELECT *, pre NOT IN (SELECT LIST_SLICE(pre, 1, 2) FROM k3) FROM k2 UNION ALL SELECT *, TRUE FROM k3"
+ANSWERED = f"{PRUNE}, lft AS ({LEFT}), wlk AS (SELECT * FROM (SELECT q.qid, q.class, t.def AS predicted, t.depth, t.leaf, ROW_NUMBER() OVER (PARTITION BY q.qid ORDER BY t.depth DESC) AS nr FROM qrk q JOIN dep d ON TRUE JOIN lft t ON t.depth = d.depth AND t.pre = LIST_SLICE(q.vs, 1, d.depth)) WHERE nr = 1)"
+add("igtree", _igtree(PART), f"{TREE}, {ANSWERED} SELECT qid, class, predicted, ROUND({REST}, 6) + 0.0 AS distance, depth, leaf FROM wlk")
+add("igtree_nulls", _igtree(GAPS), gaps_sql(f"{TREE}, {ANSWERED} SELECT qid, class, predicted, ROUND({REST}, 6) + 0.0 AS distance, depth, leaf FROM wlk"))
 add("igtree_pruned", _pruned, f"{TREE}, {PRUNE} SELECT CAST(depth AS BIGINT) AS depth, COUNT(*) AS nodes FROM (SELECT depth FROM tre WHERE depth = 0 UNION ALL SELECT depth FROM k1 UNION ALL SELECT depth FROM k2 UNION ALL SELECT depth FROM k3) GROUP BY depth")
 add("base_levels", lambda s, d: learner(PART, s, d, tree_order="GRO").base_info().select(F.col("depth").cast("long").alias("depth"), "nodes"), f"{TREE} SELECT CAST(depth AS BIGINT) AS depth, COUNT(DISTINCT pre) AS nodes FROM nod WHERE depth > 0 GROUP BY depth")
 
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measures = learner(PART, spark, sf_dir, weighting="sd").fitted.measures
+    rows = [(name, place, fidx) for name in TREE_ORDERS for place, fidx in enumerate(S.tree_order(measures, name), 1)]
+    return spark.createDataFrame(rows, "order_ string, place long, fidx long")
+
+
+RANKS = {"DO": "1", "UDO": "fidx", "GRO": "gr", "IGO": "ig", "1/V": "1 / n_vals", "1/S": "CASE WHEN si = 0 THEN 0 ELSE 1 / si END", "G/V": "gr / n_vals", "I/V": "ig / n_vals", "GxE": "gr * si", "IxE": "ig * si", "X2O": "x2", "SVO": "sv", "SDO": "sd", "X/V": "x2 / n_vals", "S/V": "sv / n_vals", "SD/V": "sd / n_vals"}
+SPREAD = "nm AS (SELECT DISTINCT fidx, TRY_CAST(fval AS DOUBLE) AS x FROM ct), ns AS (SELECT fidx, SUM(x) AS s FROM nm GROUP BY fidx), sp AS (SELECT nm.fidx, COALESCE(SQRT(SUM((s - x) * (s - x)) / COUNT(x)), 0.0) AS sd FROM nm JOIN ns ON nm.fidx = ns.fidx GROUP BY nm.fidx), ms AS (SELECT wt.*, sp.sd FROM wt JOIN sp USING (fidx))"
+add("tree_orders", _orders, f"WITH {PART.sql()}, {Q.contingency(PART.names)}, {Q.weights()}, {SPREAD} " + " UNION ALL ".join(f"SELECT '{name}' AS order_, ROW_NUMBER() OVER (ORDER BY {rank} DESC, fidx) AS place, CAST(fidx AS BIGINT) AS fidx FROM ms" for name, rank in RANKS.items()))
+add("spread_weights", lambda s, d: rounded(learner(PART, s, d, weighting="sd").weights().select("fidx", "weight"), "weight"), f"WITH {PART.sql()}, {Q.contingency(PART.names)}, {Q.weights()}, {SPREAD} SELECT CAST(fidx AS BIGINT) AS fidx, ROUND(sd, 6) + 0.0 AS weight FROM ms")
+add("selected_features", lambda s, d: s.createDataFrame([(n,) for n in learner(PART, s, d).select_features(2).fitted.features], "feature string"), f"WITH {PART.sql()}, {Q.contingency(PART.names)}, {Q.weights()} SELECT feature FROM (SELECT 'f' || fidx AS feature, ROW_NUMBER() OVER (ORDER BY gr / n_vals DESC, fidx) AS place FROM wt) WHERE place <= 2")
+add("base_compression", lambda s, d: rounded(learner(PART, s, d, tree_order="GRO").compression(), "saved"), f"{TREE}, lev AS (SELECT depth, COUNT(DISTINCT pre) AS nodes FROM nod WHERE depth > 0 GROUP BY depth) SELECT i + n AS nodes, n AS patterns, ROUND(100 * (1 - (i + n) / (n * {len(PART.names) + 1})), 6) + 0.0 AS saved FROM (SELECT SUM(nodes) AS i, MAX(CASE WHEN depth = {len(PART.names)} THEN nodes END) AS n FROM lev)")
+add("level_distributions", lambda s, d: learner(PART, s, d, tree_order="GRO").levels().groupBy(F.col("depth").cast("long").alias("depth"), "class").agg(F.count("*").alias("cells"), F.sum("cnt").alias("rows")), f"{TREE} SELECT CAST(depth AS BIGINT) AS depth, class, COUNT(*) AS cells, SUM(cnt) AS rows FROM nod GROUP BY depth, class")
+add("neighbour_examples", lambda s, d: rounded(learner(PART, s, d).examples(PART.queries(s, d), 2, 3), "distance"), search_sql(PART, "gr", 2, shortcut=False) + f" SELECT qid, k, ROUND(d, 6) + 0.0 AS distance, place, pattern, class, cnt FROM (SELECT qid, d, {' || chr(32) || '.join('p.' + f for f in PART.names)} AS pattern, class, cnt, DENSE_RANK() OVER (PARTITION BY qid ORDER BY d) AS k, ROW_NUMBER() OVER (PARTITION BY qid, d ORDER BY {' || chr(32) || '.join('p.' + f for f in PART.names)}, class) AS place FROM (SELECT q.qid, ROUND({Q.weighted(PART.names, 'gr')}, 10) AS d, p.* FROM qry q CROSS JOIN pat p) p) WHERE k <= 2 AND place <= 3")
+add("vote_entropy", lambda s, d: rounded((m := learner(PART, s, d, k=3)).transform(PART.queries(s, d)).select("qid", vote.entropy(F.col("votes")).alias("entropy")), "entropy"), f"{VOTES} SELECT qid, ROUND(SUM(-(w / t) * LOG2(w / t)), 6) + 0.0 AS entropy FROM (SELECT *, SUM(w) OVER (PARTITION BY qid) AS t FROM dec) GROUP BY qid")
+add("prune_to_tree", lambda s, d: rounded(learner(PART, s, d, tree_order="GRO").to_tree().test(PART.queries(s, d)).select("qid", "class", "predicted", "distance", "depth", "leaf"), "distance"), SQL["igtree"])
+
 HYBRID = "SELECT qid, q.class, predicted, ROUND(distance, 6) + 0.0 AS distance, tie, exact FROM ({0}) a JOIN qry q USING (qid)"
 
 
@@ -331,13 +376,21 @@ def cross_sql() -> str:
 add("cross_validation", _cross, cross_sql())
 
 
-def _leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = PART.instances(spark, sf_dir)
-    out = MemoryBasedLearner(Options(exact="off")).fit(rows, PART.names).leave_one_out()
-    return rounded(out.select("qid", "class", "predicted", "distance", "tie"), "distance")
+def _leave_one_out(sloppy: bool) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = MemoryBasedLearner(Options(exact="off", sloppy=sloppy)).fit(PART.instances(spark, sf_dir), PART.names).leave_one_out()
+        return rounded(out.select("qid", "class", "predicted", "distance", "tie"), "distance")
+
+    return run
 
 
 LOO = PART.sql().replace(" WHERE NOT (iid % 5 = 0)", "").replace(" WHERE iid % 5 = 0", "")
 SAME = " AND ".join(f"q.{f} = p.{f}" for f in PART.names)
 OWN = f"p.cnt - CASE WHEN {SAME} AND p.class = q.class THEN 1 ELSE 0 END"
-add("leave_one_out_sloppy", _leave_one_out, f"WITH {LOO}, {Q.contingency(PART.names)}, {Q.classes()}, {Q.weights()}, {Q.pattern(PART.names)}, {Q.nearest(PART.names, Q.weighted(PART.names, 'gr'), 1, False, count=OWN, where=f'{OWN} > 0')}, {Q.answer(1)} SELECT a.qid, q.class, a.predicted, ROUND(a.distance, 6) + 0.0 AS distance, a.tie FROM ans a JOIN qry q ON a.qid = q.qid")
+add("leave_one_out_sloppy", _leave_one_out(True), f"WITH {LOO}, {Q.contingency(PART.names)}, {Q.classes()}, {Q.weights()}, {Q.pattern(PART.names)}, {Q.nearest(PART.names, Q.weighted(PART.names, 'gr'), 1, False, count=OWN, where=f'{OWN} > 0')}, {Q.answer(1, hidden=True)} SELECT a.qid, q.class, a.predicted, ROUND(a.distance, 6) + 0.0 AS distance, a.tie FROM ans a JOIN qry q ON a.qid = q.qid")
+# The weights of a feature without one row depend on that row's value and class; ``rem`` numbers these.
+REMOVED = "rem AS (SELECT ROW_NUMBER() OVER (ORDER BY fidx, fval, class) AS rid, fidx, fval, class FROM ct), ctr AS (SELECT * FROM (SELECT r.rid AS fidx, t.fval, t.class, t.cnt - CASE WHEN t.fval = r.fval AND t.class = r.class THEN 1 ELSE 0 END AS cnt FROM rem r JOIN ct t ON t.fidx = r.fidx) WHERE cnt > 0)"
+OWN_WEIGHTS = "own AS (SELECT r.fidx, r.fval, r.class, w.gr FROM rem r JOIN wr w ON w.fidx = r.rid)"
+WITHOUT = " ".join(f"JOIN own o{i} ON o{i}.fidx = {i} AND o{i}.fval = q.{f} AND o{i}.class = q.class" for i, f in enumerate(PART.names, 1))
+STRICT = " + ".join(f"o{i}.gr * ({Q.overlap(f)})" for i, f in enumerate(PART.names, 1))
+add("leave_one_out_strict", _leave_one_out(False), f"WITH {LOO}, {Q.contingency(PART.names)}, {Q.classes()}, {REMOVED}, {Q.weights('ctr', 'wr')}, {OWN_WEIGHTS}, {Q.pattern(PART.names)}, {Q.nearest(PART.names, STRICT, 1, False, joins=WITHOUT, count=OWN, where=f'{OWN} > 0')}, {Q.answer(1, hidden=True)} SELECT a.qid, q.class, a.predicted, ROUND(a.distance, 6) + 0.0 AS distance, a.tie FROM ans a JOIN qry q ON a.qid = q.qid")

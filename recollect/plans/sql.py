@@ -63,11 +63,13 @@ def factor(decay: str, far: str, a: float, b: float) -> str:
     }[decay]
 
 
-def answer(k: int, decay: str = "Z", a: float = 1.0, b: float = 1.0, retry: bool = True) -> str:
-    """Votes, ties and the answer: ``ans(qid, predicted, distance, tie, exact)`` and ``dec(qid, class, class_idx, w)``."""
+def answer(k: int, decay: str = "Z", a: float = 1.0, b: float = 1.0, retry: bool = True, hidden: bool = False) -> str:
+    """With ``hidden`` a query's own row doesn't count in its class's frequency. Votes, ties and the answer: ``ans(qid, predicted, distance, tie, exact)`` and ``dec(qid, class, class_idx, w)``."""
     again = "(t.tie AND NOT t.tie1)" if retry else "FALSE"
+    often = "c.gfreq - CASE WHEN c.class = o.class THEN 1 ELSE 0 END" if hidden else "c.gfreq"
+    own = " JOIN qry o ON o.qid = f.qid" if hidden else ""
     return f"""far AS (SELECT *, MIN(d) OVER (PARTITION BY qid) AS near, MAX(CASE WHEN r <= {k} THEN d END) OVER (PARTITION BY qid) AS far0, MAX(d) OVER (PARTITION BY qid) AS far1 FROM bkt),
-tal AS (SELECT f.qid, f.class, c.class_idx, c.gfreq, COALESCE(SUM(CASE WHEN r <= {k} THEN cnt * {factor(decay, 'far0', a, b)} END), 0.0) AS v, SUM(cnt * {factor(decay, 'far1', a, b)}) AS v1 FROM far f JOIN cls c ON f.class = c.class GROUP BY f.qid, f.class, c.class_idx, c.gfreq),
+tal AS (SELECT f.qid, f.class, c.class_idx, {often} AS gfreq, COALESCE(SUM(CASE WHEN r <= {k} THEN cnt * {factor(decay, 'far0', a, b)} END), 0.0) AS v, SUM(cnt * {factor(decay, 'far1', a, b)}) AS v1 FROM far f JOIN cls c ON f.class = c.class{own} GROUP BY f.qid, f.class, c.class_idx, {often}),
 tie AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY ROUND(v, 10) DESC, gfreq DESC, class_idx) AS n0, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY ROUND(v1, 10) DESC, gfreq DESC, class_idx) AS n1, MAX(ROUND(v, 10)) OVER (PARTITION BY qid) AS m0, MAX(ROUND(v1, 10)) OVER (PARTITION BY qid) AS m1 FROM tal),
 too AS (SELECT qid, SUM(CASE WHEN ROUND(v, 10) = m0 THEN 1 ELSE 0 END) > 1 AS tie, SUM(CASE WHEN ROUND(v1, 10) = m1 THEN 1 ELSE 0 END) > 1 AS tie1, MAX(CASE WHEN n0 = 1 THEN class END) AS c0, MAX(CASE WHEN n1 = 1 THEN class END) AS c1 FROM tie GROUP BY qid),
 near AS (SELECT qid, MIN(d) AS distance FROM bkt WHERE r = 1 GROUP BY qid),

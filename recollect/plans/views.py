@@ -44,6 +44,9 @@ class View:
 
 
 PART = View("part", "p_partkey", ("p_brand", "p_type", "CAST(p_size AS STRING)"), "SPLIT_PART(p_name, ' ', 1)", "iid % 5 = 0")
+#: As PART, with missing values, and without the type.
+GAPS = View("part", "p_partkey", ("CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_brand END", "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_type END", "CAST(p_size AS STRING)"), "SPLIT_PART(p_name, ' ', 1)", "iid % 5 = 0")
+BRAND = View("part", "p_partkey", ("p_brand", "CAST(p_size AS STRING)"), "SPLIT_PART(p_name, ' ', 1)", "iid % 5 = 0")
 ORDERS = View("orders", "o_orderkey", ("o_orderpriority", "CAST(o_custkey % 7 AS STRING)"), "o_orderstatus", "iid % 50 = 0")
 CUSTOMER = View("customer", "c_custkey", ("CAST(c_nationkey AS STRING)", "CAST(CAST(ROUND(c_acctbal) AS BIGINT) AS STRING)"), "c_mktsegment", "iid % 5 = 0")
 LINE = View("lineitem", "l_orderkey", ("l_linestatus", "CAST(CAST(ROUND(l_discount * 100) AS INT) AS STRING)", "CAST(CAST(ROUND(l_tax * 100) AS INT) AS STRING)", "CAST(l_linenumber AS STRING)"), "l_returnflag", "iid % 1000 = 0")

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..options import WEIGHTINGS, Options
+
 FORMATS = ("C4.5", "ARFF", "Columns", "Tabbed", "Compact", "Sparse", "Binary")
 #: What absent features hold (fixed values).
 SPARSE_FILL, BINARY_FILL = "0.0000E-17", "0"
@@ -116,16 +118,29 @@ def folds(spark: SparkSession, paths: list[str], **how) -> DataFrame:
     return out
 
 
+def read_settings(spark: SparkSession, path: str) -> list[Options]:
+    """One set of options for each line of a file of switches; lines that begin with # are comments."""
+    rows = lines(spark, path).orderBy("iid").collect()  # a line for each run
+    return [Options.parse(r["value"]) for r in rows if r["value"].strip() and not r["value"].lstrip().startswith("#")]
+
+
 def read_weights(spark: SparkSession, path: str, name: str) -> dict[int, float]:
-    """Weights by feature number from the section ``name`` of a weights file (a row for each feature)."""
-    out, on = {}, None
+    """Weights by feature number from the section ``name`` of a weights file (a row for each feature).
+
+    A file without named sections has one for any name. ``Ignore`` stands for 0.
+    """
+    sections: dict[str | None, dict[int, float]] = {None: {}}
+    on: str | None = None
     for row in lines(spark, path).orderBy("iid").collect():  # a line for each feature
-        text = row["value"].strip()
-        if text.startswith("#"):
-            on = text.lstrip("# ").split()[0] if text.lstrip("# ") else None
-        elif text and on == name:
-            number, weight = text.split()
-            out[int(number)] = float(weight)
+        words = row["value"].split()
+        if words and words[0].startswith("#"):
+            head = " ".join(words).lstrip("# ")
+            if head in WEIGHTINGS:
+                on = head
+                sections[on] = {}
+        elif len(words) == 2:
+            sections[on][int(words[0])] = 0.0 if words[1].lower() == "ignore" else float(words[1])
+    out = sections.get(name, {}) if len(sections) > 1 else sections[None]
     if not out:
         raise ValueError(f"no weights {name!r} in {path}")
     return out
@@ -139,3 +154,34 @@ def read_distances(spark: SparkSession, path: str) -> DataFrame:
 def read_value_probs(spark: SparkSession, path: str) -> DataFrame:
     """(fidx, fval, class, p, freq) from a table of class distributions."""
     return spark.read.csv(path, sep="\t", schema="fidx long, fval string, class string, p double, freq long", quote="")
+
+
+def _numbered(spark: SparkSession, path: str, head: str) -> DataFrame:
+    """(iid, value, fidx): lines with the number that the last heading above them gives; there is a heading for each feature."""
+    rows = lines(spark, path)
+    number = F.regexp_extract("value", head, 1)
+    heads = rows.where(number != "").select("iid", number.cast("long").alias("fidx")).orderBy("iid").collect()
+    at = F.array(*(F.struct(F.lit(r["iid"]).alias("iid"), F.lit(r["fidx"]).alias("fidx")) for r in heads)) if heads else None
+    if at is None:
+        raise ValueError(f"{path} has no features")
+    above = F.filter(at, lambda h: h["iid"] < F.col("iid"))
+    return rows.where((number == "") & (F.size(above) > 0)).select("iid", "value", F.element_at(above, -1)["fidx"].alias("fidx"))
+
+
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(fidx, fval, class, p) from a file of class distributions: the classes, then a matrix for each feature, a value and its shares a line."""
+    first = lines(spark, path).where(F.lower("value").startswith("targets")).orderBy("iid").first()
+    if first is None:
+        raise ValueError(f"{path} names no classes")
+    classes = [c.strip(" \t.") for c in first["value"].split(None, 1)[1].split(",")]
+    rows = _numbered(spark, path, r"(?i)^feature\s*#\s*(\d+)\s*Matrix").withColumn("parts", F.split(F.trim("value"), r"\s+")).where(F.size("parts") == len(classes) + 1)
+    each = F.posexplode(F.slice("parts", F.lit(2), F.lit(len(classes))))
+    cells = rows.select("fidx", F.element_at("parts", 1).alias("fval"), each.alias("k", "share"))
+    return cells.select("fidx", "fval", F.element_at(F.array(*map(F.lit, classes)), F.col("k") + 1).alias("class"), F.col("share").cast("double").alias("p"))
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """(fidx, v, w, d) from a file of distance matrices: a heading for each feature, then ``[v,<tab>w] d`` a line."""
+    rows = _numbered(spark, path, r"(?i)^feature\s*(\d+)\s*$")
+    part = lambda k: F.regexp_extract("value", r"^\[(.*),\t(.*)\]\s+(\S+)\s*$", k)
+    return rows.where(part(3) != "").select("fidx", part(1).alias("v"), part(2).alias("w"), part(3).cast("double").alias("d"))
