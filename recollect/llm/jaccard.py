@@ -14,9 +14,7 @@ with many gives a star around one of them. A pair goes on if it shares as
 many keys as linked sets must. After what remains is verified and linked, a crowded key
 whose sets are all in one component is settled. One that still joins several components has its value
 taken back; a set that is left with too little value is joined again, with its like, by the prefix
-filter over rarest tokens. A token that many of them have is split by the tokens that follow it: sets
-that must share one of their first p tokens share two of their first p + 1. Nothing is capped, so no
-link is lost.
+filter over rarest tokens, in pairs of different components only. Nothing is capped, so no link is lost.
 
 The texts of sets that have a candidate, or may be left with too little value, are joined out of the
 documents once and stored; the plan is the same at every size.
@@ -53,8 +51,6 @@ BATCH_ENTRIES, BUCKET_ENTRIES, MOST_PARTITIONS = 600_000, 1_000_000, 20_000
 FALLBACK = 0.6
 #: Partners of a set that are verified in one group.
 PARTNERS = 128
-#: Sets under a prefix token that are paired; with more, the token is split by the tokens that follow it, as often as DEEPEST times.
-TOKEN_CROWD, DEEPEST = 32, 4
 _LOW = np.uint64((1 << 40) - 1)
 _U = np.uint64
 
@@ -375,34 +371,23 @@ def _tokens(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(rows, run, "id long, token long, n long").distinct()
 
 
-def _rest(texts: DataFrame, nodes: DataFrame, crowd: int = TOKEN_CROWD) -> DataFrame:
+def _rest(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) that share one of their rarest tokens, of sets in different components: the prefix filter.
 
-    ``nodes(id, mark, n, component)`` are the sets left with too little value.
+    ``nodes(id, mark, n, component)`` are the sets left with too little value. Tokens whose sets are all in one
+    component give nothing, nor do pairs that are in one or have too few tokens left.
     """
     tokens = cut(_tokens(texts, nodes.select("id", "mark", "n")))
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = tokens.join(often, "token").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("often", "token")))
-    first = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
-    ranked = cut(ranked.where((F.col("rank") <= first + DEEPEST) & (F.col("often") > 1)).join(nodes.select("id", "component"), "id"))
-    keyed = ranked.where(F.col("rank") <= first).select(F.col("token").alias("key"), "id", "n", "component", "rank", F.col("rank").alias("last"))
-    out = None
-    for depth in range(1, DEEPEST + 1):
-        counts = keyed.groupBy("key").agg(F.count("*").alias("sets"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key", "sets")
-        keyed = cut(keyed.join(counts, "key"))
-        few = keyed if depth == DEEPEST else keyed.where(F.col("sets") <= crowd)
-        other = few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("rank").alias("rb"))
-        # From the first token that linked sets share, enough of each must be left for the intersection that they need.
-        left = 1 + F.least(F.col("n") - F.col("rank"), F.col("nb") - F.col("rb"))
-        enough = left * (DENOMINATOR + NUMERATOR) >= (F.col("n") + F.col("nb")) * NUMERATOR
-        pairs = few.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & enough).select(F.col("id").alias("a"), "b")
-        out = pairs if out is None else out.union(pairs)
-        many = keyed.where(F.col("sets") > crowd)
-        if depth == DEEPEST or many.isEmpty():
-            break
-        after = ranked.select("id", "token", F.col("rank").alias("next"))
-        keyed = many.join(after, "id").where((F.col("next") > F.col("last")) & (F.col("next") <= first + depth)).select(F.xxhash64("key", "token").alias("key"), "id", "n", "component", "rank", F.col("next").alias("last"))
-    return out.distinct()
+    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1).where("often > 1").join(nodes.select("id", "component"), "id").select("token", "id", "n", "component", "rank")
+    split = prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
+    prefix = cut(prefix.join(split, "token"))
+    other = prefix.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("rank").alias("rb"))
+    # From the first token that linked sets share, enough of each must be left for the intersection that they need.
+    left = 1 + F.least(F.col("n") - F.col("rank"), F.col("nb") - F.col("rb"))
+    enough = left * (DENOMINATOR + NUMERATOR) >= (F.col("n") + F.col("nb")) * NUMERATOR
+    return prefix.join(other, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & enough).select(F.col("id").alias("a"), "b").distinct()
 
 
 def _with(links: DataFrame, more: DataFrame) -> DataFrame:
