@@ -60,5 +60,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_secret_scan, op4_substring_dedup, op5_license_scan, op6_benchmark_decontamination, op7_pii, op8_sharding, op9_byte_bpe, op10_quality_rules)}
 
 
+#: All pairs of different sets that share a shingle, then the smallest id that each reaches. Equal sets are one node.
+LINKED = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) END AS s FROM words),
+nodes AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS (SELECT id, n, unnest(s) AS t FROM nodes),
+shared AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM tokens a JOIN tokens b ON a.t = b.t AND a.id < b.id GROUP BY a.id, b.id),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 75 * (na + nb - c)),
+both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a),
+least AS (SELECT a AS id, least(a, min(b)) AS component FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE coalesce(l.component, n.id) END AS component_id
+FROM sets s LEFT JOIN nodes n ON n.s = s.s LEFT JOIN least l ON l.id = n.id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what SQL can express."""
+    return {"op1_ngram_jaccard_join": LINKED}

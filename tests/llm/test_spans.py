@@ -86,6 +86,65 @@ def test_random_strings_behind_names_long_ones_and_of_every_alphabet(spark):
     assert all("[secret]" in r["text"] for r in secrets.redact(df).collect())
 
 
+WORDS = "order batch token shard user account manager handler request response customer invoice payment gateway config parser builder factory stream reader writer buffer index query table column cache session login service client server image upload download window button render shader matrix vector camera player engine physics network packet socket thread worker queue message event listener adapter bridge kernel driver module plugin".split()
+
+
+def identifier(rng: random.Random) -> str:
+    words, n = [rng.choice(WORDS) for _ in range(rng.randint(3, 7))], rng.randrange(1, 1000)
+    return rng.choice(("".join(w.capitalize() for w in words) + str(n), f"{'_'.join(words)}_{n}", f"/{'/'.join(words)}/{n}", f"{'-'.join(words[:2])}{n}-{'-'.join(words[2:])}", f"{'_'.join(words).upper()}_V{n}"))
+
+
+@pytest.mark.parametrize("n_keys", [0, 300, 1000])
+def test_ordinary_strings_are_not_called_secrets_and_keys_are(spark, n_keys):
+    rng = random.Random(5)
+    names = [x for x in (identifier(rng) for _ in range(2000)) if len(x) >= 20][:1000]
+    alphabets = (string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.digits + "ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    keys = []
+    while len(keys) < n_keys:
+        k = "".join(rng.choices(rng.choice(alphabets), k=rng.choice((20, 22, 24, 28, 32, 40, 48, 64, 100, 200))))
+        keys += [k] if re.search("[0-9]", k) and re.search("[A-Za-z]", k) else []
+    df = spark.createDataFrame([(i, f"see {x} there") for i, x in enumerate(names + keys)], "doc_id long, text string")
+    found = {r["doc_id"] for r in secrets.find(df).collect() if any(x["kind"] == "random" for x in r["spans"])}
+    false, true = sum(i < len(names) for i in found), sum(i >= len(names) for i in found)
+    assert false <= max(2, secrets.FDR * len(found))
+    for low, high in ((20, 24), (24, 32), (32, 1000)):  # recall by length
+        own = [i + len(names) for i, k in enumerate(keys) if low <= len(k) < high]
+        assert sum(i in found for i in own) >= 0.95 * len(own)
+    assert true >= 0.97 * n_keys
+
+
+def test_battery_rarely_rejects_uniform_strings(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    base64 = string.ascii_letters + string.digits + "+/"
+    df = spark.createDataFrame([(i, "".join(rng.choices(base64, k=n))) for i, n in enumerate([20, 32, 64, 200] * 500)], "doc_id long, text string")
+    p = [r[0] for r in secrets.located(df, "text", ["doc_id"], secrets.Ordinary({})).select(F.explode("tried").alias("c")).select("c.uniform").collect()]
+    for level in (0.01, 0.1, 0.5):
+        assert sum(x < level for x in p) / len(p) <= 2 * level + 0.01
+    assert sum(x < secrets.UNIFORM for x in p) <= 0.005 * len(p)
+
+
+def test_account_numbers_and_context(spark):
+    rows = [(1, "pay to BE68 5390 0754 7034 EUR now"), (2, "BE68539007547034 ABC"), (3, "BE68 5390 0754 7034, DE89370400440532013000 GB29NWBK60161331926819"), (4, "BE68 5390 0754 7035"), (5, "XX68539007547034"), (6, "BE68539007547034X")]
+    rows += [(7, "123-45-6789 is my social security number"), (8, "123-45-6789"), (9, "social security 123-45-6789 (example)"), (10, "x@y.zz"), (11, "mail x@y.zz"), (12, "x@y.zz is a dummy")]
+    out = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ibans = {i: [x["match"] for x in out[i]["spans"] if x["kind"] == "iban"] for i in range(1, 7)}
+    assert ibans == {1: ["BE68 5390 0754 7034"], 2: ["BE68539007547034"], 3: ["BE68 5390 0754 7034", "DE89370400440532013000", "GB29NWBK60161331926819"], 4: [], 5: [], 6: []}
+    assert [len([x for x in out[i]["spans"] if x["kind"] == "ssn"]) for i in (7, 8, 9)] == [1, 0, 0]
+    assert [round(out[i]["spans"][0]["score"], 6) for i in (10, 11, 12)] == [0.9, 1.0, 0.7]
+
+
+def test_columns_with_odd_names_and_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    text = "a1 " * 200_000 + "password=hunter2hunter2 x@y.zz"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").withColumn("a.b", F.lit(3)).withColumn("row", F.lit("r"))
+    out = secrets.redact(df)
+    assert out.columns == df.columns and out.first()["text"].endswith("[secret] x@y.zz") and out.first()["a.b"] == 3
+    assert pii.report(pii.find(df)).first()["n_email"] == 1
+
+
 def test_redaction_masks_secrets_and_nothing_else(spark):
     df = spark.createDataFrame([(*r, "kept") for r in ODD], "doc_id long, text string, row string")
     out = secrets.redact(df)

@@ -47,6 +47,22 @@ def test_license_phrases(spark, every):
     assert {r["labels"] for r in out if r["doc_id"] == 1 and r["n_words"] == 10} >= {"apache,apache-2.0"}
 
 
+def test_whole_licenses_and_what_only_looks_like_one(spark):
+    plain = lambda markup: re.sub(r"<[^:<>]*:\d+>", "Some Body", markup).replace("[", "").replace("]", "")
+    two, three = (plain(m) for n, _, m in licenses.TEMPLATES if n in ("bsd-2-clause", "bsd-3-clause") and len(m) > 500)
+    mit = next(plain(m) for n, _, m in licenses.TEMPLATES if n == "mit")
+    texts = [mit, mit.replace("sublicense", "rent"), two, three, three.replace("endorse", "praise"), f"before {mit.upper()} after", "word " * 300_000 + two]
+    out = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[0] == out[5] == ("mit,mit-opening", 1.0) and out[1] == ("mit-opening", 0.5)
+    assert out[2] == out[6] == ("bsd-2-clause,bsd-opening", 1.0) and out[3] == ("bsd-3-clause,bsd-opening", 1.0) and out[4] == ("bsd-opening", 0.5)
+
+
+def test_published_mark_up_and_templates_without_words():
+    a = licenses.Automaton('<<beginOptional>>Copyright<<endOptional>> by <<var;name="c";original="x";match=".{0,20}">> end')
+    assert a.accepts(b"copyright by a b c d end".split(), 0) == 7 and a.accepts(b"by a b c d e end".split(), 0) is None
+    assert licenses.Scanner(templates=(("none", 1.0, "[maybe] <any:3>"),)).scan(b"maybe not")[5:] == ("", 0.0)
+
+
 def test_automaton_takes_optional_and_replaceable_parts():
     a = licenses.Automaton("one [two [three]] <:2> four")
     assert a.accepts(b"one four".split(), 0) == 2
@@ -65,6 +81,16 @@ def test_tokens_are_those_of_the_library(table, every):
     assert by_id([tuple(r) for r in bpe.report(bpe.round_trip(table, ranks, public_tokenizers.PATTERN)).collect()]) == by_id(wanted)
 
 
+def test_vocabularies_of_one_length_do_not_share_a_codec(spark):
+    letters = {bytes([b]): b for b in range(256)}
+    one, other = letters | {b"zv": 256}, letters | {b"zw": 256}
+    df = spark.createDataFrame([(1, "zw zv")], "doc_id long, text string").coalesce(1)
+    count = lambda ranks: bpe.report(bpe.round_trip(df, ranks, public_tokenizers.PATTERN)).first()["n_tokens"]
+    ids = lambda ranks: bpe.round_trip(df, ranks, public_tokenizers.PATTERN).first()["ids"]
+    assert count(one) == count(other) == 4
+    assert list(np.frombuffer(ids(one), "<u4")) == [122, 119, 32, 256] and list(np.frombuffer(ids(other), "<u4")) == [256, 32, 122, 118]
+
+
 def test_halves_join_to_the_encoding_of_the_whole():
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("any", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -91,6 +117,43 @@ def test_quality_counts(spark, table, every):
     assert all(r["kept"] != r["base_failed"] for r in bare)
 
 
+def test_verdict_is_that_of_plain_walks_and_counts(spark):
+    """Path lengths walked node by node, and the cut-off from sorted steps of all labelled rows."""
+    import random
+
+    from .conftest import prose
+
+    rng = random.Random(31)
+    texts = [prose(rng, rng.choice((60, 150)), 900) if k % 4 else " ".join(f"#{rng.randrange(10**9)}$" for _ in range(80)) for k in range(240)] + ["short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(0, 240, 2)], "doc_id long, quality int")
+    out = {r["doc_id"]: r for r in quality.judge(df, labels, sample=50).collect()}
+    from pyspark.sql import functions as F
+
+    stats = {r["doc_id"]: r for r in quality.statistics(df).collect()}
+    order = [r["doc_id"] for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(50).collect()]
+    features = lambda ids: quality.features({c: np.array([stats[i][c] for i in ids]) for c in quality.COUNTS})
+    forest = quality.Forest(features(order))
+    norm = 2 * (np.log(forest.rows - 1) + 0.5772156649) - 2 * (forest.rows - 1) / forest.rows
+
+    def anomaly(x: np.ndarray) -> float:
+        total = 0.0
+        for feature, value, left, length in forest.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] + int(x[feature[at]] > value[at])
+            total += length[at]
+        return 2 ** (-total / len(forest.trees) / norm)
+
+    step = {i: int(anomaly(features([i])[0]) * quality.BINS) for i in stats}
+    assert all(abs(out[i]["anomaly"] * quality.BINS - step[i]) <= 1.001 for i in stats)
+    known = [i for i in range(0, 240, 2) if not out[i]["base_failed"]]
+    good, bad = [i for i in known if i % 4], [i for i in known if not i % 4]
+    best = max((s for s in {step[i] for i in known} if sum(step[i] <= s for i in good) >= quality.KEEP_GOOD * len(good)), key=lambda s: (sum(step[i] <= s for i in good) / len(good) - sum(step[i] <= s for i in bad) / len(bad), -s))
+    assert all(out[i]["kept"] == (not out[i]["base_failed"] and step[i] <= best) for i in stats)
+    assert sum(out[i]["kept"] for i in bad) <= 0.1 * len(bad)
+
+
 def test_isolation_forest_finds_what_stands_apart():
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(size=(500, 4)), rng.normal(8, 1, size=(5, 4))])
