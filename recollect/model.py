@@ -69,8 +69,9 @@ class MemoryBasedLearner:
         return self
 
     def _statistics(self, rows: DataFrame, features: list[str], kinds: list[str]):
-        table = S.contingency(rows, features)
-        classes = S.class_table(rows)
+        # Small beside the rows: a cell for each value and class, and a row for each class.
+        table = S.contingency(rows, features).persist()
+        classes = S.class_table(rows).persist()
         numeric = [i for i, m in enumerate(kinds, 1) if m in NUMERICAL]
         ranges = {i: {"n_bad": 0, "width": 0.0, "sd": 0.0} for i in range(1, len(features) + 1)}
         if numeric or self.options.weighting == "sd" or (self.options.tree_order or "").startswith("SD"):
@@ -111,7 +112,7 @@ class MemoryBasedLearner:
             probs = None
             if metric in ("M", "J", "S"):
                 if packed is None:
-                    packed = M.packed(self.given_probs if self.given_probs is not None else S.value_probs(f.table), f.classes)
+                    packed = M.packed(self.given_probs if self.given_probs is not None else S.value_probs(f.table), f.classes).persist()
                 probs = packed.where(F.col("fidx") == i).select("fval", "p", "freq")
             own = given.where(F.col("fidx") == i).select("v", "ds") if given is not None and metric in STORABLE else None
             out.append(search.Feature(name, metric, weight, f.measures[i]["width"] or 1.0, probs, self.options.clip, own))
@@ -170,7 +171,7 @@ class MemoryBasedLearner:
 
     def pruned(self) -> DataFrame:
         """The tree that answers: without nodes that say what their parent says."""
-        return tree.pruned(self.tree(), len(self._known().features))
+        return tree.pruned(self.tree())
 
     def descend(self, queries: DataFrame) -> DataFrame:
         order, weights = self._ordered()

@@ -24,25 +24,25 @@ def confusion(rows: DataFrame, classes: DataFrame | None = None) -> DataFrame:
 
 
 def scores(matrix: DataFrame, classes: DataFrame) -> DataFrame:
-    """Per class: tp, fp, fn, tn, precision, recall, fpr, f1, auc; what isn't defined is null."""
+    """Per class: gfreq (in training), tp, fp, fn, tn, precision, recall, fpr, f1, auc; what isn't defined is null."""
     every = matrix.agg(F.sum("n").alias("total"))
     known = matrix.where("class is not null")
     tp = known.where("class = predicted").select("class", F.col("n").alias("tp"))
     rows = known.groupBy("class").agg(F.sum("n").alias("of_class"))
     columns = matrix.groupBy(F.col("predicted").alias("class")).agg(F.sum("n").alias("as_class"))
-    df = classes.select("class").join(tp, "class", "left").join(rows, "class", "left").join(columns, "class", "left").na.fill(0).crossJoin(F.broadcast(every))
+    df = classes.select("class", "gfreq").join(tp, "class", "left").join(rows, "class", "left").join(columns, "class", "left").na.fill(0).crossJoin(F.broadcast(every))
     df = df.withColumn("fn", F.col("of_class") - F.col("tp")).withColumn("fp", F.col("as_class") - F.col("tp"))
     df = df.withColumn("tn", F.col("total") - F.col("tp") - F.col("fn") - F.col("fp"))
     ratio = lambda a, b: F.when(b > 0, F.try_divide(a, b))
     df = df.withColumn("precision", ratio(F.col("tp"), F.col("as_class"))).withColumn("recall", ratio(F.col("tp"), F.col("of_class"))).withColumn("fpr", ratio(F.col("fp"), F.col("fp") + F.col("tn")))
     df = df.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     area = 0.5 * F.col("recall") * F.col("fpr") + F.col("recall") * (1 - F.col("fpr")) + 0.5 * (1 - F.col("recall")) * (1 - F.col("fpr"))
-    return df.select("class", "tp", "fp", "fn", "tn", "precision", "recall", "fpr", "f1", area.alias("auc"))
+    return df.select("class", "gfreq", "tp", "fp", "fn", "tn", "precision", "recall", "fpr", "f1", area.alias("auc"))
 
 
 def averages(scored: DataFrame) -> DataFrame:
-    """Micro averages (by class size) and macro averages (over defined values) of F and AUC."""
-    size = F.col("tp") + F.col("fn")
+    """Micro averages (by the class's frequency in training) and macro averages (over defined values) of F and AUC."""
+    size = F.col("gfreq")
     micro = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col(c) * size)) / F.sum(F.when(F.col(c).isNotNull(), size))
     return scored.agg(micro("f1").alias("micro_f1"), F.avg("f1").alias("macro_f1"), micro("auc").alias("micro_auc"), F.avg("auc").alias("macro_auc"))
 

@@ -22,27 +22,18 @@ def nodes(base: DataFrame, order: list[str], classes: DataFrame) -> DataFrame:
     return best.select("depth", "key", F.col("best.class").alias("default"), "n")
 
 
-def pruned(tree: DataFrame, depth: int) -> DataFrame:
-    """The tree without nodes that answer as their parent does, from the bottom up, unless a node below them stays; with ``leaf``."""
-    rows = tree.withColumn("up", F.when(F.col("depth") > 0, F.slice("key", F.lit(1), F.greatest(F.col("depth") - 1, F.lit(0)))))
-    kept, below, out = None, None, []
-    for t in range(depth, -1, -1):
-        level = rows.where(F.col("depth") == t)
-        if t:
-            level = level.join(tree.where(F.col("depth") == t - 1).select(F.col("key").alias("up"), F.col("default").alias("above")), "up")
-        stays = F.lit(True) if not t else ~F.col("default").eqNullSafe(F.col("above"))
-        if below is not None:
-            level = level.join(below, "key", "left")
-            stays = stays | F.coalesce("has", F.lit(False))
-        else:
-            level = level.withColumn("has", F.lit(False))
-        kept = level.where(stays).select("depth", "key", "default", "n", "up", (~F.coalesce("has", F.lit(False))).alias("leaf"))
-        below = kept.select(F.col("up").alias("key")).distinct().withColumn("has", F.lit(True))
-        out.append(kept.drop("up"))
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return whole
+def pruned(tree: DataFrame) -> DataFrame:
+    """The tree without nodes that answer as their parent does, from the bottom up, unless a node below them stays; with ``leaf``.
+
+    So a node stays if it or one below it answers otherwise than its parent: the prefixes of such nodes stay, and the root.
+    """
+    up = F.slice("key", F.lit(1), F.greatest(F.col("depth") - 1, F.lit(0)))
+    above = tree.select((F.col("depth") + 1).alias("depth"), F.col("key").alias("up"), F.col("default").alias("above"))
+    other = tree.where("depth > 0").withColumn("up", up).join(above, ["depth", "up"]).where(~F.col("default").eqNullSafe(F.col("above")))
+    stays = other.select(F.explode(F.sequence(F.lit(1), "depth")).alias("t"), "key").select(F.col("t").alias("depth"), F.slice("key", F.lit(1), F.col("t")).alias("key")).distinct()
+    parents = stays.select((F.col("depth") - 1).alias("depth"), up.alias("key")).distinct().withColumn("has", F.lit(True))
+    left = tree.where("depth = 0").unionByName(tree.join(stays, ["depth", "key"], "left_semi"))
+    return left.join(parents, ["depth", "key"], "left").withColumn("leaf", F.col("has").isNull()).drop("has")
 
 
 def descend(queries: DataFrame, tree: DataFrame, order: list[str], weights: list[float]) -> DataFrame:

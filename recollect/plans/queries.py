@@ -356,11 +356,11 @@ add("signed_counts", lambda s, d: edit.changed(PART.train(s, d), PART.instances(
 add("ib2", predictions(PART, algorithm="IB2", ib2_seed=100))
 
 TESTED = f"{search_sql(PART)}, tst AS (SELECT q.class, a.* FROM ans a JOIN qry q ON a.qid = q.qid)"
-MATRIX = "mat AS (SELECT c.class, t.predicted, COUNT(*) AS n FROM tst t LEFT JOIN cls c ON t.class = c.class GROUP BY c.class, t.predicted), tot AS (SELECT SUM(n) AS total FROM mat), cnt AS (SELECT c.class, COALESCE((SELECT SUM(n) FROM mat m WHERE m.class = c.class AND m.predicted = c.class), 0) AS tp, COALESCE((SELECT SUM(n) FROM mat m WHERE m.class = c.class), 0) AS oc, COALESCE((SELECT SUM(n) FROM mat m WHERE m.predicted = c.class), 0) AS ac FROM cls c), sco AS (SELECT class, tp, ac - tp AS fp, oc - tp AS fn, total - oc - ac + tp AS tn, tp / NULLIF(ac, 0) AS pre, tp / NULLIF(oc, 0) AS rec, (ac - tp) / NULLIF(total - oc, 0) AS fpr FROM cnt, tot), scr AS (SELECT class, tp, fp, fn, tn, pre AS precision, rec AS recall, fpr, 2 * pre * rec / NULLIF(pre + rec, 0) AS f1, 0.5 * rec * fpr + rec * (1 - fpr) + 0.5 * (1 - rec) * (1 - fpr) AS auc FROM sco)"
+MATRIX = "mat AS (SELECT c.class, t.predicted, COUNT(*) AS n FROM tst t LEFT JOIN cls c ON t.class = c.class GROUP BY c.class, t.predicted), tot AS (SELECT SUM(n) AS total FROM mat), cnt AS (SELECT c.class, c.gfreq, COALESCE((SELECT SUM(n) FROM mat m WHERE m.class = c.class AND m.predicted = c.class), 0) AS tp, COALESCE((SELECT SUM(n) FROM mat m WHERE m.class = c.class), 0) AS oc, COALESCE((SELECT SUM(n) FROM mat m WHERE m.predicted = c.class), 0) AS ac FROM cls c), sco AS (SELECT class, gfreq, tp, ac - tp AS fp, oc - tp AS fn, total - oc - ac + tp AS tn, tp / NULLIF(ac, 0) AS pre, tp / NULLIF(oc, 0) AS rec, (ac - tp) / NULLIF(total - oc, 0) AS fpr FROM cnt, tot), scr AS (SELECT class, gfreq, tp, fp, fn, tn, pre AS precision, rec AS recall, fpr, 2 * pre * rec / NULLIF(pre + rec, 0) AS f1, 0.5 * rec * fpr + rec * (1 - fpr) + 0.5 * (1 - rec) * (1 - fpr) AS auc FROM sco)"
 add("accuracy", lambda s, d: rounded(learner(PART, s, d).evaluate(PART.queries(s, d)), "accuracy"), f"{TESTED} SELECT COUNT(*) AS tested, SUM(CAST(class = predicted AS BIGINT)) AS correct, ROUND(AVG(CAST(class = predicted AS INT)), 6) + 0.0 AS accuracy, SUM(CAST(exact AS BIGINT)) AS exact, SUM(CAST(tie AND class = predicted AS BIGINT)) AS ties_correct, SUM(CAST(tie AND class <> predicted AS BIGINT)) AS ties_failed FROM tst")
 add("confusion", lambda s, d: evaluate.confusion((m := learner(PART, s, d)).test(PART.queries(s, d)), m.fitted.classes), f"{TESTED}, {MATRIX} SELECT class, predicted, n FROM mat")
-add("class_scores", lambda s, d: rounded(learner(PART, s, d).scores(PART.queries(s, d)), "precision", "recall", "fpr", "f1", "auc"), f"{TESTED}, {MATRIX} SELECT class, tp, fp, fn, tn, {six('precision', 'recall', 'fpr', 'f1', 'auc')} FROM scr")
-add("average_scores", lambda s, d: rounded(evaluate.averages(learner(PART, s, d).scores(PART.queries(s, d))), "micro_f1", "macro_f1", "micro_auc", "macro_auc"), f"{TESTED}, {MATRIX} SELECT ROUND(SUM(f1 * (tp + fn)) / SUM(CASE WHEN f1 IS NOT NULL THEN tp + fn END), 6) + 0.0 AS micro_f1, ROUND(AVG(f1), 6) + 0.0 AS macro_f1, ROUND(SUM(auc * (tp + fn)) / SUM(CASE WHEN auc IS NOT NULL THEN tp + fn END), 6) + 0.0 AS micro_auc, ROUND(AVG(auc), 6) + 0.0 AS macro_auc FROM scr")
+add("class_scores", lambda s, d: rounded(learner(PART, s, d).scores(PART.queries(s, d)), "precision", "recall", "fpr", "f1", "auc"), f"{TESTED}, {MATRIX} SELECT class, gfreq, tp, fp, fn, tn, {six('precision', 'recall', 'fpr', 'f1', 'auc')} FROM scr")
+add("average_scores", lambda s, d: rounded(evaluate.averages(learner(PART, s, d).scores(PART.queries(s, d))), "micro_f1", "macro_f1", "micro_auc", "macro_auc"), f"{TESTED}, {MATRIX} SELECT ROUND(SUM(f1 * gfreq) / SUM(CASE WHEN f1 IS NOT NULL THEN gfreq END), 6) + 0.0 AS micro_f1, ROUND(AVG(f1), 6) + 0.0 AS macro_f1, ROUND(SUM(auc * gfreq) / SUM(CASE WHEN auc IS NOT NULL THEN gfreq END), 6) + 0.0 AS micro_auc, ROUND(AVG(auc), 6) + 0.0 AS macro_auc FROM scr")
 
 
 def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
