@@ -66,6 +66,8 @@ should show simple size some source start state status string style submit table
 this time title total type under update upload user value version view when where which window with word work would write
 """
 FAMILIAR_TIMES, SMOOTHING = 10, 0.5
+#: How information is written into a character: steps of a nat, and the character of 0.
+STEPS, FIRST = 8, 33
 #: Lower ends of the bands of lengths, and how finely p-values are counted: bins for each factor of ten, down to 1e-30.
 BANDS, PER_DECADE, DECADES = (20, 24, 32, 48, 64, 128), 10, 30
 
@@ -151,9 +153,11 @@ class Ordinary:
                 row = first if pair[0] == " " else after[at[pair[0]]]
                 row[at[pair[1]]] += n
         begins = sum(first) / (sum(first) + sum(map(sum, after)))
-        cells = [(n, -math.log((1 - begins) * n / sum(row))) for row in after for n in row] + [(n, -math.log(begins * n / sum(first))) for n in first]
+        exact = [(n, -math.log((1 - begins) * n / sum(row))) for row in after for n in row] + [(n, -math.log(begins * n / sum(first))) for n in first]
+        # A character for each cell, in steps of 1 / STEPS: a plan carries one short literal.
+        self.table = "".join(chr(FIRST + min(round(x * STEPS), 125 - FIRST)) for _, x in exact)
+        cells = [(n, (ord(x) - FIRST) / STEPS) for (n, _), x in zip(exact, self.table, strict=True)]
         total = sum(n for n, _ in cells)
-        self.table = [x for _, x in cells]
         self.mean = sum(n * x for n, x in cells) / total
         self.variance = sum(n * (x - self.mean) ** 2 for n, x in cells) / total
 
@@ -164,9 +168,8 @@ class Ordinary:
         letter = lambda x: x.between(97, 122) | x.between(65, 90)
         number = lambda x: F.when(x >= 97, x - 97).otherwise(x - 65)
         pairs = F.zip_with(F.concat(F.array(F.lit(0)), F.slice(codes, F.lit(1), F.size(codes) - 1)), codes, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        table = F.array(*(F.lit(x) for x in self.table))
         cell = lambda z: F.when(letter(z["a"]) & (z["b"] >= 97), number(z["a"])).otherwise(26) * 26 + number(z["b"]) + 1
-        each = F.transform(F.filter(pairs, lambda z: letter(z["b"])), lambda z: F.element_at(table, cell(z).cast("int")))
+        each = F.transform(F.filter(pairs, lambda z: letter(z["b"])), lambda z: (F.ascii(F.substring(F.lit(self.table), cell(z).cast("int"), F.lit(1))) - FIRST) / STEPS)
         n, carried = F.size(each).cast("double"), F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x)
         return F.when(n == 0, 1.0).otherwise(chi_squared_tail(carried * (2 * self.mean / self.variance), n * (2 * self.mean**2 / self.variance)))
 
