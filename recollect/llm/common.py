@@ -48,9 +48,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet in the shared folder and read again: smaller than a checkpoint, columns can be pruned."""
+    """Write as Parquet in the shared folder and read again: much smaller than a checkpoint, columns can be pruned."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.parquet(path)
 
 

@@ -1,10 +1,10 @@
 """Substring dedup: MinHash banding over short paragraphs, verified by exact Jaccard, clustered by components.
 
-A paragraph here is a window of WINDOW words that begins at an anchor: a sentence's first word, or the
-place of the smallest shingle hash among SPAN in a row, so that every stretch of SPAN + WINDOW - 1 words
-that two texts share has a paragraph in common. Each has BANDS keys of ROWS minima over its shingles, tuned
-by ``tune`` to find similar paragraphs with high probability, and a key of all its shingles, its content,
-by which equal ones always meet. Keys are packed by bucket for the shuffle. In a bucket, paragraphs of one
+A paragraph here is a window of WINDOW words that begins at an anchor: a sentence's first word, or, of
+SPAN places in a row without one, the place of the smallest shingle hash, so that every stretch of SPAN +
+WINDOW - 1 words that two texts share has a paragraph in common. Each has BANDS keys of ROWS minima over
+its shingles, tuned by ``tune`` to find similar paragraphs with high probability, and a key of all its
+shingles, its content, by which equal ones always meet. Keys are packed by bucket for the shuffle. In a bucket, paragraphs of one
 content give a star; different contents under a band's key are all compared, a paragraph standing for
 each. A key with more than CROWD contents (a frequent phrase) isn't: its paragraphs are joined by the
 prefix filter over their rarest shingles, which finds all similar pairs among them. The Jaccard similarity
@@ -44,8 +44,10 @@ SPAN, GAP = 16, 8
 RECALL, MOST_BANDS = 0.98, 6
 #: Contents under a key that are all compared; with more, the prefix filter finds the similar ones.
 CROWD = 12
+#: Cells in which the shingles of crowds are counted.
+CELLS = 1 << 18
 #: Entries of a batch, and of a bucket (about); partitions that buckets are dealt to at most (a task takes one bucket after the other).
-BATCH_ENTRIES, BUCKET_ENTRIES, MOST_PARTITIONS = 600_000, 1_000_000, 20_000
+BATCH_ENTRIES, BUCKET_ENTRIES, MOST_PARTITIONS = 1_000_000, 1_400_000, 20_000
 #: Partners of a text that are verified in one group.
 PARTNERS = 64
 #: Parts that the rows of a component are dealt to.
@@ -53,7 +55,7 @@ SALTS = 32
 #: Paragraphs that follow each other within so many words, on both sides, belong to one run.
 NEAR = 16
 _U = np.uint64
-_LOW = _U((1 << 40) - 1)
+_LOW, _CONTENT = _U((1 << 32) - 1), _U((1 << 24) - 1)
 
 
 def tune(similar: float = SIMILAR, recall: float = RECALL, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -83,20 +85,26 @@ def shingles(words: tv.Words) -> np.ndarray:
     return tv.mix(total)
 
 
+def sentence_starts(words: tv.Words) -> np.ndarray:
+    """Whether each word is the first one of a sentence, a line or a document."""
+    chosen = np.zeros(len(words.hash), dtype=bool)
+    chosen[:1] = True
+    line = np.concatenate(([0], np.cumsum(words.data == 10)))
+    chosen[1:] = _END[words.data[words.end[:-1] - 1]] | (line[words.start[1:]] > line[words.end[:-1]]) | (words.doc[1:] != words.doc[:-1])
+    return chosen
+
+
 def anchors(words: tv.Words, shingle: np.ndarray) -> np.ndarray:
     """Word numbers (in the run of documents) where a whole paragraph begins.
 
     Besides the sentences' first words, each SPAN places in a row where a paragraph of one document can
-    begin give the first one of the smallest shingle hash, whatever stands around them: two texts that
-    share SPAN + WINDOW - 1 words in a row have an anchor in common there.
+    begin, and where no sentence does behind the first one, give the first place of the smallest shingle hash,
+    whatever stands around them: two texts that share SPAN + WINDOW - 1 words in a row have an anchor in common there.
     """
     n = len(words.hash)
     if n < WINDOW:
         return np.empty(0, dtype=np.int64)
-    chosen = np.zeros(n, dtype=bool)
-    chosen[0] = True
-    line = np.concatenate(([0], np.cumsum(words.data == 10)))
-    chosen[1:] = _END[words.data[words.end[:-1] - 1]] | (line[words.start[1:]] > line[words.end[:-1]]) | (words.doc[1:] != words.doc[:-1])
+    chosen = sentence_starts(words)
     places = n - WINDOW + 1
     whole = words.doc[:places] == words.doc[WINDOW - 1 :]
     # Hash above, place below: the first of equal ones is the smallest.
@@ -107,6 +115,9 @@ def anchors(words: tv.Words, shingle: np.ndarray) -> np.ndarray:
         x = np.minimum(x[:-step], x[step:]) if len(x) > step else x[:0]
         width += step
     inside = whole[: len(x)] & (words.doc[: len(x)] == words.doc[SPAN + WINDOW - 2 :][: len(x)]) if len(x) else np.empty(0, dtype=bool)
+    begun = np.concatenate(([0], np.cumsum(chosen)))
+    if len(x):
+        inside &= begun[SPAN : SPAN + len(x)] == begun[1 : 1 + len(x)]
     picked = np.zeros(places, dtype=bool)
     picked[(x[inside] & _U(0xFFFFFFFF)).astype(np.int64)] = True
     # In a row of equal paragraphs (one word again and again) every GAP-th and the last are enough, since their keys are equal.
@@ -172,17 +183,22 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
         if not keyed:
             return
         mark, place, key = np.concatenate(marks), np.concatenate(places), np.concatenate(keyed)
-        content = np.repeat((key[:, -1] >> _U(20)).astype("<u4"), KEYS)
-        mark, place, key = np.repeat(mark, KEYS), np.repeat(place, KEYS), key.ravel()
+        # Each paragraph has the key of its content; one for each content of the batch has those of the bands.
+        _, first = np.unique(key[:, -1], return_index=True)
+        content = (key[:, -1] >> _U(32)) & _CONTENT
+        content = np.concatenate((content, np.repeat(content[first], BANDS)))
+        mark, place, key = np.concatenate((mark, np.repeat(mark[first], BANDS))), np.concatenate((place, np.repeat(place[first], BANDS))), np.concatenate((key[:, -1], key[first, :BANDS].ravel()))
         bucket = ((key >> _U(40)) % _U(buckets)).astype(np.int64)
         order = np.lexsort((mark, bucket))
         mark, place, key, bucket, content = mark[order], place[order], key[order] & _LOW, bucket[order], content[order]
         start, size = _starts(bucket)
         payload = []
+        wide = "<u4" if place.max() >= 1 << 16 else "<u2"
         for s, n in zip(start.tolist(), size.tolist(), strict=True):
-            m, p, k = mark[s : s + n], place[s : s + n], key[s : s + n]
+            m, p, k, c = mark[s : s + n], place[s : s + n], key[s : s + n], content[s : s + n]
             at, count = _starts(m)
-            payload.append(b"".join((len(at).to_bytes(4, "little"), m[at].astype("<i8").tobytes(), count.astype("<u4").tobytes(), p.astype("<u4").tobytes(), (k & _U(0xFFFFFFFF)).astype("<u4").tobytes(), (k >> _U(32)).astype(np.uint8).tobytes(), content[s : s + n].tobytes())))
+            parts = (len(at).to_bytes(4, "little"), wide[-1].encode(), m[at].astype("<i8").tobytes(), count.astype("<u4").tobytes(), p.astype(wide).tobytes(), k.astype("<u4").tobytes(), c.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes())
+            payload.append(b"".join(parts))
         yield _rows(3, len(start), bucket[start], payload=payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,12 +233,13 @@ Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _unpack(payload: bytes) -> Entries:
-    """Mark, first word, key and content of each entry."""
-    k = int.from_bytes(payload[:4], "little")
-    mark, count = np.frombuffer(payload, "<i8", k, 4), np.frombuffer(payload, "<u4", k, 4 + 8 * k)
-    n, at = int(count.sum()), 4 + 12 * k
-    low, high = np.frombuffer(payload, "<u4", n, at + 4 * n), np.frombuffer(payload, np.uint8, n, at + 8 * n)
-    return np.repeat(mark, count), np.frombuffer(payload, "<u4", n, at), low.astype(_U) | (high.astype(_U) << _U(32)), np.frombuffer(payload, "<u4", n, at + 9 * n)
+    """Mark, first word, key and content of each entry; under the key of a content, the content tells apart keys that agree by chance."""
+    k, wide = int.from_bytes(payload[:4], "little"), int(payload[4:5])
+    mark, count = np.frombuffer(payload, "<i8", k, 5), np.frombuffer(payload, "<u4", k, 5 + 8 * k)
+    n, at = int(count.sum()), 5 + 12 * k
+    place, key = np.frombuffer(payload, f"<u{wide}", n, at), np.frombuffer(payload, "<u4", n, at + wide * n)
+    content = np.frombuffer(payload, np.uint8, 3 * n, at + (wide + 4) * n).reshape(-1, 3).astype(np.uint32) @ np.array([1, 1 << 8, 1 << 16], dtype=np.uint32)
+    return np.repeat(mark, count), place, key.astype(_U), content
 
 
 def _collide(parts: list[Entries], bucket: int) -> Iterator[pa.RecordBatch]:
@@ -285,15 +302,15 @@ def collide(indexed: DataFrame, partitions: int) -> DataFrame:
     return map_batches(indexed.repartition(partitions, "bucket").sortWithinPartitions("kind", "bucket"), run, ROW)
 
 
-def _crowded(docs: DataFrame, crowd: DataFrame, marks: DataFrame) -> DataFrame:
+def _crowded(texts: DataFrame, crowd: DataFrame) -> DataFrame:
     """Pairs ``(a, b, payload)`` of paragraphs under a crowded key, from ``crowd(key, mark, place)``: the prefix filter over their shingles.
 
-    Similar sets share one of the shingles that are left over beyond what they must share; rare ones come first.
+    Similar sets share one of the shingles that are left over beyond what they must share, in any order of all
+    shingles. Here rare ones come first, by counts in CELLS cells over all these paragraphs, which are broadcast.
     """
-    wanted = crowd.groupBy("mark").agg(F.collect_set("place").alias("places")).join(marks, "mark").select("id", "mark", "places")
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").select("mark", "places", "text")
+    rows = texts.join(crowd.groupBy("mark").agg(F.collect_set("place").alias("places")), "mark").select("mark", "places", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for i, j, data, start in tv.chunks(rows.column(2)):
                 words = tv.Words(data, start)
@@ -301,30 +318,50 @@ def _crowded(docs: DataFrame, crowd: DataFrame, marks: DataFrame) -> DataFrame:
                 for k, (own, places) in enumerate(zip(rows.column(0)[i:j].to_pylist(), rows.column(1)[i:j].to_pylist(), strict=True)):
                     if mark[k] == own:
                         at = np.array(sorted(places), dtype=np.int64)
-                        sets = all_[words.first[k] + at[:, None] + np.arange(SHINGLES)].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(sets.size, own)), pa.array(np.repeat(at, SHINGLES)), pa.array(sets.ravel())], ["mark", "place", "shingle"])
-
-    own = map_batches(rows, run, "mark long, place long, shingle long").distinct().withColumnRenamed("mark", "m")
-    placed = cut(crowd.join(own.withColumnRenamed("place", "p"), (F.col("mark") == F.col("m")) & (F.col("place") == F.col("p"))).select("key", "mark", "place", "shingle"))
-    often = placed.groupBy("key", "shingle").agg(F.count("*").alias("often"))
-    by = Window.partitionBy("key", "mark", "place")
-    ranked = placed.join(often, ["key", "shingle"]).withColumn("rank", F.row_number().over(by.orderBy("often", "shingle"))).withColumn("n", F.count("*").over(by))
-    prefix = cut(ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * SIMILAR) + 1) & (F.col("often") > 1)).select("key", "shingle", "mark", "place"))
-    other = prefix.select("key", "shingle", F.col("mark").alias("b"), F.col("place").alias("q"))
-    pairs = prefix.join(other, ["key", "shingle"]).where(F.col("mark") > F.col("b")).select(F.col("mark").alias("a"), "place", "b", "q").distinct()
+                        sets = all_[words.first[k] + at[:, None] + np.arange(SHINGLES)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), own)), pa.array(at), pa.array([x.tobytes() for x in sets], pa.binary())], ["mark", "place", "shingles"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, dtype=np.int64)
+        for rows in batches:
+            for raw in rows.column(0).to_pylist():
+                np.add.at(total, (np.unique(np.frombuffer(raw, dtype=_U)) % _U(CELLS)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+    own = stored(map_batches(rows, cut_out, "mark long, place long, shingles binary").distinct(), "crowds")
+    often = np.zeros(CELLS, dtype=np.int64)
+    for r in map_batches(own.select("shingles"), cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # CELLS rows at most
+        often[r["cell"]] = r["n"]
+    shared = texts.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            out: list[tuple[int, int, int]] = []
+            for key, mark, place, raw in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                x = np.unique(np.frombuffer(raw, dtype=_U))
+                ranked = x[np.lexsort((x, shared.value[(x % _U(CELLS)).astype(np.int64)]))]
+                keep = ranked[: len(x) - math.ceil(SIMILAR * len(x)) + 1]
+                out += [(int(h), mark, place) for h in tv.mix(keep ^ _U(key % (1 << 64))).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, ["key", "mark", "place"])
+
+    found = map_batches(crowd.join(own, ["mark", "place"]).select("key", "mark", "place", "shingles"), prefixes, "key long, mark long, place long")
+    many = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    prefix = stored(found.join(many, "key"), "prefixes")
+    other = prefix.select("key", F.col("mark").alias("b"), F.col("place").alias("q"))
+    pairs = prefix.join(other, "key").where(F.col("mark") > F.col("b")).select(F.col("mark").alias("a"), "place", "b", "q").distinct()
     packed = lambda c: F.concat(*(F.substring(F.lpad(F.hex(F.col(c)), 8, "0"), 7 - 2 * k, 2) for k in range(4)))
     return pairs.groupBy("a", "b").agg(F.unhex(F.array_join(F.array_sort(F.collect_list(F.concat(packed("place"), packed("q")))), "")).alias("payload"))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, marks: DataFrame, least: int = LEAST) -> DataFrame:
-    """Runs of ``least`` words or more ``(a, start, end, b, from, to)`` (words) of verified paragraphs, from ``pairs(a, b, payload)`` of marks."""
+def verify(texts: DataFrame, pairs: DataFrame, least: int = LEAST) -> DataFrame:
+    """Runs of ``least`` words or more ``(a, start, end, b, from, to)`` (words) of verified paragraphs, from ``pairs(a, b, payload)`` of marks and ``texts(mark, text)``."""
     many = pairs.select("a", "b").distinct().groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
     whole = pairs.groupBy("a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list("payload")), F.hex), "").alias("h")).select("a", "b", F.unhex("h").alias("payload"))
     dealt = stored(whole.join(many, "b").select("a", "b", "payload", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")), "passages")
     ones = dealt.select("b", "part", F.lit(1).alias("role"), F.col("a").alias("mark"), "payload")
     zeros = dealt.groupBy("b", "part").agg(F.array_join(F.transform(F.collect_list("payload"), F.hex), "").alias("h")).select("b", "part", F.lit(0).alias("role"), F.col("b").alias("mark"), F.unhex("h").alias("payload"))
-    wanted = ones.union(zeros).join(marks, "mark").select("id", "b", "part", "role", "mark", "payload")
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").select("b", "part", "role", "mark", "payload", "text")
+    rows = texts.join(ones.union(zeros), "mark").select("b", "part", "role", "mark", "payload", "text")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words of the paragraphs that are wanted and SPAN words around each: stretches (first word, length) and hashes."""
@@ -440,15 +477,18 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int
     spark = docs.sparkSession
     df = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(size * KEYS / 30 / BUCKET_ENTRIES))
+    buckets = max(1, math.ceil(size * KEYS / 48 / BUCKET_ENTRIES))
     matched = stored(collide(index(df, buckets), max(min(buckets, MOST_PARTITIONS), int(spark.conf.get("spark.sql.shuffle.partitions")))), "paragraphs")
     rows = matched.where("kind = 0 and a is not null").select(F.col("a").alias("doc_id"), F.col("b").alias("mark"), "n").distinct()
     marks = cut(rows.groupBy("mark").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("copies"), F.max("n").alias("n")))
     pairs = matched.where("kind = 1").select("a", "b", "payload")
     crowd = matched.where("kind = 2").select(F.col("b").alias("key"), F.col("a").alias("mark"), F.col("n").alias("place"))
+    # The texts that have a candidate are joined out of the documents once.
+    needed = pairs.select(F.col("a").alias("mark")).union(pairs.select(F.col("b").alias("mark"))).union(crowd.select("mark")).distinct().join(marks.select("mark", "id"), "mark")
+    texts = stored(df.join(needed, F.col("doc_id") == F.col("id")).select("mark", "text"), "texts")
     if not crowd.isEmpty():
-        pairs = pairs.union(_crowded(df, crowd, marks.select("mark", "id")))
-    runs = cut(verify(df, pairs, marks.select("mark", "id"), least))
+        pairs = pairs.union(_crowded(texts, crowd))
+    runs = cut(verify(texts, pairs, least))
 
     # Overlapping runs on the compared side are one passage there.
     sides = runs.select("b", "from", "to").distinct()

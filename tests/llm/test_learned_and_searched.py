@@ -283,10 +283,9 @@ def test_crowded_keys_lose_no_similar_paragraph(spark):
         words = tv.Words(data, np.array([0, len(data)]))
         marks.append(int(passages.text_mark(words)[0]))
         sets.append(frozenset(passages.shingles(words)[: passages.SHINGLES].tolist()))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = spark.createDataFrame(list(zip(marks, texts, strict=True)), "mark long, text string").distinct()
     crowd = spark.createDataFrame([(1, m, 0) for m in set(marks)], "key long, mark long, place long")
-    ids = spark.createDataFrame([(m, marks.index(m)) for m in set(marks)], "mark long, id long")
-    found = {frozenset((r["a"], r["b"])) for r in passages._crowded(df, crowd, ids).collect()}
+    found = {frozenset((r["a"], r["b"])) for r in passages._crowded(df, crowd).collect()}
     wanted = {frozenset((marks[i], marks[j])) for i in range(60) for j in range(i) if marks[i] != marks[j] and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])}
     assert wanted and wanted <= found
 
@@ -349,6 +348,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert out == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in seen.items()}
 
 
+def test_pipeline_stands_odd_tables(spark, tmp_path):
+    """An empty table, repeated rows, nulls in every column, a text of 5 MB; decisions are defined for all of them."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(18)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{rng.randrange(90_000)}" for _ in range(800_000))
+    rows = [(k, prose(rng, 60, 2000), "en", "web", 1) for k in range(30)]
+    tables = {"none": [], "odd": [*rows, rows[3], rows[3], (40, None, None, None, None), (None, "no id", None, None, None), (None, None, None, None, None), (41, "", "en", "", 0), (42, long, "en", "web", len(long))]}
+    for name, own in tables.items():
+        path = str(tmp_path / name)
+        spark.createDataFrame(own, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(k, 1, 0) for k in range(30)] if own else [], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame(ITEMS if own else [], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, path).collect()
+        ids = sorted((r["doc_id"] for r in out), key=str)
+        assert ids == sorted((r[0] for r in own), key=str)
+    assert max(r["n_tokens"] for r in out) > 800_000
+
+
 def test_empty_tables(spark, none):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.find(none, items).count() == decontaminate.clean(none, items).count() == passages.find(none).count() == 0
