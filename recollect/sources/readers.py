@@ -165,7 +165,7 @@ def _numbered(spark: SparkSession, path: str, head: str) -> DataFrame:
     if at is None:
         raise ValueError(f"{path} has no features")
     above = F.filter(at, lambda h: h["iid"] < F.col("iid"))
-    return rows.where((number == "") & (F.size(above) > 0)).select("iid", "value", F.element_at(above, -1)["fidx"].alias("fidx"))
+    return rows.where((number == "") & (F.size(above) > 0)).select("iid", "value", F.try_element_at(above, F.lit(-1))["fidx"].alias("fidx"))
 
 
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
