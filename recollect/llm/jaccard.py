@@ -51,6 +51,8 @@ BATCH_ENTRIES, BUCKET_ENTRIES, MOST_PARTITIONS = 600_000, 1_000_000, 20_000
 FALLBACK = 0.6
 #: Partners of a set that are verified in one group.
 PARTNERS = 128
+#: Tokens before one that are looked at, so that few pairs come from several tokens.
+BEFORE = 24
 _LOW = np.uint64((1 << 40) - 1)
 _U = np.uint64
 
@@ -375,19 +377,21 @@ def _rest(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) that share one of their rarest tokens, of sets in different components: the prefix filter.
 
     ``nodes(id, mark, n, component)`` are the sets left with too little value. Tokens whose sets are all in one
-    component give nothing, nor do pairs that are in one or have too few tokens left.
+    component give nothing, nor do pairs that are in one or have too few tokens left. A pair is left to an earlier
+    token that it shares, where one is among the last BEFORE of both; the first one that it shares always gives it.
     """
     tokens = cut(_tokens(texts, nodes.select("id", "mark", "n")))
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = tokens.join(often, "token").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("often", "token")))
     prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1).where("often > 1").join(nodes.select("id", "component"), "id").select("token", "id", "n", "component", "rank")
     split = prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
-    prefix = cut(prefix.join(split, "token"))
-    other = prefix.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("rank").alias("rb"))
+    before = F.collect_list("token").over(Window.partitionBy("id").orderBy("rank").rowsBetween(-BEFORE, -1))
+    prefix = cut(prefix.join(split, "token").withColumn("before", before))
+    other = prefix.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("rank").alias("rb"), F.col("before").alias("bb"))
     # From the first token that linked sets share, enough of each must be left for the intersection that they need.
     left = 1 + F.least(F.col("n") - F.col("rank"), F.col("nb") - F.col("rb"))
     enough = left * (DENOMINATOR + NUMERATOR) >= (F.col("n") + F.col("nb")) * NUMERATOR
-    return prefix.join(other, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & enough).select(F.col("id").alias("a"), "b").distinct()
+    return prefix.join(other, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & enough & ~F.arrays_overlap("before", "bb")).select(F.col("id").alias("a"), "b").distinct()
 
 
 def _with(links: DataFrame, more: DataFrame) -> DataFrame:
