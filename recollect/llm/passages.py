@@ -456,20 +456,22 @@ def _run_together(both: np.ndarray, before: np.ndarray, behind: np.ndarray, leas
     if not len(both):
         return
     order = np.lexsort((both[:, 1], both[:, 0]))
-    open_: list[list[int]] = []
+    # Open runs by the distance of their two sides, in steps of NEAR, so that a paragraph meets only those on its own diagonal or beside it.
+    open_: dict[int, list[list[int]]] = {}
+    long_enough = lambda run: max(run[1] - run[0], run[3] - run[2]) >= least
     for (p, q), l, r in zip(both[order].tolist(), before[order].tolist(), behind[order].tolist(), strict=True):
-        for run in reversed(open_):
+        step = (p - q) // NEAR
+        for run in (run for near in (0, -1, 1, -2, 2) for run in reversed(open_.get(step + near, ()))):
             if p <= run[1] + NEAR and run[2] <= q + NEAR and q <= run[3] + NEAR and abs((p - run[0]) - (q - run[2])) <= NEAR:
                 run[0], run[2] = min(run[0], p - l), min(run[2], q - l)
                 run[1], run[3] = max(run[1], p + WINDOW + r), max(run[3], q + WINDOW + r)
                 break
         else:
-            open_.append([p - l, p + WINDOW + r, q - l, q + WINDOW + r])
-            closed = [run for run in open_ if run[1] + NEAR < p]
-            if closed:
-                yield from (tuple(run) for run in closed if max(run[1] - run[0], run[3] - run[2]) >= least)
-                open_ = [run for run in open_ if run[1] + NEAR >= p]
-    yield from (tuple(run) for run in open_ if max(run[1] - run[0], run[3] - run[2]) >= least)
+            own = open_.setdefault(step, [])
+            yield from (tuple(run) for run in own if run[1] + NEAR < p and long_enough(run))
+            own[:] = [run for run in own if run[1] + NEAR >= p]
+            own.append([p - l, p + WINDOW + r, q - l, q + WINDOW + r])
+    yield from (tuple(run) for own in open_.values() for run in own if long_enough(run))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
