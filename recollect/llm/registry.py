@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, licenses, passages, pii, quality, secrets, sharding, toxicity
+from . import bpe, chat, decontaminate, filters, jaccard, licenses, passages, pii, quality, secrets, sharding, toxicity, turns
 from .common import documents, table
 
 #: Words of a repeated passage that op4 reports at least.
@@ -56,8 +57,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(quality.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = turns.read(table(spark, sf_dir, "conversations"))
+    return turns.report(conversations, turns.damaged(conversations))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(filters.labelled(filters.failures(documents(spark, sf_dir)), table(spark, sf_dir, "labels")))
+
+
+#: A conversation of which both turns hold what the template must escape.
+PLANTED_ID, PLANTED_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    planted = spark.range(2).select(F.lit(PLANTED_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED_TEXT).alias("text"))
+    return chat.digests(chat.pieces(conversations.select("conv_id", "turn", "role", "text").unionByName(planted)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_secret_scan, op4_substring_dedup, op5_license_scan, op6_benchmark_decontamination, op7_pii, op8_sharding, op9_byte_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_secret_scan, op4_substring_dedup, op5_license_scan, op6_benchmark_decontamination, op7_pii, op8_sharding, op9_byte_bpe, op10_quality_rules, op11_turn_repair, op12_filter_audit, op13_chat_format)}
 
 
 #: All pairs of different sets that share a shingle, then the smallest id that each reaches. Equal sets are one node.
@@ -78,4 +98,4 @@ FROM sets s LEFT JOIN nodes n ON n.s = s.s LEFT JOIN least l ON l.id = n.id
 
 def oracle_sql() -> dict[str, str]:
     """SQL of what SQL can express."""
-    return {"op1_ngram_jaccard_join": LINKED}
+    return {"op1_ngram_jaccard_join": LINKED, "op11_turn_repair": turns.SQL, "op12_filter_audit": filters.SQL, "op13_chat_format": chat.SQL}
