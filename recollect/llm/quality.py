@@ -1,7 +1,7 @@
 """Quality rules: rule statistics of whole texts, and an isolation forest over them.
 
 The statistics are exact counts over all documents (equal lines and word windows are found by 64-bit
-hashes). The forest is fitted on a bounded sample of labelled rows; how easily random splits isolate a
+hashes). The forest is fitted on a bounded sample of rows labelled good; how easily random splits isolate a
 document is its anomaly score, counted in BINS steps, and the cut-off is calibrated on all labelled rows.
 Documents at the cut-off are kept.
 
@@ -26,7 +26,7 @@ from .common import cut, map_batches, quoted
 SYMBOLS = b"#*$%&|<>"
 #: Base rules: the least number of words, and the largest percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 50, 50, 3
-#: Labelled rows that fit the forest at most; trees, rows of a tree, and the seed.
+#: Rows labelled good that fit the forest at most; trees, rows of a tree, and the seed.
 SAMPLE, TREES, TREE_ROWS, SEED = 20_000, 100, 256, 7
 #: The share of labelled good documents that the cut-off must keep at least.
 KEEP_GOOD = 0.98
@@ -194,13 +194,16 @@ def base_failed() -> F.Column:
 def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row per document: COUNTS, ``base_failed``, ``anomaly`` and ``kept``.
 
-    The forest is fitted on at most ``sample`` labelled rows, chosen by a hash of their id. Calibration
+    The forest is fitted on at most ``sample`` rows labelled good, chosen by a hash of their id (on all labelled rows
+    where none is good): what good rows isn't like is odd, however many bad rows are alike. Calibration
     counts all labelled rows that pass the base rules, since it decides for those only.
     """
     stats = cut(statistics(docs, doc_id, text)).withColumn("base_failed", base_failed())
     known = labels.where(quoted(label).isNotNull()).groupBy(quoted(doc_id).alias("doc_id")).agg(F.max(quoted(label)).alias("label"))
     labelled = cut(stats.join(known, "doc_id"))
-    fit = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(*COUNTS).toPandas()
+    some = lambda rows: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(*COUNTS).toPandas()
+    fit = some(labelled.where("label > 0"))
+    fit = fit if len(fit) else some(labelled)
     forest = Forest(features({c: fit[c].to_numpy() for c in COUNTS})) if len(fit) else None
     shared = stats.sparkSession.sparkContext.broadcast(forest)
 

@@ -142,15 +142,26 @@ def reshard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str
     return plan(units(measured(docs, doc_id, text), share), old, shards)
 
 
-def rewrite(docs: DataFrame, planned: DataFrame, target: str, doc_id: str = "doc_id") -> list[int]:
-    """Write the shards whose rows change, as folders ``shard=<n>`` under ``target``; returns their numbers.
+def rewrite(docs: DataFrame, planned: DataFrame, target: str, doc_id: str = "doc_id", shard: str = "shard", slot: str = "slot") -> list[int]:
+    """Write the shards whose rows change, as folders ``<shard>=<n>`` under ``target``; returns their numbers.
 
-    ``docs`` must have one row per id. Shards that neither lose nor get rows aren't read for writing.
+    Only these folders are replaced, once all of them are written; a shard that ends without rows loses its folder. Others
+    aren't read for writing and stay as they are, so ``docs`` may lie in ``target`` itself. ``docs`` must have one row per id. Its
+    columns by the names ``shard`` and ``slot``, if any, are older placements and give way to the new ones.
     """
+    spark = docs.sparkSession
     change = planned.where("old_shard != shard")
     affected = sorted({r[0] for r in change.select("old_shard").union(change.select("shard")).distinct().collect()})
-    moves = planned.where(F.col("shard").isin(affected)).select(F.col("doc_id").alias(doc_id), "shard", "slot")
-    docs.join(moves, doc_id).repartition("shard", F.floor(F.col("slot") / BLOCK_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(target)
+    mine = planned.where(F.col("shard").isin(affected)).select(F.struct("doc_id", "shard", "slot").alias("x"))
+    full = {r[0] for r in mine.select("x.shard").distinct().collect()}
+    kept = [c for c in docs.columns if c.casefold() not in (shard.casefold(), slot.casefold())]
+    rows = docs.select(F.struct(*(quoted(c) for c in kept)).alias("d")).join(mine, F.col("d")[doc_id] == F.col("x.doc_id"))
+    placed = rows.repartition("x.shard", F.floor(F.col("x.slot") / BLOCK_ROWS)).sortWithinPartitions("x.shard", "x.slot")
+    out = placed.select(*(F.col("d")[c].alias(c) for c in kept), F.col("x.shard").alias(shard), F.col("x.slot").alias(slot))
+    out.write.partitionBy(shard).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
+    for number in (n for n in affected if n not in full):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{shard}={number}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return affected
 
 

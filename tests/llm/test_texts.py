@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from recollect.llm import bpe, licenses, quality, sharding
 
@@ -128,10 +129,9 @@ def test_verdict_is_that_of_plain_walks_and_counts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(0, 240, 2)], "doc_id long, quality int")
     out = {r["doc_id"]: r for r in quality.judge(df, labels, sample=50).collect()}
-    from pyspark.sql import functions as F
 
     stats = {r["doc_id"]: r for r in quality.statistics(df).collect()}
-    order = [r["doc_id"] for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(50).collect()]
+    order = [r["doc_id"] for r in labels.where("quality > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(50).collect()]
     features = lambda ids: quality.features({c: np.array([stats[i][c] for i in ids]) for c in quality.COUNTS})
     forest = quality.Forest(features(order))
     norm = 2 * (np.log(forest.rows - 1) + 0.5772156649) - 2 * (forest.rows - 1) / forest.rows
@@ -198,7 +198,6 @@ def test_flow_moves_the_fewest_bytes():
 
 def test_rewritten_files_hold_the_affected_shards(spark, tmp_path):
     df = spark.createDataFrame([(k, "x" * (1 + k % 50)) for k in range(400)], "doc_id long, text string")
-    from pyspark.sql import functions as F
 
     planned = sharding.reshard(df, 4, old_shard=F.col("doc_id") % 2).cache()
     affected = sharding.rewrite(df, planned, str(tmp_path / "shards"))
@@ -206,6 +205,24 @@ def test_rewritten_files_hold_the_affected_shards(spark, tmp_path):
     assert affected == [0, 1, 2, 3] and back.count() == 400 and back.select("doc_id").distinct().count() == 400
 
 
+def test_shards_without_changes_stay(spark, tmp_path):
+    """Two of four shards change, one of them ends empty; a live folder, rows with columns of the written names."""
+    target = str(tmp_path / "live")
+    df = spark.createDataFrame([(k, prose_of(k), k % 4, -k, "m") for k in range(400)], "doc_id long, text string, shard int, slot long, x string")
+    df.write.partitionBy("shard").parquet(target)
+    before = {k: sorted(p.name for p in (tmp_path / "live" / f"shard={k}").iterdir()) for k in range(4)}
+    planned = df.select("doc_id", F.col("shard").alias("old_shard"), F.when(F.col("shard") == 1, 0).otherwise(F.col("shard")).alias("shard"), F.col("doc_id").alias("slot"))
+    assert sharding.rewrite(spark.read.parquet(target), planned, target) == [0, 1]
+    back = spark.read.parquet(target)
+    assert sorted((r["doc_id"], r["shard"], r["text"], r["x"]) for r in back.collect()) == sorted((k, 0 if k % 4 == 1 else k % 4, prose_of(k), "m") for k in range(400))
+    assert all(sorted(p.name for p in (tmp_path / "live" / f"shard={k}").iterdir()) == before[k] for k in (2, 3))
+    assert not (tmp_path / "live" / "shard=1").exists()
+
+
+def prose_of(k: int) -> str:
+    return f"text {k} " * (k % 7 + 1)
+
+
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
