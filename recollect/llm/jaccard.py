@@ -459,5 +459,6 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of linked ones, the one with the smallest id; all columns stay."""
-    others = cut(link(docs, doc_id, text).where("doc_id != component_id").select("doc_id").distinct())
-    return docs.join(others.withColumnRenamed("doc_id", "the linked one"), quoted(doc_id) == F.col("the linked one"), "left_anti")
+    others = cut(link(docs, doc_id, text).where("doc_id != component_id").select(F.struct("doc_id").alias("x")).distinct())
+    free = next(name for k in range(len(docs.columns) + 1) if (name := f"linked{k}").casefold() not in {c.casefold() for c in docs.columns})
+    return docs.join(others.select(F.col("x.doc_id").alias(free)), quoted(doc_id) == F.col(free), "left_anti")

@@ -108,7 +108,7 @@ def _learner(part: pd.DataFrame) -> pd.DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> np.ndarray:
     """Averaged weights of the parts; the last one is the bias."""
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("double").alias("label"))
+    known = labels.where(quoted(label).isNotNull() & quoted(doc_id).isNotNull()).groupBy(quoted(doc_id).alias("doc_id")).agg(F.max(quoted(label)).cast("double").alias("label"))
     chosen = known.where(~held_out(F.col("doc_id"))).withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(sample)
     chosen = cut(chosen)
     known_rows = chosen.count()
