@@ -31,10 +31,9 @@ def class_table(instances: DataFrame) -> DataFrame:
 
 
 def contingency(instances: DataFrame, features: list[str]) -> DataFrame:
-    """(fidx, fval, class, cnt): how often each value of each feature goes with each class."""
-    patterns = instances.groupBy(*features, "class").agg(F.sum(occurrences(instances)).alias("cnt"))
+    """(fidx, fval, class, cnt): how often each value of each feature goes with each class. Only cells are shuffled, never rows."""
     pairs = F.array(*(F.struct(F.lit(i).cast("long").alias("fidx"), F.col(f).alias("fval")) for i, f in enumerate(features, 1)))
-    return patterns.select(F.explode(pairs).alias("p"), "class", "cnt").groupBy("p.fidx", "p.fval", "class").agg(F.sum("cnt").alias("cnt"))
+    return instances.select(F.explode(pairs).alias("p"), "class", occurrences(instances).alias("cnt")).groupBy("p.fidx", "p.fval", "class").agg(F.sum("cnt").alias("cnt"))
 
 
 def class_entropy(instances: DataFrame) -> DataFrame:
@@ -69,9 +68,14 @@ def numeric(value: Column) -> Column:
 
 
 def numeric_range(instances: DataFrame, features: list[str]) -> DataFrame:
-    """(fidx, n_min, n_max, n_bad, sd): range over training values, values that aren't numbers, and the spread weight."""
+    """``value_range`` of the values of ``instances``."""
     pairs = F.array(*(F.struct(F.lit(i).cast("long").alias("fidx"), F.col(f).alias("fval")) for i, f in enumerate(features, 1)))
-    values = instances.select(*features).distinct().select(F.explode(pairs).alias("p")).select("p.fidx", "p.fval").distinct().withColumn("x", numeric(F.col("fval")))
+    return value_range(instances.select(F.explode(pairs).alias("p")).select("p.fidx", "p.fval"))
+
+
+def value_range(table: DataFrame) -> DataFrame:
+    """(fidx, n_min, n_max, n_bad, sd): range over the values ``(fidx, fval)``, values that aren't numbers, and the spread weight."""
+    values = table.select("fidx", "fval").distinct().withColumn("x", numeric(F.col("fval")))
     plain = values.groupBy("fidx").agg(F.min("x").alias("n_min"), F.max("x").alias("n_max"), F.sum(F.col("x").isNull().cast("long")).alias("n_bad"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("s2"), F.count("x").alias("m"))
     # The spread is taken about the sum of the distinct values, not about their mean.
     spread = F.sqrt(F.greatest(F.col("m") * F.col("s") * F.col("s") - 2 * F.col("s") * F.col("s") + F.col("s2"), F.lit(0.0)) / F.nullif(F.col("m"), F.lit(0)))

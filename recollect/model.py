@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .functions import metrics as M
 from .functions import statistics as S
-from .operators import edit, evaluate, search, tree, vote
+from .operators import edit, evaluate, search, tree, versions, vote
 from .options import NUMERICAL, STORABLE, Options
+from .storage import cut
 
 
 @dataclass(frozen=True)
@@ -55,27 +56,54 @@ class MemoryBasedLearner:
         names = ["iid", *features, "class", *(c for c in ("occ", "exw") if c in instances.columns)]
         rows = instances.where("class is not null").select("iid", *S.symbols(instances, features), F.col("class").cast("string").alias("class"), *names[2 + len(features) :])
         learned = edit.seeded(rows, o.ib2_seed, features) if o.algorithm == "IB2" else rows
-        measures, table, classes, ranges = self._statistics(rows, features, kinds)
+        # Small beside the rows: a cell for each value and class, and a row for each class.
+        table, classes = S.contingency(rows, features).persist(), S.class_table(rows).persist()
+        base = search.base_table(learned, features, exemplar="exw" in learned.columns).persist()
+        self._assembled(features, kinds, learned, base, table, classes)
+        if o.algorithm == "IB2":
+            f = self._known()
+            edited = edit.ib2(rows, features, f.weights, classes, o.ib2_seed)
+            self.fitted = replace(f, instances=edited, base=search.base_table(edited, features).persist())
+        return self
+
+    def learn(self, patterns: DataFrame, cells: DataFrame, features: list[str]) -> MemoryBasedLearner:
+        """Fit from tables that are maintained (``versions``): ``patterns(features, class, cnt, first)`` and ``cells(fidx, fval, class, cnt)``; rows aren't read."""
+        o = self.options
+        if o.algorithm == "IB2":
+            raise ValueError("an edited base needs its rows in order")
+        used = [(i, f, m) for i, f in enumerate(features, 1) if (m := o.metric_of(i)) != "I"]
+        names = [f for _, f, _ in used]
+        if len(used) < len(features):
+            patterns = versions.added(patterns, names)
+            place = F.create_map(*(F.lit(x) for k, (i, _, _) in enumerate(used, 1) for x in (i, k)))
+            cells = cells.where(F.col("fidx").isin([i for i, _, _ in used])).withColumn("fidx", place[F.col("fidx").cast("int")].cast("long"))
+        base, table = patterns.persist(), cells.persist()
+        classes = S.class_table(base.select(F.col("first").alias("iid"), "class", F.col("cnt").alias("occ"))).persist()
+        rows = base.select(F.col("first").alias("iid"), *names, "class", F.col("cnt").alias("occ"))
+        self._assembled(names, [m for _, _, m in used], rows, base, table, classes)
+        return self
+
+    def release(self) -> None:
+        """Drop what the learner keeps in memory."""
+        for df in (self.fitted.base, self.fitted.table, self.fitted.classes) if self.fitted else ():
+            df.unpersist()
+
+    def _assembled(self, features: list[str], kinds: list[str], learned: DataFrame, base: DataFrame, table: DataFrame, classes: DataFrame) -> None:
+        """The learner from its tables: patterns, cells and classes; rows aren't read."""
+        o = self.options
+        measures, ranges = self._statistics(table, features, kinds)
         kinds = [("O" if m in NUMERICAL and (ranges[i]["n_bad"] or ranges[i]["width"] < S.EPSILON) else m) for i, m in enumerate(kinds, 1)] if o.global_metric not in ("C", "D") else kinds
         weights = self._weights(measures, len(features))
         order = S.tree_order(measures, o.tree_order or ("G/V" if o.algorithm in ("IB1", "IB2") else {"gr": "GRO", "ig": "IGO", "x2": "X2O", "sv": "SVO", "sd": "SDO"}.get(o.weighting, "DO")))
         for i in measures:
             measures[i] |= ranges[i]
-        base = search.base_table(learned, features, exemplar="exw" in learned.columns).persist()
         self.fitted = Fitted(features, learned, base, classes, table, measures, kinds, weights, order)
-        if o.algorithm == "IB2":
-            edited = edit.ib2(rows, features, weights, classes, o.ib2_seed)
-            self.fitted = replace(self.fitted, instances=edited, base=search.base_table(edited, features).persist())
-        return self
 
-    def _statistics(self, rows: DataFrame, features: list[str], kinds: list[str]):
-        # Small beside the rows: a cell for each value and class, and a row for each class.
-        table = S.contingency(rows, features).persist()
-        classes = S.class_table(rows).persist()
+    def _statistics(self, table: DataFrame, features: list[str], kinds: list[str]):
         numeric = [i for i, m in enumerate(kinds, 1) if m in NUMERICAL]
         ranges = {i: {"n_bad": 0, "width": 0.0, "sd": 0.0} for i in range(1, len(features) + 1)}
         if numeric or self.options.weighting == "sd" or (self.options.tree_order or "").startswith("SD"):
-            for r in S.numeric_range(rows, features).collect():
+            for r in S.value_range(table.where("cnt > 0")).collect():
                 ranges[r["fidx"]] = {"n_bad": r["n_bad"], "width": (r["n_max"] - r["n_min"]) if r["n_max"] is not None else 0.0, "sd": r["sd"] or 0.0}
         good = [i for i in numeric if not ranges[i]["n_bad"] and ranges[i]["width"] >= S.EPSILON]
         symbolic = table.where(~F.col("fidx").isin(good)) if good else table
@@ -83,7 +111,7 @@ class MemoryBasedLearner:
         if good:
             measured = measured.unionByName(S.weights(S.binned(table.where(F.col("fidx").isin(good)), self.options.bins), clamp=False))
         measures = {r["fidx"]: {k: float(r[k]) for k in ("n_vals", "ig", "si", "gr", "x2", "sv")} | {"sd": ranges[r["fidx"]]["sd"]} for r in measured.collect()}
-        return measures, table, classes, ranges
+        return measures, ranges
 
     def _weights(self, measures: dict[int, dict[str, float]], n: int) -> list[float]:
         o = self.options
@@ -154,9 +182,23 @@ class MemoryBasedLearner:
             return self.descend(queries)
         if o.algorithm in ("TRIBL", "TRIBL2"):
             return self._hybrid(queries)
+        if self._shortcut() and (o.exact == "on" or not search.by_subsets(self.plan(), self.similarity, "exw" in f.base.columns)):
+            return self._exact_first(queries)
         near = search.buckets(self.found(queries), o.k, self._shortcut())
         return vote.answers(near, f.classes, o.k, o.decay, o.decay_a, o.decay_b, seed=o.random_seed)
 
+    def _exact_first(self, queries: DataFrame) -> DataFrame:
+        """Queries that the base has are answered by their own pattern, from an equi-join; only the others are searched.
+
+        Asked for by ``exact="on"`` such an answer is final; else a tie looks for the next distance.
+        """
+        o, f = self.options, self._known()
+        first = vote.answers(search.matches(self._asked(queries), f.base, f.features), f.classes, 1, retry=False, seed=o.random_seed)
+        done = first if o.exact == "on" else first.where("NOT tie")
+        rest = queries.join(done.select("qid"), "qid", "left_anti")
+        near = search.buckets(self.found(rest), o.k, True)
+        return done.unionByName(vote.answers(near, f.classes, o.k, o.decay, o.decay_a, o.decay_b, seed=o.random_seed))
+
     def _shortcut(self) -> bool:
         o = self.options
         return self.similarity is None and (o.exact == "on" or (o.exact == "reference" and o.k == 1))
@@ -295,7 +337,19 @@ class MemoryBasedLearner:
         if self.options.algorithm == "IB2" and sign < 0:
             raise ValueError("rows can't be taken out of an edited base")
         f = self._known()
-        return MemoryBasedLearner(self.options).fit(edit.changed(f.instances, rows, f.features, sign), f.features)
+        out = MemoryBasedLearner(self.options.but(metric=self._metrics()))
+        if self.options.algorithm == "IB2" or "exw" in f.base.columns:
+            return out.fit(edit.changed(f.instances, rows, f.features, sign), f.features)
+        change = cut(versions.delta(rows, f.features, sign))
+        patterns = cut(versions.added(f.base.select(*f.features, "class", "cnt", "first").unionByName(change), f.features))
+        cells = cut(versions.added_cells(f.table.unionByName(versions.cells_of(change, f.features))))
+        return out.learn(patterns, cells, f.features)
+
+    def _metrics(self) -> str:
+        """The metrics as they are for the features that aren't ignored."""
+        f, head = self._known(), self.options.global_metric
+        given = [m for i in range(1, self.options.max_features + 1) if (m := self.options.metric_of(i)) != "I"][: len(f.features)]
+        return ":".join([head, *(f"{m}{i}" for i, m in enumerate(given, 1) if m != head)])
 
     def select_features(self, n: int) -> MemoryBasedLearner:
         """A learner fitted anew on the n features that come first in the tree order."""

@@ -1,6 +1,7 @@
 """Nearest-neighbour search over distinct distances: k counts distances, and a bucket has all instances at one distance.
 
-The search lays a grid over queries and patterns: parts of the queries meet blocks of the patterns, each
+Where features count 0 or their weight, patterns are found by shared values: few features by ``subsets``, more by inverted ``lists``. Otherwise the
+search lays a grid over queries and patterns: parts of the queries meet blocks of the patterns, each
 meeting is a task's group of bounded size, and only the k + 1 nearest distances of a query leave it, as counts
 by class. What metrics need of a value (its class distribution, given distances) is joined to the rows first, so
 no table of all pairs of values is made. Where rows must agree in some columns (``block``), an equi-join
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.statistics import EPSILON, numeric
+from .lists import Lists
+from .subsets import MOST, Subsets
 
 #: Patterns of a block and queries of a part (about), and distances held at once.
 BLOCK, PART, HELD = 50_000, 4_096, 2_000_000
@@ -85,10 +88,10 @@ def distance(features: list[Feature], similarity: str | None = None) -> Column:
 
 
 def base_table(instances: DataFrame, features: list[str], exemplar: bool = False) -> DataFrame:
-    """Distinct patterns: features, class, ``cnt``; with exemplar weights the first one of a pattern and class."""
+    """Distinct patterns: features, class, ``cnt`` and the ``first`` key; with exemplar weights the first one of a pattern and class."""
     occ = F.col("occ").cast("long") if "occ" in instances.columns else F.lit(1).cast("long")
     more = [F.min_by("exw", "iid").alias("exw")] if exemplar else []
-    return instances.groupBy(*features, "class").agg(F.sum(occ).alias("cnt"), *more).where("cnt > 0")
+    return instances.groupBy(*features, "class").agg(F.sum(occ).alias("cnt"), F.min("iid").alias("first"), *more).where("cnt > 0")
 
 
 def _joined(rows: DataFrame, features: list[Feature], side: str) -> DataFrame:
@@ -119,11 +122,11 @@ def distances(queries: DataFrame, base: DataFrame, features: list[Feature], k: i
     out of its own pattern.
     """
     q, p = sides(queries, base, features, block or [], exemplar, leave_out)
+    if not block and listed(features, similarity, exemplar):
+        return shared(q, p, features, k, leave_out).found()
     if not block:
         return _grid(q, p, features, k, similarity, exemplar, leave_out)
-    exact = F.lit(True)
-    for f in features:
-        exact = exact & F.col(f"q_{f.name}").eqNullSafe(F.col(f"p_{f.name}"))
+    exact = identical(features)
     d = distance(features, similarity)
     if exemplar:
         d = F.round(d / (F.col("exw") + EPSILON), DECIMALS)
@@ -133,6 +136,38 @@ def distances(queries: DataFrame, base: DataFrame, features: list[Feature], k: i
     return pairs.groupBy("qid", "d", "exact", "class").agg(F.sum("cnt").alias("cnt"))
 
 
+def identical(features: list[Feature]) -> Column:
+    exact = F.lit(True)
+    for f in features:
+        exact = exact & F.col(f"q_{f.name}").eqNullSafe(F.col(f"p_{f.name}"))
+    return exact
+
+
+def matches(queries: DataFrame, base: DataFrame, names: list[str]) -> DataFrame:
+    """The patterns that equal a query, as its only bucket: (qid, r, d, class, cnt, exact)."""
+    found = queries.select("qid", *names).join(base.select(*names, "class", "cnt"), names)
+    return found.select("qid", F.lit(1).alias("r"), F.lit(0.0).alias("d"), "class", "cnt", F.lit(True).alias("exact"))
+
+
+def by_subsets(features: list[Feature], similarity: str | None, exemplar: bool) -> bool:
+    """Whether the search looks up subsets of values, identical patterns among them."""
+    return listed(features, similarity, exemplar) and len(features) <= MOST
+
+
+def listed(features: list[Feature], similarity: str | None, exemplar: bool) -> bool:
+    """Whether distances are sums of the weights of different values."""
+    return not similarity and not exemplar and all(f.metric == "O" and f.given is None for f in features) and bool(features)
+
+
+def shared(q: DataFrame, p: DataFrame, features: list[Feature], k: int, leave_out: bool = False) -> Lists | Subsets:
+    """The search by shared values, for ``sides``."""
+    weights = [F.col(f"q_{f.own_weight}") if f.own_weight else F.lit(float(f.weight)) for f in features]
+    names = [f.name for f in features]
+    if len(features) <= MOST:
+        return Subsets(q, p, names, weights, k, leave_out)
+    return Lists(q, p, names, weights, distance(features), identical(features), k, leave_out)
+
+
 def examples(queries: DataFrame, base: DataFrame, features: list[Feature], k: int, most: int, similarity: str | None = None, exemplar: bool = False) -> DataFrame:
     """(qid, k, distance, place, pattern, class, cnt): the patterns at the k nearest distances, ``most`` of a distance at most, in the order of their values."""
     q, p = sides(queries, base, features, [], exemplar, False)

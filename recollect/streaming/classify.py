@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.statistics import occurrences
 from ..model import MemoryBasedLearner
+from ..operators.versions import VersionedBase
 
 
 def classify(learner: MemoryBasedLearner, queries: DataFrame, target: str, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -24,6 +25,12 @@ def classify(learner: MemoryBasedLearner, queries: DataFrame, target: str, check
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def maintain(base: VersionedBase, rows: DataFrame, checkpoint: str, sign: int = 1, once: bool = False) -> StreamingQuery:
+    """Adds each micro-batch of training rows to a versioned base (or takes it away), once even after a restart."""
+    writer = rows.writeStream.foreachBatch(base.writer(sign)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def patterns(rows: DataFrame, features: list[str]) -> DataFrame:
     """The table of patterns of a stream of training rows: counts that grow (or fall, with negative ``occ``)."""
     return rows.groupBy(*features, "class").agg(F.min("iid").alias("iid"), F.sum(occurrences(rows)).alias("occ"))
