@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -36,10 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of the shuffle files and checkpoints of steps that nothing refers to any more.
+
+    Executors keep them until the driver's garbage is collected, which a driver with little to do rarely does; an operator of
+    many small steps would fill the executors' disks meanwhile.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder: later reads survive lost executors and don't recompute."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    tidy(df.sparkSession)
+    return out
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -51,6 +64,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet in the shared folder and read again: much smaller than a checkpoint, columns can be pruned."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path, compression="zstd")
+    tidy(df.sparkSession)
     return df.sparkSession.read.parquet(path)
 
 
