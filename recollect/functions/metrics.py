@@ -20,15 +20,15 @@ def _numbers(a: Column, b: Column, distance: Column) -> Column:
     return F.when(a.eqNullSafe(b), 0.0).otherwise(F.coalesce(distance, F.lit(1.0)))
 
 
-def numeric_distance(a: Column, b: Column, width: float) -> Column:
+def numeric_distance(a: Column, b: Column, width: Column) -> Column:
     """Difference over the range of the training values; 1 if a value isn't a number."""
-    return _numbers(a, b, F.abs(numeric(a) - numeric(b)) / F.lit(width))
+    return _numbers(a, b, F.abs(numeric(a) - numeric(b)) / width)
 
 
-def euclidean(a: Column, b: Column, width: float) -> Column:
+def euclidean(a: Column, b: Column, width: Column) -> Column:
     """Root of the difference of the squares, over the range."""
     x, y = numeric(a), numeric(b)
-    return _numbers(a, b, F.sqrt(F.abs(x * x - y * y)) / F.lit(width))
+    return _numbers(a, b, F.sqrt(F.abs(x * x - y * y)) / width)
 
 
 def letter_pairs(a: Column, single: Column) -> Column:

@@ -30,6 +30,16 @@ def class_table(instances: DataFrame) -> DataFrame:
     return seen.select("class", F.row_number().over(Window.orderBy("first", "class")).cast("long").alias("class_idx"), "gfreq")
 
 
+def classes_without(own: DataFrame, folds: list) -> DataFrame:
+    """(fold, class, class_idx, gfreq): ``class_table`` of the rows outside each fold, from ``own(fold, class, first, n)``."""
+    # The first key outside a fold is the least of all, or the second if the fold has that itself.
+    kept = own.groupBy("class").agg(F.sum("n").alias("all"), F.slice(F.sort_array(F.collect_list(F.struct("first", "fold"))), 1, 2).alias("least"))
+    every = kept.withColumn("fold", F.explode(F.array(*map(F.lit, folds)))).join(own.select("fold", "class", "n"), ["fold", "class"], "left")
+    other = F.when(F.col("least")[0]["fold"] == F.col("fold"), F.get("least", F.lit(1))["first"]).otherwise(F.col("least")[0]["first"])
+    left = every.select("fold", "class", other.alias("first"), (F.col("all") - F.coalesce("n", F.lit(0))).alias("gfreq")).where("gfreq > 0")
+    return left.select("fold", "class", F.row_number().over(Window.partitionBy("fold").orderBy("first", "class")).cast("long").alias("class_idx"), "gfreq")
+
+
 def contingency(instances: DataFrame, features: list[str]) -> DataFrame:
     """(fidx, fval, class, cnt): how often each value of each feature goes with each class. Only cells are shuffled, never rows."""
     pairs = F.array(*(F.struct(F.lit(i).cast("long").alias("fidx"), F.col(f).alias("fval")) for i, f in enumerate(features, 1)))
@@ -108,7 +118,61 @@ def value_probs(table: DataFrame) -> DataFrame:
     return table.where("cnt > 0").select("fidx", "fval", "class", (F.col("cnt") / F.sum("cnt").over(by_value)).alias("p"), F.sum("cnt").over(by_value).alias("freq"))
 
 
-def weights_without(table: DataFrame) -> DataFrame:
+def ranges_without(table: DataFrame) -> DataFrame:
+    """(fidx, fval, width, sd): range and spread of a feature's values without one row of that value.
+
+    They change only where the row is the only one of its value: an end of the range gives way to the next value.
+    """
+    values = table.where("cnt > 0").groupBy("fidx", "fval").agg(F.sum("cnt").alias("n")).withColumn("x", numeric(F.col("fval")))
+    plain = values.groupBy("fidx").agg(F.min("x").alias("least"), F.max("x").alias("most"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("s2"), F.count("x").alias("m"))
+    both = values.join(plain, "fidx")
+    # Different spellings of one number are values of their own: an end is left only if no other value has it.
+    next_ = both.groupBy("fidx").agg(F.min(F.when(F.col("x") > F.col("least"), F.col("x"))).alias("least2"), F.max(F.when(F.col("x") < F.col("most"), F.col("x"))).alias("most2"), F.sum((F.col("x") == F.col("least")).cast("int")).alias("at_least"), F.sum((F.col("x") == F.col("most")).cast("int")).alias("at_most"))
+    both = both.join(next_, "fidx")
+    gone = (F.col("n") == 1) & F.col("x").isNotNull()
+    low = F.when(gone & (F.col("x") == F.col("least")) & (F.col("at_least") == 1), F.col("least2")).otherwise(F.col("least"))
+    high = F.when(gone & (F.col("x") == F.col("most")) & (F.col("at_most") == 1), F.col("most2")).otherwise(F.col("most"))
+    less = lambda total, x: F.col(total) - F.when(gone, x).otherwise(F.lit(0))
+    m, s, s2 = less("m", F.lit(1)), less("s", F.col("x")), less("s2", F.col("x") * F.col("x"))
+    spread = F.sqrt(F.greatest(m * s * s - 2 * s * s + s2, F.lit(0.0)) / F.nullif(m, F.lit(0)))
+    return both.select("fidx", "fval", F.coalesce(high - low, F.lit(0.0)).alias("width"), F.coalesce(spread, F.lit(0.0)).alias("sd"))
+
+
+def binned_without(table: DataFrame, bins: int = 20) -> DataFrame:
+    """(fidx, fval, class, ig, si, gr, x2, sv): weights of numeric features by bins, without one row of that value and class.
+
+    A row whose value others have leaves the bins alone. Without the only row of a value there is one value less: of
+    the new bins those below the value hold the ranks that they say, those above it the next ones, and the bin in between all the
+    rest less that row. So there is one case for each bin that the value may fall into, not one for each value.
+    """
+    values = table.select("fidx", "fval", numeric(F.col("fval")).alias("x")).distinct()
+    placed = _ntile(values.where("x is not null"), bins).select("fidx", "fval", "bin", "rank", "all")
+    small, more = F.floor((F.col("all") - 1) / bins), (F.col("all") - 1) % bins
+    at = lambda rank: F.when(rank <= more * (small + 1), F.ceil(rank / (small + 1))).otherwise(more + F.ceil((rank - more * (small + 1)) / F.greatest(small, F.lit(1)))).cast("int")
+    below = F.when(F.col("rank") < F.col("all"), at(F.col("rank"))).otherwise(bins + 1)
+    above = F.when(F.col("rank") > 1, at(F.col("rank") - 1)).otherwise(0)
+    cells = table.where("cnt > 0").join(placed, ["fidx", "fval"]).withColumn("below", below).withColumn("above", above)
+    often = cells.groupBy("fidx", "fval").agg(F.sum("cnt").alias("n"))
+    keys = cells.select("fidx", "fval", "class", F.col("bin").cast("string").alias("bin"), "below").join(often, ["fidx", "fval"])
+    same = weights_without(cells.groupBy("fidx", F.col("bin").cast("string").alias("fval"), "class").agg(F.sum("cnt").alias("cnt")), clamp=False)
+    shared = keys.where("n > 1").join(same.withColumnRenamed("fval", "bin"), ["fidx", "bin", "class"])
+    # A cell by where its value lies in either dealing; for a case it's the bin below, above, or the case itself.
+    dealt = cells.groupBy("fidx", "class", "below", "above").agg(F.sum("cnt").alias("cnt")).withColumn("case", F.explode(F.sequence(F.lit(1), F.lit(bins + 1))))
+    bin_ = F.when(F.col("below") < F.col("case"), F.col("below")).when(F.col("above") > F.col("case"), F.col("above")).otherwise(F.col("case"))
+    case = F.concat_ws(":", "fidx", "case")
+    cases = dealt.groupBy(case.alias("fidx"), bin_.cast("string").alias("fval"), "class").agg(F.sum("cnt").alias("cnt"))
+    # The top value is in no bin of its case but the one after the last, which is left out with it.
+    inner = weights_without(cases, clamp=False)
+    inner = inner.where(F.substring_index("fidx", ":", -1) == F.col("fval"))
+    top = weights(cases.where((F.substring_index("fidx", ":", -1) == str(bins + 1)) & (F.col("fval") != str(bins + 1))), clamp=False).select(F.substring_index("fidx", ":", 1).cast("long").alias("fidx"), "ig", "si", "gr", "x2", "sv")
+    alone = keys.where("n = 1")
+    inside = alone.where(F.col("below") <= bins).withColumn("case", F.concat_ws(":", "fidx", "below")).join(inner.select(F.col("fidx").alias("case"), "class", "ig", "si", "gr", "x2", "sv"), ["case", "class"])
+    last = alone.where(F.col("below") > bins).join(top, "fidx")
+    names = ["fidx", "fval", "class", "ig", "si", "gr", "x2", "sv"]
+    return shared.select(*names).unionByName(inside.select(*names)).unionByName(last.select(*names))
+
+
+def weights_without(table: DataFrame, clamp: bool = True) -> DataFrame:
     """(fidx, fval, class, ig, si, gr, x2, sv): the weights of a feature in a table without one row of that value and class.
 
     Sums over values and classes change in one place only, so they are corrected rather than taken again.
@@ -133,7 +197,7 @@ def weights_without(table: DataFrame) -> DataFrame:
     same_value = F.when(nv > 1, (F.col("oe") - c * c / nc) / (nv - 1)).otherwise(0.0) - (F.col("oe") - c * c / nc) / nv
     same_class = F.when(nc > 1, (F.col("on") - c * c / nv) / (nc - 1)).otherwise(0.0) - (F.col("on") - c * c / nv) / nc
     x = x.withColumn("x2", left * (F.col("oe_all") + same_value + same_class - part(c, nv, nc) + part(c - 1, nv - 1, nc - 1)) - left)
-    x = x.withColumn("ig", F.greatest(F.col("h") - F.col("hv"), F.lit(0.0)))
+    x = x.withColumn("ig", F.greatest(F.col("h") - F.col("hv"), F.lit(0.0)) if clamp else F.col("h") - F.col("hv"))
     vals, labels = F.col("n_vals") - (nv == 1).cast("long"), F.col("n_classes") - (nc == 1).cast("long")
     least = F.least(vals, labels) - 1
     gr = F.when((vals < 2) | (F.abs("si1") < EPSILON), 0.0).otherwise(F.try_divide("ig", "si1"))

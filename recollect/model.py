@@ -42,6 +42,7 @@ class MemoryBasedLearner:
     def __init__(self, options: Options | None = None, **settings):
         self.options = (options or Options()).but(**settings) if settings else options or Options()
         self.fitted: Fitted | None = None
+        self._grown: tuple | None = None
         self.given_probs: DataFrame | None = None
         self.given_pairs: DataFrame | None = None
 
@@ -85,7 +86,7 @@ class MemoryBasedLearner:
 
     def release(self) -> None:
         """Drop what the learner keeps in memory."""
-        for df in (self.fitted.base, self.fitted.table, self.fitted.classes) if self.fitted else ():
+        for df in (self.fitted.base, self.fitted.table, self.fitted.classes, *([self._grown[1]] if self._grown else [])) if self.fitted else ():
             df.unpersist()
 
     def _assembled(self, features: list[str], kinds: list[str], learned: DataFrame, base: DataFrame, table: DataFrame, classes: DataFrame) -> None:
@@ -208,8 +209,12 @@ class MemoryBasedLearner:
         return [f.features[i - 1] for i in f.order], [f.weights[i - 1] for i in f.order]
 
     def tree(self) -> DataFrame:
-        order, _ = self._ordered()
-        return tree.nodes(self._known().base, order, self._known().classes)
+        """The tree of all patterns, kept as long as the learner is."""
+        order, f = self._ordered()[0], self._known()
+        key = (id(f), tuple(order))
+        if self._grown is None or self._grown[0] != key:
+            self._grown = key, tree.nodes(f.base, order, f.classes).persist()
+        return self._grown[1]
 
     def pruned(self) -> DataFrame:
         """The tree that answers: without nodes that say what their parent says."""
@@ -241,15 +246,13 @@ class MemoryBasedLearner:
             asked = queries.join(deepest, "qid")
             base = f.base.select("*", tree.prefixes(order).alias("x")).select(*f.base.columns, "x.depth", F.col("x.key").alias("block"))
         pairs = self.found(asked, base=base, block=["depth", "block"])
-        hit = F.max("exact").over(Window.partitionBy("qid"))
-        own = pairs.withColumn("hit", hit)
-        near = vote.answers(search.buckets(own.where("not hit").drop("hit"), o.k), f.classes, o.k, o.decay, o.decay_a, o.decay_b)
-        same = vote.answers(search.buckets(own.where("hit and exact").drop("hit"), o.k), f.classes, o.k, o.decay, o.decay_a, o.decay_b, retry=False)
-        out = near.unionByName(same)
+        # An exact match is the only bucket of its query, so a tie in it has nothing to look further at.
+        own = pairs.withColumn("hit", F.max("exact").over(Window.partitionBy("qid"))).where("NOT hit OR exact").drop("hit")
+        out = vote.answers(search.buckets(own, o.k), f.classes, o.k, o.decay, o.decay_a, o.decay_b)
         if o.algorithm == "TRIBL":
-            rest = queries.join(out.select("qid"), "qid", "left_anti")
-            walked = tree.descend(rest, self.tree(), order, self._ordered()[1]).select("qid", "predicted", "distance", F.lit(False).alias("tie"), F.lit(False).alias("exact"), F.lit(None).cast(out.schema["votes"].dataType).alias("votes"))
-            out = out.unionByName(walked)
+            walked = tree.descend(queries, self.tree(), order, self._ordered()[1]).select("qid", F.col("predicted").alias("w"), F.col("distance").alias("far"))
+            either = walked.join(out, "qid", "left")
+            out = either.select("qid", F.coalesce("predicted", "w").alias("predicted"), F.coalesce("distance", "far").alias("distance"), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("tie", "exact")), "votes")
         return out
 
     def neighbors(self, queries: DataFrame, k: int | None = None) -> DataFrame:
@@ -298,29 +301,61 @@ class MemoryBasedLearner:
         return vote.answers(near, f.classes, o.k, o.decay, o.decay_a, o.decay_b, seed=o.random_seed, hidden=hidden).join(queries.select("qid", "class"), "qid")
 
     def _strict(self, queries: DataFrame, plan: list[search.Feature]) -> tuple[DataFrame, list[search.Feature]]:
-        """Queries with their own weights and class distributions: of a feature they depend on the row's value and class alone."""
+        """Queries with their own weights, ranges and class distributions: of a feature they depend on the row's value and class alone.
+
+        They are taken once for all values and classes, and reach the rows by one join of their values. Which
+        metric a feature has is that of the whole table.
+        """
         o, f = self.options, self._known()
-        if o.weighting == "sd" or o.diversify or any(m in NUMERICAL for m in f.metrics):
-            raise ValueError("leave-one-out without sloppy takes symbolic features and weights that aren't spreads")
-        out = []
-        without = S.weights_without(f.table) if o.weighting not in ("nw", "user") else None
+        numbers = [i for i, m in enumerate(f.metrics, 1) if m in NUMERICAL]
+        whole = f.table.where("cnt > 0")
+        facts = whole.select("fidx", "fval", "class")
+        on = ["fidx", "fval", "class"]
+        if o.weighting == "sd" or numbers:
+            facts = facts.join(S.ranges_without(whole), ["fidx", "fval"], "left")
+        if o.weighting not in ("nw", "user", "sd"):
+            without = S.weights_without(whole.where(~F.col("fidx").isin(numbers)) if numbers else whole)
+            if numbers:
+                without = without.unionByName(S.binned_without(whole.where(F.col("fidx").isin(numbers)), o.bins))
+            facts = facts.join(without.select(*on, F.col(o.weighting).alias("w")), on, "left")
+        elif o.weighting == "sd":
+            facts = facts.withColumn("w", F.col("sd"))
+        else:
+            given = F.create_map(*(F.lit(x) for i, w in enumerate(self._weights(f.measures, len(f.features)), 1) for x in (i, w)))
+            facts = facts.withColumn("w", given[F.col("fidx").cast("int")])
+        if any(x.probs is not None for x in plan):
+            facts = facts.join(S.probs_without(whole, f.classes), on, "left")
+        facts = cut(facts)
+        values = F.array(*(F.struct(F.lit(i).cast("long").alias("fidx"), F.col(n).alias("fval")) for i, n in enumerate(f.features, 1)))
+        met = queries.select("qid", "class", F.explode(values).alias("x")).select("qid", "class", "x.*").join(facts, on)
+        columns, out = [], []
+        of = lambda what, i, name: F.first(F.when(F.col("fidx") == i, F.col(what)), ignorenulls=True).alias(name)
         for i, feature in enumerate(plan, 1):
-            name = feature.name
-            if without is not None:
-                own = without.where(F.col("fidx") == i).select(F.col("fval").alias(name), "class", F.col(o.weighting).alias(f"w__{name}"))
-                queries = queries.join(own, [name, "class"])
-                feature = replace(feature, own_weight=f"w__{name}")
+            columns.append(of("w", i, f"w__{feature.name}"))
+            feature = replace(feature, own_weight=f"w__{feature.name}")
+            if i in numbers:
+                columns.append(of("width", i, f"r__{feature.name}"))
+                feature = replace(feature, own_width=f"r__{feature.name}")
             if feature.probs is not None:
-                own = S.probs_without(f.table.where(F.col("fidx") == i), f.classes).select(F.col("fval").alias(name), "class", F.col("p").alias(f"{name}__p"), F.col("freq").alias(f"{name}__n"))
-                queries = queries.join(own, [name, "class"], "left")
+                columns += [of("p", i, f"{feature.name}__p"), of("freq", i, f"{feature.name}__n")]
             out.append(feature)
-        return queries, out
+        wide = met.groupBy("qid").agg(*columns)
+        if o.diversify and o.weighting not in ("nw", "user"):
+            own = [f"w__{x.name}" for x in plan]
+            least = F.least(*own) if len(own) > 1 else F.col(own[0])
+            wide = wide.withColumns({c: F.col(c) - least + S.EPSILON for c in own})
+        return queries.join(wide, "qid"), out
 
     def cross_validate(self, instances: DataFrame, features: list[str], fold: str = "fold") -> DataFrame:
         """Each fold classified by a learner fitted on the others: (fold, qid, class, predicted, ...)."""
         numbers = sorted(r[0] for r in instances.select(fold).distinct().collect())
         if len(numbers) < 2:
             raise ValueError("cross-validation needs folds")
+        o = self.options
+        simple = all(o.metric_of(i) in ("O", "I") for i in range(1, len(features) + 1)) and o.algorithm == "IB1" and o.weighting != "sd" and "exw" not in instances.columns
+        used = [f for i, f in enumerate(features, 1) if o.metric_of(i) != "I"]
+        if simple and 0 < len(used) <= search.MOST and not (o.exact == "on" and o.k > 1):
+            return self._folds_at_once(instances, used, fold, numbers)
         out = None
         for n in numbers:
             learner = MemoryBasedLearner(self.options).fit(instances.where(F.col(fold) != n), features)
@@ -328,6 +363,36 @@ class MemoryBasedLearner:
             out = tested if out is None else out.unionByName(tested)
         return out
 
+    def _folds_at_once(self, instances: DataFrame, features: list[str], fold: str, numbers: list) -> DataFrame:
+        """Cross-validation of overlap: each fold's statistics and counts are those of the whole table less its own, and one search answers all."""
+        o, m = self.options, len(features)
+        kind = instances.schema[fold].dataType.simpleString()
+        occ = S.occurrences(instances).alias("occ")
+        rows = instances.select(F.col(fold).alias("fold"), "iid", *S.symbols(instances, features), F.col("class").cast("string").alias("class"), occ)
+        held = rows.where("class IS NOT NULL").groupBy("fold", *features, "class").agg(F.sum("occ").alias("cnt"), F.min("iid").alias("first")).persist()
+        weights = {n: self._weights(x, m) for n, x in self._measured_without(held, features, numbers).items()}
+        classes = S.classes_without(held.groupBy("fold", "class").agg(F.min("first").alias("first"), F.sum("cnt").alias("n")), numbers)
+        by_fold = lambda i: F.element_at(F.create_map(*(F.lit(x) for n in numbers for x in (n, float(weights[n][i])))), F.col("fold").cast(kind))
+        queries = rows.withColumn("qid", F.col("iid")).select("qid", "fold", "class", *features, *(by_fold(i).alias(f"w__{f}") for i, f in enumerate(features)))
+        plan = [search.Feature(f, own_weight=f"w__{f}") for f in features]
+        near = search.buckets(search.folded(queries, held, plan, o.k), o.k, self._shortcut())
+        out = vote.answers(near, classes, o.k, o.decay, o.decay_a, o.decay_b, seed=o.random_seed, folds=queries.select("qid", "fold"))
+        return out.join(queries.select("qid", "fold", "class"), "qid")
+
+    def _measured_without(self, held: DataFrame, features: list[str], numbers: list) -> dict:
+        """By fold, the measures of the features in the other folds."""
+        m = len(features)
+        values = F.array(*(F.struct(F.lit(i).cast("long").alias("fidx"), F.col(f).alias("fval")) for i, f in enumerate(features, 1)))
+        own = held.select("fold", F.explode(values).alias("x"), "class", "cnt").groupBy("fold", "x.fidx", "x.fval", "class").agg(F.sum("cnt").alias("own")).persist()
+        every = F.explode(F.array(*(F.struct(F.lit(n).alias("fold"), F.lit(k).cast("long").alias("place")) for k, n in enumerate(numbers))))
+        total = own.groupBy("fidx", "fval", "class").agg(F.sum("own").alias("all")).select("*", every.alias("y")).select("fidx", "fval", "class", "all", "y.*")
+        without = total.join(own, ["fold", "fidx", "fval", "class"], "left").select((F.col("place") * m + F.col("fidx")).alias("fidx"), "fval", "class", (F.col("all") - F.coalesce("own", F.lit(0))).alias("cnt"))
+        out: dict = {n: {} for n in numbers}
+        for r in S.weights(without).collect():  # a row for each feature and fold
+            out[numbers[(r["fidx"] - 1) // m]][(r["fidx"] - 1) % m + 1] = {k: float(r[k]) for k in ("n_vals", "ig", "si", "gr", "x2", "sv")} | {"sd": 0.0}
+        own.unpersist()
+        return out
+
     # -- editing -----------------------------------------------------------------------------------------------
 
     def partial_fit(self, rows: DataFrame, sign: int = 1) -> MemoryBasedLearner:

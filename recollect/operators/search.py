@@ -1,7 +1,7 @@
 """Nearest-neighbour search over distinct distances: k counts distances, and a bucket has all instances at one distance.
 
-Where features count 0 or their weight, patterns are found by shared values: few features by ``subsets``, more by inverted ``lists``. Otherwise the
-search lays a grid over queries and patterns: parts of the queries meet blocks of the patterns, each
+Where features count 0 or their weight, patterns are found by shared values: few features by ``subsets``, more by inverted ``lists``. Otherwise,
+beyond PAIRS, patterns are dealt to ``blocks`` that a bound may exclude; below, the search lays a grid over queries and patterns: parts of the queries meet blocks of the patterns, each
 meeting is a task's group of bounded size, and only the k + 1 nearest distances of a query leave it, as counts
 by class. What metrics need of a value (its class distribution, given distances) is joined to the rows first, so
 no table of all pairs of values is made. Where rows must agree in some columns (``block``), an equi-join
@@ -11,7 +11,7 @@ takes the grid's place and distances are column expressions.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.statistics import EPSILON, numeric
+from . import blocks
 from .lists import Lists
 from .subsets import MOST, Subsets
 
 #: Patterns of a block and queries of a part (about), and distances held at once.
 BLOCK, PART, HELD = 50_000, 4_096, 2_000_000
+#: Pairs of queries and patterns beyond which blocks with bounds take the place of the grid.
+PAIRS = 2_000_000_000
 #: Up to so many distances are found by repeated minima, more by sorting.
 FEW = 12
 #: Distances are equal if they agree to so many decimals.
@@ -37,7 +40,7 @@ INT_MAX = 2147483647.0
 class Feature:
     """How a column enters the distance: its metric's code, weight and numeric range; the class distribution of
     values ``(fval, p, freq)`` and below which frequency it isn't used; distances ``(v, ds)`` that replace computed
-    ones; a column of the queries with weights of their own."""
+    ones; columns of the queries with weights and ranges of their own."""
 
     name: str
     metric: str = "O"
@@ -47,16 +50,18 @@ class Feature:
     least: int = 1
     given: DataFrame | None = None
     own_weight: str | None = None
+    own_width: str | None = None
 
 
 def delta(f: Feature, a: Column, b: Column) -> Column:
     """Unweighted distance of two values of a feature, ``q_<name>`` and ``p_<name>`` with what was joined to them."""
+    width = F.nullif(F.col(f"q_{f.own_width}"), F.lit(0.0)) if f.own_width else F.lit(f.width)
     if f.metric == "O":
         d = M.overlap(a, b)
     elif f.metric == "N":
-        d = M.numeric_distance(a, b, f.width)
+        d = M.numeric_distance(a, b, width)
     elif f.metric == "E":
-        d = M.euclidean(a, b, f.width)
+        d = M.euclidean(a, b, width)
     elif f.metric == "DC":
         d = M.dice(a, b)
     elif f.metric == "L":
@@ -108,7 +113,7 @@ def _joined(rows: DataFrame, features: list[Feature], side: str) -> DataFrame:
 def sides(queries: DataFrame, base: DataFrame, features: list[Feature], keys: list[str], exemplar: bool, leave_out: bool) -> tuple[DataFrame, DataFrame]:
     names = [f.name for f in features]
     more = [c for f in features for c in (f"{f.name}__p", f"{f.name}__n") if c in queries.columns]
-    own = [f.own_weight for f in features if f.own_weight]
+    own = [c for f in features for c in (f.own_weight, f.own_width) if c]
     hidden = [F.col("class").alias("q_class"), (F.col("occ").cast("long") if "occ" in queries.columns else F.lit(1).cast("long")).alias("q_occ")] if leave_out else []
     q = queries.select("qid", *(F.col(n).alias(f"q_{n}") for n in [*names, *more, *own]), *(F.col(c) for c in keys), *hidden)
     p = base.select(*(F.col(n).alias(f"p_{n}") for n in names), *(F.col(c) for c in keys), "class", "cnt", *(["exw"] if exemplar else []))
@@ -118,14 +123,19 @@ def sides(queries: DataFrame, base: DataFrame, features: list[Feature], keys: li
 def distances(queries: DataFrame, base: DataFrame, features: list[Feature], k: int, similarity: str | None = None, exemplar: bool = False, block: list[str] | None = None, leave_out: bool = False) -> DataFrame:
     """(qid, d, exact, class, cnt): what the base holds at the k + 1 nearest distances of each query, at least.
 
-    With ``block`` only rows that agree in those columns are compared. ``leave_out`` takes the query itself
+    With ``block`` only rows that agree in those columns are neighbours. ``leave_out`` takes the query itself
     out of its own pattern.
     """
     q, p = sides(queries, base, features, block or [], exemplar, leave_out)
-    if not block and listed(features, similarity, exemplar):
-        return shared(q, p, features, k, leave_out).found()
+    if by_subsets(features, similarity, exemplar) or not block and listed(features, similarity, exemplar):
+        return shared(q, p, features, k, leave_out, block).found()
     if not block:
-        return _grid(q, p, features, k, similarity, exemplar, leave_out)
+        size = q.count(), p.count()
+        blocked = None if exemplar or size[0] * size[1] <= PAIRS else _blocked(p, features, similarity)
+        if blocked is not None:
+            meet = lambda left, right, keys: _meeting(left, right, keys, features, k, similarity, False, leave_out)
+            return blocks.found(q, blocked, k, meet, BLOCK, PART)
+        return _grid(q, p, features, k, similarity, exemplar, leave_out, size=size)
     exact = identical(features)
     d = distance(features, similarity)
     if exemplar:
@@ -143,12 +153,38 @@ def identical(features: list[Feature]) -> Column:
     return exact
 
 
+def _blocked(p: DataFrame, features: list[Feature], similarity: str | None) -> blocks.Dealt | None:
+    """Blocks that queries can leave out; none if no feature gives a bound."""
+    names, weights = [f.name for f in features], [float(f.weight) for f in features]
+    if similarity:
+        return blocks.by_norm(p, names, weights, INT_MAX) if similarity == "D" else blocks.by_angle(p, names, weights)
+    leading = max((f for f in features if f.given is None), key=lambda f: f.weight, default=None)
+    if leading is None:
+        return None
+    plain = _plain(leading)
+
+    def distance(left: pa.Table, right: pa.Table) -> np.ndarray:
+        return _feature_distance(plain, left, right, _coded(_column(left, f"q_{plain.name}"), _column(right, f"p_{plain.name}")), False)(slice(0, left.num_rows)).astype(float)
+
+    def weight(left: pa.Table) -> np.ndarray:
+        return _column(left, f"q_{plain.own_weight}").to_numpy(zero_copy_only=False) if plain.own_weight else np.full(left.num_rows, plain.weight)
+
+    return blocks.by_value(p, plain.name, distance, weight)
+
+
 def matches(queries: DataFrame, base: DataFrame, names: list[str]) -> DataFrame:
     """The patterns that equal a query, as its only bucket: (qid, r, d, class, cnt, exact)."""
     found = queries.select("qid", *names).join(base.select(*names, "class", "cnt"), names)
     return found.select("qid", F.lit(1).alias("r"), F.lit(0.0).alias("d"), "class", "cnt", F.lit(True).alias("exact"))
 
 
+def folded(queries: DataFrame, held: DataFrame, features: list[Feature], k: int) -> DataFrame:
+    """As ``distances`` for queries with a ``fold``, among the patterns ``held(.., class, cnt, fold)`` of the other folds; in one search, by subsets."""
+    q, p = sides(queries, held, features, ["fold"], False, False)
+    weights = [F.col(f"q_{f.own_weight}") if f.own_weight else F.lit(float(f.weight)) for f in features]
+    return Subsets(q, p, [f.name for f in features], weights, k, held=p).found()
+
+
 def by_subsets(features: list[Feature], similarity: str | None, exemplar: bool) -> bool:
     """Whether the search looks up subsets of values, identical patterns among them."""
     return listed(features, similarity, exemplar) and len(features) <= MOST
@@ -159,12 +195,12 @@ def listed(features: list[Feature], similarity: str | None, exemplar: bool) -> b
     return not similarity and not exemplar and all(f.metric == "O" and f.given is None for f in features) and bool(features)
 
 
-def shared(q: DataFrame, p: DataFrame, features: list[Feature], k: int, leave_out: bool = False) -> Lists | Subsets:
+def shared(q: DataFrame, p: DataFrame, features: list[Feature], k: int, leave_out: bool = False, keys: list[str] | None = None) -> Lists | Subsets:
     """The search by shared values, for ``sides``."""
     weights = [F.col(f"q_{f.own_weight}") if f.own_weight else F.lit(float(f.weight)) for f in features]
     names = [f.name for f in features]
     if len(features) <= MOST:
-        return Subsets(q, p, names, weights, k, leave_out)
+        return Subsets(q, p, names, weights, k, leave_out, keys)
     return Lists(q, p, names, weights, distance(features), identical(features), k, leave_out)
 
 
@@ -177,15 +213,24 @@ def examples(queries: DataFrame, base: DataFrame, features: list[Feature], k: in
     return ranked.where((F.col("k") <= k) & (F.col("place") <= most)).select("qid", "k", F.col("d").alias("distance"), "place", "pattern", "class", "cnt")
 
 
-def _grid(q: DataFrame, p: DataFrame, features: list[Feature], k: int, similarity: str | None, exemplar: bool, leave_out: bool, shown: int = 0) -> DataFrame:
+def _grid(q: DataFrame, p: DataFrame, features: list[Feature], k: int, similarity: str | None, exemplar: bool, leave_out: bool, shown: int = 0, size: tuple[int, int] | None = None) -> DataFrame:
     tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = q.count()
-    blocks = max(1, -(-p.count() // BLOCK))
+    n, m = size or (q.count(), p.count())
+    pieces = max(1, -(-m // BLOCK))
     parts = max(1, -(-n // PART), min(2 * tasks, n // 256))
-    q = q.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    p = p.withColumn("block", F.pmod(F.xxhash64(*(f"p_{f.name}" for f in features), "class"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    # Frames don't travel to tasks.
-    plain = [Feature(f.name, f.metric, f.weight, f.width, None, f.least, None, f.own_weight) for f in features]
+    q = q.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    p = p.withColumn("block", F.pmod(F.xxhash64(*(f"p_{f.name}" for f in features), "class"), F.lit(pieces)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return _meeting(q, p, ["part", "block"], features, k, similarity, exemplar, leave_out, shown)
+
+
+def _plain(f: Feature) -> Feature:
+    """Without its frames, which don't travel to tasks."""
+    return replace(f, probs=None, given=None)
+
+
+def _meeting(q: DataFrame, p: DataFrame, keys: list[str], features: list[Feature], k: int, similarity: str | None, exemplar: bool, leave_out: bool, shown: int = 0) -> DataFrame:
+    """What queries and patterns with the same ``keys`` are to one another, a task's group for each."""
+    plain = [_plain(f) for f in features]
     given = {f.name for f in features if f.given is not None}
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -193,8 +238,8 @@ def _grid(q: DataFrame, p: DataFrame, features: list[Feature], k: int, similarit
 
     qid = q.schema["qid"].dataType.simpleString()
     if shown:
-        return q.groupBy("part", "block").cogroup(p.groupBy("part", "block")).applyInArrow(meet, f"qid {qid}, d double, class string, pattern string, cnt long")
-    met = q.groupBy("part", "block").cogroup(p.groupBy("part", "block")).applyInArrow(meet, f"qid {qid}, d double, exact boolean, class string, cnt long")
+        return q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(meet, f"qid {qid}, d double, class string, pattern string, cnt long")
+    met = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(meet, f"qid {qid}, d double, exact boolean, class string, cnt long")
     return met.groupBy("qid", "d", "exact", "class").agg(F.sum("cnt").alias("cnt"))
 
 
@@ -269,10 +314,12 @@ def _feature_distance(f: Feature, left: pa.Table, right: pa.Table, codes: tuple,
         return lambda s: asked[s, None] != there[None, :]
     if f.metric in ("N", "E") and not given:
         x, y = _numbers(values, own), _numbers(known, there)
+        width = np.full(left.num_rows, f.width) if f.own_width is None else _column(left, f"q_{f.own_width}").to_numpy(zero_copy_only=False).astype(float)
+        width = np.where(width < EPSILON, np.nan, width)[:, None]  # without a range, different values are at distance 1
 
         def numbers(s: slice) -> np.ndarray:
             d = np.abs(x[s, None] - y[None, :]) if f.metric == "N" else np.sqrt(np.abs((x * x)[s, None] - (y * y)[None, :]))
-            return np.where(asked[s, None] == there[None, :], 0.0, np.nan_to_num(d / f.width, nan=1.0))
+            return np.where(asked[s, None] == there[None, :], 0.0, np.nan_to_num(d / width[s], nan=1.0))
 
         return numbers
     table = _value_distances(f, left, right, codes, given)

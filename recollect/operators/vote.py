@@ -30,14 +30,16 @@ def votes(buckets: DataFrame, k: int, decay: str = "Z", a: float = 1.0, b: float
     return df.groupBy("qid", "class").agg(F.coalesce(F.sum(F.when(F.col("r") <= k, weigh("far"))), F.lit(0.0)).alias("v"), F.sum(weigh("far1")).alias("v1"), F.min("near").alias("near"))
 
 
-def answers(buckets: DataFrame, classes: DataFrame, k: int, decay: str = "Z", a: float = 1.0, b: float = 1.0, retry: bool = True, seed: int | None = None, hidden: DataFrame | None = None) -> DataFrame:
+def answers(buckets: DataFrame, classes: DataFrame, k: int, decay: str = "Z", a: float = 1.0, b: float = 1.0, retry: bool = True, seed: int | None = None, hidden: DataFrame | None = None, folds: DataFrame | None = None) -> DataFrame:
     """(qid, predicted, distance, tie, exact, votes): the class with most votes.
 
     A tie is broken by one more bucket if that leaves a single class; else by the class's frequency in
     training, then by its number (or at random, given a seed). ``votes`` has (class_idx, class, w) of the
-    vote that decided. ``hidden(qid, class, occ)`` is taken out of the frequencies of its class.
+    vote that decided. ``hidden(qid, class, occ)`` is taken out of the frequencies of its class. With
+    ``folds(qid, fold)`` classes have numbers and frequencies by ``fold``.
     """
-    tally = votes(buckets, k, decay, a, b).join(classes, "class")
+    tally = votes(buckets, k, decay, a, b)
+    tally = tally.join(classes, "class") if folds is None else tally.join(folds, "qid").join(classes, ["fold", "class"])
     if hidden is not None:
         tally = tally.join(hidden, ["qid", "class"], "left").withColumn("gfreq", F.col("gfreq") - F.coalesce("occ", F.lit(0))).drop("occ")
     last = F.xxhash64("qid", "class", F.lit(seed)) if seed is not None else -F.col("class_idx")

@@ -414,3 +414,32 @@ OWN_WEIGHTS = "own AS (SELECT r.fidx, r.fval, r.class, w.gr FROM rem r JOIN wr w
 WITHOUT = " ".join(f"JOIN own o{i} ON o{i}.fidx = {i} AND o{i}.fval = q.{f} AND o{i}.class = q.class" for i, f in enumerate(PART.names, 1))
 STRICT = " + ".join(f"o{i}.gr * ({Q.overlap(f)})" for i, f in enumerate(PART.names, 1))
 add("leave_one_out_strict", _leave_one_out(False), f"WITH {LOO}, {Q.contingency(PART.names)}, {Q.classes()}, {REMOVED}, {Q.weights('ctr', 'wr')}, {OWN_WEIGHTS}, {Q.pattern(PART.names)}, {Q.nearest(PART.names, STRICT, 1, False, joins=WITHOUT, count=OWN, where=f'{OWN} > 0')}, {Q.answer(1, hidden=True)} SELECT a.qid, q.class, a.predicted, ROUND(a.distance, 6) + 0.0 AS distance, a.tie FROM ans a JOIN qry q ON a.qid = q.qid")
+
+
+def _leave_one_out_numeric(weighting: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = MemoryBasedLearner(Options(exact="off", metric="O:N2", weighting=weighting)).fit(CUSTOMER.instances(spark, sf_dir), CUSTOMER.names).leave_one_out()
+        return rounded(out.select("qid", "class", "predicted", "distance"), "distance")
+
+    return run
+
+
+def leave_one_out_numeric_sql(weighting: str) -> str:
+    """Every row against all others, with bins, weights, range and spread taken anew from the others."""
+    rest = "SELECT q.iid AS rid, t.iid, t.f1, t.f2, t.class FROM inst q JOIN inst t ON t.iid <> q.iid"
+    binned = "vals AS (SELECT DISTINCT rid, f2, CAST(f2 AS DOUBLE) AS x FROM rest), bins AS (SELECT rid, f2, NTILE(20) OVER (PARTITION BY rid ORDER BY x, f2) AS b FROM vals)"
+    cells = "rct AS (SELECT rid * 2 AS fidx, f1 AS fval, class, COUNT(*) AS cnt FROM rest GROUP BY ALL UNION ALL SELECT rid * 2 + 1, CAST(b AS VARCHAR), class, COUNT(*) FROM rest JOIN bins USING (rid, f2) GROUP BY ALL)"
+    spread = "spr AS (SELECT rid, f, SQRT(SUM((s - x) * (s - x)) / COUNT(x)) AS sd FROM (SELECT rid, f, x, SUM(x) OVER (PARTITION BY rid, f) AS s FROM (SELECT DISTINCT rid, 0 AS f, f1 AS v, CAST(f1 AS DOUBLE) AS x FROM rest UNION ALL SELECT DISTINCT rid, 1, f2, CAST(f2 AS DOUBLE) FROM rest)) GROUP BY rid, f)"
+    weigh = "(SELECT rid, MAX(CASE WHEN f = 0 THEN sd END) AS w1, MAX(CASE WHEN f = 1 THEN sd END) AS w2 FROM spr GROUP BY rid)" if weighting == "sd" else "(SELECT fidx // 2 AS rid, MAX(CASE WHEN fidx % 2 = 0 THEN GREATEST(ig, 0.0) / NULLIF(si, 0) END) AS w1, MAX(CASE WHEN fidx % 2 = 1 THEN gr END) AS w2 FROM wr GROUP BY 1)"
+    parts = [CUSTOMER.sql().split(", train AS")[0], f"rest AS ({rest})", binned, cells, spread if weighting == "sd" else Q.weights("rct", "wr", clamp=False)]
+    return f"""WITH {", ".join(parts)}, wid AS (SELECT rid, MAX(CAST(f2 AS DOUBLE)) - MIN(CAST(f2 AS DOUBLE)) AS width FROM rest GROUP BY rid),
+near AS (SELECT q.iid AS qid, t.iid, t.class, ROUND(w.w1 * CASE WHEN q.f1 = t.f1 THEN 0 ELSE 1 END + w.w2 * CASE WHEN q.f2 = t.f2 THEN 0 ELSE ABS(CAST(q.f2 AS DOUBLE) - CAST(t.f2 AS DOUBLE)) / d.width END, 10) AS d FROM inst q JOIN inst t ON t.iid <> q.iid JOIN {weigh} w ON w.rid = q.iid JOIN wid d ON d.rid = q.iid),
+rnk AS (SELECT *, DENSE_RANK() OVER (PARTITION BY qid ORDER BY d) AS r FROM near), cls AS (SELECT class, MIN(iid) AS first, COUNT(*) AS n FROM inst GROUP BY class),
+tal AS (SELECT qid, t.class, COUNT(*) FILTER (r = 1) AS v, COUNT(*) AS v1, MIN(d) AS d, ANY_VALUE(first) AS first, ANY_VALUE(n) - CASE WHEN t.class = ANY_VALUE(q.class) THEN 1 ELSE 0 END AS n FROM rnk t JOIN cls c ON c.class = t.class JOIN inst q ON q.iid = t.qid WHERE r <= 2 GROUP BY qid, t.class),
+top AS (SELECT *, RANK() OVER (PARTITION BY qid ORDER BY v DESC) AS a, RANK() OVER (PARTITION BY qid ORDER BY v1 DESC) AS b, MIN(d) OVER (PARTITION BY qid) AS distance FROM tal),
+sol AS (SELECT qid, COUNT(*) FILTER (a = 1) > 1 AND COUNT(*) FILTER (b = 1) = 1 AS again, MAX(CASE WHEN b = 1 THEN class END) AS c1, ARG_MIN(class, ROW(a, -n, first)) AS c0, MIN(distance) AS distance FROM top GROUP BY qid)
+SELECT s.qid, q.class, CASE WHEN again THEN c1 ELSE c0 END AS predicted, ROUND(distance, 6) + 0.0 AS distance FROM sol s JOIN inst q ON q.iid = s.qid"""
+
+
+for weighting in ("gr", "sd"):
+    add(f"leave_one_out_numeric_{weighting}", _leave_one_out_numeric(weighting), leave_one_out_numeric_sql(weighting))
