@@ -4,7 +4,7 @@ Patterns are dealt to BLOCKS blocks at most, so what is known of a block (a row
 value: a block has one value of the feature that weighs most, and the distance in that feature is a bound; rare values
 share a block without a bound. By norm, for the dot product: no product is more than that of the norms. By angle, for the cosine:
 a block lies between two angles around one of its vectors, and angles obey the triangle inequality. A query first visits the
-block with the least bound, which gives it a (k + 1)-th distance; then all blocks whose bound isn't above that. Visits of a block
+blocks with the least bounds, which give it a (k + 1)-th distance; then all blocks whose bound isn't above that. Visits of a block
 are dealt to parts and its patterns to pieces, so every meeting is of bounded size, however large a block is.
 """
 
@@ -22,6 +22,8 @@ from ..functions.statistics import numeric
 
 #: Blocks at most, and vectors around which angles are measured.
 BLOCKS, PIVOTS = 256, 64
+#: Patterns that a query looks at first, for each distance that it's asked for.
+FIRST = 8
 #: Rounding of distances and bounds.
 MARGIN = 1e-9
 
@@ -130,8 +132,8 @@ def by_angle(p: DataFrame, names: list[str], weights: list[float]) -> Dealt:
     return Dealt(dealt.drop("angle"), bound)
 
 
-def _visits(q: DataFrame, bound: Bound, first: bool) -> DataFrame:
-    """Queries with the ``block`` that they visit: first that of the least bound; then, up to their ``limit``, the others."""
+def _visits(q: DataFrame, bound: Bound, sizes: dict[int, int], least: int, first: bool) -> DataFrame:
+    """Queries with the ``block`` that they visit: first those of the least bounds, with ``least`` patterns or more; then, up to their ``limit``, the others."""
     names, schema = q.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,14 +141,15 @@ def _visits(q: DataFrame, bound: Bound, first: bool) -> DataFrame:
             if not batch.num_rows:
                 continue
             away = bound(pa.Table.from_batches([batch]))
-            nearest = away.argmin(axis=1)
+            order = np.argsort(away, axis=1, kind="stable")
+            held = np.array([sizes.get(b, 0) for b in range(away.shape[1])])[order]
+            begun = np.zeros(away.shape, dtype=bool)
+            np.put_along_axis(begun, order, np.cumsum(held, axis=1) - held < least, axis=1)
             if first:
-                i, j = np.arange(batch.num_rows), nearest
+                i, j = np.nonzero(begun)
             else:
                 limit = np.array([np.inf if x is None else x for x in batch.column(names.index("limit")).to_pylist()])
-                go = away <= limit[:, None] + MARGIN
-                go[np.arange(batch.num_rows), nearest] = False
-                i, j = np.nonzero(go)
+                i, j = np.nonzero((away <= limit[:, None] + MARGIN) & ~begun)
             at = pa.array(i)
             for s in range(0, len(i), 4096):
                 rows = batch.take(at.slice(s, 4096))
@@ -164,11 +167,12 @@ def found(q: DataFrame, dealt: Dealt, k: int, meet: Callable[[DataFrame, DataFra
         many = {r["block"]: r["n"] for r in visits.groupBy("block").agg(F.count("*").alias("n")).collect()}
         shape = [(b, -(-n // part), -(-dealt.sizes[b] // piece)) for b, n in many.items() if dealt.sizes.get(b)] or [(-1, 1, 1)]
         small = q.sparkSession.createDataFrame(shape, "block int, parts int, pieces int")
-        left = visits.join(F.broadcast(small), "block").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts"))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).cast("long"))
-        right = p.join(F.broadcast(small), "block").withColumn("piece", F.pmod(F.xxhash64(*(c for c in p.columns if c.startswith("p_") and "__" not in c), "class"), F.col("pieces"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long"))
+        left = visits.join(F.broadcast(small), "block").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        right = p.join(F.broadcast(small), "block").withColumn("piece", F.pmod(F.xxhash64(*(c for c in p.columns if c.startswith("p_") and "__" not in c), "class"), F.col("pieces")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         return meet(left.drop("parts", "pieces"), right.drop("parts", "pieces"), ["block", "part", "piece"])
 
-    near = met(_visits(q, dealt.bound, True)).persist()
+    least = FIRST * (k + 1)
+    near = met(_visits(q, dealt.bound, dealt.sizes, least, True)).persist()
     limit = near.groupBy("qid").agg(F.get(F.sort_array(F.collect_set("d")), F.lit(k)).alias("limit"))
-    rest = met(_visits(q.join(limit, "qid", "left"), dealt.bound, False))
+    rest = met(_visits(q.join(limit, "qid", "left"), dealt.bound, dealt.sizes, least, False))
     return near.unionByName(rest).groupBy("qid", "d", "exact", "class").agg(F.sum("cnt").alias("cnt"))
