@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from recollect.llm import jaccard
+import public_tokenizers
+
+from recollect.llm import bpe, jaccard, toxicity
 
 
 def shingles(text: str | None) -> frozenset:
@@ -65,3 +67,16 @@ def test_repeated_id_and_other_columns(docs):
 def test_empty_table(none):
     assert jaccard.link(none).columns == ["doc_id", "n_shingles", "component_id"]
     assert jaccard.link(none).count() == 0
+
+
+def test_names_of_columns_do_not_matter(spark):
+    """Columns by the names that the operators use, and dotted ones."""
+    words = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, words, 7, "x"), (2, words, 8, "y"), (3, "other words", 9, "z"), (None, words, 1, "n")]
+    df = spark.createDataFrame(rows, "`a.id` long, `a.text` string, linked0 long, `the linked one` string")
+    out = jaccard.representatives(df, "a.id", "a.text")
+    assert out.columns == df.columns and sorted(r[3] for r in out.collect()) == ["n", "x", "z"]
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert bpe.report(bpe.round_trip(df, ranks, public_tokenizers.PATTERN, "a.id", "a.text")).count() == 4
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "`a.id` long, toxic int")
+    assert toxicity.judge(df, labels, "a.id", "a.text").count() == 4
