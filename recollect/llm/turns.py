@@ -314,9 +314,9 @@ WITH RECURSIVE plain AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coal
 summed AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS kind FROM plain),
 rows_ AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM summed, range(2) r(i) WHERE i < CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END),
-placed AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, row_number() OVER w AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+placed AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, row_number() OVER w AS n,
   lag(role[1]) OVER w || role[1] AS pair FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
-faults AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS unended FROM placed),
+faults AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY n) > 1 AS again, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS unended FROM placed),
 turns AS (SELECT *, blank OR again AS must, unended AND NOT blank AND NOT again AS truncated FROM faults),
 states(q) AS (VALUES (''), ('s'), ('u'), ('a')),
 ins AS (SELECT q, q AS q2, 0 AS cost, '' AS edits FROM states UNION ALL SELECT q, CASE q WHEN 'u' THEN 'a' ELSE 'u' END, 3, 'I' FROM states UNION ALL SELECT q, CASE q WHEN 'u' THEN 'u' ELSE 'a' END, 6, 'II' FROM states),
