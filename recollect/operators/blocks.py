@@ -43,7 +43,7 @@ def by_value(p: DataFrame, name: str, distance: Callable[[pa.Table, pa.Table], n
     """Blocks by the value of the feature ``name``; ``distance`` of queries to the values of a table like ``p``."""
     own = [c for c in p.columns if c == f"p_{name}" or c.startswith(f"p_{name}__")]
     often = p.groupBy(f"p_{name}").agg(F.count("*").alias("often"), *(F.first(c).alias(c) for c in own if c != f"p_{name}"))
-    table = pa.Table.from_pylist([r.asDict() for r in often.orderBy(F.desc("often"), f"p_{name}").limit(BLOCKS - 1).collect()]) if p.columns else None
+    table = pa.Table.from_pylist([r.asDict() for r in often.orderBy(F.desc("often"), f"p_{name}").limit(BLOCKS - 1).collect()])
     values = table.column(f"p_{name}").to_pylist() if table.num_rows else []
     place = F.create_map(*(F.lit(x) for i, v in enumerate(values, 1) for x in (v, i)))[F.col(f"p_{name}")] if values else F.lit(0)
     known = table.select(own) if values else None
