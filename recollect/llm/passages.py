@@ -6,9 +6,9 @@ WINDOW - 1 words that two texts share has a paragraph in common. Each has BANDS
 its shingles, tuned by ``tune`` to find similar paragraphs with high probability, and a key of all its
 shingles, its content, by which equal ones always meet. Keys are packed by bucket for the shuffle. In a bucket, paragraphs of one
 content give a star; different contents under a band's key are all compared, a paragraph standing for
-each. A key with more than CROWD contents (a frequent phrase) isn't: its paragraphs are joined by the
-prefix filter over their rarest shingles, which finds all similar pairs among them. The Jaccard similarity
-of the shingles is then computed from both paragraphs. Verified paragraphs that follow each other form
+each. Under a key with more than CROWD contents (a frequent phrase) similar paragraphs aren't paired but
+connected: all that keep the same shingles when SPARE are left out are similar, and go with a representative
+of them. The Jaccard similarity of the shingles is then computed from both paragraphs. Verified paragraphs that follow each other form
 runs, extended word by word; runs of ``least`` words that overlap on the compared side, directly or through
 another text, form a component, of which the run in the smallest document is kept.
 
@@ -22,6 +22,7 @@ table gives an empty table; other columns, whatever their names, aren't read.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ from .components import components
 
 WORDS, WINDOW, SIMILAR = 5, 24, 0.75
 SHINGLES = WINDOW - WORDS + 1
+#: Shingles that may be left out of a whole paragraph's set so that it's still similar: two sets of n with i in common have i / (2n - i).
+SPARE = SHINGLES - math.ceil(2 * SHINGLES * SIMILAR / (1 + SIMILAR))
 #: Words of a passage that is reported at least, where nothing else is asked for.
 LEAST = WINDOW
 #: Places in a row of which one is an anchor; the step between anchors where one word is repeated.
@@ -243,14 +246,15 @@ def _unpack(payload: bytes) -> Entries:
 
 
 def _collide(parts: list[Entries], bucket: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of paragraphs with a key, packed by the two texts: each with the first of its content, and those first ones, if they aren't a crowd."""
+    """Pairs of paragraphs with a key, packed by the two texts: each with the first of its content (with the last one if the first is in its own text), and those first ones, if they aren't a crowd."""
     mark, place, key, content = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((place, mark, content, key))
     mark, place, key, content = mark[order], place[order].astype(np.int64), key[order], content[order]
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
     first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    left, right = [np.flatnonzero(~new)], [first[~new]]
     heads = np.flatnonzero(new)
+    last = np.append(heads[1:], len(key))[np.cumsum(new) - 1] - 1
+    left, right = [np.flatnonzero(~new)], [np.where(mark == mark[first], last, first)[~new]]
     start, size = _starts(key[heads])
     many = np.repeat(size, size)
     few = heads[many <= CROWD]
@@ -302,12 +306,8 @@ def collide(indexed: DataFrame, partitions: int) -> DataFrame:
     return map_batches(indexed.repartition(partitions, "bucket").sortWithinPartitions("kind", "bucket"), run, ROW)
 
 
-def _crowded(texts: DataFrame, crowd: DataFrame) -> DataFrame:
-    """Pairs ``(a, b, payload)`` of paragraphs under a crowded key, from ``crowd(key, mark, place)``: the prefix filter over their shingles.
-
-    Similar sets share one of the shingles that are left over beyond what they must share, in any order of all
-    shingles. Here rare ones come first, by counts in CELLS cells over all these paragraphs, which are broadcast.
-    """
+def _paragraphs(texts: DataFrame, crowd: DataFrame) -> DataFrame:
+    """(mark, place, shingles, again) of the paragraphs ``crowd(mark, place)``; ``again``: two words in a row come twice in it."""
     rows = texts.join(crowd.groupBy("mark").agg(F.collect_set("place").alias("places")), "mark").select("mark", "places", "text")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,11 +315,98 @@ def _crowded(texts: DataFrame, crowd: DataFrame) -> DataFrame:
             for i, j, data, start in tv.chunks(rows.column(2)):
                 words = tv.Words(data, start)
                 mark, all_ = text_mark(words).tolist(), shingles(words)
+                two = tv.mix(words.hash[:-1] + tv.mix(words.hash[1:])) if len(words.hash) else words.hash
                 for k, (own, places) in enumerate(zip(rows.column(0)[i:j].to_pylist(), rows.column(1)[i:j].to_pylist(), strict=True)):
                     if mark[k] == own:
                         at = np.array(sorted(places), dtype=np.int64)
                         sets = all_[words.first[k] + at[:, None] + np.arange(SHINGLES)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), own)), pa.array(at), pa.array([x.tobytes() for x in sets], pa.binary())], ["mark", "place", "shingles"])
+                        twos = np.sort(two[words.first[k] + at[:, None] + np.arange(WINDOW - 1)], axis=1)
+                        again = (twos[:, 1:] == twos[:, :-1]).any(axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), own)), pa.array(at), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(again)], ["mark", "place", "shingles", "again"])
+
+    return stored(map_batches(rows, cut_out, "mark long, place long, shingles binary, again boolean").dropDuplicates(["mark", "place"]), "crowds")
+
+
+def family_keys(sets: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, short) of paragraphs, by which the similar ones among them meet, and no others.
+
+    Two sets of SHINGLES shingles are similar just if they have all but SPARE in common: a key for each way to leave SPARE
+    out. Where no two words in a row come twice, what is common is a row of shingles, so only the ways to leave out the
+    ends count; a pair of which one paragraph is so meets by them. A ``short`` set (a shingle comes twice in the
+    paragraph) has one key, of the whole set.
+    """
+    ordered = np.sort(sets, axis=1)
+    short = ~_distinct(ordered).all(axis=1)
+    mixed = tv.mix(sets + _U(KEYS + 1))
+    total = mixed.sum(axis=1, dtype=_U)
+    rows, found = [], []
+    for out in itertools.combinations(range(SHINGLES), SPARE):
+        kept = sorted({*range(SHINGLES)} - {*out})
+        at = np.flatnonzero(~short & (again | (kept[-1] - kept[0] < len(kept))))
+        rows.append(at)
+        found.append(tv.mix(total[at] - mixed[np.ix_(at, out)].sum(axis=1, dtype=_U)))
+    at = np.flatnonzero(short)
+    rows.append(at)
+    found.append(tv.mix(np.where(_distinct(ordered[at]), tv.mix(ordered[at]), _U(0)).sum(axis=1, dtype=_U)))
+    rows, found = np.concatenate(rows), np.concatenate(found)
+    return rows, found.view(np.int64), short[rows]
+
+
+def _families(texts: DataFrame, crowd: DataFrame) -> DataFrame:
+    """Pairs ``(a, b, payload)`` that connect all similar paragraphs of different texts under crowded keys, from ``crowd(key, mark, place)``.
+
+    What has a family key in common is similar, so the paragraphs under it are a star: each goes with the first one, those
+    of the first one's text with the last one. Rows are linear in the paragraphs, however many are alike. Short sets
+    that differ have no such key: the first and the last paragraph of each set go through the prefix filter.
+    """
+    own = _paragraphs(texts, crowd.select("mark", "place").distinct())
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            sets = np.frombuffer(b"".join(rows.column(2).to_pylist()), dtype=_U).reshape(-1, SHINGLES)
+            at, key, short = family_keys(sets, rows.column(3).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(key), rows.column(0).take(pa.array(at)), rows.column(1).take(pa.array(at)), pa.array(short)], ["key", "mark", "place", "short"])
+
+    keys_ = map_batches(own.select("mark", "place", "shingles", "again"), keyed, "key long, mark long, place long, short boolean")
+    one = F.struct("mark", "place")
+    ends = keys_.groupBy("key", "short").agg(F.min(one).alias("first"), F.max(one).alias("last"))
+    met = keys_.join(ends.where("first.mark <> last.mark"), ["key", "short"])
+    partner = F.when(F.col("mark") == F.col("first.mark"), F.col("last")).otherwise(F.col("first"))
+    pairs = _oriented(met.select(one.alias("x"), partner.alias("y")))
+    sets = ends.where("short")
+    few = sets.select("first.*").union(sets.select("last.*")).distinct()
+    few = cut(few.withColumn("short", F.lit(True)))
+    if few.isEmpty():
+        return _by_texts(pairs)
+    full = own.select("mark", "place").join(keys_.where("short").select("mark", "place"), ["mark", "place"], "left_anti")
+    asked = crowd.join(few, ["mark", "place"])
+    rest = crowd.join(asked.select("key").distinct(), "key").join(full, ["mark", "place"]).select("key", "mark", "place", F.lit(False).alias("short"))
+    return _by_texts(pairs.union(_prefix_pairs(own, asked.select("key", "mark", "place", "short").union(rest))))
+
+
+def _oriented(pairs: DataFrame) -> DataFrame:
+    """(a, place, b, q) from ``(x, y)``, each a mark and a place: the larger mark first."""
+    high, low = F.greatest("x", "y"), F.least("x", "y")
+    return pairs.select(high["mark"].alias("a"), high["place"].alias("place"), low["mark"].alias("b"), low["place"].alias("q"))
+
+
+def _by_texts(pairs: DataFrame) -> DataFrame:
+    """``pairs(a, place, b, q)`` packed by the two texts."""
+    packed = lambda c: F.concat(*(F.substring(F.lpad(F.hex(F.col(c)), 8, "0"), 7 - 2 * k, 2) for k in range(4)))
+    return pairs.distinct().groupBy("a", "b").agg(F.unhex(F.array_join(F.array_sort(F.collect_list(F.concat(packed("place"), packed("q")))), "")).alias("payload"))
+
+
+def _crowded(texts: DataFrame, crowd: DataFrame) -> DataFrame:
+    """All similar pairs ``(a, b, payload)`` of paragraphs under a crowded key, from ``crowd(key, mark, place)``, by the prefix filter alone."""
+    return _by_texts(_prefix_pairs(_paragraphs(texts, crowd), crowd.withColumn("short", F.lit(True))))
+
+
+def _prefix_pairs(own: DataFrame, crowd: DataFrame) -> DataFrame:
+    """``(a, place, b, q)``: pairs of ``crowd(key, mark, place, short)`` with one short side at least that share a shingle of their prefixes.
+
+    Similar sets share one of the shingles that are left over beyond what they must share, in any order of all
+    shingles. Here rare ones come first, by counts in CELLS cells over all these paragraphs, which are broadcast.
+    """
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, dtype=np.int64)
@@ -329,29 +416,29 @@ def _crowded(texts: DataFrame, crowd: DataFrame) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
-    own = stored(map_batches(rows, cut_out, "mark long, place long, shingles binary").distinct(), "crowds")
     often = np.zeros(CELLS, dtype=np.int64)
     for r in map_batches(own.select("shingles"), cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # CELLS rows at most
         often[r["cell"]] = r["n"]
-    shared = texts.sparkSession.sparkContext.broadcast(often)
+    shared = own.sparkSession.sparkContext.broadcast(often)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            out: list[tuple[int, int, int]] = []
-            for key, mark, place, raw in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            out: list[tuple[int, int, int, bool]] = []
+            for key, mark, place, short, raw in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                 x = np.unique(np.frombuffer(raw, dtype=_U))
                 ranked = x[np.lexsort((x, shared.value[(x % _U(CELLS)).astype(np.int64)]))]
                 keep = ranked[: len(x) - math.ceil(SIMILAR * len(x)) + 1]
-                out += [(int(h), mark, place) for h in tv.mix(keep ^ _U(key % (1 << 64))).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, ["key", "mark", "place"])
+                out += [(int(h), mark, place, short) for h in tv.mix(keep ^ _U(key % (1 << 64))).view(np.int64)]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.bool_())], ["key", "mark", "place", "short"])
 
-    found = map_batches(crowd.join(own, ["mark", "place"]).select("key", "mark", "place", "shingles"), prefixes, "key long, mark long, place long")
-    many = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    found = map_batches(crowd.join(own, ["mark", "place"]).select("key", "mark", "place", "short", "shingles"), prefixes, "key long, mark long, place long, short boolean")
+    many = found.groupBy("key").agg(F.count("*").alias("n"), F.max("short").alias("some")).where("n > 1 and some").select("key")
     prefix = stored(found.join(many, "key"), "prefixes")
-    other = prefix.select("key", F.col("mark").alias("b"), F.col("place").alias("q"))
-    pairs = prefix.join(other, "key").where(F.col("mark") > F.col("b")).select(F.col("mark").alias("a"), "place", "b", "q").distinct()
-    packed = lambda c: F.concat(*(F.substring(F.lpad(F.hex(F.col(c)), 8, "0"), 7 - 2 * k, 2) for k in range(4)))
-    return pairs.groupBy("a", "b").agg(F.unhex(F.array_join(F.array_sort(F.collect_list(F.concat(packed("place"), packed("q")))), "")).alias("payload"))
+    one = F.struct("mark", "place")
+    other = prefix.select("key", one.alias("y"), F.col("short").alias("both"))
+    met = prefix.where("short").select("key", one.alias("x")).join(other, "key")
+    return _oriented(met.where(F.col("x.mark") != F.col("y.mark")).where(~F.col("both") | (F.col("x") > F.col("y"))).select("x", "y")).distinct()
 
 
 def verify(texts: DataFrame, pairs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -489,7 +576,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int
     needed = pairs.select(F.col("a").alias("mark")).union(pairs.select(F.col("b").alias("mark"))).union(crowd.select("mark")).distinct().join(marks.select("mark", "id"), "mark")
     texts = stored(df.join(needed, F.col("doc_id") == F.col("id")).select("mark", "text"), "texts")
     if not crowd.isEmpty():
-        pairs = pairs.union(_crowded(texts, crowd))
+        pairs = pairs.union(_families(texts, crowd))
     runs = cut(verify(texts, pairs, least))
 
     # Overlapping runs on the compared side are one passage there.

@@ -290,6 +290,61 @@ def test_crowded_keys_lose_no_similar_paragraph(spark):
     assert wanted and wanted <= found
 
 
+def test_families_under_crowded_keys_are_connected(spark):
+    """Representative pairs against all pairs under one key: only similar ones, and the same components; long ones too, with fewer pairs than all."""
+    import numpy as np
+
+    from recollect.llm import textvec as tv
+
+    rng = random.Random(31)
+    core, other, phrase = (prose(rng, n, 5000).split(" ") for n in (24, 24, 12))
+    texts = [" ".join([f"a{rng.randrange(40)}", *core[1:-1], f"b{k % 50}"]) for k in range(200)]
+    texts += [" ".join([*other[2:], f"c{k}", f"d{k}"]) for k in range(30)] + [" ".join([f"e{k}", f"f{k}", *other[:22]]) for k in range(30)]
+    texts += [" ".join([*phrase, *phrase, *phrase][k : k + 24]) for k in range(12)]
+    texts += [" ".join([*phrase[:9], *phrase[:9], *prose(rng, 6, 5000).split(" ")]) for _ in range(5)]
+    # Two words come again and again, so what is common need not be a row of shingles.
+    texts += [" ".join(["of the " + " of the ".join(core[:6]), f"h{k}", *core[6:11]][: 12] + [f"i{k % 3}", *core[12:16]]) for k in range(20)]
+    # A paragraph twice in one text: each place has a partner in the other texts.
+    words = [t.split(" ") for t in texts]
+    words = [(w + ["z"] * 24)[:24] for w in words]
+    places = [(k, 0) for k in range(len(words))]
+    whole = {k: " ".join(w) for k, w in enumerate(words)}
+    whole[0] = " ".join([*words[0], *words[1]])
+    places.append((0, 24))
+    marks, sets = {}, {}
+    for k, t in whole.items():
+        data = np.frombuffer(t.encode(), dtype=np.uint8)
+        cut = tv.Words(data, np.array([0, len(data)]))
+        marks[k] = int(passages.text_mark(cut)[0])
+        for p in (p for i, p in places if i == k):
+            sets[marks[k], p] = frozenset(passages.shingles(cut)[p : p + passages.SHINGLES].tolist())
+    df = spark.createDataFrame([(marks[k], t) for k, t in whole.items()], "mark long, text string").distinct()
+    crowd = spark.createDataFrame([(1, m, p) for m, p in sets], "key long, mark long, place long")
+    found = set()
+    for r in passages._families(df, crowd).collect():
+        both = np.frombuffer(r["payload"], "<u4").reshape(-1, 2).tolist()
+        found |= {((r["a"], p), (r["b"], q)) for p, q in both}
+    near = lambda x, y: len(sets[x] & sets[y]) >= 0.75 * len(sets[x] | sets[y])
+    ids = sorted(sets)
+    wanted = {(x, y) for x in ids for y in ids if x[0] > y[0] and near(x, y)}
+    linked = found & wanted
+
+    def parts(pairs: set) -> set:
+        up = {x: x for x in ids}
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for x, y in pairs:
+            up[top(x)] = top(y)
+        return {frozenset(y for y in ids if top(y) == top(x)) for x in ids}
+
+    assert parts(linked) == parts(wanted) and {x for pair in linked for x in pair} == {x for pair in wanted for x in pair}
+    assert len(found) * 10 < len(wanted)
+
+
 def test_repetitive_texts_keep_their_runs_whole():
     import numpy as np
 
