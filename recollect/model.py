@@ -277,6 +277,22 @@ class MemoryBasedLearner:
         """``transform`` with the true class of each query."""
         return self.transform(queries).join(queries.select("qid", "class"), "qid")
 
+    def test_each(self, queries: DataFrame, settings: list[Options]) -> DataFrame:
+        """``test`` for several settings, numbered from 0 in ``setting``, from one search with the largest k.
+
+        They may differ from this learner's in k, decay, the rule for exact matches and what is made of votes; whatever
+        changes distances needs a search of its own and is an error. With a random seed ties are drawn by setting.
+        """
+        votes_only = {"k": 1, "decay": "Z", "decay_a": 1.0, "decay_b": 1.0, "exact": "off", "show": (), "normalisation": "none", "add_factor": 1.0, "beam": 0, "max_neighbours": 500}
+        if not settings or self.options.algorithm != "IB1" or any(o.but(**votes_only) != self.options.but(**votes_only) for o in settings):
+            raise ValueError("settings of one search differ in k, decay, exact matches and votes only")
+        same = self.similarity is None
+        each = [{"k": o.k, "decay": o.decay, "a": float(o.decay_a), "b": float(o.decay_b), "first": same and o.exact == "reference" and o.k == 1, "only": same and o.exact == "on"} for o in settings]
+        most = max(o.k for o in settings)
+        near = search.buckets_each(self.found(queries, most), each, most)
+        out = vote.answers(near, self._known().classes, *map(F.col, ("k", "decay", "a", "b")), seed=self.options.random_seed)
+        return out.select("qid.setting", "qid.qid", *(c for c in out.columns if c != "qid")).join(queries.select("qid", "class"), "qid")
+
     def evaluate(self, queries: DataFrame) -> DataFrame:
         return evaluate.accuracy(self.test(queries))
 

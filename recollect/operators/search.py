@@ -421,6 +421,21 @@ def buckets(found: DataFrame, k: int, shortcut: bool = False) -> DataFrame:
     return ranked.groupBy("qid", "r", "d", "class").agg(F.sum("cnt").alias("cnt"), F.max("exact").alias("exact"))
 
 
+def buckets_each(found: DataFrame, settings: list[dict], k: int) -> DataFrame:
+    """Buckets of several settings from one search for the k + 1 nearest distances: ``qid`` is (setting, qid), and each row has its setting's values.
+
+    ``settings`` have k, and ``first`` (with the shortcut) or ``only`` (an identical pattern is the whole answer).
+    """
+    by = Window.partitionBy("qid")
+    ranked = found.withColumn("r", F.dense_rank().over(by.orderBy("d"))).where(F.col("r") <= k + 1).withColumn("hit", F.max("exact").over(by))
+    each = F.array(*(F.struct(F.lit(n).cast("long").alias("setting"), *(F.lit(v).alias(name) for name, v in s.items())) for n, s in enumerate(settings)))
+    # A setting leaves rows out before they are multiplied.
+    own = F.filter(each, lambda s: (F.col("r") <= s["k"] + 1) & (~F.col("hit") | F.col("exact") | ~s["only"] & (~s["first"] | (F.col("r") > 1))))
+    names = list(settings[0])
+    rows = ranked.withColumn("s", F.explode(own)).select(F.struct("s.setting", "qid").alias("qid"), "r", "d", "class", "cnt", "exact", *(f"s.{n}" for n in names))
+    return rows.groupBy("qid", "r", "d", "class", *names).agg(F.sum("cnt").alias("cnt"), F.max("exact").alias("exact"))
+
+
 def neighbours(found: DataFrame, k: int) -> DataFrame:
     """The k nearest buckets as rows: (qid, k, distance, class, cnt)."""
     return buckets(found, k).where(F.col("r") <= k).select("qid", F.col("r").cast("long").alias("k"), F.col("d").alias("distance"), "class", "cnt")

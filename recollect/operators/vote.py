@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import EPSILON
+from ..options import DECAYS
 
 
-def factor(decay: str, d: Column, near: Column, far: Column, r: Column, a: float, b: float) -> Column:
-    """What an instance at distance d counts."""
+def factor(decay: str | Column, d: Column, near: Column, far: Column, r: Column, a: float | Column, b: float | Column) -> Column:
+    """What an instance at distance d counts; the decay may differ by row."""
+    if isinstance(decay, Column):
+        out = F.lit(1.0)
+        for code in DECAYS:
+            out = F.when(decay == code, factor(code, d, near, far, r, a, b)).otherwise(out)
+        return out
     if decay == "Z":
         return F.lit(1.0)
     if decay == "ID":
@@ -20,8 +26,8 @@ def factor(decay: str, d: Column, near: Column, far: Column, r: Column, a: float
     return F.when(x == 0, EPSILON).otherwise(x)
 
 
-def votes(buckets: DataFrame, k: int, decay: str = "Z", a: float = 1.0, b: float = 1.0) -> DataFrame:
-    """(qid, class, v, v1, near): votes over the k nearest buckets, and over one more; the nearest distance."""
+def votes(buckets: DataFrame, k: int | Column, decay: str | Column = "Z", a: float | Column = 1.0, b: float | Column = 1.0) -> DataFrame:
+    """(qid, class, v, v1, near): votes over the k nearest buckets, and over one more; the nearest distance. Settings may be columns."""
     by = Window.partitionBy("qid")
     near = F.min("d").over(by)
     far = lambda upto: F.max(F.when(F.col("r") <= upto, F.col("d"))).over(by)
@@ -30,7 +36,7 @@ def votes(buckets: DataFrame, k: int, decay: str = "Z", a: float = 1.0, b: float
     return df.groupBy("qid", "class").agg(F.coalesce(F.sum(F.when(F.col("r") <= k, weigh("far"))), F.lit(0.0)).alias("v"), F.sum(weigh("far1")).alias("v1"), F.min("near").alias("near"))
 
 
-def answers(buckets: DataFrame, classes: DataFrame, k: int, decay: str = "Z", a: float = 1.0, b: float = 1.0, retry: bool = True, seed: int | None = None, hidden: DataFrame | None = None, folds: DataFrame | None = None) -> DataFrame:
+def answers(buckets: DataFrame, classes: DataFrame, k: int | Column, decay: str | Column = "Z", a: float | Column = 1.0, b: float | Column = 1.0, retry: bool = True, seed: int | None = None, hidden: DataFrame | None = None, folds: DataFrame | None = None) -> DataFrame:
     """(qid, predicted, distance, tie, exact, votes): the class with most votes.
 
     A tie is broken by one more bucket if that leaves a single class; else by the class's frequency in

@@ -130,6 +130,13 @@ add("ib1_exact_off_k1", predictions(PART, exact="off"), search_sql(PART, "gr", 1
 for decay, a, b in (("ID", 1.0, 1.0), ("IL", 1.0, 1.0), ("ED", 0.3, 1.0), ("ED", 2.0, 2.0)):
     add(f"decay_{decay.lower()}_{a:g}_{b:g}".replace(".", "_"), predictions(PART, k=5, decay=decay, decay_a=a, decay_b=b), search_sql(PART, "gr", 5, decay, a, b) + ANSWER)
 
+EACH = [Options(k=k, decay=decay, decay_a=a) for k in (1, 3, 5) for decay, a in (("Z", 1.0), ("ID", 1.0), ("IL", 1.0), ("ED", 0.3))]
+add(
+    "settings_of_one_search",
+    lambda s, d: rounded(learner(PART, s, d).test_each(PART.queries(s, d), EACH).select("setting", "qid", "class", "predicted", "distance", "tie", "exact"), "distance"),
+    " UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS setting, * FROM ({search_sql(PART, 'gr', o.k, o.decay, o.decay_a) + ANSWER})" for n, o in enumerate(EACH)),
+)
+
 
 def delta_sql(kind: str) -> dict[str, str]:
     return {f: f"CASE WHEN q.{f} = p.{f} THEN 0.0 ELSE COALESCE(x{i}.d, 1.0) END" for i, f in enumerate(PART.names, 1)}

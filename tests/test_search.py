@@ -282,3 +282,29 @@ def test_blocks_are_left_out(spark, monkeypatch, metric):
     every = {"D": blocks.BLOCKS, "C": blocks.PIVOTS, "M": 12}[metric] * 60
     assert len(seen) == 2 and sum(seen) <= every / 3, seen
     assert out.select("qid").distinct().count() == 60
+
+
+@pytest.mark.parametrize("options", [Options(), Options(metric="M"), Options(exact="on"), Options(metric="O:N3", weighting="nw")])
+def test_settings_of_one_search_are_those_of_many(spark, options):
+    """Each setting's answers are those of a learner of its own; the plan's search doesn't grow with the settings."""
+    sf = "/root/testdata/sf0.001"
+    fitted = MemoryBasedLearner(options).fit(PART.train(spark, sf), PART.names)
+    queries = PART.queries(spark, sf)
+    settings = [options.but(k=k, decay=decay, decay_a=0.5, exact=exact) for k, decay, exact in ((1, "Z", "reference"), (1, "Z", "off"), (2, "IL", "reference"), (4, "ED", "off"), (3, "ID", "on"))]
+    shown = ("qid", "class", "predicted", "distance", "tie", "exact")
+    every = fitted.test_each(queries, settings)
+    out = {n: set() for n in range(len(settings))}
+    for r in every.collect():
+        out[r["setting"]].add(tuple(round(x, 9) if isinstance(x, float) else x for x in (r[c] for c in shown)))
+    for n, o in enumerate(settings):
+        own = MemoryBasedLearner(o).fit(PART.train(spark, sf), PART.names).test(queries)
+        assert out[n] == {tuple(round(x, 9) if isinstance(x, float) else x for x in (r[c] for c in shown)) for r in own.collect()}
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+    assert scans(every) == scans(fitted.test_each(queries, settings[-2:]))
+
+
+def test_settings_that_change_distances_need_a_search_of_their_own(spark):
+    fitted = MemoryBasedLearner(Options()).fit(PART.train(spark, "/root/testdata/sf0.001"), PART.names)
+    for other in ([Options(metric="M")], [Options(weighting="ig")], []):
+        with pytest.raises(ValueError):
+            fitted.test_each(PART.queries(spark, "/root/testdata/sf0.001"), other)
