@@ -476,6 +476,10 @@ class MemoryBasedLearner:
         """(depth, key, class, cnt): the class distribution of each prefix."""
         return tree.levels(self._known().base, self._ordered()[0])
 
+    def next_values(self) -> DataFrame:
+        """(depth, key, next_value, cnt): what follows each prefix in the base."""
+        return tree.following(self._known().base, self._ordered()[0])
+
     def examples(self, queries: DataFrame, k: int | None = None, most: int | None = None) -> DataFrame:
         """The patterns at the k nearest distances of each query, ``max_neighbours`` of a distance at most."""
         f = self._known()

@@ -58,6 +58,12 @@ def levels(base: DataFrame, order: list[str]) -> DataFrame:
     return base.select(prefixes(order).alias("x"), "class", "cnt").groupBy("x.depth", "x.key", "class").agg(F.sum("cnt").alias("cnt"))
 
 
+def following(base: DataFrame, order: list[str]) -> DataFrame:
+    """(depth, key, next_value, cnt): the values that follow each prefix shorter than a pattern, a row for each, with the rows under them."""
+    steps = F.explode(F.array(*(F.struct(F.lit(t).alias("depth"), prefix(order, t).alias("key"), F.col(f).cast("string").alias("next_value")) for t, f in enumerate(order))))
+    return base.select(steps.alias("x"), "cnt").groupBy("x.depth", "x.key", "x.next_value").agg(F.sum("cnt").alias("cnt"))
+
+
 def sizes(base: DataFrame, order: list[str]) -> DataFrame:
     """(depth, nodes, branching): how many prefixes of each length the base has, and how many each shorter one has on average."""
     own = base.select(prefixes(order).alias("x")).select("x.*").distinct().groupBy("depth").agg(F.count("*").alias("nodes"))

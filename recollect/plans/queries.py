@@ -302,6 +302,7 @@ add("spread_weights", lambda s, d: rounded(learner(PART, s, d, weighting="sd").w
 add("selected_features", lambda s, d: s.createDataFrame([(n,) for n in learner(PART, s, d).select_features(2).fitted.features], "feature string"), f"WITH {PART.sql()}, {Q.contingency(PART.names)}, {Q.weights()} SELECT feature FROM (SELECT 'f' || fidx AS feature, ROW_NUMBER() OVER (ORDER BY gr / n_vals DESC, fidx) AS place FROM wt) WHERE place <= 2")
 add("base_compression", lambda s, d: rounded(learner(PART, s, d, tree_order="GRO").compression(), "saved"), f"{TREE}, lev AS (SELECT depth, COUNT(DISTINCT pre) AS nodes FROM nod WHERE depth > 0 GROUP BY depth) SELECT i + n AS nodes, n AS patterns, ROUND(100 * (1 - (i + n) / (n * {len(PART.names) + 1})), 6) + 0.0 AS saved FROM (SELECT SUM(nodes) AS i, MAX(CASE WHEN depth = {len(PART.names)} THEN nodes END) AS n FROM lev)")
 add("level_distributions", lambda s, d: learner(PART, s, d, tree_order="GRO").levels().groupBy(F.col("depth").cast("long").alias("depth"), "class").agg(F.count("*").alias("cells"), F.sum("cnt").alias("rows")), f"{TREE} SELECT CAST(depth AS BIGINT) AS depth, class, COUNT(*) AS cells, SUM(cnt) AS rows FROM nod GROUP BY depth, class")
+add("level_next_values", lambda s, d: learner(PART, s, d, tree_order="GRO").next_values().select(F.col("depth").cast("long").alias("depth"), F.array_join("key", "|").alias("prefix"), "next_value", F.col("cnt").alias("rows")), f"{TREE} SELECT CAST(depth AS BIGINT) AS depth, ARRAY_TO_STRING(LIST_SLICE(vs, 1, depth), '|') AS prefix, vs[depth + 1] AS next_value, COUNT(*) AS rows FROM trk CROSS JOIN dep WHERE depth < {len(PART.names)} GROUP BY ALL")
 add("neighbour_examples", lambda s, d: rounded(learner(PART, s, d).examples(PART.queries(s, d), 2, 3), "distance"), search_sql(PART, "gr", 2, shortcut=False) + f" SELECT qid, k, ROUND(d, 6) + 0.0 AS distance, place, pattern, class, cnt FROM (SELECT qid, d, {' || chr(32) || '.join('p.' + f for f in PART.names)} AS pattern, class, cnt, DENSE_RANK() OVER (PARTITION BY qid ORDER BY d) AS k, ROW_NUMBER() OVER (PARTITION BY qid, d ORDER BY {' || chr(32) || '.join('p.' + f for f in PART.names)}, class) AS place FROM (SELECT q.qid, ROUND({Q.weighted(PART.names, 'gr')}, 10) AS d, p.* FROM qry q CROSS JOIN pat p) p) WHERE k <= 2 AND place <= 3")
 add("vote_entropy", lambda s, d: rounded((m := learner(PART, s, d, k=3)).transform(PART.queries(s, d)).select("qid", vote.entropy(F.col("votes")).alias("entropy")), "entropy"), f"{VOTES} SELECT qid, ROUND(SUM(-(w / t) * LOG2(w / t)), 6) + 0.0 AS entropy FROM (SELECT *, SUM(w) OVER (PARTITION BY qid) AS t FROM dec) GROUP BY qid")
 add("prune_to_tree", lambda s, d: rounded(learner(PART, s, d, tree_order="GRO").to_tree().test(PART.queries(s, d)).select("qid", "class", "predicted", "distance", "depth", "leaf"), "distance"), SQL["igtree"])

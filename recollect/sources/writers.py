@@ -122,6 +122,21 @@ def matrix_lines(pairs: DataFrame) -> DataFrame:
     return heads.select(F.array("fidx", F.lit(0).cast("long")).alias("place"), F.format_string("Feature %d", "fidx").alias("value")).union(rows).union(heads.select(F.array("fidx", F.lit(2).cast("long")).alias("place"), F.lit("").alias("value")))
 
 
+def level_lines(learner: MemoryBasedLearner, least: int = 1) -> DataFrame:
+    """(place, value): each prefix of ``least`` values or more with its classes and the values that follow, ``2 [ a b ] { X 3, Y 1 } < c d >``.
+
+    Classes are in the order of their numbers, values in that of their text; the whole patterns have none that follow.
+    """
+    known = learner.fitted
+    cells = learner.levels().where(F.col("depth") >= least).join(known.classes.select("class", "class_idx"), "class")
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("class_idx", "class", "cnt"))), lambda x: F.concat_ws(" ", x["class"], x["cnt"].cast("string")))
+    classes = cells.groupBy("depth", "key").agg(F.concat(F.lit("{ "), F.array_join(shown, ", "), F.lit(" }")).alias("classes"))
+    after = learner.next_values().groupBy("depth", "key").agg(F.array_join(F.array_sort(F.collect_list("next_value")), " ").alias("after"))
+    line = F.concat(F.col("depth").cast("string"), F.lit(" [ "), F.array_join("key", " "), F.lit(" ] "), F.col("classes"), F.concat(F.lit(" < "), F.col("after"), F.lit(" >")))
+    whole = F.concat(F.col("depth").cast("string"), F.lit(" [ "), F.array_join("key", " "), F.lit(" ] "), F.col("classes"), F.lit(" < >"))
+    return classes.join(after, ["depth", "key"], "left").select(F.struct("depth", "key").alias("place"), F.coalesce(line, whole).alias("value"))
+
+
 def names(learner: MemoryBasedLearner) -> DataFrame:
     """(fidx, value): the classes (number 0), then the values of each feature, comma-joined."""
     known = learner.fitted

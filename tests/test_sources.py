@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from recollect.model import MemoryBasedLearner
+from recollect.options import Options
 from recollect.sources import readers, writers
 from recollect.streaming import classify as streams
 
@@ -109,3 +110,17 @@ def test_streams(spark, tmp_path, learner, queries):
     grown = streams.patterns(stream.withColumnRenamed("qid", "iid"), ["f1", "f2"]).writeStream.outputMode("complete").format("memory").queryName("grown").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     grown.awaitTermination(120)
     assert spark.table("grown").agg({"occ": "sum"}).first()[0] == 12
+
+
+def test_level_lines_have_classes_and_next_values(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "x", "P"), (2, "a", "x", "P"), (3, "a", "y", "Q"), (4, "b", "x", "Q"), (5, "b", None, "Q")], "iid long, f1 string, f2 string, class string")
+    fitted = MemoryBasedLearner(Options(weighting="user", weights={"1": 2.0, "2": 1.0}, tree_order="UDO")).fit(rows, ["f1", "f2"])
+    got = [r["value"] for r in writers.level_lines(fitted).orderBy("place").collect()]
+    order = [fitted.fitted.features[i - 1] for i in fitted.fitted.order]
+    assert [v for v in got if v.startswith("2 ")] and all(v.endswith("< >") for v in got if v.startswith("2 "))
+    if order[0] == "f1":
+        assert "1 [ a ] { P 2, Q 1 } < x y >" in got and "2 [ a x ] { P 2 } < >" in got
+    else:
+        assert "1 [ x ] { P 2, Q 1 } < a b >" in got and "2 [ x a ] { P 2 } < >" in got
+    writers.write_lines(writers.level_lines(fitted, 2), str(tmp_path / "levels"), "place")
+    assert spark.read.text(str(tmp_path / "levels")).count() == 4
