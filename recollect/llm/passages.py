@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +58,8 @@ PARTNERS = 64
 SALTS = 32
 #: Paragraphs that follow each other within so many words, on both sides, belong to one run.
 NEAR = 16
+#: Bytes of text that are hashed together (their arrays stay in the processor's cache), and paragraphs that are compared together, about.
+TEXT_BYTES, COMPARED = 1 << 18, 1 << 13
 _U = np.uint64
 _LOW, _CONTENT = _U((1 << 32) - 1), _U((1 << 24) - 1)
 
@@ -92,8 +95,9 @@ def sentence_starts(words: tv.Words) -> np.ndarray:
     """Whether each word is the first one of a sentence, a line or a document."""
     chosen = np.zeros(len(words.hash), dtype=bool)
     chosen[:1] = True
-    line = np.concatenate(([0], np.cumsum(words.data == 10)))
-    chosen[1:] = _END[words.data[words.end[:-1] - 1]] | (line[words.start[1:]] > line[words.end[:-1]]) | (words.doc[1:] != words.doc[:-1])
+    chosen[1:] = _END[words.data[words.end[:-1] - 1]] | (words.doc[1:] != words.doc[:-1])
+    behind = np.searchsorted(words.start, np.flatnonzero(words.data == 10))
+    chosen[behind[behind < len(chosen)]] = True
     return chosen
 
 
@@ -134,14 +138,25 @@ def anchors(words: tv.Words, shingle: np.ndarray) -> np.ndarray:
     return np.flatnonzero((picked | chosen[:places]) & whole)
 
 
+def _mixed(x: np.ndarray, shifted: np.ndarray) -> np.ndarray:
+    """``tv.mix`` in place, with room for what is shifted."""
+    x ^= np.right_shift(x, _U(30), out=shifted)
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= np.right_shift(x, _U(27), out=shifted)
+    x *= _U(0x94D049BB133111EB)
+    x ^= np.right_shift(x, _U(31), out=shifted)
+    return x
+
+
 def keys(shingle: np.ndarray, at: np.ndarray) -> np.ndarray:
     """KEYS of each paragraph, one row each: those of the bands, then one of all its shingles, the content."""
     minima = []
+    mixed, shifted = np.empty_like(shingle), np.empty_like(shingle)
     for factor in _PERMUTE:
-        x = tv.mix(shingle * factor)
+        x = _mixed(np.multiply(shingle, factor, out=mixed), shifted)
         width = 1
         while width * 2 <= SHINGLES:
-            x = np.minimum(x[:-width], x[width:])
+            x = np.minimum(x[:-width], x[width:], out=x[:-width])
             width *= 2
         minima.append(np.minimum(x[at], x[at + SHINGLES - width]))
     out = []
@@ -173,7 +188,7 @@ _NAMES = [f.split()[0] for f in ROW.split(", ")]
 
 def _rows(kind: int, size: int, bucket, a=None, b=None, n=None, payload=None) -> pa.RecordBatch:
     longs = [pa.nulls(size, pa.int64()) if v is None else v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for v in (bucket, a, b, n)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, dtype=np.int32)), *longs, pa.nulls(size, pa.binary()) if payload is None else pa.array(payload, pa.binary())], _NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, dtype=np.int32)), *longs, pa.nulls(size, pa.binary()) if payload is None else payload if isinstance(payload, pa.Array) else pa.array(payload, pa.binary())], _NAMES)
 
 
 def _starts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,13 +202,17 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
             return
         mark, place, key = np.concatenate(marks), np.concatenate(places), np.concatenate(keyed)
         # Each paragraph has the key of its content; one for each content of the batch has those of the bands.
-        _, first = np.unique(key[:, -1], return_index=True)
-        content = (key[:, -1] >> _U(32)) & _CONTENT
-        content = np.concatenate((content, np.repeat(content[first], BANDS)))
-        mark, place, key = np.concatenate((mark, np.repeat(mark[first], BANDS))), np.concatenate((place, np.repeat(place[first], BANDS))), np.concatenate((key[:, -1], key[first, :BANDS].ravel()))
-        bucket = ((key >> _U(40)) % _U(buckets)).astype(np.int64)
-        order = np.lexsort((mark, bucket))
-        mark, place, key, bucket, content = mark[order], place[order], key[order] & _LOW, bucket[order], content[order]
+        order = np.argsort(key[:, -1])
+        wanted = np.zeros(key.shape, dtype=bool)
+        wanted[np.minimum.reduceat(order, _starts(key[order, -1])[0])] = True
+        wanted[:, -1] = True
+        own, content = np.flatnonzero(wanted) // KEYS, (key[:, -1] >> _U(32)) & _CONTENT
+        key = key[wanted]
+        bucket = ((key >> _U(40)) % _U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        # Entries of a text lie together here and stay so in each bucket.
+        order = np.argsort(bucket, kind="stable")
+        own, key, bucket = own[order], key[order] & _LOW, bucket[order].astype(np.int64)
+        mark, place, content = mark[own], place[own], content[own]
         start, size = _starts(bucket)
         payload = []
         wide = "<u4" if place.max() >= 1 << 16 else "<u2"
@@ -207,7 +226,7 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, marks, places, keyed, size = set(), [], [], [], 0
         for rows in batches:
-            for i, j, data, start in tv.chunks(rows.column(1)):
+            for i, j, data, start in tv.chunks(rows.column(1), TEXT_BYTES):
                 words = tv.Words(data, start)
                 ids, mark = rows.column(0)[i:j], text_mark(words)
                 yield _rows(0, j - i, mark & 0xFFFF, a=ids, b=mark, n=np.diff(words.first))
@@ -248,42 +267,74 @@ def _unpack(payload: bytes) -> Entries:
 def _collide(parts: list[Entries], bucket: int) -> Iterator[pa.RecordBatch]:
     """Pairs of paragraphs with a key, packed by the two texts: each with the first of its content (with the last one if the first is in its own text), and those first ones, if they aren't a crowd."""
     mark, place, key, content = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((place, mark, content, key))
-    mark, place, key, content = mark[order], place[order].astype(np.int64), key[order], content[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
-    first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    heads = np.flatnonzero(new)
-    last = np.append(heads[1:], len(key))[np.cumsum(new) - 1] - 1
-    left, right = [np.flatnonzero(~new)], [np.where(mark == mark[first], last, first)[~new]]
-    start, size = _starts(key[heads])
+    # What has a key alone gives nothing: most such entries go by a count in cells.
+    cell = (key & _U((1 << max(2 * len(key) - 1, 1).bit_length()) - 1)).astype(np.int64)
+    some = np.bincount(cell)[cell] > 1
+    both = (key[some] << _U(24)) | content[some]
+    order = np.argsort(both)
+    both, mark, place = both[order], mark[some][order], place[some][order].astype(np.int64)
+    start, size = _starts(both)
+    # The first and the last paragraph of each content that comes several times.
+    head, at = mark[start], place[start]
+    several = np.flatnonzero(size > 1)
+    again = np.repeat(size > 1, size)
+    m, p, n = mark[again], place[again], size[several]
+    begin = np.cumsum(n) - n
+    low, high = (f.reduceat(m, begin) if len(n) else m for f in (np.minimum, np.maximum))
+    first = np.minimum.reduceat(np.where(m == np.repeat(low, n), p, 1 << 32), begin) if len(n) else p
+    last = np.maximum.reduceat(np.where(m == np.repeat(high, n), p, -1), begin) if len(n) else p
+    head[several], at[several] = low, first
+    own = m == np.repeat(low, n)
+    rest = ~own | (p != np.repeat(first, n))
+    x = [(m[rest], p[rest])]
+    y = [(np.where(own, np.repeat(high, n), np.repeat(low, n))[rest], np.where(own, np.repeat(last, n), np.repeat(first, n))[rest])]
+    key = both[start] >> _U(24)
+    _, size = _starts(key)
     many = np.repeat(size, size)
-    few = heads[many <= CROWD]
+    few = np.flatnonzero((many > 1) & (many <= CROWD))
     for gap in range(1, CROWD):
+        few = few[many[few] > gap]
         together = key[few[gap:]] == key[few[:-gap]]
-        left.append(few[gap:][together])
-        right.append(few[:-gap][together])
-    crowd = heads[many > CROWD]
+        left, right = few[gap:][together], few[:-gap][together]
+        x.append((head[left], at[left]))
+        y.append((head[right], at[right]))
+    crowd = np.flatnonzero(many > CROWD)
     if len(crowd):
-        yield _rows(2, len(crowd), mark[crowd] & 0xFFFF, a=mark[crowd], b=(key[crowd] | _U(bucket << 40)).view(np.int64), n=place[crowd])
-    x, y = np.concatenate(left), np.concatenate(right)
-    swap = mark[x] < mark[y]
-    x, y = np.where(swap, y, x), np.where(swap, x, y)
-    yield from _packed(mark[x], place[x], mark[y], place[y])
+        yield _rows(2, len(crowd), head[crowd] & 0xFFFF, a=head[crowd], b=(key[crowd] | _U(bucket << 40)).view(np.int64), n=at[crowd])
+    (a, p), (b, q) = ([np.concatenate(z) for z in zip(*pairs, strict=True)] for pairs in (x, y))
+    swap = a < b
+    yield from _packed(np.where(swap, b, a), np.where(swap, q, p), np.where(swap, a, b), np.where(swap, p, q))
+
+
+def _binary(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Neighbouring pieces of an array, ``size`` items each, as binary values."""
+    offsets = np.zeros(len(size) + 1, dtype=np.int64)
+    np.cumsum(size * data.itemsize, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def _items(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit numbers of all binary values, one after the other, and how many each has."""
+    values = values.cast(pa.large_binary())
+    offsets = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view("<u4"), np.diff(offsets) // 4
 
 
 def _packed(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Paragraphs p of texts a like paragraphs q of other texts b, a row for each two texts."""
+    """Paragraphs p of texts a like paragraphs q of other texts b, a row for each two texts (seldom two)."""
     other = a != b
     a, p, b, q = a[other], p[other], b[other], q[other]
-    order = np.lexsort((q, p, b, a))
-    a, p, b, q = a[order], p[order], b[order], q[order]
     if not len(a):
         return
-    once = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
-    a, p, b, q = a[once], p[once], b[once], q[once]
-    start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    ends = np.append(start[1:], len(a))
-    yield _rows(1, len(start), b[start] & 0xFFFF, a=a[start], b=b[start], payload=[np.stack([p[s:e], q[s:e]], axis=1).astype("<u4").tobytes() for s, e in zip(start.tolist(), ends.tolist(), strict=True)])
+    # Texts above, places below: equal pairs and those of the same texts come to lie together.
+    order = np.argsort((tv.mix(a.view(_U) + tv.mix(b.view(_U))) & ~_LOW) | (tv.mix((p << 32 | q).view(_U)) >> _U(32)))
+    a, p, b, q = a[order], p[order], b[order], q[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    once = new.copy()
+    once[1:] |= (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+    a, p, b, q, start = a[once], p[once], b[once], q[once], np.flatnonzero(new[once])
+    both = np.stack([p, q], axis=1).astype("<u4")
+    yield _rows(1, len(start), b[start] & 0xFFFF, a=a[start], b=b[start], payload=_binary(both.ravel(), 2 * np.diff(np.append(start, len(a)))))
 
 
 def collide(indexed: DataFrame, partitions: int) -> DataFrame:
@@ -312,17 +363,20 @@ def _paragraphs(texts: DataFrame, crowd: DataFrame) -> DataFrame:
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for i, j, data, start in tv.chunks(rows.column(2)):
+            for i, j, data, start in tv.chunks(rows.column(2), TEXT_BYTES):
                 words = tv.Words(data, start)
-                mark, all_ = text_mark(words).tolist(), shingles(words)
-                two = tv.mix(words.hash[:-1] + tv.mix(words.hash[1:])) if len(words.hash) else words.hash
-                for k, (own, places) in enumerate(zip(rows.column(0)[i:j].to_pylist(), rows.column(1)[i:j].to_pylist(), strict=True)):
-                    if mark[k] == own:
-                        at = np.array(sorted(places), dtype=np.int64)
-                        sets = all_[words.first[k] + at[:, None] + np.arange(SHINGLES)]
-                        twos = np.sort(two[words.first[k] + at[:, None] + np.arange(WINDOW - 1)], axis=1)
-                        again = (twos[:, 1:] == twos[:, :-1]).any(axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), own)), pa.array(at), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(again)], ["mark", "place", "shingles", "again"])
+                mark = rows.column(0)[i:j].to_numpy()
+                right = np.flatnonzero(text_mark(words) == mark)
+                places = rows.column(1).take(pa.array(i + right))
+                row, place = np.repeat(right, places.value_lengths().to_numpy()), places.flatten().to_numpy()
+                if not len(row):
+                    continue
+                at = (words.first[row] + place)[:, None]
+                two = tv.mix(words.hash[:-1] + tv.mix(words.hash[1:]))
+                twos = np.sort(two[at + np.arange(WINDOW - 1)], axis=1)
+                again = (twos[:, 1:] == twos[:, :-1]).any(axis=1)
+                sets = shingles(words)[at + np.arange(SHINGLES)]
+                yield pa.RecordBatch.from_arrays([pa.array(mark[row]), pa.array(place), _binary(sets.ravel(), np.full(len(row), SHINGLES)), pa.array(again)], ["mark", "place", "shingles", "again"])
 
     return stored(map_batches(rows, cut_out, "mark long, place long, shingles binary, again boolean").dropDuplicates(["mark", "place"]), "crowds")
 
@@ -450,47 +504,93 @@ def verify(texts: DataFrame, pairs: DataFrame, least: int = LEAST) -> DataFrame:
     zeros = dealt.groupBy("b", "part").agg(F.array_join(F.transform(F.collect_list("payload"), F.hex), "").alias("h")).select("b", "part", F.lit(0).alias("role"), F.col("b").alias("mark"), F.unhex("h").alias("payload"))
     rows = texts.join(ones.union(zeros), "mark").select("b", "part", "role", "mark", "payload", "text")
 
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words of the paragraphs that are wanted and SPAN words around each: stretches (first word, length) and hashes."""
-        for rows in batches:
-            for i, j, data, start in tv.chunks(rows.column(5)):
-                words = tv.Words(data, start)
-                mark, hashes = text_mark(words).tolist(), words.hash.astype("<u4")
-                keep, places, cuts = [], [], []
-                for k, (role, own, payload) in enumerate(zip(rows.column(2)[i:j].to_pylist(), rows.column(3)[i:j].to_pylist(), rows.column(4)[i:j].to_pylist(), strict=True)):
-                    if mark[k] != own:  # another text under a repeated id
-                        continue
-                    both = np.frombuffer(payload, "<u4").reshape(-1, 2)
-                    both = np.unique(both[:, [1, 1]] if role == 0 else both, axis=0)  # a pair may come from several keys
-                    keep.append(i + k)
-                    places.append(both.astype("<u4").tobytes())
-                    cuts.append(_stretches(both[:, 0].astype(np.int64), hashes[words.first[k] : words.first[k + 1]]))
-                if keep:
-                    rest = rows.take(pa.array(keep))
-                    yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), rest.column(2), rest.column(3), pa.array(places, pa.binary()), pa.array(cuts, pa.binary())], ["b", "part", "role", "mark", "places", "cuts"])
-
     pieces = map_batches(rows, cut_out, "b long, part long, role int, mark long, places binary, cuts binary")
+    return map_batches(pieces.repartition("b", "part").sortWithinPartitions("b", "part", "role"), lambda batches: compare(batches, least), "a long, start long, end long, b long, `from` long, `to` long")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, at, own, around = None, np.empty(0, dtype=np.int64), np.empty((0, SHINGLES), dtype=_U), np.empty((0, WINDOW + 2 * SPAN), dtype=np.int64)
-        for rows in batches:
-            found: list[tuple[int, int, int, int, int, int]] = []
-            for b, part, role, mark, places, cuts in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                both = np.frombuffer(places, "<u4").reshape(-1, 2).astype(np.int64)
-                near = _around(both[:, 0], cuts)
-                sets = np.sort(_shingled(near), axis=1)
-                if (b, part) != group:
-                    group, at = (b, part), np.empty(0, dtype=np.int64)
-                if role == 0:
-                    at, own, around = both[:, 0], sets, near
-                elif len(at):
-                    k = np.minimum(np.searchsorted(at, both[:, 1]), len(at) - 1)
-                    good = (at[k] == both[:, 1]) & (_jaccard(sets, own[k]) >= SIMILAR)
-                    found += [(mark, s, e, b, f, t) for s, e, f, t in _run_together(both[good], *_reach(near[good], around[k[good]]), least)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "start", "end", "b", "from", "to"])
-
-    return map_batches(pieces.repartition("b", "part").sortWithinPartitions("b", "part", "role"), compare, "a long, start long, end long, b long, `from` long, `to` long")
+
+def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the paragraphs that are wanted and SPAN words around each, from ``(b, part, role, mark, payload, text)``: stretches (first word, length) and hashes.
+
+    A text that comes several times in a row is cut into words once.
+    """
+    for rows in batches:
+        text, marks, role = rows.column(5).fill_null(""), rows.column(3).to_numpy(), rows.column(2).to_numpy()
+        new = np.ones(len(text), dtype=bool)
+        new[1:] = (marks[1:] != marks[:-1]) | pc.not_equal(text[1:], text[:-1]).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(new)
+        ends = np.append(first[1:], len(text))
+        for i, j, data, start in tv.chunks(text.take(pa.array(first)), TEXT_BYTES):
+            words = tv.Words(data, start)
+            of = np.repeat(np.arange(j - i), (ends - first)[i:j])
+            at = np.arange(first[i], ends[j - 1])
+            right = text_mark(words)[of] == marks[at]  # otherwise another text under a repeated id
+            of, at = of[right], at[right]
+            if not len(at):
+                continue
+            rest = rows.take(pa.array(at))
+            both, size = _items(rest.column(4))
+            both, row = both.reshape(-1, 2).astype(np.int64), np.repeat(np.arange(len(at)), size // 2)
+            p, q = np.where(role[at][row] == 0, both[:, 1], both[:, 0]), both[:, 1]
+            order = np.lexsort((q, p, row))
+            p, q, row = p[order], q[order], row[order]
+            once = np.ones(len(row), dtype=bool)  # a pair may come from several keys
+            once[1:] = (row[1:] != row[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+            p, q, row = p[once], q[once], row[once]
+            places = _binary(np.stack([p, q], axis=1).astype("<u4").ravel(), 2 * np.bincount(row, minlength=len(at)))
+            cuts = _stretches(p, row, words.first[of], words.first[of + 1] - words.first[of], words.hash.astype("<u4"))
+            yield pa.RecordBatch.from_arrays([*rest.columns[:4], places, cuts], ["b", "part", "role", "mark", "places", "cuts"])
+
+
+def compare(batches: Iterator[pa.RecordBatch], least: int = LEAST) -> Iterator[pa.RecordBatch]:
+    """Runs of the pairs of each group ``b``, ``part``, of which the row of role 0 comes first, from rows of ``cut_out``."""
+    group, held = None, (np.empty(0, dtype=np.int64), np.empty((0, SHINGLES), dtype=_U), np.empty((0, WINDOW + 2 * SPAN), dtype=np.int64))
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        size = _items(rows.column(4))[1] // 2
+        # About COMPARED paragraphs at once; a row's stay together.
+        part = np.concatenate(([0], np.cumsum(size)[:-1])) // COMPARED
+        edges = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(size))
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            some = rows.slice(s, e - s)
+            b, parts, role, mark = (c.to_numpy() for c in some.columns[:4])
+            both, size = _items(some.column(4))
+            both, row = both.reshape(-1, 2).astype(np.int64), np.repeat(np.arange(e - s), size // 2)
+            near = _around(both[:, 0], row, some.column(5))
+            sets = np.sort(_shingled(near), axis=1)
+            # Groups by number; 0 is the one that was begun before.
+            new = np.ones(e - s, dtype=bool)
+            new[1:] = (b[1:] != b[:-1]) | (parts[1:] != parts[:-1])
+            new[0] = (b[0], parts[0]) != group
+            number = np.cumsum(new)
+            zero = role[row] == 0
+            at = np.concatenate((held[0], number[row[zero]] << 32 | both[zero, 0]))
+            own, around = np.concatenate((held[1], sets[zero])), np.concatenate((held[2], near[zero]))
+            asked = np.flatnonzero(~zero)
+            if len(at) and len(asked):
+                wanted = number[row[asked]] << 32 | both[asked, 1]
+                k = np.minimum(np.searchsorted(at, wanted), len(at) - 1)
+                asked, k = asked[at[k] == wanted], k[at[k] == wanted]
+                good = _jaccard(sets[asked], own[k]) >= SIMILAR
+                asked, k = asked[good], k[good]
+                before, behind = _reach(near[asked], around[k])
+                found = _runs(row[asked], both[asked], before, behind, least)
+                if len(found[0]):
+                    r, *run = found
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (mark[r], run[0], run[1], b[r], run[2], run[3])], ["a", "start", "end", "b", "from", "to"])
+            last = at >> 32 == number[-1]
+            group, held = (b[-1], parts[-1]), (at[last] & int(_LOW), own[last], around[last])
+
+
+def _runs(row: np.ndarray, both: np.ndarray, before: np.ndarray, behind: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(row, start, end, from, to) of the runs of each row's paragraphs; one paragraph alone is a run of its own."""
+    start, size = _starts(row)
+    alone = start[size == 1]
+    p, q = both[alone, 0], both[alone, 1]
+    run = np.stack([row[alone], p - before[alone], p + WINDOW + behind[alone], q - before[alone], q + WINDOW + behind[alone]])
+    run = run[:, run[2] - run[1] >= least]
+    more = [(int(row[s]), *x) for s, n in zip(start.tolist(), size.tolist(), strict=True) if n > 1 for x in _run_together(both[s : s + n], before[s : s + n], behind[s : s + n], least)]
+    return tuple(np.concatenate((run, np.array(more, dtype=np.int64).reshape(-1, 5).T), axis=1))
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -505,23 +605,47 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (nx + ny - union) / union
 
 
-def _stretches(at: np.ndarray, hashes: np.ndarray) -> bytes:
-    """Words of the paragraphs at ``at`` (ascending) and SPAN around each, without repeats: number, (first, length) of each, hashes."""
-    low, high = np.maximum(at - SPAN, 0), np.minimum(at + WINDOW + SPAN, len(hashes))
-    begin = np.flatnonzero(np.concatenate(([True], low[1:] > high[:-1])))
-    first, end = low[begin], high[np.append(begin[1:], len(at)) - 1]
-    return b"".join((len(begin).to_bytes(4, "little"), np.stack([first, end - first], axis=1).astype("<u4").tobytes(), *(hashes[s:e].tobytes() for s, e in zip(first.tolist(), end.tolist(), strict=True))))
+def _spread(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, place in it) of each item of neighbouring pieces."""
+    piece = np.repeat(np.arange(len(size)), size)
+    return piece, np.arange(len(piece)) - (np.cumsum(size) - size)[piece]
 
 
-def _around(at: np.ndarray, cuts: bytes) -> np.ndarray:
+def _stretches(at: np.ndarray, row: np.ndarray, first: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> pa.Array:
+    """Words of each row's paragraphs at ``at`` (ascending) and SPAN around each, without repeats: number, (first, length) of each, hashes.
+
+    ``first`` and ``length`` say where each row's words stand in ``hashes``.
+    """
+    low, high = np.maximum(at - SPAN, 0), np.minimum(at + WINDOW + SPAN, length[row])
+    begin = np.flatnonzero(np.concatenate(([True], (low[1:] > high[:-1]) | (row[1:] != row[:-1]))))
+    of, low, high = row[begin], low[begin], high[np.append(begin[1:], len(at)) - 1]
+    number = np.bincount(of, minlength=len(first))
+    size = 1 + 2 * number + np.bincount(of, weights=high - low, minlength=len(first)).astype(np.int64)
+    home = np.cumsum(size) - size
+    out = np.empty(size.sum(), dtype="<u4")
+    out[home] = number
+    nth = _spread(number)[1]
+    out[home[of] + 1 + 2 * nth], out[home[of] + 2 + 2 * nth] = low, high - low
+    piece, place = _spread(high - low)
+    within = np.cumsum(high - low) - (high - low)
+    within -= within[np.minimum((np.cumsum(number) - number)[of], len(of) - 1)]
+    out[(home + 1 + 2 * number)[of[piece]] + within[piece] + place] = hashes[(first[of] + low)[piece] + place]
+    return _binary(out, size)
+
+
+def _around(at: np.ndarray, row: np.ndarray, cuts: pa.Array) -> np.ndarray:
     """One row for each paragraph: hashes of SPAN words before, its own, and SPAN words behind; -1 beyond the text."""
-    n = int.from_bytes(cuts[:4], "little")
-    part = np.frombuffer(cuts, "<u4", 2 * n, 4).reshape(-1, 2).astype(np.int64)
-    hashes = np.concatenate((np.frombuffer(cuts, "<u4", -1, 4 + 8 * n).astype(np.int64), [-1]))
-    own = np.searchsorted(part[:, 0], at, side="right") - 1
-    place = (at - part[own, 0])[:, None] + np.arange(-SPAN, WINDOW + SPAN)
-    outside = (place < 0) | (place >= part[own, 1][:, None])
-    return hashes[np.where(outside, len(hashes) - 1, place + (np.cumsum(part[:, 1]) - part[:, 1])[own][:, None])]
+    items, size = _items(cuts)
+    home = np.cumsum(size) - size
+    number = items[home].astype(np.int64)
+    of, nth = _spread(number)
+    low, length = (items[home[of] + k + 2 * nth].astype(np.int64) for k in (1, 2))
+    within = np.cumsum(length) - length
+    begin = (home + 1 + 2 * number)[of] + within - within[(np.cumsum(number) - number)[of]]
+    own = np.searchsorted(of << 32 | low, row << 32 | at, side="right") - 1
+    place = (at - low[own])[:, None] + np.arange(-SPAN, WINDOW + SPAN)
+    outside = (place < 0) | (place >= length[own][:, None])
+    return np.where(outside, -1, items[np.where(outside, 0, place + begin[own][:, None])].astype(np.int64))
 
 
 def _shingled(near: np.ndarray) -> np.ndarray:

@@ -345,6 +345,95 @@ def test_families_under_crowded_keys_are_connected(spark):
     assert len(found) * 10 < len(wanted)
 
 
+def test_keys_that_meet_against_all_entries():
+    """Each entry with the first of its content or with the last, and the contents of a key: with odd marks, repeated entries and crowds."""
+    import numpy as np
+
+    rng = random.Random(37)
+    entries = [(rng.choice((-9, -1, 4, 7, 2**62)), rng.randrange(70_000), rng.randrange(40), rng.randrange(3)) for _ in range(300)]
+    entries += [(rng.randrange(-50, 50), k, 99, 1000 + k % 30) for k in range(90)] + entries[:20]
+    entries += [(k, k, 1 << 30 | k, 5) for k in range(200)]
+    columns = [np.array(c) for c in zip(*entries, strict=True)]
+    whole = (columns[0], columns[1].astype("<u4"), columns[2].astype(np.uint64), columns[3].astype(np.uint32))
+    found, crowded = set(), set()
+    for r in (r for batch in passages._collide([tuple(c[:150] for c in whole), tuple(c[150:] for c in whole)], 3) for r in batch.to_pylist()):
+        if r["kind"] == 2:
+            crowded.add((r["a"], r["n"], r["b"] & 0xFFFFFFFF))
+        else:
+            both = np.frombuffer(r["payload"], "<u4").reshape(-1, 2).tolist()
+            found |= {((r["a"], p), (r["b"], q)) for p, q in both}
+    groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for m, p, key, content in entries:
+        groups.setdefault((key, content), []).append((m, p))
+    wanted = {(x, max(own) if x[0] == min(own)[0] else min(own)) for own in groups.values() for x in own}
+    heads: dict[int, list[tuple[int, int]]] = {}
+    for (key, _), own in groups.items():
+        heads.setdefault(key, []).append(min(own))
+    wanted |= {(x, y) for own in heads.values() if len(own) <= passages.CROWD for x in own for y in own}
+    assert found == {(max(x, y), min(x, y)) for x, y in wanted if x[0] != y[0]}
+    assert crowded == {(*x, key) for key, own in heads.items() if len(own) > passages.CROWD for x in own}
+
+
+def test_pairs_are_verified_together_and_a_text_is_cut_once(monkeypatch):
+    """Runs of many pairs against each pair by itself, however batches fall; a text with many partners is cut into words once."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(41)
+    shared = [prose(rng, 60, 5000).split(" ") for _ in range(4)]
+
+    def text() -> str:
+        w = prose(rng, rng.randrange(3), 5000).split(" ")
+        for s in rng.sample(shared, 2):
+            w += prose(rng, rng.randrange(1, 30), 5000).split(" ") + [x if rng.random() > 0.03 else "odd" for x in s]
+        return " ".join(w + prose(rng, rng.randrange(3), 5000).split(" "))
+
+    known = {}
+    for t in [text() for _ in range(40)]:
+        data = np.frombuffer(t.encode(), dtype=np.uint8)
+        words = passages.tv.Words(data, np.array([0, len(data)]))
+        known[int(passages.text_mark(words)[0])] = (t, words.hash & np.uint64(0xFFFFFFFF), passages.anchors(words, passages.shingles(words)).tolist())
+    pack = lambda both: np.array(both, dtype="<u4").tobytes()
+    marks, rows, wanted = sorted(known), [], set()
+    for b in marks[:20]:
+        asked = {a: [(p, q) for p in known[a][2] for q in known[b][2] if rng.random() < 0.7] for a in rng.sample(marks[20:], 12)}
+        asked = {a: both + both[:3] for a, both in asked.items() if both}
+        rows.append((b, 0, 0, b, pack([x for both in asked.values() for x in both]), known[b][0]))
+        rows += [(b, 0, 1, a, pack(both), known[a][0]) for a, both in asked.items()]
+        for a, both in asked.items():
+            good = []
+            for p, q in sorted(set(both)):
+                x, y = ({tuple(known[m][1][at + k : at + k + passages.WORDS].tolist()) for k in range(passages.SHINGLES)} for m, at in ((a, p), (b, q)))
+                if len(x & y) >= passages.SIMILAR * len(x | y):
+                    before = next(k for k in range(17) if k == passages.SPAN or min(p, q) - k < 1 or known[a][1][p - k - 1] != known[b][1][q - k - 1])
+                    end = [(known[m][1], at + passages.WINDOW) for m, at in ((a, p), (b, q))]
+                    behind = next(k for k in range(17) if k == passages.SPAN or any(e + k >= len(h) for h, e in end) or end[0][0][end[0][1] + k] != end[1][0][end[1][1] + k])
+                    good.append((p, q, before, behind))
+            if good:
+                good = np.array(good)
+                wanted |= {(a, s, e, b, f, t) for s, e, f, t in passages._run_together(good[:, :2], good[:, 2], good[:, 3])}
+    names = ["b", "part", "role", "mark", "payload", "text"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
+
+    def batches(rows: list, names: list, kinds: list, most: int) -> list:
+        return [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + most], strict=True), kinds, strict=True)], names) for i in range(0, len(rows), most)]
+
+    cut = []
+    real = passages.tv.Words
+    monkeypatch.setattr(passages.tv, "Words", lambda data, start: cut.append(len(start) - 1) or real(data, start))
+    by_text = sorted([*rows, (1, 0, 0, marks[0], rows[0][4], "another text under its mark")], key=lambda r: (r[3], r[5]))
+    pieces = [r for x in passages.cut_out(iter(batches(by_text, names, kinds, 1000))) for r in x.to_pylist()]
+    assert sum(cut) == len({r[3] for r in rows}) + 1 and len(pieces) == len(rows)
+    pieces = sorted((tuple(r.values()) for r in pieces), key=lambda r: r[:3])
+    assert len(wanted) > 100
+    for most, together in ((1000, 1 << 13), (7, 1 << 13), (1000, 50), (3, 1)):
+        monkeypatch.setattr(passages, "COMPARED", together)
+        dealt = batches(pieces, ["b", "part", "role", "mark", "places", "cuts"], [*kinds[:5], pa.binary()], most)
+        dealt.insert(1, dealt[0].slice(0, 0))
+        found = [tuple(r.values()) for x in passages.compare(iter(dealt)) for r in x.to_pylist()]
+        assert len(found) == len(set(found)) and set(found) == wanted
+
+
 def test_repetitive_texts_keep_their_runs_whole():
     import numpy as np
 
