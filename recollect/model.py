@@ -18,7 +18,8 @@ from .storage import cut
 
 @dataclass(frozen=True)
 class Fitted:
-    """What is known after fitting; the measures are a few numbers a feature, on the driver."""
+    """What is known after fitting; the measures are a few numbers a feature, on the driver. ``keys`` has the patterns by key
+    (``versions``), where instances don't."""
 
     features: list[str]
     instances: DataFrame
@@ -29,6 +30,7 @@ class Fitted:
     metrics: list[str]
     weights: list[float]
     order: list[int]
+    keys: DataFrame | None = None
 
 
 class MemoryBasedLearner:
@@ -67,8 +69,11 @@ class MemoryBasedLearner:
             self.fitted = replace(f, instances=edited, base=search.base_table(edited, features).persist())
         return self
 
-    def learn(self, patterns: DataFrame, cells: DataFrame, features: list[str]) -> MemoryBasedLearner:
-        """Fit from tables that are maintained (``versions``): ``patterns(features, class, cnt, first)`` and ``cells(fidx, fval, class, cnt)``; rows aren't read."""
+    def learn(self, patterns: DataFrame, cells: DataFrame, features: list[str], keys: DataFrame | None = None) -> MemoryBasedLearner:
+        """Fit from tables that are maintained (``versions``): ``patterns(features, class, cnt, first)`` and ``cells(fidx, fval, class, cnt)``; rows aren't read.
+
+        ``keys`` has the patterns by key; ``partial_fit`` needs it to know what comes first once a first row is taken away.
+        """
         o = self.options
         if o.algorithm == "IB2":
             raise ValueError("an edited base needs its rows in order")
@@ -82,6 +87,7 @@ class MemoryBasedLearner:
         classes = S.class_table(base.select(F.col("first").alias("iid"), "class", F.col("cnt").alias("occ"))).persist()
         rows = base.select(F.col("first").alias("iid"), *names, "class", F.col("cnt").alias("occ"))
         self._assembled(names, [m for _, _, m in used], rows, base, table, classes)
+        self.fitted = replace(self.fitted, keys=keys)
         return self
 
     def release(self) -> None:
@@ -422,9 +428,14 @@ class MemoryBasedLearner:
         if self.options.algorithm == "IB2" or "exw" in f.base.columns:
             return out.fit(edit.changed(f.instances, rows, f.features, sign), f.features)
         change = cut(versions.delta(rows, f.features, sign))
-        patterns = cut(versions.added(f.base.select(*f.features, "class", "cnt", "first").unionByName(change), f.features))
+        own = versions.delta(f.instances, f.features) if f.keys is None else f.keys.select(*f.features, "class", "first", "cnt")
+        keys = own.unionByName(change)
+        if sign < 0:  # the first key that is left of a pattern isn't known from its sum
+            keys = cut(versions.by_key(keys, f.features))
+        summed = keys if sign < 0 else f.base.select(*f.features, "class", "cnt", "first").unionByName(change)
+        patterns = cut(versions.added(summed, f.features))
         cells = cut(versions.added_cells(f.table.unionByName(versions.cells_of(change, f.features))))
-        return out.learn(patterns, cells, f.features)
+        return out.learn(patterns, cells, f.features, keys)
 
     def _metrics(self) -> str:
         """The metrics as they are for the features that aren't ignored."""

@@ -20,12 +20,13 @@ BLOCK = 8_192
 def changed(instances: DataFrame, rows: DataFrame, features: list[str], sign: int = 1) -> DataFrame:
     """``instances`` with ``rows`` added (or removed, with sign -1) as signed counts; what falls to zero goes.
 
-    A row that is in both keeps its first key, so that the order of classes stays as it was.
+    A pattern has the first key that is left of it, so that classes come in the order of the rows that are left.
     """
     a = instances.select("iid", *features, "class", occurrences(instances).alias("occ"))
     b = rows.select("iid", *features, "class", (occurrences(rows) * sign).alias("occ"))
-    iid = F.coalesce(F.min(F.when(F.col("occ") > 0, F.col("iid"))), F.min("iid"))
-    return a.unionByName(b).groupBy(*features, "class").agg(iid.alias("iid"), F.sum("occ").alias("occ")).where("occ > 0").select("iid", *features, "class", "occ")
+    left = a.unionByName(b).groupBy("iid", *features, "class").agg(F.sum("occ").alias("occ"))
+    iid = F.min(F.when(F.col("occ") > 0, F.col("iid")))
+    return left.groupBy(*features, "class").agg(iid.alias("iid"), F.sum("occ").alias("occ")).where("occ > 0").select("iid", *features, "class", "occ")
 
 
 def seeded(rows: DataFrame, n: int, features: list[str]) -> DataFrame:

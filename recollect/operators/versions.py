@@ -1,7 +1,8 @@
 """A base that grows and shrinks without its rows being read again: signed deltas of patterns and cells, by version.
 
-Each change writes two small tables into the folder of the base: what it adds to (or takes from) the count of each pattern, and of each
-cell of the contingency table. A reader adds the deltas up by key; all statistics come from the sums. A version counts
+Each change writes two tables into the folder of the base: what it adds to (or takes from) the count of each pattern, by the keys of
+its rows, and of each cell of the contingency table. A reader adds the deltas up; all statistics come from the sums. Keys
+stay because the first key of what is left, which numbers the classes, can't be known from sums once a first row goes. A version counts
 once a file names it, which is written last, so that a change is seen whole or not at all; a change that is made again under its
 version (a micro-batch after a failure) changes nothing. ``compact`` writes the sums as a new generation, which
 covers the versions before it; it is the only step that reads the base.
@@ -18,10 +19,9 @@ from ..functions import statistics as S
 
 
 def delta(rows: DataFrame, features: list[str], sign: int = 1) -> DataFrame:
-    """(features, class, cnt, first): signed counts of the patterns of ``rows``, and the first key under which each was added."""
-    first = F.min("iid") if sign > 0 else F.min(F.lit(None).cast(rows.schema["iid"].dataType))
+    """(features, class, first, cnt): signed counts of the patterns of ``rows``, by key."""
     known = rows.where("class IS NOT NULL").select("iid", *S.symbols(rows, features), F.col("class").cast("string").alias("class"), S.occurrences(rows).alias("occ"))
-    return known.groupBy(*features, "class").agg((F.sum("occ") * sign).alias("cnt"), first.alias("first"))
+    return known.groupBy(*features, "class", F.col("iid").alias("first")).agg((F.sum("occ") * sign).alias("cnt"))
 
 
 def cells_of(patterns: DataFrame, features: list[str]) -> DataFrame:
@@ -29,9 +29,15 @@ def cells_of(patterns: DataFrame, features: list[str]) -> DataFrame:
     return S.contingency(patterns.withColumnRenamed("cnt", "occ"), features)
 
 
+def by_key(patterns: DataFrame, features: list[str]) -> DataFrame:
+    """The sums of deltas of patterns by key; keys that were taken away go."""
+    return patterns.groupBy(*features, "class", "first").agg(F.sum("cnt").alias("cnt")).where("cnt <> 0")
+
+
 def added(patterns: DataFrame, features: list[str]) -> DataFrame:
-    """The sums of deltas of patterns; what falls to zero goes."""
-    return patterns.groupBy(*features, "class").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first")).where("cnt > 0")
+    """(features, class, cnt, first): the sums of deltas of patterns, and the first key that is left of each; what falls to zero goes."""
+    first = F.min(F.when(F.col("cnt") > 0, F.col("first")))
+    return by_key(patterns, features).groupBy(*features, "class").agg(F.sum("cnt").alias("cnt"), first.alias("first")).where("cnt > 0")
 
 
 def added_cells(cells: DataFrame) -> DataFrame:
@@ -97,7 +103,7 @@ class VersionedBase:
         """Add all that another base with the same features has."""
         if other.features != self.features:
             raise ValueError("the bases have different features")
-        return self._update(other.patterns(), version)
+        return self._update(other.keys(), version)
 
     def _deltas(self, table: str) -> DataFrame:
         generation, versions = self._state()
@@ -115,6 +121,10 @@ class VersionedBase:
         """(features, class, cnt, first) as of now."""
         return added(self._deltas("patterns"), self.features)
 
+    def keys(self) -> DataFrame:
+        """The patterns as of now, by key."""
+        return by_key(self._deltas("patterns"), self.features).join(self.patterns().select(*self.features, "class"), [*self.features, "class"], "left_semi")
+
     def cells(self) -> DataFrame:
         """(fidx, fval, class, cnt) as of now."""
         return added_cells(self._deltas("cells"))
@@ -126,7 +136,7 @@ class VersionedBase:
             return
         after = generation + 1
         covered = sorted(versions - {self.WHOLE})
-        self._write(self.patterns(), after, self.WHOLE)
+        self._write(self.keys(), after, self.WHOLE)
         self.spark.createDataFrame([(v,) for v in covered], "version long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/generation={after}/covered")
         self._commit(after, [*covered, self.WHOLE])
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import statistics as S
 from recollect.model import MemoryBasedLearner
-from recollect.operators import blocks, lists, search, subsets, versions
+from recollect.operators import blocks, edit, lists, search, subsets, versions
 from recollect.operators.search import Feature
 from recollect.options import Options
 from recollect.plans.views import PART
@@ -202,6 +202,32 @@ def test_maintained_base_is_a_refit(spark, tables, options):
         base.merge(versions.VersionedBase(spark, fresh(spark, "base"), ["f1"]))
 
 
+@pytest.mark.parametrize("how", ["maintained", "compacted", "merged", "partial_fit", "changed"])
+def test_classes_come_in_the_order_of_the_rows_that_are_left(spark, how):
+    """The first row of a class goes and others of its pattern stay: of equally frequent classes the one that is first now wins a tie."""
+    rows = [(1, "a", "A"), (2, "a", "A"), (3, "a", "B"), (4, "a", "B"), (5, "a", "A"), (6, "c", "C")]
+    df = spark.createDataFrame(rows, "iid long, f1 string, class string")
+    df = df.unionByName(df.where("iid = 2").withColumn("iid", F.lit(7).cast("long"))).where("iid <> 2")
+    gone, query = df.where("iid = 1"), spark.createDataFrame([(0, "a")], "qid long, f1 string")
+    if how == "partial_fit":
+        learner = MemoryBasedLearner(Options()).fit(df.where("iid < 7"), ["f1"]).partial_fit(df.where("iid = 7")).partial_fit(gone, -1)
+    elif how == "changed":
+        learner = MemoryBasedLearner(Options()).fit(edit.changed(df, gone, ["f1"], -1), ["f1"])
+    else:
+        base = versions.VersionedBase(spark, fresh(spark, "base"), ["f1"])
+        base.update(df)
+        if how == "compacted":
+            base.compact()
+        if how == "merged":
+            base, other = versions.VersionedBase(spark, fresh(spark, "base"), ["f1"]), base
+            base.merge(other)
+        base.update(gone, -1)
+        learner = MemoryBasedLearner(Options()).learn(base.patterns(), base.cells(), ["f1"])
+    _same(learner, MemoryBasedLearner(Options()).fit(df.where("iid <> 1"), ["f1"]), query)
+    assert learner.transform(query).first()["predicted"] == "B"
+    assert {r["class"]: r["first"] for r in learner.fitted.base.collect()} == {"A": 5, "B": 3, "C": 6}
+
+
 def test_a_change_counts_once_and_whole(spark, tables):
     *_, train, _ = tables[3]
     base = versions.VersionedBase(spark, fresh(spark, "base"), _names(3))
