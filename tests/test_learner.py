@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -123,6 +125,41 @@ def test_edited_base_does_not_depend_on_blocks(spark):
     assert kept[0] == kept[1] and 20 < len(kept[0]) < 300
 
 
+@pytest.mark.parametrize("m", [1, 3, 7])
+def test_edited_base_is_that_of_one_row_after_the_other(spark, m):
+    rng = random.Random(m)
+    rows = [(3 * k, *(rng.choice("aabcd") for _ in range(m)), rng.choice("xxyz")) for k in range(240)]
+    weights, names = [0.5, 0.25, 0.25, 0.125, 0.3, 0.1, 0.2][:m], [f"f{i + 1}" for i in range(m)]
+    df = spark.createDataFrame(rows, "iid long, " + ", ".join(f"{n} string" for n in names) + ", class string").repartition(3)
+    classes = S.class_table(df)
+    number = {r["class"]: (-r["gfreq"], r["class_idx"]) for r in classes.collect()}
+    kept = rows[:10]
+    for r in rows[10:]:
+        votes = {}
+        for x in kept:
+            d = round(sum(w * (a != b) for w, a, b in zip(weights, r[1:-1], x[1:-1])), 10)
+            votes.setdefault(d, Counter())[x[-1]] += 1
+        near, *further = (votes[d] for d in sorted(votes))
+        tied = [c for c in near if near[c] == max(near.values())]
+        more = near + further[0] if further and len(tied) > 1 else near
+        best = [c for c in more if more[c] == max(more.values())]
+        if (best[0] if len(best) == 1 else min(tied, key=number.get)) != r[-1]:
+            kept.append(r)
+    for block in (None, 50):
+        out = edit.ib2(df, names, weights, classes, 10, *([block] if block else []))
+        assert sorted(map(tuple, out.collect())) == kept
+
+
+def test_edited_base_takes_many_rows_in_few_jobs(spark):
+    """What the driver remembers of jobs must not grow by some dozens for each 8,192 rows."""
+    rows = spark.range(60_000).selectExpr("id AS iid", "CAST(hash(id) % 5 AS STRING) AS f1", "CAST(hash(id, 1) % 7 AS STRING) AS f2", "CAST(hash(id, 2) % 3 AS STRING) AS class")
+    learner = MemoryBasedLearner(Options()).fit(rows, ["f1", "f2"])
+    spark.sparkContext.setJobGroup("ib2", "")
+    kept = edit.ib2(rows, ["f1", "f2"], learner.fitted.weights, learner.fitted.classes, 10).count()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 20_000 < kept < 60_000 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("ib2")) < 30
+
+
 def test_strict_leave_one_out_is_fitting_without_the_row(objects):
     found = {r["qid"]: (r["predicted"], r["distance"]) for r in MemoryBasedLearner(Options(exact="off", k=2)).fit(objects, NAMES).leave_one_out().collect()}
     for i in (0, 4, 11):
