@@ -314,13 +314,17 @@ class MemoryBasedLearner:
         o, f = self.options, self._known()
         if "exw" in f.base.columns:
             raise ValueError("rows with weights can't be left out one by one")
-        queries = f.instances.withColumn("qid", F.col("iid"))
+        rows = f.instances.withColumn("qid", F.col("iid")).withColumn("occ", S.occurrences(f.instances)).select("qid", *f.features, "class", "occ")
+        # Equal rows have equal answers, unless ties are drawn by row, so one of them asks.
+        alike = [*f.features, "class", "occ"]
+        queries = asked = cut(rows.groupBy(*alike).agg(F.min("qid").alias("qid"))) if o.random_seed is None else rows
         plan = self.plan()
         if not o.sloppy:
             queries, plan = self._strict(queries, plan)
         near = search.buckets(search.distances(queries, f.base, plan, o.k, self.similarity, leave_out=True), o.k, self._shortcut())
-        hidden = queries.select("qid", "class", S.occurrences(queries).alias("occ"))
-        return vote.answers(near, f.classes, o.k, o.decay, o.decay_a, o.decay_b, seed=o.random_seed, hidden=hidden).join(queries.select("qid", "class"), "qid")
+        out = vote.answers(near, f.classes, o.k, o.decay, o.decay_a, o.decay_b, seed=o.random_seed, hidden=asked.select("qid", "class", "occ")).join(asked, "qid")
+        shown = [c for c in out.columns if c not in (*f.features, "occ")]
+        return out.select(*shown) if o.random_seed is not None else rows.join(out.drop("qid"), alike).select(*shown)
 
     def _strict(self, queries: DataFrame, plan: list[search.Feature]) -> tuple[DataFrame, list[search.Feature]]:
         """Queries with their own weights, ranges and class distributions: of a feature they depend on the row's value and class alone.

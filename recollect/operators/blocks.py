@@ -2,7 +2,7 @@
 
 Patterns are dealt to BLOCKS blocks at most, so what is known of a block (a row of a small table) reaches every task. By
 value: a block has one value of the feature that weighs most, and the distance in that feature is a bound; rare values
-share a block without a bound. By norm, for the dot product: no product is more than that of the norms. By angle, for the cosine:
+share a block without a bound. By range, where that feature is numeric: a block lies between two numbers. By norm, for the dot product: no product is more than that of the norms. By angle, for the cosine:
 a block lies between two angles around one of its vectors, and angles obey the triangle inequality. A query first visits the
 blocks with the least bounds, which give it a (k + 1)-th distance; then all blocks whose bound isn't above that. Visits of a block
 are dealt to parts and its patterns to pieces, so every meeting is of bounded size, however large a block is.
@@ -10,6 +10,7 @@ are dealt to parts and its patterns to pieces, so every meeting is of bounded si
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -26,6 +27,8 @@ BLOCKS, PIVOTS = 256, 64
 FIRST = 8
 #: Rounding of distances and bounds.
 MARGIN = 1e-9
+#: What Spark and Python read as the same number.
+NUMBER = r"[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?"
 
 Bound = Callable[[pa.Table], np.ndarray]
 
@@ -57,6 +60,31 @@ def by_value(p: DataFrame, name: str, distance: Callable[[pa.Table, pa.Table], n
     return Dealt(p.withColumn("block", F.coalesce(place, F.lit(0)).cast("int")), bound)
 
 
+def by_range(p: DataFrame, name: str, squared: bool, weight: Callable[[pa.Table], np.ndarray], width: Callable[[pa.Table], np.ndarray]) -> Dealt:
+    """Blocks by the number in the feature ``name`` (or its square, whose root counts); what isn't plainly a number has a block without a bound."""
+    value = F.col(f"p_{name}")
+    number = F.when(value.rlike(f"^{NUMBER}\\z"), numeric(value))
+    placed = p.withColumn("number", number * number if squared else number)
+    shares = ", ".join(str(i / BLOCKS) for i in range(1, BLOCKS))
+    cuts = sorted(set(placed.selectExpr(f"percentile_approx(number, array({shares}), 10000) AS c").first()["c"] or []))
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda x: x < F.col("number"))) + 1 if cuts else F.lit(1)
+    dealt = placed.withColumn("block", F.when(F.col("number").isNull(), 0).otherwise(place).cast("int"))
+    least, most = np.full(len(cuts) + 2, np.inf), np.full(len(cuts) + 2, -np.inf)
+    for r in dealt.where("block > 0").groupBy("block").agg(F.min("number").alias("least"), F.max("number").alias("most")).collect():
+        least[r["block"]], most[r["block"]] = r["least"], r["most"]
+
+    def bound(left: pa.Table) -> np.ndarray:
+        x = np.array([np.nan if v is None or not re.fullmatch(NUMBER, v) else float(v) for v in left.column(f"q_{name}").to_pylist()], dtype=float)[:, None]
+        x = x * x if squared else x
+        with np.errstate(invalid="ignore", divide="ignore"):
+            away = np.maximum(np.maximum(least[None, :] - x, x - most[None, :]), 0.0)
+            away = weight(left)[:, None] * ((np.sqrt(away) if squared else away) / width(left)[:, None])
+        away[:, 0] = 0.0
+        return np.where(np.isfinite(away), away, 0.0)
+
+    return Dealt(dealt.drop("number"), bound)
+
+
 def _vector(side: str, names: list[str], weights: list[float]) -> Column:
     return F.array(*(F.coalesce(numeric(F.col(f"{side}_{n}")), F.lit(0.0)) * float(np.sqrt(w)) for n, w in zip(names, weights, strict=True)))
 
@@ -149,7 +177,7 @@ def _visits(q: DataFrame, bound: Bound, sizes: dict[int, int], least: int, first
                 i, j = np.nonzero(begun)
             else:
                 limit = np.array([np.inf if x is None else x for x in batch.column(names.index("limit")).to_pylist()])
-                i, j = np.nonzero((away <= limit[:, None] + MARGIN) & ~begun)
+                i, j = np.nonzero((away <= (limit + MARGIN * np.maximum(1.0, np.abs(limit)))[:, None]) & ~begun)
             at = pa.array(i)
             for s in range(0, len(i), 4096):
                 rows = batch.take(at.slice(s, 4096))

@@ -169,6 +169,12 @@ def _blocked(p: DataFrame, features: list[Feature], similarity: str | None) -> b
     def weight(left: pa.Table) -> np.ndarray:
         return _column(left, f"q_{plain.own_weight}").to_numpy(zero_copy_only=False) if plain.own_weight else np.full(left.num_rows, plain.weight)
 
+    def width(left: pa.Table) -> np.ndarray:
+        own = _column(left, f"q_{plain.own_width}").to_numpy(zero_copy_only=False).astype(float) if plain.own_width else np.full(left.num_rows, plain.width)
+        return np.where(own < EPSILON, np.nan, own)
+
+    if plain.metric in ("N", "E"):
+        return blocks.by_range(p, plain.name, plain.metric == "E", weight, width)
     return blocks.by_value(p, plain.name, distance, weight)
 
 

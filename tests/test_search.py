@@ -310,6 +310,36 @@ def test_blocks_are_left_out(spark, monkeypatch, metric):
     assert out.select("qid").distinct().count() == 60
 
 
+@pytest.mark.parametrize("kind", ["N", "E"])
+@pytest.mark.parametrize("strict", [False, True])
+def test_numbers_far_away_are_left_out(spark, monkeypatch, kind, strict):
+    """Of numbers that hardly repeat, a query visits the blocks around its own; numbers written in odd ways and weights of the size of their sum included."""
+    rng = random.Random(5)
+    number = lambda i: [str(i), f"{i}.0", f"+{i}", f"{i}e0", f"-{i}"][rng.randrange(5)]
+    rows = [(i, rng.choice("123"), number(rng.randrange(400)), rng.choice("XYZ")) for i in range(500)]
+    df = spark.createDataFrame(rows, "iid long, f1 string, f2 string, class string")
+    learner = MemoryBasedLearner(Options(metric=f"O:{kind}2", weighting="sd", exact="off", sloppy=not strict)).fit(df, _names(2))
+    assert learner.fitted.metrics == ["O", kind] and learner.fitted.weights[1] > 1000
+    answers = lambda: sorted(map(str, learner.leave_one_out().select("qid", "class", "predicted", "distance", "tie").collect()))
+    whole = answers()
+    seen, plain = [], search._meeting
+    monkeypatch.setattr(search, "PAIRS", 0)
+    monkeypatch.setattr(blocks, "BLOCKS", 40)
+    monkeypatch.setattr(search, "_meeting", lambda q, p, keys, *a: seen.append(q.select("qid", "block").distinct().count()) or plain(q, p, keys, *a))
+    assert answers() == whole and len(whole) == 500
+    assert len(seen) == 2 and sum(seen) < 500 * 40 / 3, seen
+
+
+def test_equal_rows_ask_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "abc"[i % 3], str(i % 5), "XY"[i % 2]) for i in range(90)] + [(90, "a", "0", "X")], "iid long, f1 string, f2 string, class string")
+    asked, plain = [], search.distances
+    monkeypatch.setattr(search, "distances", lambda q, *a, **b: asked.append(q.count()) or plain(q, *a, **b))
+    for sloppy in (True, False):
+        out = {r["qid"]: r["predicted"] for r in MemoryBasedLearner(Options(metric="O:N2", sloppy=sloppy, exact="off")).fit(df, _names(2)).leave_one_out().collect()}
+        assert set(out) == set(range(91)) and out[0] == out[30] == out[60] == out[90]
+    assert asked == [30, 30]
+
+
 @pytest.mark.parametrize("options", [Options(), Options(metric="M"), Options(exact="on"), Options(metric="O:N3", weighting="nw")])
 def test_settings_of_one_search_are_those_of_many(spark, options):
     """Each setting's answers are those of a learner of its own; the plan's search doesn't grow with the settings."""
