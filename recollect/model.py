@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from .storage import cut
 
 @dataclass(frozen=True)
 class Fitted:
-    """What is known after fitting; the measures are a few numbers a feature, on the driver. ``keys`` has the patterns by key
+    """What is known after fitting; the measures are a few numbers a feature, on the driver, and taken when first asked for. ``keys`` has the patterns by key
     (``versions``), where instances don't."""
 
     features: list[str]
@@ -26,12 +28,19 @@ class Fitted:
     base: DataFrame
     classes: DataFrame
     table: DataFrame
-    measures: dict[int, dict[str, float]]
+    known: Callable[[], tuple[dict[int, dict[str, float]], list[int]]]
     metrics: list[str]
     weights: list[float]
-    order: list[int]
     keys: DataFrame | None = None
 
+    @property
+    def measures(self) -> dict[int, dict[str, float]]:
+        return self.known()[0]
+
+    @property
+    def order(self) -> list[int]:
+        return self.known()[1]
+
 
 class MemoryBasedLearner:
     """k-nearest-neighbour classification over distinct distances, trees, hybrids and edited bases.
@@ -98,13 +107,18 @@ class MemoryBasedLearner:
     def _assembled(self, features: list[str], kinds: list[str], learned: DataFrame, base: DataFrame, table: DataFrame, classes: DataFrame) -> None:
         """The learner from its tables: patterns, cells and classes; rows aren't read."""
         o = self.options
-        measures, ranges = self._statistics(table, features, kinds)
-        kinds = [("O" if m in NUMERICAL and (ranges[i]["n_bad"] or ranges[i]["width"] < S.EPSILON) else m) for i, m in enumerate(kinds, 1)] if o.global_metric not in ("C", "D") else kinds
-        weights = self._weights(measures, len(features))
-        order = S.tree_order(measures, o.tree_order or ("G/V" if o.algorithm in ("IB1", "IB2") else {"gr": "GRO", "ig": "IGO", "x2": "X2O", "sv": "SVO", "sd": "SDO"}.get(o.weighting, "DO")))
-        for i in measures:
-            measures[i] |= ranges[i]
-        self.fitted = Fitted(features, learned, base, classes, table, measures, kinds, weights, order)
+        similar = o.global_metric in ("C", "D")
+        statistics = cache(lambda: self._statistics(table, features, kinds))
+
+        def known() -> tuple[dict[int, dict[str, float]], list[int]]:
+            measures, ranges = statistics()
+            order = S.tree_order(measures, o.tree_order or ("G/V" if o.algorithm in ("IB1", "IB2") else {"gr": "GRO", "ig": "IGO", "x2": "X2O", "sv": "SVO", "sd": "SDO"}.get(o.weighting, "DO")))
+            return {i: measures[i] | ranges[i] for i in measures}, order
+
+        # Similarities with given weights need no cells, which are as many as all values of all vectors.
+        weights = self._weights({} if similar and o.weighting in ("nw", "user") else statistics()[0], len(features))
+        metrics = kinds if similar else [("O" if m in NUMERICAL and (statistics()[1][i]["n_bad"] or statistics()[1][i]["width"] < S.EPSILON) else m) for i, m in enumerate(kinds, 1)]
+        self.fitted = Fitted(features, learned, base, classes, table, cache(known), metrics, weights)
 
     def _statistics(self, table: DataFrame, features: list[str], kinds: list[str]):
         numeric = [i for i, m in enumerate(kinds, 1) if m in NUMERICAL]
@@ -150,7 +164,8 @@ class MemoryBasedLearner:
                     packed = M.packed(self.given_probs if self.given_probs is not None else S.value_probs(f.table), f.classes).persist()
                 probs = packed.where(F.col("fidx") == i).select("fval", "p", "freq")
             own = given.where(F.col("fidx") == i).select("v", "ds") if given is not None and metric in STORABLE else None
-            out.append(search.Feature(name, metric, weight, f.measures[i]["width"] or 1.0, probs, self.options.clip, own))
+            width = 1.0 if self.similarity else f.measures[i]["width"] or 1.0
+            out.append(search.Feature(name, metric, weight, width, probs, self.options.clip, own))
         return out
 
     def _given(self) -> DataFrame | None:

@@ -3,14 +3,14 @@
 Where features count 0 or their weight, patterns are found by shared values: few features by ``subsets``, more by inverted ``lists``. Otherwise,
 beyond PAIRS, patterns are dealt to ``blocks`` that a bound may exclude; below, the search lays a grid over queries and patterns: parts of the queries meet blocks of the patterns, each
 meeting is a task's group of bounded size, and only the k + 1 nearest distances of a query leave it, as counts
-by class. What metrics need of a value (its class distribution, given distances) is joined to the rows first, so
+by class. For the dot product and the cosine ``products`` take the grid's place, and that of blocks whose bounds exclude little. What metrics need of a value (its class distribution, given distances) is joined to the rows first, so
 no table of all pairs of values is made. Where rows must agree in some columns (``block``), an equi-join
 takes the grid's place and distances are column expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.statistics import EPSILON, numeric
-from . import blocks
+from . import blocks, products
 from .lists import Lists
 from .subsets import MOST, Subsets
 
@@ -29,6 +29,8 @@ from .subsets import MOST, Subsets
 BLOCK, PART, HELD = 50_000, 4_096, 2_000_000
 #: Pairs of queries and patterns beyond which blocks with bounds take the place of the grid.
 PAIRS = 2_000_000_000
+#: Up to so many classes are counted by a product with a table of patterns and classes.
+DENSE = 64
 #: Up to so many distances are found by repeated minima, more by sorting.
 FEW = 12
 #: Distances are equal if they agree to so many decimals.
@@ -132,6 +134,8 @@ def distances(queries: DataFrame, base: DataFrame, features: list[Feature], k: i
     if not block:
         size = q.count(), p.count()
         blocked = None if exemplar or size[0] * size[1] <= PAIRS else _blocked(p, features, similarity)
+        if similarity and not exemplar and (blocked is None or not _excludes(q, p, blocked, features, k, similarity)):
+            return _products(q, p, features, k, similarity, leave_out, size)
         if blocked is not None:
             meet = lambda left, right, keys: _meeting(left, right, keys, features, k, similarity, False, leave_out)
             return blocks.found(q, blocked, k, meet, BLOCK, PART)
@@ -229,6 +233,80 @@ def _grid(q: DataFrame, p: DataFrame, features: list[Feature], k: int, similarit
     return _meeting(q, p, ["part", "block"], features, k, similarity, exemplar, leave_out, shown)
 
 
+def _vectors(features: list[Feature], side: str) -> Callable[[pa.Table], np.ndarray]:
+    """The numbers of a table's rows; what spells none counts 0."""
+    names = [f"{side}_{f.name}" for f in features]
+
+    def numbers(table: pa.Table) -> np.ndarray:
+        coded = [_column(table, n).cast(pa.string()).dictionary_encode(null_encoding="encode") for n in names]
+        return np.nan_to_num(np.column_stack([_numbers(x.dictionary.to_pylist(), x.indices.to_numpy(zero_copy_only=False)) for x in coded]))
+
+    return numbers
+
+
+def _similarity(x: np.ndarray, y: np.ndarray, w: np.ndarray, similarity: str) -> np.ndarray:
+    dot = (x * w) @ y.T
+    if similarity == "D":
+        return np.round((INT_MAX - dot) / INT_MAX, DECIMALS)
+    return np.round(1.0 - dot / (np.sqrt(((x * x) @ w)[:, None] * ((y * y) @ w)[None, :]) + EPSILON), DECIMALS)
+
+
+def _excludes(q: DataFrame, p: DataFrame, dealt: blocks.Dealt, features: list[Feature], k: int, similarity: str) -> bool:
+    """Whether bounds leave out half of the blocks, as some queries and patterns tell; it chooses between two exact searches."""
+    names = [f.name for f in features]
+    some = [pa.Table.from_pylist([r.asDict() for r in df.select(*(f"{side}_{n}" for n in names)).limit(n_rows).collect()], pa.schema([(f"{side}_{n}", pa.string()) for n in names])) for df, side, n_rows in ((q, "q", 64), (p, "p", 2_048))]
+    if not all(x.num_rows for x in some):
+        return True
+    x, y = (_vectors(features, side)(t) for side, t in zip("qp", some, strict=True))
+    limit = _nearest(_similarity(x, y, np.array([f.weight for f in features]), similarity), k + 1)
+    return float((dealt.bound(some[0]) <= limit[:, None] + blocks.MARGIN).mean()) <= 0.5
+
+
+def _products(q: DataFrame, p: DataFrame, features: list[Feature], k: int, similarity: str, leave_out: bool, size: tuple[int, int]) -> DataFrame:
+    """All pairs of queries and patterns, as vectors."""
+    features = [_plain(f) for f in features]
+    w = np.array([f.weight for f in features])
+    schema = pa.schema([("qid", pa.null()), ("d", pa.float64()), ("exact", pa.bool_()), ("class", pa.string()), ("cnt", pa.int64())])
+
+    def summed(x: np.ndarray, y: np.ndarray, left: dict, right: dict) -> Iterator[pa.Table]:
+        coded = right["class"].dictionary_encode()
+        label, classes, count = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, right["cnt"].to_numpy(zero_copy_only=False)
+        same, other = products.equal(left["digest"], right["digest"])
+        taken = np.zeros(len(same), dtype=np.int64)
+        if leave_out:
+            mine = pc.index_in(left["q_class"], classes).fill_null(-1).to_numpy(zero_copy_only=False)
+            taken = np.where(label[other] == mine[same], left["q_occ"].to_numpy(zero_copy_only=False)[same], 0)
+        types = schema.set(0, pa.field("qid", left["qid"].type))
+        by_class = np.zeros((len(y), len(classes) if len(classes) <= DENSE else 0))
+        if by_class.size:
+            by_class[np.arange(len(y)), label] = count
+        step = max(1, HELD // len(y))
+        for at in range(0, len(x), step):
+            s = slice(at, min(len(x), at + step))
+            d = _similarity(x[s], y, w, similarity)
+            here = (same >= s.start) & (same < s.stop)
+            i, j, less = same[here] - s.start, other[here], taken[here]
+            d[i[count[j] <= less], j[count[j] <= less]] = np.inf
+            level = d.min(axis=1)
+            for _ in range(k + 1):
+                equal = d == level[:, None]
+                if by_class.size:
+                    total = np.rint(equal.astype(float) @ by_class).astype(np.int64)
+                else:
+                    r, c = np.nonzero(equal)
+                    total = np.rint(np.bincount(r * len(classes) + label[c], count[c], len(d) * len(classes))).astype(np.int64).reshape(len(d), -1)
+                exact, own = np.zeros_like(total), equal[i, j]
+                np.add.at(total, (i[own], label[j[own]]), -count[j[own]])
+                np.add.at(exact, (i[own], label[j[own]]), count[j[own]] - less[own])
+                for is_exact, n in ((False, total), (True, exact)):
+                    r, c = np.nonzero((n > 0) & np.isfinite(level)[:, None])
+                    qid = left["qid"].take(pa.array(r + s.start))
+                    yield pa.Table.from_arrays([qid, pa.array(level[r]), pa.array(np.full(len(r), is_exact)), classes.take(pa.array(c)), pa.array(n[r, c], pa.int64())], schema=types)
+                level = np.where(d > level[:, None], d, np.inf).min(axis=1)
+
+    return products.found(q, p, [f.name for f in features], lambda side: _vectors(features, side), summed, size, ["q_class", "q_occ"] if leave_out else [])
+
+
 def _plain(f: Feature) -> Feature:
     """Without its frames, which don't travel to tasks."""
     return replace(f, probs=None, given=None)
@@ -373,8 +451,7 @@ def _met(left: pa.Table, right: pa.Table, features: list[Feature], given: set[st
     for at in range(0, n, step):
         s = slice(at, min(n, at + step))
         if similarity:
-            dot = (x[s] * w) @ y.T
-            d = (INT_MAX - dot) / INT_MAX if similarity == "D" else 1.0 - dot / (np.sqrt(((x[s] * x[s]) @ w)[:, None] * ((y * y) @ w)[None, :]) + EPSILON)
+            d = _similarity(x[s], y, w, similarity)
         else:
             d = np.zeros((s.stop - s.start, m))
             for weight, f in zip(weights, one, strict=True):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import statistics as S
 from recollect.model import MemoryBasedLearner
-from recollect.operators import blocks, edit, lists, search, subsets, versions
+from recollect.operators import blocks, edit, lists, products, search, subsets, versions
 from recollect.operators.search import Feature
 from recollect.options import Options
 from recollect.plans.views import PART
@@ -340,6 +340,41 @@ def test_equal_rows_ask_once(spark, monkeypatch):
     assert asked == [30, 30]
 
 
+@pytest.mark.parametrize(("kind", "pairs"), [("C", search.PAIRS), ("D", search.PAIRS), ("D", 0)])
+@pytest.mark.parametrize("leave_out", [False, True])
+def test_vectors_of_one_length_are_not_copied_to_blocks(spark, monkeypatch, kind, leave_out, pairs):
+    """No bound excludes any; pairs are compared without copies of queries and patterns in a shuffle, and no statistics of all their values are taken."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(200):
+        x = [rng.gauss(0, 1) for _ in range(3)]
+        x = [v / sum(u * u for u in x) ** 0.5 for v in x] if i % 20 else [[1.0, 0.0, 0.0], [0.0, 0.0, 0.0]][i // 20 % 2]
+        rows.append((i, *(None if v == 0 and i % 40 else [str(v), f"+{v}"][i % 60 == 0] for v in x), rng.choice("XY")))
+    rows += [(300 + i, *r[1:]) for i, r in enumerate(rows[:30])]
+    df = spark.createDataFrame(rows, "iid long, f1 string, f2 string, f3 string, class string").repartition(3)
+    monkeypatch.setattr(S, "weights", lambda *a, **b: pytest.fail("statistics"))
+    learner = MemoryBasedLearner(Options(metric=kind, weighting="nw", k=2)).fit(df, _names(3))
+    queries = df.withColumn("qid", F.col("iid"))
+    for module, name, value in ((search, "PAIRS", pairs), (search, "HELD", 300), (products, "QUERIES", 50), (products, "PATTERNS", 60), (products, "LEAST", 40), (search, "DENSE", 64 if leave_out else 1)):
+        monkeypatch.setattr(module, name, value)
+    monkeypatch.setattr(search, "_meeting", lambda *a, **b: pytest.fail("copies"))
+    found = _nearest(learner.found(queries if not leave_out else learner.fitted.instances.withColumn("qid", F.col("iid")), 2, leave_out=leave_out), 2)
+    number = lambda r: [float(v or 0) for v in r[1:-1]]
+    for q in rows:
+        near = defaultdict(lambda: defaultdict(int))
+        for r in rows:
+            if leave_out and r[0] == q[0]:
+                continue
+            x, y = number(q), number(r)
+            dot, both = sum(a * b for a, b in zip(x, y)), sum(a * a for a in x) * sum(b * b for b in y)
+            near[round(1 - dot / (both**0.5 + S.EPSILON) if kind == "C" else (search.INT_MAX - dot) / search.INT_MAX, 10)][r[-1], q[1:-1] == r[1:-1]] += 1
+        least = sorted(near)[:3]
+        assert [pytest.approx(d, abs=2e-10) for d in least] == sorted(found[q[0]]), q
+        # A distance between two roundings may fall either way; all else is counted alike.
+        assert sum(sum(near[d].values()) for d in least) == sum(sum(x.values()) for x in found[q[0]].values())
+        assert sum(n for d in least for (_, e), n in near[d].items() if e) == sum(n for x in found[q[0]].values() for (_, e), n in x.items() if e)
+
+
 @pytest.mark.parametrize("options", [Options(), Options(metric="M"), Options(exact="on"), Options(metric="O:N3", weighting="nw")])
 def test_settings_of_one_search_are_those_of_many(spark, options):
     """Each setting's answers are those of a learner of its own; the plan's search doesn't grow with the settings."""
